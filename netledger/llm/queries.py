@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from netledger.llm import quality_rules
+from netledger.llm import quality_rules, secrets
 
-QUERIES = {"op10_quality_rules": quality_rules.query}
+QUERIES = {
+    "op8_secrets": secrets.query,
+    "op10_quality_rules": quality_rules.query,
+}
 
-ORACLE_SQL = {"op10_quality_rules": quality_rules.SQL}
+ORACLE_SQL = {
+    "op8_secrets": secrets.SQL,
+    "op10_quality_rules": quality_rules.SQL,
+}
