@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from netledger.llm import quality_rules, secrets
+from netledger.llm import mixing, quality_rules, secrets
 
 QUERIES = {
+    "op7_mixing": mixing.query,
     "op8_secrets": secrets.query,
     "op10_quality_rules": quality_rules.query,
 }
 
 ORACLE_SQL = {
+    "op7_mixing": mixing.SQL,
     "op8_secrets": secrets.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }
