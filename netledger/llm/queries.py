@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from netledger.llm import mixing, quality_rules, secrets
+from netledger.llm import mixing, quality_rules, secrets, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.query,
     "op7_mixing": mixing.query,
     "op8_secrets": secrets.query,
     "op10_quality_rules": quality_rules.query,
