@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from netledger.llm import mixing, quality_rules, secrets, sentencepiece_codec, simhash
+from netledger.llm import mixing, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op4_quality_classifier": quality_classifier.query,
     "op6_sentencepiece": sentencepiece_codec.query,
     "op7_mixing": mixing.query,
     "op8_secrets": secrets.query,
