@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from netledger.llm import mixing, paragraphs, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash
+from netledger.llm import embeddings, mixing, paragraphs, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash
 
 QUERIES = {
     "op1_simhash": simhash.query,
+    "op2_embeddings": embeddings.query,
     "op3_paragraphs": paragraphs.query,
     "op4_quality_classifier": quality_classifier.query,
     "op6_sentencepiece": sentencepiece_codec.query,
