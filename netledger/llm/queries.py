@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netledger.llm import embeddings, mixing, paragraphs, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash
+from netledger.llm import chat, embeddings, mixing, paragraphs, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -12,11 +12,13 @@ QUERIES = {
     "op6_sentencepiece": sentencepiece_codec.query,
     "op7_mixing": mixing.query,
     "op8_secrets": secrets.query,
+    "op9_chat": chat.query,
     "op10_quality_rules": quality_rules.query,
 }
 
 ORACLE_SQL = {
     "op7_mixing": mixing.SQL,
     "op8_secrets": secrets.SQL,
+    "op9_chat": chat.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }
