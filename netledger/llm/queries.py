@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from netledger.llm import chat, embeddings, mixing, paragraphs, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash
+from netledger.llm import chat, embeddings, mixing, paragraphs, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op2_embeddings": embeddings.query,
     "op3_paragraphs": paragraphs.query,
     "op4_quality_classifier": quality_classifier.query,
+    "op5_warc": warc.query,
     "op6_sentencepiece": sentencepiece_codec.query,
     "op7_mixing": mixing.query,
     "op8_secrets": secrets.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_warc": warc.SQL,
     "op7_mixing": mixing.SQL,
     "op8_secrets": secrets.SQL,
     "op9_chat": chat.SQL,
