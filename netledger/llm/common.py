@@ -28,3 +28,29 @@ def words(text: Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of a side that may be broadcast, at a few dozen bytes each. Above, the join shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(side: DataFrame) -> DataFrame:
+    """``side`` with a broadcast hint if it is small by count; else the join shuffles both sides.
+
+    ``side`` should be materialised, as it is counted here.
+    """
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
+def shingle_set(text: Column, k: int) -> Column:
+    """Distinct 32-bit hashes of the k-word shingles of a text in lower case."""
+
+    def sets(w: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.hash(F.slice(w, i, k))))
+
+    return let(words(F.lower(text)), sets)
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    common = F.size(F.array_intersect(a, b))
+    return common / (F.size(a) + F.size(b) - common)
