@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from netledger.llm.common import SPACE, table
+from netledger.llm.common import SPACE, table, words
 
 #: The weights that sources take in turn, and how often a source may be repeated.
 WEIGHTS = (1, 2, 3)
@@ -57,14 +57,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix") -> DataFrame:
-    """(doc_id, digest, size, source_size, target, taken) for every row of ``docs`` (doc_id, text, source).
+    """``docs`` (doc_id, text, source, ...) as the struct ``row``, with size, source_size, target, taken.
 
     ``taken`` counts words with repeats. It is a multiple of the size except for the one document of
-    each source at which the budget ends.
+    each source at which the budget ends. Columns that aren't used later don't travel.
     """
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
     rows = docs.select(
-        "doc_id", "source", size_of(F.col("text")).alias("size"), digest.alias("digest"),
+        F.struct(*docs.columns).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), digest.alias("digest"),
         F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), digest))).alias("key"),
     )
     # a range is named by the leading bits of the key; their number follows the number of rows
@@ -86,11 +86,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EP
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size") - F.col("offset") - F.col("before")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    return placed.select("c.doc_id", "c.digest", "c.size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("c.row", "c.size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents")).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them. Where a source's budget ends within a
+    document, the last copy holds the words that are left, with single spaces between them."""
+    out = mix(docs, weights, most).filter("taken > 0")
+    whole, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
+    copies = out.select("row", rest.alias("rest"), whole.alias("whole"), F.explode(F.sequence(F.lit(1), (whole + F.signum(rest)).cast("int"))).alias("n"))
+    cut = F.array_join(F.slice(words(F.col("row.text")), 1, F.greatest(F.col("rest"), F.lit(1)).cast("int")), " ")
+    text = F.when(F.col("n") <= F.col("whole"), F.col("row.text")).otherwise(cut)
+    named = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
+    return copies.select(*[named.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 SQL = rf"""

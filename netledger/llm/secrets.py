@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from netledger.llm.common import let, table
+from netledger.llm.common import bounded, table
 from netledger.session import checkpointed
 
 #: Kinds in the order in which spans of equal start are listed; the first three are strong.
@@ -135,6 +135,28 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
+def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` (doc_id, text, ...) with every reported span replaced by ``mark``; overlapping spans are
+    replaced as one. Rows without spans, null texts among them, stay as they are."""
+    found = checkpointed(scan(docs).filter(F.size("spans") > 0).select("doc_id", "digest", "spans").distinct())
+    marked = docs.withColumn("_digest", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    joined = marked.alias("m").join(
+        bounded(found).alias("s"), F.col("m.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("m._digest") == F.col("s.digest")), "left"
+    )
+    text = F.col("m.text")
+
+    def step(acc: Column, s: Column) -> Column:
+        between = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        out = F.when(s["start"] >= acc["at"], between).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    kept = F.aggregate("s.spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = F.when(F.col("s.spans").isNull(), text).otherwise(kept)
+    named = {"text": clean} | ({"n_chars": F.when(F.col("s.spans").isNull(), F.col("m.n_chars")).otherwise(F.length(clean))} if "n_chars" in docs.columns else {})
+    return joined.select(*[named.get(c, F.col(f"m.{c}")).alias(c) for c in docs.columns])
+
+
 def written(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])

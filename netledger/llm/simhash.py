@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from netledger.llm.common import table
+from netledger.llm.common import bounded, jaccard, shingle_set, table
 from netledger.operators.graph import connected_components
-from netledger.session import checkpointed
+from netledger.session import checkpointed, stored
 
 RADIUS = 2
 CROWD = 32
@@ -174,6 +174,100 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
+#: For whole documents by similarity: shingle words, similarity, lanes of 64 bits, bits that may
+#: differ, and positional bytes that must be shared. Shingle sets of similarity 0.8 have an angle of
+#: 0.476, so 78 of 512 bits differ on average and 17 of 64 bytes are shared; the limits lie four and
+#: three standard deviations off.
+WORDS, SIMILARITY, LANES, MOST_BITS, LEAST_BYTES = 5, 0.8, 8, 110, 6
+#: Bytes per conjunction and their distances, lists that are paired in full, and leaders of larger ones.
+RUN, STRIDES, PAIRED, LEADERS = 4, (1, 7), 4, 4
+
+
+def _runs(prints: DataFrame, lanes: int) -> DataFrame:
+    """(id, keys) of (id, f0, f1, ...): keys of all runs of RUN positional bytes, for each stride.
+
+    Runs go on at the first byte; the number of a run is part of its key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = np.column_stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(lanes)])
+            one = np.ascontiguousarray(wide).view(np.uint8).astype(np.int64)
+            n = one.shape[1]
+            keys = []
+            for number, stride in enumerate(STRIDES):
+                key = np.zeros_like(one)
+                for j in range(RUN):
+                    key = key << 8 | np.roll(one, -j * stride, axis=1)
+                keys.append(key + (np.arange(number * n, number * n + n) << 8 * RUN))
+            keys = np.hstack(keys)
+            ends = pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], names=["id", "keys"])
+
+    return prints.select("id", *[f"f{i}" for i in range(lanes)]).mapInArrow(run, "id long, keys array<long>")
+
+
+def similar_pairs(classes: DataFrame, lanes: int = LANES) -> DataFrame:
+    """Candidate pairs (a, b) of the ``node`` of classes (node, f0, f1, ...) of wide fingerprints.
+
+    Wide fingerprints differ in too many bits for a guaranteed number of shared bytes to sort out
+    random pairs, so lists are kept per run of RUN bytes, of which similar fingerprints share several.
+    In lists of more than PAIRED members each is compared with a leader of the list; leaders are
+    drawn by LEADERS different orders, so families of near copies agree on a few.
+    """
+    ids = classes.withColumn("id", F.xxhash64("node"))
+    postings = _runs(ids, lanes).select("id", F.explode("keys").alias("key"))
+    several = postings.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
+    shared = checkpointed(postings.join(several, "key"))
+    order = F.xxhash64(F.col("key") % LEADERS, "id")
+    lists = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order.alias("h"), "id"))["id"].alias("leader"))
+    sized = shared.join(lists, "key")
+    few = sized.filter(F.col("n") <= PAIRED)
+    paired = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select("x.id", F.col("y.id").alias("other"))
+    led = sized.filter(F.col("n") > PAIRED).select(F.least("id", "leader").alias("id"), F.greatest("id", "leader").alias("other"))
+    pairs = paired.union(led).filter("id <> other").distinct()
+    sides = [ids.select(F.col("id").alias(i), F.col("node").alias(n), *[F.col(f"f{k}").alias(f"{n}{k}") for k in range(lanes)]) for i, n in (("id", "a"), ("other", "b"))]
+    met = pairs.join(sides[0], "id").join(sides[1], "other")
+    differ = [F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}")) for k in range(lanes)]
+    total = lambda parts: sum(parts[1:], parts[0])
+    return met.filter(total([shared_bytes(d) for d in differ]) >= LEAST_BYTES).filter(total([F.bit_count(d) for d in differ]) <= MOST_BITS).select("a", "b")
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) without all but one document of each group.
+
+    Documents are linked at a Jaccard similarity of ``similarity`` or more of their k-word shingles
+    in lower case, found through wide SimHash fingerprints and verified on the texts. Of a group the
+    row of the least doc_id stays, a null id before others; of repeated rows one stays. Texts without
+    words, null ones among them, form one group. Other columns are untouched.
+    """
+    columns = docs.columns
+    digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    marked = docs.withColumn("_digest", digest)
+    prints = [f"f{i}" for i in range(LANES)]
+    found = checkpointed(fingerprints(marked.select(F.struct("doc_id", F.col("_digest").alias("digest")).alias("node"), "text"), "node", k, LANES, True))
+    classes = checkpointed(found.groupBy(*prints).agg(F.min("node").alias("node")))
+    pairs = checkpointed(similar_pairs(classes))
+    needed = checkpointed(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().select("node", "node.*"))
+    at = F.col("m.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("m._digest") == F.col("n.digest"))
+    texts = marked.select("doc_id", "text", "_digest").alias("m").join(bounded(needed).alias("n"), at)
+    sets = stored(texts.groupBy("n.node").agg(F.first(shingle_set(F.col("m.text"), k)).alias("s")))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    links = both.filter(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
+    groups = connected_components(links, "a", "b")
+    labelled = checkpointed(classes.join(groups, F.col("node") == F.col("vertex"), "left").select(*prints, F.coalesce("component", "node").alias("stays")))
+    # rows that go, and rows that are there several times over
+    gone = found.join(labelled, prints).filter("node <> stays").select("node.*").distinct()
+    many = found.groupBy("node").count().filter("count > 1").select("node.*")
+    gone, many = checkpointed(gone), checkpointed(many)
+    without = lambda m, n: m.alias("m").join(bounded(n).alias("n"), at, "left_anti")
+    left = without(marked, gone)
+    if many.count():
+        again = left.alias("m").join(bounded(many).alias("n"), at, "left_semi").dropDuplicates(["doc_id", "_digest"])
+        left = without(left, many).unionByName(again)
+    return left.select(*columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
