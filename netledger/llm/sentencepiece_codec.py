@@ -104,7 +104,7 @@ class Codec:
         last: list[str] = [""]
         score = [0.0]
         before = ""
-        ids, longest = self.ids, self.longest
+        ids, longest, pairs = self.ids, self.longest, self.pairs
         for word in words:
             n = 0
             for a, b in zip(before, word):
@@ -112,14 +112,24 @@ class Codec:
                     break
                 n += 1
             del last[n + 1 :], score[n + 1 :]
-            for end in range(n + 1, len(word) + 1):
-                if self.bpe:
-                    for start in range(max(0, end - longest), end):
-                        piece = word[start:end]
-                        if (piece in ids or start == end - 1) and (start == 0 or self.follows(last[start], piece)):
+            if self.bpe:
+                for end in range(n + 1, len(word) + 1):
+                    start = end - 1
+                    piece = word[start]
+                    # one piece fits; words are short, so the shorter pieces are tried first
+                    while start:
+                        fits = pairs.get((last[start], piece))
+                        if fits is None:
+                            fits = self.follows(last[start], piece)
+                        if fits:
                             break
+                        start -= 1
+                        while start and word[start:end] not in ids:
+                            start -= 1
+                        piece = word[start:end]
                     last.append(piece)
-                else:
+            else:
+                for end in range(n + 1, len(word) + 1):
                     best, piece = self.worst * (end + 1), ""
                     for start in range(max(0, end - longest), end):
                         candidate = word[start:end]
