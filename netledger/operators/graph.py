@@ -47,3 +47,58 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         current = checkpointed(_toward_minimum(_toward_minimum(current, True), False))
     members = current.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     return members.union(current.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
+
+
+def component_digests(members: DataFrame) -> DataFrame:
+    """(component, size, component_id) where components are small: SHA-256 of the sorted members as text."""
+    return members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("vertex")), lambda v: v.cast("string")), ","), 256).alias("component_id"))
+
+
+def chain_problems(nodes: DataFrame, parent: str = "parent") -> DataFrame:
+    """(id, problem) of single-parent chains (id, parent): ``missing`` parents, ``self`` references, and
+    ``cycle`` members.
+
+    A walk doubles its stride each round by joining the pointers to themselves, until it is longer
+    than all pointers; walks that have not ended by then stand on a cycle, and where they stand leads
+    around to its other members.
+    """
+    refs = nodes.filter(F.col(parent).isNotNull()).select("id", F.col(parent).alias("to"))
+    known = nodes.select(F.col("id").alias("to")).distinct()
+    missing = refs.join(known, "to", "left_anti").select("id", F.lit("missing").alias("problem"))
+    selves = refs.filter("id = to").select("id", F.lit("self").alias("problem"))
+    pointer = checkpointed(refs.filter("id <> to").join(known, "to", "left_semi").select("id", "to"))
+    walk, stride, total = pointer, 1, pointer.count()
+    while stride < total and not walk.isEmpty():
+        walk = checkpointed(walk.alias("a").join(walk.alias("b"), F.col("a.to") == F.col("b.id")).select("a.id", F.col("b.to").alias("to")))
+        stride *= 2
+    on_cycle = walk.select(F.col("to").alias("id")).distinct()  # where endless walks stand is on a cycle
+    ring = _closed(on_cycle, pointer)
+    return missing.union(selves).union(ring.select("id", F.lit("cycle").alias("problem")))
+
+
+def _closed(seed: DataFrame, pointer: DataFrame) -> DataFrame:
+    """``seed`` with all vertices that pointers from it lead to."""
+    found = seed
+    while True:
+        found = checkpointed(found)
+        more = checkpointed(found.join(pointer, "id").select(F.col("to").alias("id")).distinct().join(found, "id", "left_anti"))
+        if more.isEmpty():
+            return found
+        found = found.union(more)
+
+
+def leaves(nodes: DataFrame, group: str, supersedes: str) -> DataFrame:
+    """(group, id, n_leaves, ok): rows that none supersedes; a group with several is not ok."""
+    gone = nodes.filter(F.col(supersedes).isNotNull()).select(F.col(supersedes).alias("id"))
+    left = nodes.join(gone, "id", "left_anti").select(group, "id")
+    sizes = left.groupBy(group).agg(F.count(F.lit(1)).alias("n_leaves"))
+    return left.join(sizes, group).withColumn("ok", F.col("n_leaves") == 1)
+
+
+def predecessors_successors(events: DataFrame, entity: str, before: str, after: str) -> DataFrame:
+    """(entity, predecessors, successors): identifiers only before, and only after, without the entity."""
+    sets = events.groupBy(entity).agg(F.collect_set(before).alias("b"), F.collect_set(after).alias("a"))
+    own = F.array(F.col(entity))
+    return sets.select(
+        entity, F.array_sort(F.array_except(F.array_except("b", "a"), own)).alias("predecessors"), F.array_sort(F.array_except(F.array_except("a", "b"), own)).alias("successors")
+    )
