@@ -22,7 +22,7 @@ WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3
 
 #: Rows of the whole table per key range; a range holds at most that many of one source on average.
-RANGE_ROWS = 4096
+RANGE_ROWS = 512
 
 
 def size_of(text: Column) -> Column:

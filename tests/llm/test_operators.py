@@ -1,0 +1,331 @@
+"""Each operator on awkward tables, against brute force where it has no SQL."""
+
+import collections
+import itertools
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from netledger.llm import chat, embeddings, mixing, paragraphs, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+
+
+def prose(rng, n):
+    return " ".join(rng.choice("the of and river stone garden window letter morning quiet table under light paper".split()) + str(rng.randint(0, 40)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Nulls in any column, empty and long texts, repeated rows, ties, and a clashing column."""
+    rng = random.Random(1)
+    long = prose(rng, 20_000)
+    rows = [(i, prose(rng, 60), "en", f"s{i % 3}", 1, "x") for i in range(20)]
+    rows += [(100, None, None, None, None, None), (None, "only text", "en", "s1", 9, "x"), (101, "", "en", "s0", 0, "x"), (102, " \n\t ", "en", "s0", 4, "x"), (103, long, "en", "s0", 1, "x")]
+    rows += [rows[0], rows[0], (200, rows[1][1], "en", "s2", 1, "y"), (None, None, None, None, None, None)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def components(nodes, links):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    return {n: find(n) for n in nodes}
+
+
+# 1 SimHash
+
+
+def fingerprint(text, k=3):
+    from xxhash import xxh64_intdigest
+
+    h = [xxh64_intdigest(s, 42) for s in simhash.shingles((text or "").encode(), k)]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints_equal_their_definition(awkward):
+    got = {r.doc_id: r.f0 % 2**64 for r in simhash.fingerprints(awkward.filter("doc_id IS NOT NULL")).collect()}
+    texts = {r.doc_id: r.text for r in awkward.filter("doc_id IS NOT NULL").collect()}
+    assert got == {i: fingerprint(t) for i, t in texts.items()}
+    assert got[100] == got[101] == got[102] == 0
+
+
+@pytest.mark.parametrize("crowd", [1, 32])
+def test_links_have_the_components_of_all_pairs(spark, crowd):
+    rng = random.Random(2)
+    centres = [rng.getrandbits(64) for _ in range(30)]
+    prints = set(centres)
+    for c in centres[:10]:
+        for _ in range(15):
+            prints.add(c ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    prints = sorted(prints)
+    near = [(a, b) for a, b in itertools.combinations(range(len(prints)), 2) if (prints[a] ^ prints[b]).bit_count() <= 2]
+    classes = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p, i) for i, p in enumerate(prints)], "fp long, rep long")
+    got = [(r.a, r.b) for r in simhash.links(classes, crowd).collect()]
+    assert set(map(tuple, map(sorted, got))) <= set(near)
+    assert components(range(len(prints)), got) == components(range(len(prints)), near)
+
+
+def test_near_duplicates_of_awkward_rows(awkward, nothing):
+    rows = simhash.near_duplicates(awkward).collect()
+    assert len(rows) == awkward.count()
+    by = {r.doc_id: r.component_id for r in rows if r.doc_id is not None}
+    assert by[200] == 1 and by[0] == 0 and by[100] == by[101] == by[102] == 100
+    assert simhash.near_duplicates(nothing).count() == 0
+
+
+def test_drop_near_duplicates_keeps_one_of_each_group(spark, awkward, nothing):
+    rng = random.Random(3)
+    base = prose(rng, 300)
+    words = base.split()
+    copies = [(1000 + i, " ".join(words[:i * 9] + ["changed"] + words[i * 9 + 1 :]), "en", "s", 1, "x") for i in range(30)]
+    docs = awkward.unionByName(spark.createDataFrame([(999, base, "en", "s", 1, "x"), *copies, (5000, prose(rng, 300), "en", "s", 1, "x")], DOCS))
+    out = simhash.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    kept = collections.Counter(r.doc_id for r in out.collect())
+    assert kept[999] == 1 and kept[5000] == 1 and not any(kept[1000 + i] for i in range(30))
+    assert kept[0] == 1 and kept[1] == 1 and kept[200] == 0 and kept[103] == 1
+    assert simhash.drop_near_duplicates(nothing).count() == 0
+
+
+# 2 embeddings
+
+
+def test_embedding_links_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 64))
+    rows = [v for v in base]
+    for v in base[:12]:  # neighbours on both sides of the threshold
+        for angle in np.arccos([0.999, 0.97, 0.945, 0.935, 0.925, 0.9]):
+            w = rng.normal(size=64)
+            w -= (w @ v) / (v @ v) * v
+            rows.append(np.cos(angle) * v / np.linalg.norm(v) + np.sin(angle) * w / np.linalg.norm(w))
+    rows += [rows[0] * 1e-150, rows[1]]
+    x = np.array(rows)
+    labels = np.arange(len(x)) % 40 % 2
+    labels[40:] = np.repeat(np.arange(12) % 2, 6).tolist() + [0, 1]
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(near, False)
+    bad = [(900, None, 0), (901, [0.0] * 64, 0), (902, [float("nan")] * 64, 0), (903, [None] + [1.0] * 63, 0), (904, x[0].tolist(), None), (905, [], 0), (906, [float("inf")] * 64, 0), (907, [1.0, 2.0], 0)]
+    data = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, labels))] + bad
+    out = {r.vec_id: r for r in embeddings.link(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()}
+    assert len(out) == len(data)
+    got, want = sum(out[i].n_links for i in range(len(x))), int(near.sum())
+    assert got >= 0.9 * want and all(out[i].n_links <= near[i].sum() for i in range(len(x)))
+    assert all((out[i].n_links, out[i].component_id, out[i].kept) == (0, i, True) for i in range(900, 908))
+    assert embeddings.link(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
+
+
+# 3 paragraphs
+
+
+def test_passages_within_running_text_are_found(spark, awkward, nothing):
+    rng = random.Random(5)
+    passage = " ".join(f"w{rng.randint(0, 9999)}" for _ in range(51))
+    hosts = [prose(rng, 200).split() for _ in range(8)]
+    rows = [(i, " ".join(h[: 17 * i] + [passage] + h[17 * i :]), "en", "s", 1, "x") for i, h in enumerate(hosts[:6])]
+    rows += [(50 + i, " ".join(h), "en", "s", 1, "x") for i, h in enumerate(hosts[6:])]
+    got = paragraphs.repeated(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id for r in got} == set(range(6))
+    texts = {r[0]: r[1] for r in rows}
+    assert all(texts[r.doc_id][r.start : r.end] in passage for r in got)
+    assert {r.doc_id for r in got if not r.kept} == set(range(1, 6))
+    again = paragraphs.repeated(awkward).collect()
+    assert {r.doc_id for r in again} == {1, 200}
+    assert paragraphs.repeated(nothing).count() == 0
+
+
+def test_crowded_bands_lose_no_family(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(16)]
+    rows = [(i, " ".join([f"x{i}"] + base[1:]), "en", "s", 1, "x") for i in range(60)]
+    got = paragraphs.repeated(spark.createDataFrame(rows, DOCS), crowd=4).collect()
+    assert len({(r.keeper_doc_id, r.keeper_start) for r in got}) == 1 and len(got) == 60
+    assert rng
+
+
+# 4 classifier
+
+
+def test_classifier_separates_held_out_rows(spark, nothing):
+    rng = random.Random(7)
+    docs, labels = [], []
+    for i in range(400):
+        good = i % 3 != 0
+        docs.append((i, prose(rng, 80) if good else " ".join(["###", "$$$"] * 40), "en", "s", 1, "x"))
+        labels.append((i, int(good), 0))
+    docs += [(900, None, None, None, None, None), (901, "", "en", "s", 0, "x")]
+    d, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = quality_classifier.classify(d, quality_classifier.learn(d, lab)).withColumn("h", quality_classifier.held_out(F.col("doc_id"))).collect()
+    assert len(out) == len(docs) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out)
+    held = [r for r in out if r.h and r.doc_id < 900]
+    assert len(held) > 40 and np.mean([r.predicted == int(r.doc_id % 3 != 0) for r in held]) > 0.95
+    none = quality_classifier.learn(d, lab.limit(0))
+    assert {r.score for r in quality_classifier.classify(d, none).collect()} == {0.5}
+    assert quality_classifier.classify(nothing, none).count() == 0
+
+
+# 5 WARC
+
+
+def test_audit_finds_damage_and_files_round_trip(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}/{i}", f"<p>é {i}</p>\r\n\r\n<b>") for i in range(300)] + [(400, None, None), (1, "http://h1/1", "<p>é 1</p>\r\n\r\n<b>")], "page_id long, url string, html string")
+    index = warc.index(warc.records(pages))
+    assert index.count() == 301
+    clean = warc.audit(index, index).collect()
+    assert {(r.level, r.status) for r in clean} == {("archive", "match")}
+    spoilt = index.withColumn("digest", F.when(F.col("page_id").isin(7, 250), "0").otherwise(F.col("digest"))).filter("page_id <> 90")
+    found = {(r.page_id, r.status) for r in warc.audit(index, spoilt).collect() if r.level == "record"}
+    assert found == {(7, "corrupt"), (250, "corrupt"), (90, "missing")}
+    warc.write(pages, str(tmp_path / "w"))
+    back = warc.read(spark, str(tmp_path / "w"))
+    assert back.count() == 302 and back.filter("url = 'http://h1/1'").first().html == "<p>é 1</p>\r\n\r\n<b>"
+    assert warc.audit(index.limit(0), index.limit(0)).count() == 0
+
+
+# 6 SentencePiece
+
+
+def test_codec_equals_the_library_and_round_trips(awkward, nothing):
+    codec = sentencepiece_codec.Codec(open(sentencepiece_codec.MODEL, "rb").read())
+    texts = ["", " ", "  a  b \n", "\x00", "😀 é à́", "a" * 300, "\t\tx\ny", "日本語 テキスト", "((((()))) ####### https://x.y/z?q=1", "    def f(x):\n        return x"]
+    words = sorted({w for t in texts for w in codec.marked(t)})
+    ids = dict(zip(words, codec.encode_sorted(words)))
+    for t in texts:
+        mine = [i for w in codec.marked(t) for i in ids[w]]
+        assert mine == codec.library.encode(t) and codec.decode(mine) == t
+    out = sentencepiece_codec.encode(awkward.withColumn("ids", F.lit("clash")), check=True).collect()
+    assert len(out) == awkward.count() and all(r.restored if r.text is not None else r.ids is None for r in out)
+    back = sentencepiece_codec.decode(sentencepiece_codec.encode(awkward)).filter("text <> decoded").count()
+    assert back == 0 and sentencepiece_codec.encode(nothing).count() == 0
+
+
+def test_unigram_recursion_equals_brute_force():
+    codec = sentencepiece_codec.Codec.__new__(sentencepiece_codec.Codec)
+    codec.bpe, codec.pairs, codec.byte = False, {}, list(range(256))
+    pieces = {"a": -3.0, "b": -2.5, "ab": -4.0, "ba": -4.2, "aba": -6.0, "bb": -5.5, "abb": -5.0}
+    codec.score, codec.ids, codec.longest, codec.worst = pieces, {p: 1000 + i for i, p in enumerate(pieces)}, 3, -20.0
+
+    def best(word):
+        found = []
+        for cuts in itertools.product([0, 1], repeat=len(word) - 1):
+            parts, last = [], 0
+            for i, c in enumerate(cuts, 1):
+                if c:
+                    parts.append(word[last:i])
+                    last = i
+            parts.append(word[last:])
+            if all(p in pieces for p in parts):
+                found.append((sum(pieces[p] for p in parts), [codec.ids[p] for p in parts]))
+        return max(found)[1]
+
+    words = sorted("".join(t) for n in range(1, 8) for t in itertools.product("ab", repeat=n))
+    scored = {codec.ids[p]: s for p, s in pieces.items()}
+    for word, ids in zip(words, codec.encode_sorted(words)):
+        assert sum(scored[i] for i in ids) == pytest.approx(sum(scored[i] for i in best(word)))
+
+
+# 7 mixing
+
+
+def test_mix_meets_targets_exactly(awkward, nothing, spark):
+    out = mixing.mix(awkward).select("row.doc_id", "row.source", "size", "source_size", "target", "taken").collect()
+    assert len(out) == awkward.count()
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r.source].append(r)
+        assert 0 <= r.taken <= 3 * r.size
+    for rows in by.values():
+        assert sum(r.taken for r in rows) == round(rows[0].target)
+    assert by[None][0].target == 0
+    assert sum(rows[0].target for rows in by.values()) == pytest.approx(sum(r.size for r in out))
+    assert sorted(map(tuple, out), key=str) == sorted(map(tuple, mixing.mix(awkward).select("row.doc_id", "row.source", "size", "source_size", "target", "taken").collect()), key=str)
+    copies = mixing.mixed(awkward)
+    assert copies.columns == awkward.columns
+    assert copies.select(F.sum(mixing.size_of(F.col("text")))).first()[0] == sum(r.taken for r in out)
+    assert mixing.mix(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
+
+
+def test_targets_stop_at_three_times_the_size(spark):
+    sizes = spark.createDataFrame([("a", 1000), ("b", 1), ("c", 10), (None, 0)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(sizes).collect()}
+    assert (got["b"], got["c"], got[None]) == (3, 30, 0) and got["a"] == pytest.approx(978)
+
+
+# 8 secrets
+
+
+def test_secret_spans_and_links(spark, awkward, nothing):
+    key = "aB3" * 9
+    rows = [
+        (1, 'password: token: abcdefghijklmnop'), (2, 'é token = "04dbebab91ab85687d33eeaaf9ac699e"'), (3, "AKIA" + "A" * 13 + " AKIA" + "B" * 14),
+        (4, f"login=bob then {key}"), (5, f"{key} alone"), (6, "login=bob alone"), (7, f"login=bob {'.' * 400} {key}"),
+        (8, f"see https://h.example/x login=bob {key}"), (9, "API_KEY='x'"), (9, "API_KEY='x'"), (None, f"login=bob {key}"), (10, None),
+    ]
+    out = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("s", secrets.written(F.col("spans"))).collect()
+    assert len(out) == len(rows)
+    got = collections.defaultdict(set)
+    for r in out:
+        got[r.doc_id].add(r.s)
+    assert got[1] == {""} and got[2] == {"assign:2:43,hex:11:43"} and got[3] == {"access:18:36"}
+    assert got[4] == {"ident:0:9,key:15:42"} and got[None] == {"ident:0:9,key:10:37"}
+    assert got[5] == got[6] == got[7] == got[9] == got[10] == {""}
+    assert got[8] == {"endpoint:4:23,ident:24:33,key:34:61"}
+    red = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert red[2] == 'é [SECRET]"' and red[8] == "see [SECRET] [SECRET] [SECRET]" and red[10] is None and red[6] == rows[5][1]
+    assert secrets.redact(awkward).columns == awkward.columns and secrets.scan(nothing).count() == 0
+
+
+# 9 chat
+
+
+def test_chat_messages(spark):
+    rows = [
+        (1, 0, "user", "hi"), (1, 1, "assistant", 'see <tool_call>{"name":"search","id":"c1","arguments":{"query":"x","limit":3}}</tool_call>'),
+        (1, 2, "tool", '{"tool_call_id":"c1","content":{"b":1,"a":[2,"é"]}}'), (2, 0, "tool", '{"tool_call_id":"k","content":"early"}'),
+        (2, 1, "assistant", '<tool_call>{"id":"k","name":"fetch","arguments":{"url":5}}</tool_call>'), (3, 0, "assistant", "<tool_call>{bad</tool_call>"), (3, 1, "tool", "junk"),
+        (4, 0, "assistant", '<tool_call>{"id":"u","name":"search","arguments":{"query":"q"}}</tool_call>'), (None, None, None, None), (5, 0, "user", "twice"), (5, 0, "user", "twice"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_chats(df.withColumn("message", F.lit("clash"))).collect()
+    assert len(out) == len(rows)
+    by = {(r.conv_id, r.turn): r for r in out}
+    assert by[1, 1].message == '{"content":"see","role":"assistant","tool_calls":[{"arguments":{"limit":3,"query":"x"},"id":"c1","name":"search"}]}'
+    assert by[1, 2].message == '{"content":{"a":[2,"é"],"b":1},"role":"tool","tool_call_id":"c1"}' and by[1, 2].status == "ok"
+    assert (by[2, 0].order_turn, by[2, 0].order_step) > (by[2, 1].order_turn, by[2, 1].order_step) and by[2, 1].status == "invalid_call"
+    assert by[3, 0].status == "invalid_call" and by[3, 1].status == "orphan_result" and by[4, 0].status == "unanswered_call"
+    assert by[None, None].message == '{"content":""}' and chat.format_chats(df.limit(0)).count() == 0
+
+
+# 10 rules
+
+
+def test_quality_rules_on_awkward_rows(awkward, nothing):
+    out = quality_rules.quality_rules(awkward)
+    assert out.count() == awkward.count() and set(awkward.columns) <= set(out.columns)
+    by = {r.doc_id: r for r in out.collect() if r.doc_id is not None}
+    assert all(by[i].base_failed and not by[i].kept and by[i]["_m"]["n_words"] == 0 for i in (100, 101, 102))
+    assert by[103]["_m"]["n_words"] == 20_000 and quality_rules.quality_rules(nothing).count() == 0
+
+
+def test_repeated_words_cover_windows_once(spark):
+    a = [f"a{i}" for i in range(10)]
+    text = " ".join(a + ["x"] + a + ["y", "z"])
+    got = quality_rules.quality_rules(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["_m"]
+    assert got["n_repeat_words"] == 20 and got["n_words"] == 23
