@@ -10,7 +10,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 #: Dash characters that are read as a hyphen.
 DASHES = "‐‑‒–—―−－ｰ"
@@ -22,7 +22,7 @@ CIRCLES = "◯〇◎●⚪○"
 PREFECTURE = r"^(北海道|東京都|(?:京都|大阪)府|.{2,3}県)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
