@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from netledger.llm.common import table
+from netledger.llm.common import spread, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -213,5 +213,5 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), check=True)
+    out = encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), check=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "restored")

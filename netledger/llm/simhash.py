@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from netledger.llm.common import bounded, jaccard, shingle_set, table
+from netledger.llm.common import bounded, jaccard, shingle_set, spread, table
 from netledger.operators.graph import connected_components
 from netledger.session import checkpointed, stored
 
@@ -269,5 +269,5 @@ def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: float = SI
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_duplicates(table(spark, sf_dir, "documents"))
+    out = near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
