@@ -125,3 +125,45 @@ def observation_index(df: DataFrame, key: str, date: str) -> DataFrame:
     out = df.groupBy(key).agg(F.min(date).alias("_least"), F.max(date).alias("_most"))
     conflict = F.col("_least") != F.col("_most")
     return out.select(key, F.when(~conflict, F.col("_least")).alias(date), conflict.alias("conflict"))
+
+
+def threaded(events: DataFrame, by: list[str], key: str, before: str, after: str) -> DataFrame:
+    """``events`` with ``place``: the position of each in the thread of its group, in which one's after
+    state is the next one's before state. The thread starts at a before state that no other event
+    leaves behind.
+
+    Places are counted by doubling strides along the links, so rounds grow with the logarithm of the
+    longest thread. A group in which states branch, close a circle, or leave several starts has null places.
+    """
+    from netledger.session import checkpointed
+
+    e = events.select(*by, key, F.struct(F.col(before)).alias("_b"), F.struct(F.col(after)).alias("_a"))
+    ends, starts = e.select(*by, F.col(key).alias("_from"), F.col("_a").alias("_s")), e.select(*by, F.col(key).alias("_to"), F.col("_b").alias("_s"))
+    links = ends.join(starts, [*by, "_s"]).filter(F.col("_from") != F.col("_to"))
+    # how far each event stands behind another, doubling; heads of threads have no one before them
+    back = checkpointed(links.select(*by, F.col("_to").alias("id"), F.col("_from").alias("to"), F.lit(1).alias("steps")))
+    single = back.groupBy(*by).agg((F.count(F.lit(1)) == F.count_distinct("id")).alias("one"), (F.count(F.lit(1)) == F.count_distinct("to")).alias("way"), F.count(F.lit(1)).alias("n_links"))
+    sizes = e.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.join(single, by, "left").filter((F.col("n") == 1) | (F.col("one") & F.col("way") & (F.col("n_links") == F.col("n") - 1))).select(*by)
+    walk = back.join(whole, by, "left_semi")
+    longest = walk.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
+    place = walk
+    reach = 1
+    while reach < longest:
+        further = place.alias("p").join(place.alias("q"), [F.col(f"p.{b}").eqNullSafe(F.col(f"q.{b}")) for b in by] + [F.col("p.to") == F.col("q.id")], "left")
+        place = checkpointed(further.select(*[F.col(f"p.{b}").alias(b) for b in by], F.col("p.id"), F.coalesce("q.to", "p.to").alias("to"), (F.col("p.steps") + F.coalesce("q.steps", F.lit(0))).alias("steps")))
+        reach *= 2
+    counted = place.select(*by, F.col("id").alias(key), "steps")
+    heads = e.select(*by, key).join(whole, by, "left_semi").join(counted.select(*by, key), [*by, key], "left_anti").select(*by, key, F.lit(0).alias("steps"))
+    places = counted.unionByName(heads).withColumnRenamed("steps", "place")
+    return events.join(places, [*by, key], "left")
+
+
+def relocations(events: DataFrame, start: Column, end: Column, ident: Column) -> DataFrame:
+    """``events`` with ``outcome``: used for relocations whose date is confirmed and lies in (start, end];
+    else why not: unofficial, planned_only, outside, or no_identifier."""
+    outcome = (
+        F.when(F.coalesce("provenance", F.lit("official")) != "official", "unofficial").when(F.col("confirmed").isNull(), "planned_only")
+        .when((F.col("confirmed") <= start) | (F.col("confirmed") > end), "outside").when(ident.isNull(), "no_identifier").otherwise("used")
+    )
+    return events.withColumn("outcome", outcome)

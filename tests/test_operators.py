@@ -165,3 +165,15 @@ def test_series_admit_what_they_should(spark):
     e = spark.createDataFrame(rows, "event_id int, entity string, kind string, provenance string, status string, confirmed date, planned date, corroborated boolean, revises int, cancels int, before int, after int")
     got = {s: sorted(r.event_id for r in ledger.active_events(e, s).collect()) for s in ledger.SERIES}
     assert got == {"formal": [1], "effective_official": [1, 2], "effective_with_unofficial": [1, 2, 3]}
+
+
+def test_threads_follow_states_and_refuse_branches(spark):
+    rows = [("a", 3, "z", "w"), ("a", 1, "x", "y"), ("a", 2, "y", "z"), ("b", 4, "x", "y"), ("b", 5, "y", "x"), ("c", 6, "p", "q"), ("d", 7, "x", "y"), ("d", 8, "y", "z"), ("d", 9, "y", "w")]
+    out = tm.threaded(spark.createDataFrame(rows, "g string, id int, before string, after string"), ["g"], "id", "before", "after").collect()
+    assert {r.id: r.place for r in out} == {1: 0, 2: 1, 3: 2, 4: None, 5: None, 6: 0, 7: None, 8: None, 9: None}
+
+
+def test_captures_link_before_conflicts_go(spark):
+    rows = [("u", "1", "A", 0), ("u", "2", "B", 1), ("u", "2", "C", 2), ("u", "3", "A", 3), ("u", "4", "D", 4)]
+    out = {(r.captured_at, r.digest): r.supersedes for r in ledger.captures(spark.createDataFrame(rows, "url string, captured_at string, digest string, ord int")).collect()}
+    assert out == {("1", "A"): None, ("4", "D"): "2"}
