@@ -156,3 +156,34 @@ def ramp(share: Column, low: tuple[int, int, int], high: tuple[int, int, int]) -
     """Hex colour between two colours, linear in a share of 0 to 1."""
     parts = [F.lpad(F.lower(F.hex(F.rint(a + (b - a) * share).cast("long"))), 2, "0") for a, b in zip(low, high)]
     return F.concat(F.lit("#"), *parts)
+
+
+#: The prefectures.
+PREFECTURES = (
+    "北海道 青森県 岩手県 宮城県 秋田県 山形県 福島県 茨城県 栃木県 群馬県 埼玉県 千葉県 東京都 神奈川県 新潟県 富山県 石川県 福井県 山梨県 長野県 岐阜県 静岡県 愛知県 三重県 "
+    "滋賀県 京都府 大阪府 兵庫県 奈良県 和歌山県 鳥取県 島根県 岡山県 広島県 山口県 徳島県 香川県 愛媛県 高知県 福岡県 佐賀県 長崎県 熊本県 大分県 宮崎県 鹿児島県 沖縄県"
+).split()
+#: Characters that take two columns in a fixed-width layout.
+WIDE = r"[ᄀ-ᅟ⺀-〾ぁ-꓏가-힣豈-﫿︰-﹯＀-｠￠-￦]"
+
+
+def address_start(c: Column) -> Column:
+    """Characters before the rightmost prefecture that doesn't lie within an earlier match; null without one."""
+    pattern = "|".join(PREFECTURES)
+    found, pieces = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
+    tail = F.length(F.element_at(pieces, -1)) + F.length(F.try_element_at(found, F.lit(-1)))
+    return F.length(c) - tail
+
+
+def display_width(c: Column) -> Column:
+    """Columns that a text takes where wide characters take two."""
+    return F.length(c) + F.length(F.regexp_replace(c, WIDE.replace("[", "[^", 1), ""))
+
+
+def slice_columns(c: Column, start: int, end: int) -> Column:
+    """The characters that begin in the columns from ``start`` to before ``end``."""
+    chars = F.split(c, "")
+    width = lambda x: F.when(x.rlike(WIDE), 2).otherwise(1)
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda acc, x: F.struct((acc["at"] + width(x)).alias("at"), F.when((acc["at"] >= start) & (acc["at"] < end), F.concat(acc["out"], x)).otherwise(acc["out"]).alias("out"))
+    return F.aggregate(F.filter(chars, lambda x: x != ""), begin, step)["out"]

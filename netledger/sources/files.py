@@ -187,3 +187,46 @@ def register_rows(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("section", section).filter(F.col("text").rlike(p)).select(
         "file", "page", "line", "section", part(1).cast("int").alias("serial"), official_id(part(2)).alias("official_identifier"), part(3).alias("rest"), part(4).alias("status")
     )
+
+
+def dbf_rows(spark: SparkSession, path: str, fields: list[tuple[str, str, int]]) -> DataFrame:
+    """(file, ord, <fields>..) of dBASE tables with exactly the fields (name, type, length), as text in
+    cp932; deleted rows are left out, and any other layout fails the read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                count, head, width = struct.unpack("<IHH", data[4:12])
+                there = [(data[i : i + 11].split(b"\0")[0].decode("ascii"), chr(data[i + 11]), data[i + 16]) for i in range(32, head - 1, 32)]
+                if there != list(map(tuple, fields)) or width != 1 + sum(n for _, _, n in there):
+                    raise ValueError(f"{name}: fields are {there}")
+                rows = []
+                for r in range(count):
+                    at = head + r * width
+                    if data[at : at + 1] == b" ":
+                        at, cells = at + 1, []
+                        for _, _, n in there:
+                            cells.append(data[at : at + n].decode("cp932").strip())
+                            at += n
+                        rows.append((name, r, *cells))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["file", "ord", *[f for f, _, _ in fields]])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, ", ".join(["file string", "ord long", *[f"`{f}` string" for f, _, _ in fields]]))
+
+
+def referenced_points(spark: SparkSession, path: str, point_tag: str, office_tag: str) -> tuple[DataFrame, DataFrame]:
+    """(offices with their point, problems) of XML in which offices refer to points by ``position``.
+
+    Points are ``<tag id=..><pos>lat lon</pos></tag>``, offices ``<tag id=..><name>..<position>#id``.
+    Points and offices whose id occurs twice, and references to no point, are reported.
+    """
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    points = read(point_tag, "_id string, pos string").select(F.col("_id").alias("point"), F.split_part("pos", F.lit(" "), F.lit(1)).cast("double").alias("lat"), F.split_part("pos", F.lit(" "), F.lit(2)).cast("double").alias("lon"))
+    offices = read(office_tag, "_id string, name string, position string").select(F.col("_id").alias("office"), "name", F.ltrim("position", F.lit("#")).alias("point"))
+    twice = lambda d, c: d.groupBy(c).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(c)
+    bad_points, bad_offices = twice(points, "point"), twice(offices, "office")
+    met = offices.join(bad_offices, "office", "left_anti").join(points.join(bad_points, "point", "left_anti"), "point", "left")
+    problems = bad_points.select(F.col("point").alias("id"), F.lit("duplicate_point").alias("problem")).union(bad_offices.select("office", F.lit("duplicate_office"))).union(met.filter("lat IS NULL").select("office", F.lit("no_point")))
+    return met.filter("lat IS NOT NULL").select("office", "name", "lat", "lon"), problems

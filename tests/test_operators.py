@@ -177,3 +177,20 @@ def test_captures_link_before_conflicts_go(spark):
     rows = [("u", "1", "A", 0), ("u", "2", "B", 1), ("u", "2", "C", 2), ("u", "3", "A", 3), ("u", "4", "D", 4)]
     out = {(r.captured_at, r.digest): r.supersedes for r in ledger.captures(spark.createDataFrame(rows, "url string, captured_at string, digest string, ord int")).collect()}
     assert out == {("1", "A"): None, ("4", "D"): "2"}
+
+
+def test_geodesic_is_near_the_great_circle(spark):
+    rows = [(35.0, 139.0, 35.0, 139.0), (35.0, 139.0, 43.0, 141.0), (0.0, 0.0, 0.0, 1.0), (-30.0, 179.5, -31.0, -179.5), (None, 1.0, 2.0, 3.0), (0.0, 0.0, 0.1, 179.9)]
+    d = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    out = d.select(geo.geodesic(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("g"), geo.haversine(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("h")).collect()
+    assert out[0].g == 0 and out[4].g is None
+    assert out[2].g == pytest.approx(111_319.4908, abs=1e-3)
+    assert all(r.g == pytest.approx(r.h, rel=6e-3) for r in out[1:4]) and out[5].g is not None
+
+
+def test_fixed_width_text(spark):
+    r = one(
+        spark, tx.address_start(F.lit("京都局 東京都港区")).alias("a"), tx.address_start(F.lit("none")).alias("b"), tx.display_width(F.lit("a東b")).alias("c"), tx.slice_columns(F.lit("a東bc"), 1, 4).alias("d"),
+        tx.address_start(F.lit("東京都 大阪府北区")).alias("e"),
+    )
+    assert (r.a, r.b, r.c, r.d, r.e) == (4, None, 4, "東b", 4)

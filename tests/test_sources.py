@@ -92,3 +92,24 @@ def test_canonical_lines_and_fixed_csv(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "j")).collect()] == ['{"a":null,"b":1,"c":2.5}']
     bundle.fixed_csv(df, str(tmp_path / "c"), {"c": 3})
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).first()["c"] == "2.500"
+
+
+def test_dbf_rows_check_their_fields(spark, tmp_path):
+    fields = [("ID", "C", 3), ("NAME", "C", 8)]
+    head = struct.pack("<BBBBIHH", 3, 24, 1, 1, 3, 32 + 32 * 2 + 1, 12) + b"\0" * 20
+    head += b"".join(n.encode().ljust(11, b"\0") + t.encode() + b"\0" * 4 + bytes([w]) + b"\0" * 15 for n, t, w in fields) + b"\r"
+    body = b" 001" + "東京".encode("cp932").ljust(8) + b"*002" + b"gone".ljust(8) + b" 003" + b"x".ljust(8)
+    (tmp_path / "t.dbf").write_bytes(head + body + b"\x1a")
+    assert [(r.ID, r.NAME) for r in files.dbf_rows(spark, str(tmp_path / "t.dbf"), fields).orderBy("ord").collect()] == [("001", "東京"), ("003", "x")]
+    with pytest.raises(Exception, match="fields are"):
+        files.dbf_rows(spark, str(tmp_path / "t.dbf"), [("ID", "C", 3)]).collect()
+
+
+def test_offices_meet_their_points(spark, tmp_path):
+    (tmp_path / "p.xml").write_text(
+        '<root><pt id="a"><pos>35.0 139.0</pos></pt><pt id="b"><pos>36.0 140.0</pos></pt><pt id="b"><pos>1.0 2.0</pos></pt>'
+        '<office id="1"><name>x</name><position>#a</position></office><office id="2"><name>y</name><position>#b</position></office></root>'
+    )
+    good, bad = files.referenced_points(spark, str(tmp_path / "p.xml"), "pt", "office")
+    assert [tuple(r) for r in good.collect()] == [("1", "x", 35.0, 139.0)]
+    assert {tuple(r) for r in bad.collect()} == {("b", "duplicate_point"), ("2", "no_point")}
