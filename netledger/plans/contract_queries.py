@@ -110,11 +110,37 @@ def outlier_verdict(spark, sf_dir):
     return c.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def snapshot_contract(spark, sf_dir):
+    """Problems of rows that carry a digest of their other columns: repeated keys, ranges, wrong digests."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.floor(F.col("o_orderkey") * 0.999).alias("entity"), F.col("o_custkey").alias("grid"), F.when(F.col("o_orderkey") % 41 == 0, -1).otherwise(F.col("o_orderkey") % 7).alias("population"))
+    good = ct.row_digest("entity", "grid", "population")
+    rows = rows.withColumn("row_sha256", F.when(F.col("entity") % 53 == 0, F.lit("0" * 64)).otherwise(good))
+    repeated = rows.groupBy("entity").agg(F.count(F.lit(1)).alias("_n"))
+    tests = {"repeated": F.col("_n") > 1, "negative_population": F.col("population") < 0, "digest_wrong": F.col("row_sha256") != good}
+    return ct.problems(rows.join(repeated, "entity"), tests, "entity")
+
+
+def geodesic_distance(spark, sf_dir):
+    """Ellipsoidal lengths between successive customers' places."""
+    from netledger.functions import geo
+
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(k, geo.geodesic(lat(k), lon(k), lat(k + 1), lon(k + 1)).alias("metres"))
+    return rounded(c, "metres", digits=3)
+
+
+def layout_widths(spark, sf_dir):
+    """Display widths of names with wide characters, and their first columns."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.repeat(F.lit("東"), (F.col("s_suppkey") % 5).cast("int")), F.lit("ab"), F.lit("京")).alias("t"))
+    return s.select("s_suppkey", tx.display_width(F.col("t")).alias("width"), tx.slice_columns(F.col("t"), 0, 4).alias("head"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         identifier_contract, coordinate_contract, mark_summary, id_hashes, ascii_normalize, nfkc_normalize, regex_extracts, strict_dates, era_dates,
-        link_discovery, html_safety, allowed_urls, robots_paths, reason_types, outlier_verdict,
+        link_discovery, html_safety, allowed_urls, robots_paths, reason_types, outlier_verdict, snapshot_contract, geodesic_distance, layout_widths,
     )
 }
 
@@ -165,4 +191,11 @@ SELECT p_partkey, array_to_string(list_sort(l), ',') AS types FROM t""",
     "outlier_verdict": """
 WITH c AS (SELECT c_custkey % 5 <> 0 AS known, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 2 = 0 END AS now, c_custkey % 3 = 0 AS past FROM customer)
 SELECT CASE WHEN NOT known THEN 'unknown_code' WHEN now IS NULL THEN 'not_evaluable' WHEN now AND past THEN 'both' WHEN now <> past THEN 'one' ELSE 'neither' END AS verdict, count(*) AS n FROM c GROUP BY 1""",
+    "snapshot_contract": """
+WITH r AS (SELECT floor(o_orderkey * 0.999)::BIGINT AS entity, CASE WHEN o_orderkey % 41 = 0 THEN -1 ELSE o_orderkey % 7 END AS population FROM orders),
+c AS (SELECT *, count(*) OVER (PARTITION BY entity) AS n FROM r),
+p AS (SELECT 'repeated' AS code, entity FROM c WHERE n > 1 UNION ALL SELECT 'negative_population', entity FROM c WHERE population < 0 UNION ALL SELECT 'digest_wrong', entity FROM c WHERE entity % 53 = 0)
+SELECT code, count(*) AS n, array_to_string((list(entity ORDER BY entity))[1:5], ',') AS sample FROM p GROUP BY 1""",
+    "layout_widths": """
+SELECT s_suppkey, 2 * (s_suppkey % 5) + 4 AS width, CASE s_suppkey % 5 WHEN 0 THEN 'ab京' WHEN 1 THEN '東ab' ELSE '東東' END AS head FROM supplier""",
 }
