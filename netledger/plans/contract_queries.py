@@ -133,7 +133,7 @@ def geodesic_distance(spark, sf_dir):
 def layout_widths(spark, sf_dir):
     """Display widths of names with wide characters, and their first columns."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.repeat(F.lit("東"), (F.col("s_suppkey") % 5).cast("int")), F.lit("ab"), F.lit("京")).alias("t"))
-    return s.select("s_suppkey", tx.display_width(F.col("t")).alias("width"), tx.slice_columns(F.col("t"), 0, 4).alias("head"))
+    return s.select("s_suppkey", tx.display_width(F.col("t")).cast("long").alias("width"), tx.slice_columns(F.col("t"), 0, 4).alias("head"))
 
 
 QUERIES = {
