@@ -49,13 +49,16 @@ def bounded(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def shingle_set(text: Column, k: int) -> Column:
-    """Distinct 32-bit hashes of the k-word shingles of a text in lower case."""
+    """Distinct 32-bit hashes of the k-word shingles of a text with A-Z in lower case."""
 
     def sets(w: Column) -> Column:
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1))), lambda i: F.hash(F.slice(w, i, k))))
 
-    return let(words(F.lower(text)), sets)
+    return let(words(F.translate(text, _UPPER, _UPPER.lower())), sets)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 #: three standard deviations off.
 WORDS, SIMILARITY, LANES, MOST_BITS, LEAST_BYTES = 5, 0.8, 8, 110, 6
 #: Bytes per conjunction and their distances, lists that are paired in full, and leaders of larger ones.
-RUN, STRIDES, PAIRED, LEADERS = 4, (1, 7), 4, 4
+RUN, STRIDES, PAIRED, LEADERS = 4, (1, 7, 13), 4, 4
 
 
 def _runs(prints: DataFrame, lanes: int) -> DataFrame:
