@@ -187,3 +187,16 @@ def slice_columns(c: Column, start: int, end: int) -> Column:
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda acc, x: F.struct((acc["at"] + width(x)).alias("at"), F.when((acc["at"] >= start) & (acc["at"] < end), F.concat(acc["out"], x)).otherwise(acc["out"]).alias("out"))
     return F.aggregate(F.filter(chars, lambda x: x != ""), begin, step)["out"]
+
+
+def cell_text(cell: Column) -> Column:
+    """Text of a struct (raw, normalized): the normalized form unless it is blank, else the raw one."""
+    return F.coalesce(F.nullif(F.trim(cell["normalized"]), F.lit("")), cell["raw"])
+
+
+def state_key(fields: list[Column], services: Column) -> Column:
+    """Fingerprint of a state: its fields and each of its services, folded, as one digest. A null field
+    and an empty one differ."""
+    parts = F.array(*[F.coalesce(F.concat(F.lit("="), state_text(f)), F.lit("-")) for f in fields])
+    folded = F.transform(F.coalesce(services, F.array().cast("array<string>")), lambda s: F.coalesce(F.concat(F.lit("="), F.lower(F.regexp_replace(s, r"\s+", ""))), F.lit("-")))
+    return F.sha2(F.to_json(F.struct(parts.alias("fields"), folded.alias("services"))), 256)

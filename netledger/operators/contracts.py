@@ -73,3 +73,73 @@ def overall(statuses: DataFrame, status: str = "status") -> DataFrame:
     """One row: fail before not_evaluable before pass; no rows are not_evaluable."""
     s = F.col(status)
     return statuses.agg(F.when(F.count_if(s == "fail") > 0, "fail").when((F.count_if(s != "pass") > 0) | (F.count(F.lit(1)) == 0), "not_evaluable").otherwise("pass").alias("status"))
+
+
+#: Rows whose digests are combined into one before the pieces are.
+PIECE = 10_000
+
+
+def rows_digest(df: DataFrame, order: list[str]) -> DataFrame:
+    """One row (rows, digest): SHA-256 over all row digests in order, which binds a table to a seal.
+
+    Digests are first combined per PIECE rows of the order, and then those of the pieces, so the last
+    task holds one hash per piece. The result depends on the rows and their order alone.
+    """
+    from netledger.operators.running import ranked
+
+    rows = ranked(df.select(*order, row_digest(*df.columns).alias("_d")), [], [*order, "_d"])
+    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", c))), lambda s: s[c]), ","), 256)
+    pieces = rows.withColumns({"_piece": F.floor((F.col("rank") - 1) / PIECE), "_at": F.col("rank")}).groupBy("_piece").agg(F.count(F.lit(1)).alias("c"), joined("_d").alias("_h"))
+    return pieces.withColumn("_at", F.col("_piece")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("rows"), joined("_h").alias("digest"))
+
+
+def usable_at(date: Column, crs: Column, wanted: int, valid_from: Column, valid_to: Column) -> Column:
+    """Whether a coordinate may be used on a day: its system fits, and the day lies in its validity; open ends admit all."""
+    from netledger.functions.text import epsg
+
+    after = F.coalesce(date >= valid_from, valid_from.isNull())
+    before = F.coalesce(date <= valid_to, valid_to.isNull())
+    return F.coalesce((epsg(crs) == wanted) & after & before, F.lit(False))
+
+
+#: Fields that a descriptor of a dataset must have.
+DESCRIPTOR_FIELDS = ("dataset_id", "family", "title", "publisher", "format", "license", "terms")
+
+
+def descriptor_tests(families: list[str]) -> dict[str, Column]:
+    """Tests of dataset descriptors, for ``problems``: required fields, dates, families, and a licence for
+    whatever may be released. Rows with a geometry need a coordinate system."""
+    from netledger.functions.text import iso_date
+
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    tests = {f"{f}_missing": blank(F.col(f)) for f in DESCRIPTOR_FIELDS}
+    tests["family_unknown"] = ~F.coalesce(F.col("family").isin(*families), F.lit(False))
+    tests["coverage_date_bad"] = iso_date(F.col("coverage_date")).isNull()
+    tests["crs_missing"] = ~blank(F.col("geometry")) & (F.col("geometry") != "none") & F.col("crs_epsg").isNull()
+    tests["release_without_licence"] = F.coalesce(F.col("public_release_allowed"), F.lit(False)) & blank(F.col("license"))
+    return tests
+
+
+def access_guard(distance: Column, people: Column, part: Column) -> Column:
+    """Why a population-weighted measure can't be computed over the rows, as an aggregate; null if it can.
+
+    A missing distance or a negative or missing count makes it not evaluable, as the denominator would be partial.
+    """
+    wrong = F.count_if(people.isNull() | (people < 0) | part.isNull() | (part < 0) | (part > people))
+    return (
+        F.when(F.coalesce(F.sum(people), F.lit(0)) == 0, "zero_population").when(wrong > 0, "bad_population").when(F.count_if(distance.isNull() | F.isnan(distance) | (distance < 0)) > 0, "not_evaluable")
+    )
+
+
+def config_problems(radii: list[float], months: list[str], extent: list[float], allowed: tuple[float, ...]) -> list[str]:
+    """Problems of an analysis configuration; an empty list if it is sound."""
+    import re
+
+    found = []
+    if list(radii) != list(allowed):
+        found.append("radii_not_fixed")
+    if not months or list(months) != sorted(set(months)) or not all(re.fullmatch(r"[0-9]{4}-(0[1-9]|1[0-2])", m) for m in months):
+        found.append("months_not_sorted_unique")
+    if len(extent) != 4 or not (extent[0] < extent[2] and extent[1] < extent[3]):
+        found.append("extent_not_ordered")
+    return found

@@ -194,3 +194,44 @@ def test_fixed_width_text(spark):
         tx.address_start(F.lit("東京都 大阪府北区")).alias("e"),
     )
     assert (r.a, r.b, r.c, r.d, r.e) == (4, None, 4, "東b", 4)
+
+
+def test_row_digests_depend_on_order_and_content(spark):
+    d = spark.createDataFrame([(i, f"v{i}") for i in range(50)], "k int, v string")
+    a = contracts.rows_digest(d, ["k"]).first()
+    assert a.rows == 50 and a == contracts.rows_digest(d.repartition(7), ["k"]).first()
+    assert a.digest != contracts.rows_digest(d, ["v"]).first().digest
+    assert a.digest != contracts.rows_digest(d.withColumn("v", F.when(F.col("k") == 7, "x").otherwise(F.col("v"))), ["k"]).first().digest
+    assert contracts.rows_digest(d.limit(0), ["k"]).first().rows == 0
+
+
+def test_guards_and_descriptors(spark):
+    day = F.lit("2024-05-01").cast("date")
+    none = F.lit(None).cast("date")
+    r = one(
+        spark, contracts.usable_at(day, F.lit("EPSG:6668"), 6668, none, none).alias("a"), contracts.usable_at(day, F.lit("EPSG:6668"), 6668, F.lit("2024-06-01").cast("date"), none).alias("b"),
+        contracts.usable_at(day, F.lit("EPSG:4326"), 6668, none, none).alias("c"), contracts.usable_at(day, F.lit(None).cast("string"), 6668, none, none).alias("d"),
+        contracts.usable_at(day, F.lit("EPSG:6668"), 6668, none, day).alias("e"),
+    )
+    assert (r.a, r.b, r.c, r.d, r.e) == (True, False, False, False, True)
+    guard = lambda rows: spark.createDataFrame(rows, "d double, p long, q long").agg(contracts.access_guard(F.col("d"), F.col("p"), F.col("q")).alias("g")).first().g
+    assert guard([(500.0, 100, 20)]) is None and guard([(None, 100, 20)]) == "not_evaluable" and guard([(1.0, 100, 200)]) == "bad_population" and guard([]) == "zero_population"
+    rows = [("a", "f", "t", "p", "csv", "l", "x", "2024-01-01", "point", 6668, True), ("b", "g", "t", "p", "csv", "", "x", "2024-02-30", "point", None, True)]
+    d = spark.createDataFrame(rows, "dataset_id string, family string, title string, publisher string, format string, license string, terms string, coverage_date string, geometry string, crs_epsg int, public_release_allowed boolean")
+    assert {x.code for x in contracts.problems(d, contracts.descriptor_tests(["f"]), "dataset_id").collect()} == {"license_missing", "family_unknown", "coverage_date_bad", "crs_missing", "release_without_licence"}
+    assert contracts.config_problems([2, 5], ["2024-01", "2024-02"], [0, 0, 1, 1], (2, 5)) == []
+    assert contracts.config_problems([2], ["2024-13"], [1, 0, 1, 1], (2, 5)) == ["radii_not_fixed", "months_not_sorted_unique", "extent_not_ordered"]
+
+
+def test_states_and_backfill(spark):
+    cell = lambda raw, norm: F.struct(F.lit(raw).alias("raw"), F.lit(norm).alias("normalized"))
+    services = F.array(F.lit("Ａ "), F.lit(None).cast("string"))
+    r = one(
+        spark, tx.cell_text(cell("x", " ")).alias("a"), tx.cell_text(cell("x", "y")).alias("b"), tx.state_key([F.lit("東京 ")], services).alias("k"), tx.state_key([F.lit("東京")], services).alias("l"),
+        tx.state_key([F.lit("")], services).alias("m"), tx.state_key([F.lit(None).cast("string")], services).alias("n"),
+    )
+    assert (r.a, r.b) == ("x", "y") and r.k == r.l and r.m != r.n
+    keys = lambda *v: spark.createDataFrame([(x,) for x in v], "k string")
+    assert [x.k for x in linkage.backfill(keys("d", "a", "b", "b"), keys("a"), "k", 2).collect()] == ["b", "d"]
+    with pytest.raises(ValueError):
+        linkage.backfill(keys("a"), keys("b"), "k", 9)
