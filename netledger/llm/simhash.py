@@ -15,12 +15,13 @@ meeting point is common to both, and at most 65 fingerprints meet at one point.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from netledger.llm.common import bounded, jaccard, shingle_set, spread, table
 from netledger.operators.graph import connected_components
@@ -174,72 +175,127 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
-#: For whole documents by similarity: shingle words, similarity, lanes of 64 bits, bits that may
-#: differ, and positional bytes that must be shared. Shingle sets of similarity 0.8 have an angle of
-#: 0.476, so 78 of 512 bits differ on average and 17 of 64 bytes are shared; the limits lie four and
-#: three standard deviations off.
-WORDS, SIMILARITY, LANES, MOST_BITS, LEAST_BYTES = 5, 0.8, 8, 110, 6
-#: Bytes per conjunction and their distances, lists that are paired in full, and leaders of larger ones.
-RUN, STRIDES, PAIRED, LEADERS = 4, (1, 7, 13), 4, 4
+#: For whole documents by similarity: shingle words, similarity, and lanes of 64 bits of the
+#: fingerprints, by which equal documents form classes.
+WORDS, SIMILARITY, LANES = 5, 0.8, 8
+#: Lists of more members are first linked to a leader, so that linked pairs needn't be made.
+PAIRED = 4
+#: Frequent shingles: rows of the sample that tells them, rows that hold one, and how many go last.
+SAMPLE, HOLD, FREQUENT = 20_000, 8, 50_000
 
 
-def _runs(prints: DataFrame, lanes: int) -> DataFrame:
-    """(id, keys) of (id, f0, f1, ...): keys of all runs of RUN positional bytes, for each stride.
+def frequent_shingles(docs: DataFrame, total: int, k: int = WORDS, sample: int = SAMPLE) -> np.ndarray:
+    """Hashes of shingles that many texts of a sample of the ``total`` rows (id, text) hold, rarest first.
 
-    Runs go on at the first byte; the number of a run is part of its key.
+    They only set the order of shingles, on which no result depends.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                hashes = []
+                for text in batch.column(0).slice(at, SLICE).cast(pa.binary()).to_pylist():
+                    hashes.extend(map(xxh64_intdigest, set(shingles(text, k)), repeat(42)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(hashes, np.uint64, len(hashes)).view(np.int64))], names=["h"])
+
+    some = docs if total <= sample else docs.filter(F.pmod(F.xxhash64("id"), F.lit(total)) < sample)
+    counts = some.select("text").mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= HOLD)
+    rows = counts.orderBy(F.desc("count"), "h").limit(FREQUENT).collect()
+    return np.array([r.h for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def prefixes(docs: DataFrame, frequent: np.ndarray, k: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, n, key) of (id, text): the first of a text's n distinct shingles, in an order for all texts.
+
+    Of n shingles, the first n - ceil(similarity * n) + 1 are taken; texts of the similarity share one
+    of them in any order. Here ``frequent`` ones come last, others by their hash.
+    """
+    by_hash = np.argsort(frequent)
+    known = frequent[by_hash]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        def flush(ids: list, sizes: list, keys: list) -> pa.RecordBatch:
+            taken = [len(x) for x in keys]
+            columns = [np.repeat(np.array(ids, np.int64), taken), np.repeat(np.array(sizes, np.int32), taken), np.concatenate(keys).view(np.int64)]
+            return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["id", "n", "key"])
+
         for batch in batches:
-            wide = np.column_stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(lanes)])
-            one = np.ascontiguousarray(wide).view(np.uint8).astype(np.int64)
-            n = one.shape[1]
-            keys = []
-            for number, stride in enumerate(STRIDES):
-                key = np.zeros_like(one)
-                for j in range(RUN):
-                    key = key << 8 | np.roll(one, -j * stride, axis=1)
-                keys.append(key + (np.arange(number * n, number * n + n) << 8 * RUN))
-            keys = np.hstack(keys)
-            ends = pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(keys.ravel()))], names=["id", "keys"])
-
-    return prints.select("id", *[f"f{i}" for i in range(lanes)]).mapInArrow(run, "id long, keys array<long>")
-
-
-def similar_pairs(classes: DataFrame, lanes: int = LANES) -> DataFrame:
-    """Candidate pairs (a, b) of the ``node`` of classes (node, f0, f1, ...) of wide fingerprints.
-
-    Wide fingerprints differ in too many bits for a guaranteed number of shared bytes to sort out
-    random pairs, so lists are kept per run of RUN bytes, of which similar fingerprints share several.
-    In lists of more than PAIRED members each is compared with a leader of the list; leaders are
-    drawn by LEADERS different orders, so families of near copies agree on a few.
+            ids, sizes, keys, held = [], [], [], 0
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                for i, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
+                    found = set(shingles(text, k))
+                    if not found:
+                        continue
+                    h = np.sort(np.fromiter(map(xxh64_intdigest, found, repeat(42)), np.uint64, len(found)))
+                    if len(known):
+                        place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        late = np.where(known[place] == h, by_hash[place] + 1, 0)
+                        h = h[np.argsort(late, kind="stable")]
+                    # a little below, so that no rounding shortens a prefix
+                    h = h[: len(h) - math.ceil(similarity * len(h) - 1e-6) + 1]
+                    ids.append(i)
+                    sizes.append(len(found))
+                    keys.append(h)
+                    held += len(h)
+                if held > FLUSH:
+                    yield flush(ids, sizes, keys)
+                    ids, sizes, keys, held = [], [], [], 0
+            if held:
+                yield flush(ids, sizes, keys)
+
+    return docs.select("id", "text").mapInArrow(run, "id long, n int, key long")
+
+
+def shared_prefixes(postings: DataFrame) -> DataFrame:
+    """The postings (id, n, key) whose key several ids have, each once, with the length of its list."""
+    w = Window.partitionBy("key")
+    told = postings.select("*", F.min("id").over(w).alias("lo"), F.max("id").over(w).alias("hi"), F.count(F.lit(1)).over(w).alias("length"))
+    return told.filter("lo < hi").select("id", "n", "key", "length").distinct()
+
+
+def led_pairs(shared: DataFrame, similarity: float = SIMILARITY, paired: int = PAIRED) -> DataFrame:
+    """Pairs (a, b) of ids: each member of a list of more than ``paired`` with the leader of the list.
+
+    The leader is the member that shares most with all others, as the original of a family does.
+    """
+    long = shared.filter(F.col("length") > paired)
+    score = long.groupBy("id").agg(F.sum("length").alias("score"))
+    leader = long.join(score, "id").groupBy("key").agg(F.max(F.struct("score", "id", "n")).alias("l"))
+    near = F.least("n", "l.n") >= similarity * F.greatest("n", "l.n") - 1e-6
+    led = long.join(leader, "key").filter(near)
+    return led.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).filter("a <> b").distinct()
+
+
+def unlinked_pairs(shared: DataFrame, groups: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """All pairs (a, b) of ids that share a list, may have the similarity by their sizes, and are not in
+    one of ``groups`` (vertex, component) together.
+
+    Of two members in different groups one is outside the commonest group of the list, so only those
+    are paired with all.
     """
-    ids = classes.withColumn("id", F.xxhash64("node"))
-    postings = _runs(ids, lanes).select("id", F.explode("keys").alias("key"))
-    several = postings.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
-    shared = checkpointed(postings.join(several, "key"))
-    order = F.xxhash64(F.col("key") % LEADERS, "id")
-    lists = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order.alias("h"), "id"))["id"].alias("leader"))
-    sized = shared.join(lists, "key")
-    few = sized.filter(F.col("n") <= PAIRED)
-    paired = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select("x.id", F.col("y.id").alias("other"))
-    led = sized.filter(F.col("n") > PAIRED).select(F.least("id", "leader").alias("id"), F.greatest("id", "leader").alias("other"))
-    pairs = paired.union(led).filter("id <> other").distinct()
-    sides = [ids.select(F.col("id").alias(i), F.col("node").alias(n), *[F.col(f"f{k}").alias(f"{n}{k}") for k in range(lanes)]) for i, n in (("id", "a"), ("other", "b"))]
-    met = pairs.join(sides[0], "id").join(sides[1], "other")
-    differ = [F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}")) for k in range(lanes)]
-    total = lambda parts: sum(parts[1:], parts[0])
-    return met.filter(total([shared_bytes(d) for d in differ]) >= LEAST_BYTES).filter(total([F.bit_count(d) for d in differ]) <= MOST_BITS).select("a", "b")
+    labelled = shared.join(groups, F.col("id") == F.col("vertex"), "left").select("id", "n", "key", F.coalesce("component", "id").alias("label"))
+    counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    main = counts.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("m", "label"))["label"].alias("main")).filter("labels > 1").select("key", "main")
+    several = checkpointed(labelled.join(main, "key"))
+    fits = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6
+    met = several.filter("label <> main").alias("x").join(several.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & fits)
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) without all but one document of each group.
 
     Documents are linked at a Jaccard similarity of ``similarity`` or more of their k-word shingles
-    in lower case, found through wide SimHash fingerprints and verified on the texts. Of a group the
-    row of the least doc_id stays, a null id before others; of repeated rows one stays. Texts without
-    words, null ones among them, form one group. Other columns are untouched.
+    in lower case. Equal documents form classes by wide SimHash fingerprints; classes that share a
+    shingle of their prefixes are compared on their texts unless they are linked already, so no pair
+    at the similarity is lost. Of a group the row of the least doc_id stays, a null id before others;
+    of repeated rows one stays. Texts without words, null ones among them, form one group. Other
+    columns are untouched.
     """
     columns = docs.columns
     digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
@@ -247,15 +303,24 @@ def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: float = SI
     prints = [f"f{i}" for i in range(LANES)]
     found = checkpointed(fingerprints(marked.select(F.struct("doc_id", F.col("_digest").alias("digest")).alias("node"), "text"), "node", k, LANES, True))
     classes = checkpointed(found.groupBy(*prints).agg(F.min("node").alias("node")))
-    pairs = checkpointed(similar_pairs(classes))
-    needed = checkpointed(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().select("node", "node.*"))
+    nodes = checkpointed(classes.select("node.*", F.xxhash64("node").alias("id")))
     at = F.col("m.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("m._digest") == F.col("n.digest"))
-    texts = marked.select("doc_id", "text", "_digest").alias("m").join(bounded(needed).alias("n"), at)
-    sets = stored(texts.groupBy("n.node").agg(F.first(shingle_set(F.col("m.text"), k)).alias("s")))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    links = both.filter(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
-    groups = connected_components(links, "a", "b")
-    labelled = checkpointed(classes.join(groups, F.col("node") == F.col("vertex"), "left").select(*prints, F.coalesce("component", "node").alias("stays")))
+    texts = lambda some: marked.select("doc_id", "text", "_digest").alias("m").join(bounded(some).alias("n"), at).select("n.id", "m.text")
+    each = texts(nodes)
+    shared = checkpointed(shared_prefixes(prefixes(each, frequent_shingles(each, nodes.count(), k), k, similarity)))
+    needed = checkpointed(nodes.join(shared.select("id").distinct(), "id"))
+    sets = stored(texts(needed).groupBy("id").agg(F.first(shingle_set(F.col("text"), k)).alias("s")))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        return checkpointed(both.filter(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b"))
+
+    first = linked(led_pairs(shared, similarity))
+    links = first.union(linked(unlinked_pairs(shared, connected_components(first, "a", "b"), similarity)))
+    groups = connected_components(links, "a", "b").join(nodes, F.col("vertex") == F.col("id")).select("id", "component", F.struct("doc_id", "digest").alias("node"))
+    least = groups.groupBy("component").agg(F.min("node").alias("stays"))
+    joined = checkpointed(groups.join(least, "component").select("node", "stays"))
+    labelled = checkpointed(classes.join(joined, "node", "left").select(*prints, F.coalesce("stays", "node").alias("stays")))
     # rows that go, and rows that are there several times over
     gone = found.join(labelled, prints).filter("node <> stays").select("node.*").distinct()
     many = found.groupBy("node").count().filter("count > 1").select("node.*")
