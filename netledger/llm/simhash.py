@@ -76,11 +76,12 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", k: int = SHINGLE, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """(key, f0, f1, ...): SimHash fingerprints of ``lanes`` times 64 bits of the whole texts.
+def fingerprints(docs: DataFrame, key: str = "doc_id", k: int = SHINGLE, lanes: int = 1, distinct: bool = False, parities: int = 0) -> DataFrame:
+    """(key, f0, f1, ..., p0, p1, ..., n): SimHash fingerprints of ``lanes`` times 64 bits of the whole texts.
 
     A bit is set if it is set in over half of the hashes of the shingles (XXH64, seed 42). Texts
-    without words, null ones among them, have fingerprint zero.
+    without words, null ones among them, have fingerprint zero. With ``parities`` follow as many times
+    64 parity bits, each of the number of shingles whose hash falls on it, and the number of shingles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,9 +91,12 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", k: int = SHINGLE, lanes:
             h = np.fromiter(hashes, np.uint64, len(hashes))
             n = np.array(counts, np.int64)
             columns = [majority(mixed(h, lane), n).view(np.int64) for lane in range(lanes)]
-            return pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(held), *map(pa.array, columns)], names=[key, *(f"f{i}" for i in range(lanes))]
-            )
+            if parities:
+                bits = 64 * parities
+                at = np.repeat(np.arange(len(n)) * bits, n) + (mixed(h, 99) % np.uint64(bits)).astype(np.int64)
+                odd = (np.bincount(at, minlength=len(n) * bits) & 1).astype(np.uint8).reshape(len(n), bits)
+                columns += [*np.ascontiguousarray(np.packbits(odd, axis=1).view(np.int64).T), n]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(held), *map(pa.array, columns)], names=[key, *names])
 
         for batch in batches:
             held, hashes, counts = [], [], []
@@ -112,7 +116,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", k: int = SHINGLE, lanes:
                 yield flush(held, hashes, counts)
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, " + ", ".join(f"f{i} long" for i in range(lanes))
+    names = [f"f{i}" for i in range(lanes)] + ([f"p{i}" for i in range(parities)] + ["n"] if parities else [])
+    schema = f"`{key}` {kind}, " + ", ".join(f"{n} long" for n in names)
     return docs.select(key, "text").mapInArrow(run, schema)
 
 
@@ -178,10 +183,14 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 #: For whole documents by similarity: shingle words, similarity, and lanes of 64 bits of the
 #: fingerprints, by which equal documents form classes.
 WORDS, SIMILARITY, LANES = 5, 0.8, 8
+#: Lanes of parity bits, which rule out unlike pairs before their texts are read.
+PARITIES = 16
+#: Lanes of them folded to fewer, which go with the lists.
+FOLDED = [f"q{i}" for i in range(4)]
 #: Lists of more members are first linked to a leader, so that linked pairs needn't be made.
 PAIRED = 4
 #: Frequent shingles: rows of the sample that tells them, rows that hold one, and how many go last.
-SAMPLE, HOLD, FREQUENT = 20_000, 8, 50_000
+SAMPLE, HOLD, FREQUENT = 20_000, 3, 200_000
 
 
 def frequent_shingles(docs: DataFrame, total: int, k: int = WORDS, sample: int = SAMPLE) -> np.ndarray:
@@ -258,6 +267,24 @@ def shared_prefixes(postings: DataFrame) -> DataFrame:
     return told.filter("lo < hi").select("id", "n", "key", "length").distinct()
 
 
+def folded(parity: DataFrame) -> DataFrame:
+    """(id, q0, ...) of (id, p0, ...): parity bits of fewer and larger sets of hashes."""
+    lanes = []
+    for i, q in enumerate(FOLDED):
+        lane = F.col(f"p{i}")
+        for j in range(i + len(FOLDED), PARITIES, len(FOLDED)):
+            lane = lane.bitwiseXOR(F.col(f"p{j}"))
+        lanes.append(lane.alias(q))
+    return parity.select("id", *lanes)
+
+
+def fits(x: str, y: str, similarity: float) -> Column:
+    """Whether sizes and folded parity bits of two sides allow the similarity."""
+    size = F.least(f"{x}n", f"{y}n") >= similarity * F.greatest(f"{x}n", f"{y}n") - 1e-6
+    differ = [F.bit_count(F.col(x + q).bitwiseXOR(F.col(y + q))) for q in FOLDED]
+    return size & (sum(differ[1:], differ[0]) <= (1 - similarity) / (1 + similarity) * (F.col(f"{x}n") + F.col(f"{y}n")) + 1e-6)
+
+
 def led_pairs(shared: DataFrame, similarity: float = SIMILARITY, paired: int = PAIRED) -> DataFrame:
     """Pairs (a, b) of ids: each member of a list of more than ``paired`` with the leader of the list.
 
@@ -265,28 +292,37 @@ def led_pairs(shared: DataFrame, similarity: float = SIMILARITY, paired: int = P
     """
     long = shared.filter(F.col("length") > paired)
     score = long.groupBy("id").agg(F.sum("length").alias("score"))
-    leader = long.join(score, "id").groupBy("key").agg(F.max(F.struct("score", "id", "n")).alias("l"))
-    near = F.least("n", "l.n") >= similarity * F.greatest("n", "l.n") - 1e-6
-    led = long.join(leader, "key").filter(near)
+    leader = long.join(score, "id").groupBy("key").agg(F.max(F.struct("score", "id", "n", *FOLDED)).alias("l"))
+    led = long.join(leader, "key").filter(fits("", "l.", similarity))
     return led.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).filter("a <> b").distinct()
 
 
 def unlinked_pairs(shared: DataFrame, groups: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """All pairs (a, b) of ids that share a list, may have the similarity by their sizes, and are not in
+    """All pairs (a, b) of ids that share a list, may have the similarity by ``fits``, and are not in
     one of ``groups`` (vertex, component) together.
 
     Of two members in different groups one is outside the commonest group of the list, so only those
     are paired with all.
     """
-    labelled = shared.join(groups, F.col("id") == F.col("vertex"), "left").select("id", "n", "key", F.coalesce("component", "id").alias("label"))
+    labelled = shared.join(groups, F.col("id") == F.col("vertex"), "left").select("id", "n", "key", *FOLDED, F.coalesce("component", "id").alias("label"))
     counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     main = counts.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("m", "label"))["label"].alias("main")).filter("labels > 1").select("key", "main")
     several = checkpointed(labelled.join(main, "key"))
-    fits = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6
-    met = several.filter("label <> main").alias("x").join(several.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & fits)
+    met = several.filter("label <> main").alias("x").join(several.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & fits("x.", "y.", similarity))
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
+def possible_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The ``pairs`` (a, b) whose parity bits (id, p0, ..., n) don't show that they lack the similarity.
+
+    Bits that differ are at most as many as shingles that aren't common, so no similar pair goes.
+    """
+    sides = [nodes.select(F.col("id").alias(i), F.col("n").alias(f"{i}n"), *[F.col(f"p{j}").alias(f"{i}{j}") for j in range(PARITIES)]) for i in ("a", "b")]
+    differ = [F.bit_count(F.col(f"a{j}").bitwiseXOR(F.col(f"b{j}"))) for j in range(PARITIES)]
+    most = (1 - similarity) / (1 + similarity) * (F.col("an") + F.col("bn")) + 1e-6
+    return pairs.join(sides[0], "a").join(sides[1], "b").filter(sum(differ[1:], differ[0]) <= most).select("a", "b")
+
+
 def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) without all but one document of each group.
 
@@ -301,17 +337,20 @@ def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: float = SI
     digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     marked = docs.withColumn("_digest", digest)
     prints = [f"f{i}" for i in range(LANES)]
-    found = checkpointed(fingerprints(marked.select(F.struct("doc_id", F.col("_digest").alias("digest")).alias("node"), "text"), "node", k, LANES, True))
-    classes = checkpointed(found.groupBy(*prints).agg(F.min("node").alias("node")))
+    found = checkpointed(fingerprints(marked.select(F.struct("doc_id", F.col("_digest").alias("digest")).alias("node"), "text"), "node", k, LANES, True, PARITIES))
+    bits = ["n", *(f"p{i}" for i in range(PARITIES))]
+    classes = checkpointed(found.groupBy(*prints).agg(F.min(F.struct("node", *bits)).alias("c")).select(*prints, "c.*"))
     nodes = checkpointed(classes.select("node.*", F.xxhash64("node").alias("id")))
     at = F.col("m.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("m._digest") == F.col("n.digest"))
     texts = lambda some: marked.select("doc_id", "text", "_digest").alias("m").join(bounded(some).alias("n"), at).select("n.id", "m.text")
     each = texts(nodes)
-    shared = checkpointed(shared_prefixes(prefixes(each, frequent_shingles(each, nodes.count(), k), k, similarity)))
-    needed = checkpointed(nodes.join(shared.select("id").distinct(), "id"))
-    sets = stored(texts(needed).groupBy("id").agg(F.first(shingle_set(F.col("text"), k)).alias("s")))
+    parity = classes.select(F.xxhash64("node").alias("id"), *bits)
+    shared = checkpointed(shared_prefixes(prefixes(each, frequent_shingles(each, nodes.count(), k), k, similarity)).join(folded(parity), "id"))
 
     def linked(pairs: DataFrame) -> DataFrame:
+        pairs = checkpointed(possible_pairs(pairs, parity, similarity))
+        needed = checkpointed(nodes.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id"))
+        sets = stored(texts(needed).groupBy("id").agg(F.first(shingle_set(F.col("text"), k)).alias("s")))
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         return checkpointed(both.filter(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b"))
 

@@ -51,6 +51,17 @@ def test_a_star_of_thousands_of_copies_leaves_one(spark):
     assert left(spark, texts) == {0}
 
 
+def test_pairs_at_the_threshold_are_all_found(spark):
+    # one change in 50 to 70 words: 0.80 to 0.86
+    rng = random.Random(4)
+    texts = []
+    for _ in range(150):
+        words = [f"w{rng.getrandbits(60)}" for _ in range(rng.randint(49, 70))]
+        texts += [" ".join(words), " ".join(edited(rng, words, 1))]
+    want = kept(texts)
+    assert 150 <= len(want) < 170 and left(spark, texts) == want
+
+
 def test_mixed_lists_equal_brute_force(spark):
     # families of copies of copies that all share a passage, so lists hold many unlike texts
     rng = random.Random(5)
