@@ -42,10 +42,11 @@ def allowed_url(url: Column, hosts: list[str], path: str) -> Column:
 def robots_allows(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """(path, allowed): the longest rule (prefix, allow) that fits decides; at equal length all must allow.
 
-    Prefixes of a path are generated and met by equality. A path that no rule fits is allowed.
+    Prefixes of a path, up to the longest rule, are generated and met by equality. A path that no rule fits is allowed.
     """
-    cuts = F.transform(F.sequence(F.lit(0), F.least(F.length("path"), F.lit(256))), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    met = paths.select("path", F.explode(cuts).alias("prefix")).join(rules.filter("prefix <> ''"), "prefix")
+    longest = rules.agg(F.coalesce(F.max(F.length("prefix")), F.lit(0)).alias("longest"))
+    cuts = F.transform(F.sequence(F.lit(0), F.least(F.length("path"), F.col("longest"))), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    met = paths.crossJoin(F.broadcast(longest)).select("path", F.explode(cuts).alias("prefix")).join(rules.filter("prefix <> ''"), "prefix")
     best = met.groupBy("path", F.length("prefix").alias("n")).agg(F.bool_and("allow").alias("allow")).groupBy("path").agg(F.max_by("allow", "n").alias("allow"))
     return paths.join(best, "path", "left").select("path", F.coalesce("allow", F.lit(True)).alias("allowed"))
 
