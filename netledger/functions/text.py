@@ -14,11 +14,16 @@ from pyspark.sql import Column, functions as F, types as T
 
 #: Dash characters that are read as a hyphen.
 DASHES = "‐‑‒–—―−－ｰ"
-#: Old and variant characters of names, and what they are read as.
-OLD_FORMS, NEW_FORMS = "髙﨑邊邉齋齊澤濱廣嶋國學會櫻龍瀧圓", "高崎辺辺斎斉沢浜広島国学会桜竜滝円"
+#: Variant characters of names, and what they are read as.
+NAME_FORMS = "ヶヵ髙﨑德邊邉澤齋齊惠檮嶋冨櫻瀨曾", "ケカ高崎徳辺辺沢斎斉恵梼島富桜瀬曽"
+#: Variant characters of addresses, and what they are read as.
+ADDRESS_FORMS = "惠澤圓榮邊邉瀨齋齊藪曾德假眞淺檮嶋槇冨髙祗櫻濵", "恵沢円栄辺辺瀬斎斉薮曽徳仮真浅梼島槙富高祇桜浜"
+#: Characters of town names that keys don't tell apart.
+KEY_FORMS = "ヶヵッ", "ケカツ"
 #: Circle marks.
 CIRCLES = "◯〇◎●⚪○"
 
+#: How the name of a prefecture begins an address.
 PREFECTURE = r"^(北海道|東京都|(?:京都|大阪)府|.{2,3}県)"
 
 
@@ -53,15 +58,19 @@ def state_text(c: Column) -> Column:
 
 
 def folded_name(c: Column) -> Column:
-    return F.regexp_replace(F.translate(nfkc_folded(c), OLD_FORMS, NEW_FORMS), r"\s+", "")
+    return F.regexp_replace(F.translate(nfkc_folded(c), *NAME_FORMS), r"\s+", "")
 
 
 def normalized_address(c: Column) -> Column:
-    """Half-width digits and brackets, one kind of dash, new characters, without the section prefix."""
-    wide = "０１２３４５６７８９（）"
-    half = F.translate(hyphenated(c), wide + OLD_FORMS, "0123456789()" + NEW_FORMS)
-    joined = F.regexp_replace(half, r"(?<=[0-9])ー(?=[0-9])", "-")
-    return F.regexp_replace(F.regexp_replace(joined, "大字|\\s+", ""), "^字", "")
+    """Half-width digits, brackets and blanks, one kind of dash, and usual characters; no blanks at the ends."""
+    half = F.translate(hyphenated(c), "０１２３４５６７８９（）　" + ADDRESS_FORMS[0], "0123456789() " + ADDRESS_FORMS[1])
+    return F.trim(F.regexp_replace(half, r"(?<=[0-9])ー(?=[0-9])", "-"))
+
+
+def town_key(c: Column) -> Column:
+    """Key by which towns are compared: usual characters, without the section words 大字 and a leading 字."""
+    usual = F.translate(c, ADDRESS_FORMS[0] + KEY_FORMS[0], ADDRESS_FORMS[1] + KEY_FORMS[1])
+    return F.regexp_replace(F.replace(usual, F.lit("大字"), F.lit("")), "^字", "")
 
 
 def kanji_number(n: Column) -> Column:

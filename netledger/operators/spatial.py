@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netledger.functions.geo import MEAN_RADIUS, haversine
+from netledger.operators.running import ranked
 from netledger.session import checkpointed
 
 #: Metres of a degree of latitude on the mean sphere.
@@ -43,19 +44,43 @@ def radius_counts(left: DataFrame, right: DataFrame, radii: tuple[float, ...]) -
     return joined.select("lid", F.explode(entry).alias("e")).select("lid", "e.*")
 
 
-def nearest(left: DataFrame, right: DataFrame, cell: float = 0.5, rounds: int = 20) -> DataFrame:
+def _on_globe(lat: Column, lon: Column, size: float, reach: int) -> Column:
+    """Distinct cells around a place; columns go on across the meridian of 180 degrees. ``size`` must
+    divide 360 degrees."""
+    columns = round(360 / size)
+    steps = [
+        F.struct((F.floor(lat / size) + i).alias("cx"), F.pmod(F.floor((lon + 180) / size) + j, F.lit(columns)).alias("cy"))
+        for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)
+    ]
+    return F.array_distinct(F.array(*steps))
+
+
+def _finite(*columns: str) -> Column:
+    """Whether all columns hold numbers: not null, not NaN, not infinite."""
+    tests = [F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) for c in columns]
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t
+    return out
+
+
+def nearest(left: DataFrame, right: DataFrame, cell: float = 0.5) -> DataFrame:
     """(lid, rid, distance): the nearest right point (rid, lat, lon) of each left one by great circle.
 
-    Cells of ``cell`` degrees are searched in growing squares; a point is settled once its best is no
-    farther than the square surely covers. The square doubles each round, and only open points go on.
-    Ties go to the least rid. Points that no round settles within the globe keep their best.
+    Cells of about ``cell`` degrees are searched with their neighbours, across the antimeridian, too; a
+    point is settled once its best is no farther than these surely cover. Cells double each round, and
+    only open points go on. Ties go to the least rid. Points that no round settles within the globe
+    keep their best. Left points without coordinates have a null rid; such right points don't count.
     """
-    held = right.select("rid", F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
-    todo, done = left.select("lid", "lat", "lon"), []
-    reach, size = 1, cell
-    for _ in range(rounds):
-        probe = todo.select("*", F.explode(_near_cells(F.col("lat"), F.col("lon"), size, reach)).alias("c"))
-        placed = held.withColumn("c", F.struct(F.floor(F.col("rlat") / size).alias("cx"), F.floor(F.col("rlon") / size).alias("cy")))
+    held = right.filter(_finite("lat", "lon")).select("rid", F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
+    todo = left.filter(_finite("lat", "lon")).select("lid", "lat", "lon")
+    lost = left.filter(~_finite("lat", "lon")).select("lid", F.lit(None).cast(right.schema["rid"].dataType).alias("rid"), F.lit(None).cast("double").alias("distance"))
+    done = [lost]
+    reach, columns = 1, max(1, round(360 / cell))
+    while True:
+        size = 360 / columns
+        probe = todo.select("*", F.explode(_on_globe(F.col("lat"), F.col("lon"), size, reach)).alias("c"))
+        placed = held.withColumn("c", F.get(_on_globe(F.col("rlat"), F.col("rlon"), size, 0), F.lit(0)))
         found = probe.join(placed, "c").withColumn("d", haversine(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")))
         best = found.groupBy("lid").agg(F.min(F.struct("d", "rid")).alias("b"))
         met = checkpointed(todo.join(best, "lid", "left"))
@@ -65,12 +90,12 @@ def nearest(left: DataFrame, right: DataFrame, cell: float = 0.5, rounds: int =
         settled = F.col("b.d") <= sure
         done.append(met.filter(settled).select("lid", F.col("b.rid").alias("rid"), F.col("b.d").alias("distance")))
         todo = met.filter(~F.coalesce(settled, F.lit(False))).select("lid", "lat", "lon")
-        if size > 180:
+        if columns == 1:
             done.append(met.filter(~F.coalesce(settled, F.lit(False))).select("lid", F.col("b.rid").alias("rid"), F.col("b.d").alias("distance")))
             break
         if todo.isEmpty():
             break
-        size *= 2
+        columns //= 2
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -123,8 +148,9 @@ def knn_edges(points: DataFrame, k: int, cell: float, part: list[str]) -> DataFr
     """(src, dst, distance): the k nearest other points (id, x, y) within each ``part``.
 
     Only cells within reach are met, and the reach doubles for points that lack k neighbours surely
-    nearer than it. Ties go to the least id.
+    nearer than it. Ties go to the least id. Points without an id or a coordinate have no edges.
     """
+    points = points.filter(F.col("id").isNotNull() & _finite("x", "y"))
     todo, done, reach = points.select("id", *part), [], cell
     sizes = points.groupBy(*part).agg((F.count(F.lit(1)) - 1).alias("_others"))
     left = points.select("id", "x", "y", *part).join(sizes, part)
@@ -159,23 +185,27 @@ def global_moran(values: DataFrame, edges: DataFrame, part: list[str]) -> DataFr
 
 
 def moran_permutations(values: DataFrame, edges: DataFrame, part: list[str], permutations: int = 99, seed: int = 1) -> DataFrame:
-    """(part.., moran, p): two-sided pseudo p-value from random relabelings.
+    """(part.., moran, expected, z_perm, p): Moran's I of values (id, v), its expectation -1 / (n - 1), its
+    distance from the mean of random relabelings in their standard deviations, and the two-sided
+    pseudo p-value: the share of relabelings at least as far from the expectation, itself included.
 
     A relabeling gives every id the value at its rank in an order by a seeded hash; all of them are
-    built at once by a join on (part, permutation, rank), so no value vector is gathered anywhere.
+    built at once by a join on (part, permutation, rank). Ranks are counted over ranges, so no part is
+    ordered or gathered in one task.
     """
-    rank = Window.partitionBy(*part).orderBy("id")
-    ordered = values.select(*part, "id", "v", F.row_number().over(rank).alias("r"))
-    runs = ordered.select(*part, "id", F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("run"))
-    shuffled = Window.partitionBy(*part, "run").orderBy(F.when(F.col("run") == 0, F.col("id").cast("long")).otherwise(F.xxhash64("id", "run", F.lit(seed))), "id")
-    drawn = runs.withColumn("r", F.row_number().over(shuffled)).join(ordered.select(*part, "r", "v"), [*part, "r"])
-    all_edges = edges.join(F.broadcast(values.sparkSession.range(permutations + 1).select(F.col("id").cast("int").alias("run"))))
-    each = global_moran_runs(drawn.select(*part, "run", "id", "v"), all_edges, part)
-    observed = each.filter("run = 0").select(*part, F.col("moran").alias("observed"))
+    ordered = ranked(values.select(*part, "id", "v"), part, ["id"]).withColumnRenamed("rank", "r")
+    runs = ordered.select(*part, "id", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("run"))
+    runs = runs.withColumn("h", F.md5(F.concat_ws("|", F.col("id").cast("string"), F.col("run").cast("string"), F.lit(str(seed)))))
+    drawn = ranked(runs, [*part, "run"], ["h", "id"]).withColumnRenamed("rank", "r").select(*part, "run", "id", "r").join(ordered.select(*part, "r", "v"), [*part, "r"])
+    drawn = drawn.select(*part, "run", "id", "v").unionByName(ordered.select(*part, F.lit(0).alias("run"), "id", "v"))
+    all_edges = edges.select("*", F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("run"))
+    each = checkpointed(global_moran_runs(drawn, all_edges, part))
+    sizes = values.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
+    observed = each.filter("run = 0").join(sizes, part).select(*part, F.col("moran").alias("observed"), F.try_divide(F.lit(-1.0), F.col("n") - 1).alias("expected"))
     met = each.filter("run > 0").join(observed, part)
-    centre = Window.partitionBy(*part)
-    met = met.withColumn("far", F.abs(F.col("moran") - F.avg("moran").over(centre)) >= F.abs(F.col("observed") - F.avg("moran").over(centre)))
-    return met.groupBy(*part).agg(F.first("observed").alias("moran"), ((F.count_if("far") + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    far = F.abs(F.col("moran") - F.col("expected")) >= F.abs(F.col("observed") - F.col("expected"))
+    sums = met.groupBy(*part).agg(F.first("observed").alias("o"), F.first("expected").alias("e"), F.avg("moran").alias("m"), F.stddev_samp("moran").alias("s"), F.count_if(far).alias("far"), F.count("moran").alias("runs"))
+    return sums.select(*part, F.col("o").alias("moran"), F.col("e").alias("expected"), F.try_divide(F.col("o") - F.col("m"), F.col("s")).alias("z_perm"), ((F.col("far") + 1) / (F.col("runs") + 1)).alias("p"))
 
 
 def global_moran_runs(values: DataFrame, edges: DataFrame, part: list[str]) -> DataFrame:

@@ -52,18 +52,18 @@ def change_to_previous(df: DataFrame, by: list[str], at: str, value: str) -> Dat
     return df.select(*by, at, value, F.lag(value).over(w).alias("previous"), (F.col(value) - F.lag(value).over(w)).alias("delta"))
 
 
-#: Bounds of the change classes in percent.
-CHANGE_BOUNDS = (-100, -50, -20, -5, 5, 20, 50)
+#: Upper bounds of the change classes 0 to 5 in percent, each inclusive; 6 lies above.
+CHANGE_BOUNDS = (-20, -10, -5, -0.001, 0.001, 5)
+NO_BASE, NO_MONTH = 7, 8
 
 
-def change_class(percent: Column) -> Column:
-    """Class 0 to 7 of a percent change; falls include their upper bound, rises their lower one."""
-    out, first = None, True
+def change_class(percent: Column, missing: Column | None = None) -> Column:
+    """Class of a percent change: 0 to 6 by its bounds, 7 where there is none for lack of a base, 8
+    where ``missing`` says that the month itself is missing."""
+    out = F.when(percent.isNull(), NO_BASE) if missing is None else F.when(missing, NO_MONTH).when(percent.isNull(), NO_BASE)
     for i, bound in enumerate(CHANGE_BOUNDS):
-        test = percent <= bound if bound < 0 else percent < bound
-        out = F.when(test, i) if first else out.when(test, i)
-        first = False
-    return F.when(percent.isNotNull(), out.otherwise(len(CHANGE_BOUNDS)))
+        out = out.when(percent <= bound, i)
+    return out.otherwise(len(CHANGE_BOUNDS))
 
 
 def class_histogram(df: DataFrame, column: str) -> DataFrame:

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: What an event of the ledger does. The others only announce.
-STRUCTURAL, CLOSED, REOPENED = ("signup", "purchase"), "error", "click"
+#: Events that change what a facility is, and those that close it for a time or open it
+#: again. All others only announce.
+STRUCTURAL = (
+    "contract_concluded", "contract_terminated", "abolished", "relocation", "address_change", "renamed", "service_change", "office_type_change", "established",
+    "disadvantaged_area_change", "disadvantaged_area_correction",
+)
+CLOSED, REOPENED = "temporarily_closed", "reopened"
 
 
 def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -43,7 +48,7 @@ def as_of(left: DataFrame, right: DataFrame, entity: str, at: str, valid_from: s
     return out.filter("_side = 1").select("_row.*", "_found.*")
 
 
-def replay(events: DataFrame, anchors: DataFrame, cutoffs: DataFrame) -> DataFrame:
+def replay(events: DataFrame, anchors: DataFrame, cutoffs: DataFrame, structural: tuple[str, ...] = STRUCTURAL, closed: str = CLOSED, reopened: str = REOPENED) -> DataFrame:
     """State of every entity at every cutoff: (entity, cutoff, state, available).
 
     ``events`` (entity, at, event_id, kind, before, after), ``anchors`` (entity, anchor_at, state,
@@ -58,15 +63,15 @@ def replay(events: DataFrame, anchors: DataFrame, cutoffs: DataFrame) -> DataFra
     ahead = (F.col("at") > F.col("anchor_at")) & (F.col("at") <= F.col("cutoff"))
     behind = (F.col("at") > F.col("cutoff")) & (F.col("at") <= F.col("anchor_at"))
     place = F.struct("at", "event_id")
-    structural, closing = F.col("kind").isin(*STRUCTURAL), F.col("kind").isin(CLOSED, REOPENED)
+    changing, closing = F.col("kind").isin(*structural), F.col("kind").isin(closed, reopened)
     pick = lambda extreme, test, value: extreme(F.when(test, F.struct(place.alias("p"), value.alias("v"))))["v"]
     out = met.groupBy("entity", "cutoff").agg(
         F.first("state").alias("_state"), F.first("available").alias("_available"), F.first(F.col("cutoff") >= F.col("anchor_at")).alias("_forward"),
-        pick(F.max, ahead & structural, F.col("after")).alias("_after"), pick(F.min, behind & structural, F.col("before")).alias("_before"),
+        pick(F.max, ahead & changing, F.col("after")).alias("_after"), pick(F.min, behind & changing, F.col("before")).alias("_before"),
         pick(F.max, ahead & closing, F.col("kind")).alias("_last"), pick(F.min, behind & closing, F.col("kind")).alias("_first"),
     )
     state = F.coalesce(F.when(F.col("_forward"), F.col("_after")).otherwise(F.col("_before")), "_state")
-    undone = F.when(F.col("_forward"), F.col("_last") == REOPENED).otherwise(F.col("_first") == CLOSED)
+    undone = F.when(F.col("_forward"), F.col("_last") == reopened).otherwise(F.col("_first") == closed)
     return out.select("entity", "cutoff", state.alias("state"), F.coalesce(undone, "_available").alias("available"))
 
 
@@ -112,12 +117,13 @@ def continuity_breaks(df: DataFrame, by: list[str], order: list[str], after: dic
 
 def first_wins(df: DataFrame, key: str, order: list[str], verdicts: list[tuple[str, Column]], default: str) -> DataFrame:
     """``df`` with ``verdict``: the first of the ordered tests that holds; a key that came before is a
-    ``duplicate`` unless an earlier test holds. A null key is ``unresolved``."""
+    ``duplicate`` unless an earlier test holds. A null key is ``unresolved``; such rows aren't numbered."""
     w = Window.partitionBy(key).orderBy(*order)
-    out = F.when(F.col(key).isNull(), "unresolved").when(F.row_number().over(w) > 1, "duplicate")
+    out = F.when(F.row_number().over(w) > 1, "duplicate")
     for name, test in verdicts:
         out = out.when(F.coalesce(test, F.lit(False)), name)
-    return df.withColumn("verdict", out.otherwise(default))
+    numbered = df.filter(F.col(key).isNotNull()).withColumn("verdict", out.otherwise(default))
+    return numbered.unionByName(df.filter(F.col(key).isNull()).withColumn("verdict", F.lit("unresolved")))
 
 
 def observation_index(df: DataFrame, key: str, date: str) -> DataFrame:

@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+#: Kinds of the test table's events that stand for structural ones, for closing and for opening again.
+STRUCTURAL, CLOSED, REOPENED = ("signup", "purchase"), "error", "click"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from netledger.operators import contracts as ct
 from netledger.plans import ledger
-from netledger.plans.common import rounded, table
+from netledger.plans.common import CLOSED, REOPENED, STRUCTURAL, rounded, table
 from netledger.streaming import ledger as stream
 
 
@@ -21,7 +21,7 @@ def _ledger_events(spark, sf_dir):
 
 def _history(series):
     def query(spark, sf_dir):
-        out = ledger.build_history(_ledger_events(spark, sf_dir), series)
+        out = ledger.build_history(_ledger_events(spark, sf_dir), series, STRUCTURAL, (CLOSED, REOPENED))
         stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
         return out.select("entity", "event_id", stamp("valid_from"), stamp("valid_to"), "state")
 
@@ -45,22 +45,22 @@ def capture_versions(spark, sf_dir):
 
 
 def promotion_outcomes(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0")
+    o = table(spark, sf_dir, "orders")
     reviews = o.select(F.col("o_orderkey").alias("review_id"), (F.col("o_custkey") % 1000 * 4 + F.col("o_orderkey") % 4).alias("candidate_id"), F.when(F.col("o_orderstatus") == "P", "rejected").otherwise("accepted").alias("decision"), F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderdate")).alias("at"))
-    candidates = table(spark, sf_dir, "part").filter("p_partkey % 3 <> 0").select((F.col("p_partkey") * 2).alias("candidate_id"), F.col("p_size").alias("target"))
+    candidates = table(spark, sf_dir, "part").select((F.col("p_partkey") * 2).alias("candidate_id"), F.col("p_size").alias("target"))
     identities = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 60).alias("target"), (F.col("s_nationkey") % 4).alias("entity"))
     out = ledger.promote(reviews, candidates, identities)
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count("entity").alias("with_entity"))
 
 
 def _monthly(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderdate < '1995-07-01'")
+    o = table(spark, sf_dir, "orders")
     month = F.date_format("o_orderdate", "yyyy-MM")
     snapshot = o.filter(month != "1995-03").select(month.alias("month"), (F.col("o_custkey") * 91 % 3200).cast("double").alias("x"), (F.col("o_custkey") * 37 % 2600).cast("double").alias("y"))
     k = F.col("s_suppkey")
-    grid = table(spark, sf_dir, "supplier").filter("s_suppkey <= 40").select(k.alias("grid_id"), (k * 53 % 3200).cast("double").alias("x"), (k * 71 % 2600).cast("double").alias("y"), F.lit(2.0).alias("window_area_km2"))
+    grid = table(spark, sf_dir, "supplier").select(k.alias("grid_id"), (k * 53 % 3200).cast("double").alias("x"), (k * 71 % 2600).cast("double").alias("y"), F.lit(2.0).alias("window_area_km2"))
     months = o.select(month.alias("month")).distinct()
-    population = months.join(F.broadcast(grid.select("grid_id"))).select("month", "grid_id", F.when(F.col("grid_id") % 9 != 0, F.col("grid_id") % 5 * 100.0).alias("population"))  # one row per supplier asked for
+    population = grid.crossJoin(F.broadcast(months)).select("month", "grid_id", F.when(F.col("grid_id") % 9 != 0, F.col("grid_id") % 5 * 100.0).alias("population"))  # one row per month
     return ledger.analyze_monthly(snapshot, grid, population, (100.0, 250.0, 500.0))
 
 
@@ -126,8 +126,8 @@ WITH e AS (SELECT user_id % 40 AS url, strftime(ts, '%Y%m%d%H') AS t, event_id %
 l AS (SELECT *, lag(captured_at) OVER (PARTITION BY url ORDER BY captured_at, digest) AS supersedes, count(*) OVER (PARTITION BY url, captured_at) AS n FROM f)
 SELECT url, captured_at, digest, supersedes FROM l WHERE n = 1""",
     "promotion_outcomes": """
-WITH r AS (SELECT o_custkey % 1000 * 4 + o_orderkey % 4 AS c, o_orderkey % 13 <> 0 AS dated FROM orders WHERE o_orderkey % 3 = 0 AND o_orderstatus <> 'P'),
-k AS (SELECT p_partkey * 2 AS c, p_size AS t FROM part WHERE p_partkey % 3 <> 0), i AS (SELECT s_suppkey % 60 AS t, min(s_nationkey % 4) AS a, max(s_nationkey % 4) AS b FROM supplier GROUP BY 1),
+WITH r AS (SELECT o_custkey % 1000 * 4 + o_orderkey % 4 AS c, o_orderkey % 13 <> 0 AS dated FROM orders WHERE o_orderstatus <> 'P'),
+k AS (SELECT p_partkey * 2 AS c, p_size AS t FROM part), i AS (SELECT s_suppkey % 60 AS t, min(s_nationkey % 4) AS a, max(s_nationkey % 4) AS b FROM supplier GROUP BY 1),
 o AS (SELECT CASE WHEN count(*) OVER (PARTITION BY c) > 1 THEN 'contradicting_reviews' WHEN t IS NULL THEN 'source_row_missing' WHEN a IS NULL OR a <> b THEN 'entity_not_unique' WHEN NOT dated THEN 'bad_date' ELSE 'promoted' END AS outcome
   FROM r LEFT JOIN k USING (c) LEFT JOIN i USING (t))
 SELECT outcome, count(*) AS n, count(*) FILTER (outcome = 'promoted') AS with_entity FROM o GROUP BY 1""",
@@ -137,8 +137,8 @@ SELECT CASE WHEN count(*) FILTER (doc_id IS NULL) > 0 OR count(*) FILTER (text =
 SELECT strftime(time_bucket(INTERVAL 6 HOURS, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""",
 }
 
-_MONTHLY = """s AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, (o_custkey * 91 % 3200)::DOUBLE AS x, (o_custkey * 37 % 2600)::DOUBLE AS y FROM orders WHERE o_orderdate < TIMESTAMP '1995-07-01'),
-g AS (SELECT s_suppkey AS grid_id, (s_suppkey * 53 % 3200)::DOUBLE AS x, (s_suppkey * 71 % 2600)::DOUBLE AS y, CASE WHEN s_suppkey % 9 <> 0 THEN s_suppkey % 5 * 100.0 END AS population FROM supplier WHERE s_suppkey <= 40),
+_MONTHLY = """s AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, (o_custkey * 91 % 3200)::DOUBLE AS x, (o_custkey * 37 % 2600)::DOUBLE AS y FROM orders),
+g AS (SELECT s_suppkey AS grid_id, (s_suppkey * 53 % 3200)::DOUBLE AS x, (s_suppkey * 71 % 2600)::DOUBLE AS y, CASE WHEN s_suppkey % 9 <> 0 THEN s_suppkey % 5 * 100.0 END AS population FROM supplier),
 d AS (SELECT month, grid_id, sqrt(pow(s.x - g.x, 2) + pow(s.y - g.y, 2)) AS d FROM s, g WHERE month <> '1995-03'),
 m AS (SELECT month, grid_id, population, radius, count(d) FILTER (d <= radius) AS k, min(d) FILTER (d <= radius) AS nearest FROM (SELECT * FROM (SELECT DISTINCT month FROM s), g, (VALUES (100.0::DOUBLE), (250.0), (500.0)) AS r(radius)) AS q
   LEFT JOIN d USING (month, grid_id) GROUP BY ALL),

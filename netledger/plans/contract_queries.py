@@ -41,7 +41,7 @@ def id_hashes(spark, sf_dir):
 
 
 def ascii_normalize(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(~F.col("text").rlike("[^\\x00-\\x7F]"))
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.md5(tx.ascii_normalized(F.col("text"))).alias("digest"))
 
 
@@ -62,7 +62,7 @@ def regex_extracts(spark, sf_dir):
 
 def strict_dates(spark, sf_dir):
     """Dates with days that some months lack: strict dates, and month ends."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0")
+    o = table(spark, sf_dir, "orders")
     text = F.concat(F.date_format("o_orderdate", "yyyy-MM-"), F.lpad((F.col("o_orderkey") % 33).cast("string"), 2, "0"))
     return o.select("o_orderkey", tx.iso_date(text).cast("string").alias("day"), tx.month_end(text).cast("string").alias("month_end"))
 
@@ -149,6 +149,15 @@ _COORDINATES = """SELECT c_custkey AS id, CASE WHEN c_custkey % 13 <> 0 THEN 20
   CASE WHEN c_custkey % 19 = 0 THEN NULL WHEN c_custkey % 23 = 0 THEN 4326 ELSE 6668 END AS code,
   CASE WHEN c_custkey % 29 = 0 THEN 'street' WHEN c_custkey % 13 = 0 THEN 'unmatched' ELSE 'town' END AS accuracy FROM customer"""
 
+_FINDINGS = ", ".join(
+    [f"CASE WHEN regexp_matches(h, '<{e}[\\s/>]', 'i') THEN 'element_{e}' END" for e in html.ACTIVE]
+    + [
+        "CASE WHEN regexp_matches(h, '<[a-z][^>]*\\son[a-z]+\\s*=', 'is') THEN 'event_attribute' END",
+        "CASE WHEN regexp_matches(h, '(href|src)\\s*=\\s*[\"'']?\\s*javascript:', 'i') THEN 'script_url' END",
+        "CASE WHEN regexp_matches(h, '<style[^>]*>[^<]*(@import|url\\()', 'is') THEN 'css_remote' END",
+    ]
+)
+
 ORACLE_SQL = {
     "identifier_contract": """
 WITH d AS (SELECT nullif(trim(CASE WHEN doc_id % 97 <> 0 THEN 'x' || floor(doc_id * 0.995)::BIGINT ELSE ' ' END), '') AS identifier FROM documents)
@@ -164,12 +173,15 @@ WITH c AS (SELECT CASE c_custkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 T
 SELECT 'simple' AS field, count(*) FILTER (simple) AS yes, count(*) FILTER (NOT simple) AS no, count(*) FILTER (simple IS NULL) AS unknown FROM c
 UNION ALL SELECT 'remote', count(*) FILTER (remote), count(*) FILTER (NOT remote), count(*) FILTER (remote IS NULL) FROM c""",
     "id_hashes": "SELECT event_id, sha256(event_id || '|' || user_id || '|' || event_type) AS id FROM events",
-    "ascii_normalize": r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '[\x20\x09-\x0D]+', ' ', 'g'))) AS digest FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')",
+    "html_safety": f"""
+WITH t AS (SELECT page_id, regexp_replace(html, '<!--.*?-->', '', 'gs') AS h FROM pages), f AS (SELECT page_id, unnest([{_FINDINGS}]) AS finding FROM t)
+SELECT page_id, coalesce(string_agg(finding, ',' ORDER BY finding), '') AS findings FROM f GROUP BY 1""",
+    "ascii_normalize": rf"SELECT doc_id, md5(trim(regexp_replace(translate(lower(text), '{tx.DASHES}', '{'-' * len(tx.DASHES)}'), '[\x20\x09-\x0D]+', ' ', 'g'))) AS digest FROM documents",
     "regex_extracts": """
 WITH s AS (SELECT s_suppkey, (['東京都', '大阪府', '北海道', '神奈川県', 'none'])[s_suppkey % 5 + 1] AS p, s_suppkey % 3 AS m FROM supplier)
 SELECT s_suppkey, CASE WHEN p = 'none' THEN '' ELSE p END AS prefecture, CASE WHEN m < 2 THEN (s_suppkey + 4000)::INT END AS epsg, CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE s_suppkey % 7 END AS number FROM s""",
     "strict_dates": """
-WITH t AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-') || lpad((o_orderkey % 33)::VARCHAR, 2, '0') AS s FROM orders WHERE o_orderkey % 5 = 0), d AS (SELECT o_orderkey, try_cast(s AS DATE) AS d FROM t)
+WITH t AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-') || lpad((o_orderkey % 33)::VARCHAR, 2, '0') AS s FROM orders), d AS (SELECT o_orderkey, try_cast(s AS DATE) AS d FROM t)
 SELECT o_orderkey, d::VARCHAR AS day, CASE WHEN d = last_day(d) THEN d::VARCHAR END AS month_end FROM d""",
     "era_dates": """
 WITH t AS (SELECT s_suppkey, (['H', 'R', 'S', 'M', ''])[s_suppkey % 5 + 1] AS e, s_suppkey % 60 + 1 AS y, s_suppkey % 13 AS m, s_suppkey % 31 + 1 AS d FROM supplier)

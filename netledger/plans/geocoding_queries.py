@@ -33,7 +33,7 @@ def town_match(spark, sf_dir):
 
 def geocode_cascade(spark, sf_dir):
     """Coordinates of parts from their block, their town, their region, or none, counted by accuracy."""
-    b = _blocks(spark, sf_dir).filter("l_linenumber <= 2")
+    b = _blocks(spark, sf_dir)
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("region"), F.col("p_type").alias("town"), F.col("p_size").alias("block"))
     exact = gc.point_means(b.filter("block % 3 = 0"), ["region", "town", "block"])
     town = gc.point_means(b.filter("block % 3 = 1"), ["region", "town"])
@@ -74,7 +74,7 @@ def wide_unit_summary(spark, sf_dir):
 def state_threads(spark, sf_dir):
     """Orders of a customer as one group, threaded by states made of their ranks; groups that don't
     thread are left without places."""
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 3 = 0").select("o_custkey", "o_orderkey", "o_orderdate")
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.xxhash64("o_orderkey"), "o_orderkey"))
@@ -93,7 +93,7 @@ def relocation_outcomes(spark, sf_dir):
 
 def positional_compare(spark, sf_dir):
     """The i-th line of each order against the i-th of a changed copy."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
     other = li.filter("l_orderkey % 60 <> 0 OR l_linenumber <> 1").withColumn("l_quantity", F.col("l_quantity") + F.when(F.col("l_extendedprice") > 50_000, 1.0).otherwise(1e-9))
     return gc.positional_differences(li, other, ["l_orderkey"], ["l_linenumber", "l_extendedprice", "l_quantity"], ["l_quantity", "l_extendedprice"], 1e-6)
 
@@ -116,7 +116,7 @@ m AS (SELECT aid, key, CASE WHEN town = key THEN 0 WHEN starts_with(town, key) A
   WHEN contains(town, key) AND length(key) >= 3 THEN 3 WHEN town[1:1] = key THEN 4 END AS level FROM c, t)
 SELECT aid, arg_min(key, (level, -length(key))) AS key, min(level)::INT AS level FROM m WHERE level IS NOT NULL GROUP BY 1""",
     "geocode_cascade": f"""
-WITH {_BLOCKS}, b AS (SELECT * FROM blocks WHERE l_linenumber <= 2), x AS (SELECT region, town, block, avg(lat) AS lat, avg(lon) AS lon FROM b WHERE block % 3 = 0 GROUP BY ALL),
+WITH {_BLOCKS}, b AS (SELECT * FROM blocks), x AS (SELECT region, town, block, avg(lat) AS lat, avg(lon) AS lon FROM b WHERE block % 3 = 0 GROUP BY ALL),
 t AS (SELECT region, town, avg(lat) AS lat, avg(lon) AS lon FROM b WHERE block % 3 = 1 GROUP BY ALL), r AS (SELECT region, avg(lat) AS lat, avg(lon) AS lon FROM b WHERE region <> 'Brand#11' GROUP BY ALL),
 o AS (SELECT CASE WHEN x.lat IS NOT NULL THEN 'block' WHEN t.lat IS NOT NULL THEN 'town' WHEN r.lat IS NOT NULL THEN 'city' ELSE 'unmatched' END AS accuracy, coalesce(x.lat, t.lat, r.lat) AS lat, coalesce(x.lon, t.lon, r.lon) AS lon
   FROM part LEFT JOIN x ON x.region = p_brand AND x.town = p_type AND x.block = p_size LEFT JOIN t ON t.region = p_brand AND t.town = p_type LEFT JOIN r ON r.region = p_brand)
@@ -135,13 +135,13 @@ SELECT policy, count(a) AS n, round(avg(a), 6) AS lat, round(avg(o), 6) AS lon F
 SELECT c_nationkey, {", ".join(f"round(avg(o_totalprice) FILTER (o_orderstatus = '{s}'), 4) AS mean_{s}, round(avg((o_totalprice > 100000)::INT) FILTER (o_orderstatus = '{s}'), 4) AS share_over_{s}" for s in "FOP")}
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
     "state_threads": """
-WITH o AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1), t AS (SELECT *, NOT (o_custkey % 2 = 0 AND n >= 3) AS threaded FROM o)
+WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT *, NOT (o_custkey % 2 = 0 AND n >= 3) AS threaded FROM o)
 SELECT threaded, sum(n)::BIGINT AS n, sum(CASE WHEN threaded THEN n ELSE 0 END)::BIGINT AS right, count(*) AS groups FROM t GROUP BY 1""".replace("AS right", 'AS "right"'),
     "relocation_outcomes": """
 SELECT CASE WHEN event_id % 5 = 0 THEN 'unofficial' WHEN event_id % 3 = 0 THEN 'planned_only' WHEN ts::DATE <= DATE '2024-01-05' OR ts::DATE > DATE '2024-01-20' THEN 'outside' WHEN event_id % 7 = 0 THEN 'no_identifier' ELSE 'used' END AS outcome,
   count(*) AS n FROM events GROUP BY 1""",
     "positional_compare": """
-WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_extendedprice AS e FROM lineitem WHERE l_orderkey % 20 = 0), b AS (SELECT l_orderkey, l_linenumber, q + CASE WHEN e > 50000 THEN 1 ELSE 0 END AS q, e FROM a WHERE l_orderkey % 60 <> 0 OR l_linenumber <> 1),
+WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_extendedprice AS e FROM lineitem), b AS (SELECT l_orderkey, l_linenumber, q + CASE WHEN e > 50000 THEN 1 ELSE 0 END AS q, e FROM a WHERE l_orderkey % 60 <> 0 OR l_linenumber <> 1),
 x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, e, q) AS ord FROM a), y AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, e, q) AS ord FROM b),
 j AS (SELECT l_orderkey, ord, concat_ws(',', CASE WHEN x.q IS NULL OR y.q IS NULL OR abs(x.q - y.q) > 1e-6 THEN 'l_quantity' END, CASE WHEN x.e IS NULL OR y.e IS NULL OR abs(x.e - y.e) > 1e-6 THEN 'l_extendedprice' END) AS fields FROM x FULL JOIN y USING (l_orderkey, ord))
 SELECT l_orderkey, ord, fields FROM j WHERE fields <> ''""",

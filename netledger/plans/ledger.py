@@ -7,12 +7,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from netledger.operators import graph, temporal as tm
 
 SERIES = ("formal", "effective_official", "effective_with_unofficial")
-#: Kinds of events that change what a facility is, and that open or close it.
-STRUCTURAL = ("signup", "purchase")
-CLOSURES = ("error", "click")
+CLOSURES = (tm.CLOSED, tm.REOPENED)
 
 
-def active_events(events: DataFrame, series: str) -> DataFrame:
+def active_events(events: DataFrame, series: str, structural: tuple[str, ...] = tm.STRUCTURAL, closures: tuple[str, ...] = CLOSURES) -> DataFrame:
     """Events that count in a series.
 
     ``events`` (event_id, entity, kind, provenance, status, confirmed, planned, corroborated,
@@ -29,17 +27,17 @@ def active_events(events: DataFrame, series: str) -> DataFrame:
     dated = tm.effective_date(F.col("confirmed"), F.col("planned"), F.col("corroborated"))
     at = F.when(official, dated).otherwise(F.coalesce("confirmed", "planned"))
     confirmed = F.col("status").isin("confirmed", "effective") & at.isNotNull()
-    admitted = {"formal": official & confirmed & F.col("kind").isin(*STRUCTURAL)}
-    admitted["effective_official"] = admitted["formal"] | (official & confirmed & F.col("kind").isin(*CLOSURES))
-    admitted["effective_with_unofficial"] = admitted["effective_official"] | (~official & at.isNotNull() & F.col("kind").isin(*CLOSURES))
+    admitted = {"formal": official & confirmed & F.col("kind").isin(*structural)}
+    admitted["effective_official"] = admitted["formal"] | (official & confirmed & F.col("kind").isin(*closures))
+    admitted["effective_with_unofficial"] = admitted["effective_official"] | (~official & at.isNotNull() & F.col("kind").isin(*closures))
     rows = events.filter("cancels IS NULL").withColumn("at", at).filter(F.coalesce(admitted[series], F.lit(False)))
     return rows.join(out_of_play, "event_id", "left_anti")
 
 
-def build_history(events: DataFrame, series: str) -> DataFrame:
+def build_history(events: DataFrame, series: str, structural: tuple[str, ...] = tm.STRUCTURAL, closures: tuple[str, ...] = CLOSURES) -> DataFrame:
     """(entity, event_id, valid_from, valid_to, state) of the active events of a series, with the state
     before the first one as an interval without a start."""
-    active = active_events(events, series)
+    active = active_events(events, series, structural, closures)
     opened = active.select("entity", "event_id", "at", "after")
     first = active.groupBy("entity").agg(F.min(F.struct("at", "event_id", "before")).alias("f"))
     start = first.select("entity", F.lit(None).cast("long").alias("event_id"), F.lit(None).cast(active.schema["at"].dataType).alias("at"), F.col("f.before").alias("after"))

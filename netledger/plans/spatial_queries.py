@@ -125,7 +125,7 @@ def moran(spark, sf_dir):
 
 def moran_permutation(spark, sf_dir):
     edges = _graph(spark, sf_dir).select("src", "dst", F.lit(0.25).alias("w"))
-    return rounded(sp.moran_permutations(_values(spark, sf_dir), edges, ["c_nationkey"], 19), "moran")
+    return rounded(sp.moran_permutations(_values(spark, sf_dir), edges, ["c_nationkey"], 19), "moran", "expected", "z_perm")
 
 
 def getis_ord(spark, sf_dir):
@@ -145,7 +145,7 @@ def mesh_center(spark, sf_dir):
 
 
 def ecef_and_equal_area(spark, sf_dir):
-    """Earth-centred and equal-area coordinates; their checks compare lengths that the method fixes."""
+    """Earth-centred and equal-area coordinates."""
     c = _customers(spark, sf_dir).select("lid", "lat", "lon", geo.ecef(F.col("lat"), F.col("lon")).alias("e"), geo.equal_area(F.col("lat"), F.col("lon")).alias("p"))
     return rounded(c.select("lid", "e.x", "e.y", "e.z", F.col("p.x").alias("px"), F.col("p.y").alias("py")), "x", "y", "z", "px", "py", digits=3)
 
@@ -162,6 +162,10 @@ _EDGES = ", ".join(
     f"('{name}', {i}, {x1}::DOUBLE, {y1}::DOUBLE, {x2}::DOUBLE, {y2}::DOUBLE)"
     for i, (name, rings) in enumerate(POLYGONS) for ring in rings for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1])
 )
+_RINGS = ", ".join(
+    f"('{name}', {part}, {x1}::DOUBLE, {y1}::DOUBLE, {x2}::DOUBLE, {y2}::DOUBLE)"
+    for name, rings in POLYGONS for part, ring in enumerate(rings) for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1])
+)
 _PIP = f"""
 edge AS (SELECT * FROM (VALUES {_EDGES}) AS t(polygon, ord, x1, y1, x2, y2)),
 pt AS (SELECT lid AS pid, lon + 0.003 AS px, lat + 0.007 AS py FROM ({_C})),
@@ -201,6 +205,28 @@ WITH {_PIP} SELECT CASE WHEN polygon IS NULL THEN 'nearest' ELSE 'inside' END AS
 WITH {_KNN}, m AS (SELECT c_nationkey, avg(v) AS m, count(*) AS n, var_pop(v) AS var FROM c GROUP BY 1),
 s AS (SELECT knn.c_nationkey, sum(0.25) AS w, sum(0.25 * (a.v - m) * (b.v - m)) AS k FROM knn JOIN c AS a ON a.lid = src JOIN c AS b ON b.lid = dst JOIN m ON m.c_nationkey = knn.c_nationkey GROUP BY 1)
 SELECT c_nationkey, round(CASE WHEN n >= 3 AND var > 0 THEN k / (w * var) END, 6) AS moran FROM s JOIN m USING (c_nationkey)""",
+    "moran_permutation": f"""
+WITH {_KNN}, r AS (SELECT range AS run FROM range(0, 20)), o AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY lid) AS r FROM c),
+x AS (SELECT o.c_nationkey, run, lid, row_number() OVER (PARTITION BY o.c_nationkey, run ORDER BY CASE WHEN run > 0 THEN md5(lid || '|' || run || '|1') END, lid) AS r FROM o, r),
+d AS (SELECT x.c_nationkey, run, x.lid, o.v FROM x JOIN o ON x.c_nationkey = o.c_nationkey AND x.r = o.r), m AS (SELECT c_nationkey, avg(v) AS m, count(*) AS n, var_pop(v) AS var FROM c GROUP BY 1),
+i AS (SELECT knn.c_nationkey, a.run, sum((a.v - m) * (b.v - m)) / nullif(count(*) * any_value(var), 0) AS i, -1 / nullif(any_value(n) - 1, 0)::DOUBLE AS e
+  FROM knn JOIN d AS a ON a.lid = src JOIN d AS b ON b.lid = dst AND a.run = b.run JOIN m ON m.c_nationkey = knn.c_nationkey GROUP BY ALL),
+z AS (SELECT c_nationkey, i AS o FROM i WHERE run = 0)
+SELECT c_nationkey, round(any_value(o), 6) AS moran, round(any_value(e), 6) AS expected, round((any_value(o) - avg(i)) / nullif(stddev_samp(i), 0), 6) AS z_perm,
+  (count(*) FILTER (abs(i - e) >= abs(o - e)) + 1) / (count(i) + 1) AS p FROM i JOIN z USING (c_nationkey) WHERE run > 0 GROUP BY 1""",
+    "polygon_centroid": f"""
+WITH edge AS (SELECT * FROM (VALUES {_RINGS}) AS t(polygon, part, x1, y1, x2, y2)), k AS (SELECT *, x1 * y2 - x2 * y1 AS c FROM edge),
+p AS (SELECT polygon, part, abs(sum(c) / 2) AS area, sum((x1 + x2) * c) / (3 * sum(c)) AS cx, sum((y1 + y2) * c) / (3 * sum(c)) AS cy FROM k GROUP BY ALL)
+SELECT polygon, round(sum(area), 6) AS area, round(sum(area * cx) / sum(area), 6) AS x, round(sum(area * cy) / sum(area), 6) AS y FROM p GROUP BY 1""",
+    "ecef_and_equal_area": f"""
+WITH k AS (SELECT 6378137.0::DOUBLE AS a, 1 / 298.257222101::DOUBLE AS f, radians(36) AS p0, radians(138) AS l0), e AS (SELECT *, f * (2 - f) AS e2, sqrt(f * (2 - f)) AS e FROM k),
+c AS (SELECT lid, radians(lat) AS p, radians(lon) AS l FROM ({_C})),
+q AS (SELECT *, (1 - e2) * (sin(p) / (1 - e2 * sin(p) * sin(p)) - ln((1 - e * sin(p)) / (1 + e * sin(p))) / (2 * e)) AS q, (1 - e2) * (1 / (1 - e2) - ln((1 - e) / (1 + e)) / (2 * e)) AS qp,
+  (1 - e2) * (sin(p0) / (1 - e2 * sin(p0) * sin(p0)) - ln((1 - e * sin(p0)) / (1 + e * sin(p0))) / (2 * e)) AS q0 FROM c, e),
+b AS (SELECT *, asin(q / qp) AS b, asin(q0 / qp) AS b0, a * sqrt(qp / 2) AS rq, a * cos(p0) / sqrt(1 - e2 * sin(p0) * sin(p0)) AS am FROM q),
+d AS (SELECT *, am / (rq * cos(b0)) AS d, rq * sqrt(2 / (1 + sin(b0) * sin(b) + cos(b0) * cos(b) * cos(l - l0))) AS s, a / sqrt(1 - e2 * sin(p) * sin(p)) AS n FROM b)
+SELECT lid, round(n * cos(p) * cos(l), 3) AS x, round(n * cos(p) * sin(l), 3) AS y, round(n * (1 - e2) * sin(p), 3) AS z, round(s * d * cos(b) * sin(l - l0), 3) AS px,
+  round(s / d * (cos(b0) * sin(b) - sin(b0) * cos(b) * cos(l - l0)), 3) AS py FROM d""",
     "getis_ord": f"WITH {_KNN}, {_GI} SELECT id, c_nationkey, round(z, 6) AS z FROM z",
     "hot_cold_counts": f"""
 WITH {_KNN}, {_GI} SELECT c_nationkey, count(*) FILTER (z >= 1.96) AS hot_95, count(*) FILTER (z >= 2.58) AS hot_99, count(*) FILTER (z <= -1.96) AS cold_95, count(*) FILTER (z <= -2.58) AS cold_99 FROM z GROUP BY 1""",

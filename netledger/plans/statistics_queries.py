@@ -69,10 +69,11 @@ def relative_change_null_base(spark, sf_dir):
 
 
 def class_histogram(spark, sf_dir):
-    """Classes of percent change to the month before: counts, shares, and the share of that class or worse."""
-    out = stats.change_to_previous(_months(spark, sf_dir), [], "month", "n").filter("previous IS NOT NULL")
-    change = stats.relative_change(F.col("previous"), F.col("n"))
-    return rounded(stats.class_histogram(out.select(stats.change_class(change).alias("class")), "class"), "share", "tail_share")
+    """Classes of percent change of pending orders to the month before: counts, shares, and the share
+    of that class or a lower one. The first month has no month before it."""
+    out = stats.change_to_previous(_months(spark, sf_dir), [], "month", "pending")
+    change = stats.relative_change(F.col("previous"), F.col("pending"))
+    return rounded(stats.class_histogram(out.select(stats.change_class(change, F.col("previous").isNull()).alias("class")), "class"), "share", "tail_share")
 
 
 def top_k_decliners(spark, sf_dir):
@@ -155,8 +156,8 @@ FROM units GROUP BY ROLLUP (r_name)""",
     "relative_change_null_base": f"""
 WITH m AS ({_MONTHS}) SELECT month, pending, round((pending - lag(pending) OVER o) / nullif(lag(pending) OVER o, 0)::DOUBLE * 100, 6) AS percent FROM m WINDOW o AS (ORDER BY month)""",
     "class_histogram": f"""
-WITH m AS ({_MONTHS}), c AS (SELECT (n - lag(n) OVER o) / lag(n) OVER o::DOUBLE * 100 AS x FROM m WINDOW o AS (ORDER BY month)),
-k AS (SELECT CASE WHEN x <= -100 THEN 0 WHEN x <= -50 THEN 1 WHEN x <= -20 THEN 2 WHEN x <= -5 THEN 3 WHEN x < 5 THEN 4 WHEN x < 20 THEN 5 WHEN x < 50 THEN 6 ELSE 7 END AS class FROM c WHERE x IS NOT NULL),
+WITH m AS ({_MONTHS}), p AS (SELECT pending, lag(pending) OVER (ORDER BY month) AS b FROM m), c AS (SELECT b, (pending - b) / nullif(b, 0)::DOUBLE * 100 AS x FROM p),
+k AS (SELECT CASE WHEN b IS NULL THEN 8 WHEN x IS NULL THEN 7 WHEN x > 5 THEN 6 WHEN x > 0.001 THEN 5 WHEN x > -0.001 THEN 4 WHEN x > -5 THEN 3 WHEN x > -10 THEN 2 WHEN x > -20 THEN 1 ELSE 0 END AS class FROM c),
 g AS (SELECT class, count(*) AS n FROM k GROUP BY 1)
 SELECT class, n, round(n / sum(n) OVER (), 6) AS share, round(sum(n) OVER (ORDER BY class) / sum(n) OVER (), 6) AS tail_share FROM g""",
     "top_k_decliners": f"{_DELTA} SELECT c_nationkey, delta, row_number() OVER (ORDER BY delta, c_nationkey) AS place, 'lowest' AS side FROM c QUALIFY place <= 12",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netledger.operators import temporal as tm
-from netledger.plans.common import table
+from netledger.plans.common import CLOSED, REOPENED, STRUCTURAL, table
 
 _STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -24,7 +24,7 @@ def dedupe_keep_first(spark, sf_dir):
 
 
 def scd2_intervals(spark, sf_dir):
-    e = _events(spark, sf_dir).filter(F.col("event_type").isin(*tm.STRUCTURAL))
+    e = _events(spark, sf_dir).filter(F.col("event_type").isin(*STRUCTURAL))
     out = tm.intervals(e, "user_id", "ts", "event_id", F.col("value"))
     return out.select("user_id", "event_id", _text("valid_from").alias("valid_from"), _text("valid_to").alias("valid_to"), F.col("state"))
 
@@ -41,7 +41,7 @@ def _replay(spark, sf_dir, anchor, cutoffs):
     e = _events(spark, sf_dir).select(F.col("user_id").alias("entity"), F.col("ts").alias("at"), "event_id", F.col("event_type").alias("kind"), (-F.col("value")).alias("before"), F.col("value").alias("after"))
     anchors = e.select("entity").distinct().select("entity", F.lit(anchor).cast("timestamp_ntz").alias("anchor_at"), F.lit(0.0).alias("state"), F.lit(True).alias("available"))
     days = spark.createDataFrame([(c,) for c in cutoffs], "c string").select(F.col("c").cast("timestamp_ntz").alias("cutoff"))
-    out = tm.replay(e, anchors, days)
+    out = tm.replay(e, anchors, days, STRUCTURAL, CLOSED, REOPENED)
     return out.select("entity", _text("cutoff").alias("cutoff"), "state", "available")
 
 

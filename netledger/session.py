@@ -21,27 +21,33 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``. A folder of our own is
-    set only where none is named, which is the case in tests on one machine.
-    """
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder. It is the one the session names in ``spark.checkpoint.dir``; a folder of our
+    own is set only on a single machine, where none is named. On a cluster a missing name is an error, as
+    no local folder is shared by its machines."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        name = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not name and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(name or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def fresh_path(spark: SparkSession) -> str:
+    """A path in the checkpoint folder that nothing has used."""
+    return f"{_folder(spark)}/{uuid.uuid4()}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Like ``checkpointed``, but as a Parquet table in the same folder: smaller on disk, and read
     by columns. For wide or large intermediate tables that several later steps read in part."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        checkpointed(spark.range(0))
-    path = f"{context.getCheckpointDir()}/{uuid.uuid4()}"
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One object per line; blank lines are skipped, anything else that isn't an object fails the read."""
+    """One object per line; blank lines are skipped, anything else that isn't an object, and any member
+    of another type than the schema's, fails the read."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
-    parsed = lines.select("value", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"))
+    parsed = lines.select("value", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
     is_object = F.col("value").rlike(r"^\s*\{.*\}\s*$") & F.try_parse_json("value").isNotNull()
     checked = F.when(is_object, F.col("r")).otherwise(F.raise_error(F.concat(F.lit("not an object: "), F.substring("value", 1, 80))))
     return parsed.select(checked.alias("r")).select("r.*")
@@ -22,8 +23,9 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def event_bundles(spark: SparkSession, root: str, schema: str, excluded: list[str]) -> tuple[DataFrame, DataFrame]:
     """Events of all ``<root>/<coverage_date>/events.jsonl`` with their date, and a report of the
-    excluded dates that were there, with row counts: they are named, never dropped in silence."""
-    rows = spark.read.schema(schema).json(f"{root}/*/events.jsonl").withColumn("coverage_date", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/events\.jsonl$", 1))
+    excluded dates that were there, with row counts: they are named, never dropped in silence. A line
+    that doesn't fit the schema fails the read."""
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{root}/*/events.jsonl").withColumn("coverage_date", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/events\.jsonl$", 1))
     out = F.col("coverage_date").isin(*excluded) if excluded else F.lit(False)
     return rows.filter(~out), rows.filter(out).groupBy("coverage_date").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -132,7 +134,7 @@ def capture_rows(spark: SparkSession, path: str) -> DataFrame:
     as_list = F.from_json("value", "array<array<string>>")
     lists = texts.filter(F.ltrim("value").startswith("[[")).select("file", as_list.alias("l"))
     at = lambda name: F.element_at("row", F.array_position(F.get("l", F.lit(0)), name).cast("int"))
-    rows = lists.select("file", "l", F.posexplode(F.slice("l", 2, 10_000_000)).alias("pos", "row")).select("file", "pos", at("original").alias("url"), at("timestamp").alias("captured_at"), at("digest").alias("digest"))
+    rows = lists.select("file", "l", F.posexplode(F.slice("l", F.lit(2), F.greatest(F.size("l") - 1, F.lit(0)))).alias("pos", "row")).select("file", "pos", at("original").alias("url"), at("timestamp").alias("captured_at"), at("digest").alias("digest"))
     lines = texts.filter(~F.ltrim("value").startswith("[[")).select("file", F.posexplode(F.split("value", "\n")).alias("pos", "line")).filter(F.trim("line") != "")
     get = lambda name: F.get_json_object("line", f"$.{name}")
     objects = lines.select("file", "pos", get("original").alias("url"), get("timestamp").alias("captured_at"), get("digest").alias("digest"))

@@ -26,7 +26,7 @@ def table_rows(pages: DataFrame, key: str, html: str, header: list[str]) -> Data
     rows = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), cells)
     wanted = F.array(*[F.lit(h) for h in header])
     matching = pages.select(key, F.filter(F.transform(tables, rows), lambda t: F.get(t, F.lit(0)) == wanted).alias("m"))
-    body = matching.filter("size(m) = 1").select(key, F.posexplode(F.slice(F.get("m", F.lit(0)), 2, 1_000_000)).alias("row", "cells"))
+    body = matching.filter("size(m) = 1").select(key, F.posexplode(F.slice(F.get("m", F.lit(0)), F.lit(2), F.greatest(F.size(F.get("m", F.lit(0))) - 1, F.lit(0)))).alias("row", "cells"))
     problem = F.when(F.size("cells") != len(header), "row_width").when(F.get("cells", F.lit(0)) == "", "required_cell_empty")
     none = matching.filter("size(m) <> 1").select(key, F.lit(None).cast("int").alias("row"), F.lit(None).cast("array<string>").alias("cells"), F.when(F.size("m") == 0, "no_table").otherwise("several_tables").alias("problem"))
     return body.withColumn("problem", problem).unionByName(none)
@@ -39,15 +39,26 @@ def allowed_url(url: Column, hosts: list[str], path: str) -> Column:
     return F.coalesce(ok & plain, F.lit(False))
 
 
-def robots_allows(paths: DataFrame, rules: DataFrame) -> DataFrame:
+def robots_allows(paths: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
     """(path, allowed): the longest rule (prefix, allow) that fits decides; at equal length all must allow.
+    A path that no rule fits is allowed, and a null one, too.
 
-    Prefixes of a path, up to the longest rule, are generated and met by equality. A path that no rule fits is allowed.
+    With a column ``agent`` the rules are those of the groups that name the first word of ``agent``, or,
+    if no group does, those for ``*``. In a rule ``*`` stands for any characters and a ``$`` at the end for
+    the end of the path. The part of a rule before these is met by equality with prefixes of the path,
+    up to the longest such part; only what meets is matched in full.
     """
-    longest = rules.agg(F.coalesce(F.max(F.length("prefix")), F.lit(0)).alias("longest"))
+    if "agent" in rules.columns:
+        own = F.lower("agent") == agent.split("/", 1)[0].split(" ", 1)[0].lower()
+        named = rules.withColumn("own", F.coalesce(own, F.lit(False))).filter(F.col("own") | (F.col("agent") == "*"))
+        rules = named.crossJoin(F.broadcast(named.agg(F.max("own").alias("any_own")))).filter(F.col("own") == F.col("any_own")).select("prefix", "allow")  # one row
+    plain = F.regexp_replace("prefix", r"([\\.\[\]{}()+?^|$#&~])", r"\\$1")
+    pattern = F.concat(F.lit("(?s)^"), F.regexp_replace(F.replace(plain, F.lit("*"), F.lit(".*")), r"\\\$$", r"\$"))
+    rules = rules.filter("prefix <> ''").select(F.col("prefix").alias("rule"), "allow", F.regexp_extract("prefix", r"^(.*?)(?:\*.*|\$)?$", 1).alias("head"), pattern.alias("pattern"))
+    longest = rules.agg(F.coalesce(F.max(F.length("head")), F.lit(0)).alias("longest"))
     cuts = F.transform(F.sequence(F.lit(0), F.least(F.length("path"), F.col("longest"))), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    met = paths.crossJoin(F.broadcast(longest)).select("path", F.explode(cuts).alias("prefix")).join(rules.filter("prefix <> ''"), "prefix")
-    best = met.groupBy("path", F.length("prefix").alias("n")).agg(F.bool_and("allow").alias("allow")).groupBy("path").agg(F.max_by("allow", "n").alias("allow"))
+    met = paths.crossJoin(F.broadcast(longest)).select("path", F.explode(cuts).alias("head")).join(rules, "head").filter(F.regexp_like("path", F.col("pattern")))
+    best = met.groupBy("path", F.length("rule").alias("n")).agg(F.bool_and("allow").alias("allow")).groupBy("path").agg(F.max_by("allow", "n").alias("allow"))
     return paths.join(best, "path", "left").select("path", F.coalesce("allow", F.lit(True)).alias("allowed"))
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netledger.functions import geo, text as tx
-from netledger.operators import contracts, graph, inequality as ineq, linkage, running, spatial, temporal as tm
+from netledger.operators import contracts, graph, inequality as ineq, linkage, running, spatial, statistics as stats, temporal as tm
 from netledger.plans import ledger
 
 
@@ -63,7 +63,7 @@ def test_chain_problems_find_cycles_of_any_length(spark):
 def test_replay_equals_applying_events_in_order(spark):
     rng = random.Random(2)
     base = dt.datetime(2024, 1, 1)
-    kinds = ["signup", "purchase", "error", "click", "view"]
+    kinds = ["relocation", "renamed", "temporarily_closed", "reopened", "view"]
     events, anchors = [], []
     for e in range(12):
         state = 0
@@ -83,9 +83,9 @@ def test_replay_equals_applying_events_in_order(spark):
             s, a = state, available
             for _, t, _, kind, before, after in mine if c >= at else reversed(mine):
                 if c >= at and at < t <= c:
-                    s, a = (after if kind in tm.STRUCTURAL else s), (kind == "click" if kind in ("error", "click") else a)
+                    s, a = (after if kind in tm.STRUCTURAL else s), (kind == tm.REOPENED if kind in (tm.CLOSED, tm.REOPENED) else a)
                 elif c < at and c < t <= at:
-                    s, a = (before if kind in tm.STRUCTURAL else s), (kind == "error" if kind in ("error", "click") else a)
+                    s, a = (before if kind in tm.STRUCTURAL else s), (kind == tm.CLOSED if kind in (tm.CLOSED, tm.REOPENED) else a)
             want[e, c] = (s, a)
     assert {(r.entity, r.cutoff): (r.state, r.available) for r in got} == want
 
@@ -136,10 +136,67 @@ def test_text_functions(spark):
         tx.official_id(F.lit(" 000001A ")).alias("j"), tx.month_end(F.lit("2024-02")).alias("k"), tx.normalized_address(F.lit("大字東１ー２（北）")).alias("l"), tx.state_text(F.lit("テーブル ◎")).alias("m"), tx.safe_int(F.lit("-")).alias("n"),
     )
     assert (r.a, r.b, r.c, str(r.d), str(r.e), r.f, r.g, r.h, r.i, r.j, str(r.k), r.l, r.m, r.n) == (
-        "ab-c ss", "高崎a", "西十二丁目", "2012-10-19", "2026-06-27", None, None, "unknown", "yes", "000001a", "2024-02-29", "東1-2(北)", "テ-ブル○", 0,
+        "ab-c ss", "高崎a", "西十二丁目", "2012-10-19", "2026-06-27", None, None, "unknown", "yes", "000001a", "2024-02-29", "大字東1-2(北)", "テ-ブル○", 0,
     )
 
 
+def test_variant_characters(spark):
+    r = one(
+        spark, tx.folded_name(F.lit("ヶヵ髙﨑德邊邉澤齋齊惠檮嶋冨櫻瀨曾濱廣")).alias("a"), tx.normalized_address(F.lit(" 大字惠澤　眞－１ー２ヶ ")).alias("b"), tx.town_key(F.lit("字大字ヶヵッ濵")).alias("c"),
+    )
+    assert (r.a, r.b, r.c) == ("ケカ高崎徳辺辺沢斎斉恵梼島富桜瀬曽濱廣", "大字恵沢 真-1-2ヶ", "ケカツ浜")
+
+
+def test_change_classes_by_their_bounds(spark):
+    values = [-100.0, -20.0, -19.9, -10.0, -5.0, -0.5, -0.001, 0.0, 0.001, 5.0, 5.1, 2000.0, None]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = [r.c for r in d.select("i", stats.change_class(F.col("v")).alias("c")).orderBy("i").collect()]
+    assert got == [0, 0, 1, 1, 2, 3, 3, 4, 4, 5, 6, 6, 7]
+    assert one(spark, stats.change_class(F.lit(1.0), F.lit(True)).alias("c")).c == 8
+
+
+def test_permutations_against_the_expectation(spark):
+    n, rng = 12, random.Random(4)
+    value = {i: rng.uniform(0, 9) for i in range(n)}
+    edges = [(i, (i + d) % n) for i in range(n) for d in (1, 2)]
+
+    def index(v):
+        m = statistics.mean(v.values())
+        return statistics.mean((v[i] - m) * (v[j] - m) for i, j in edges) / statistics.pvariance(v.values())
+
+    import hashlib
+
+    runs = []
+    for run in range(1, 20):
+        order = sorted(value, key=lambda i: (hashlib.md5(f"{i}|{run}|1".encode()).hexdigest(), i))
+        runs.append(index({i: value[place] for place, i in enumerate(order)}))
+    values = spark.createDataFrame([(0, i, v) for i, v in value.items()] + [(1, 99, 1.0)], "g int, id int, v double")
+    r = spatial.moran_permutations(values, spark.createDataFrame([(a, b, 0.5) for a, b in edges], "src int, dst int, w double"), ["g"], 19).first()
+    expected, observed = -1 / (n - 1), index(value)
+    assert (r.moran, r.expected) == pytest.approx((observed, expected))
+    assert r.p == pytest.approx((1 + sum(abs(x - expected) >= abs(observed - expected) for x in runs)) / 20)
+    assert r.z_perm == pytest.approx((observed - statistics.mean(runs)) / statistics.stdev(runs))
+
+
+def test_nearest_over_the_antimeridian_and_without_places(spark):
+    left = spark.createDataFrame([(1, 0.0, 179.99), (2, None, 1.0), (3, 0.0, -179.995), (4, 89.9, 0.0)], "lid int, lat double, lon double")
+    right = spark.createDataFrame([(7, 0.0, -179.99), (8, 0.0, 179.0), (9, None, None), (10, 89.9, 180.0)], "rid int, lat double, lon double")
+    got = {r.lid: r.rid for r in spatial.nearest(left, right).collect()}
+    assert got == {1: 7, 2: None, 3: 7, 4: 10}
+
+
+def test_neighbours_leave_out_points_without_places(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0, 0), (2, 1.0, 0.0, 0), (3, None, 1.0, 0), (4, float("nan"), 1.0, 0), (5, 9.0, 9.0, 1)], "id int, x double, y double, p int")
+    assert {(r.src, r.dst) for r in spatial.knn_edges(points, 2, 1.0, ["p"]).collect()} == {(1, 2), (2, 1)}
+
+
+def test_prefixes_of_any_length(spark):
+    long = "p" * 300
+    left, right = spark.createDataFrame([(1, long + "x"), (2, "p"), (3, ""), (4, None)], "id int, t string"), spark.createDataFrame([(long,), ("p",), (None,)], "prefix string")
+    assert {r.id: r.prefix for r in linkage.longest_prefix(left, right, "t", "prefix", "id").collect()} == {1: long, 2: "p", 3: None, 4: None}
+    assert linkage.longest_prefix(left, right.limit(0), "t", "prefix", "id").filter("prefix IS NOT NULL").count() == 0
+
+
 def test_contracts_report_all_problems(spark):
     rows = [(1, 35.0, 139.0, "EPSG:6668", "town"), (2, None, 139.0, "EPSG:4326", "town"), (3, 99.0, 139.0, None, "street"), (4, None, None, "EPSG:6668", "unmatched")]
     d = spark.createDataFrame(rows, "id int, lat double, lon double, crs string, accuracy string")
@@ -158,9 +215,9 @@ def test_links_fall_through_the_cascade(spark):
 def test_series_admit_what_they_should(spark):
     day = dt.date(2024, 1, 1)
     rows = [
-        (1, "a", "signup", "official", "confirmed", day, None, None, None, None, 0, 1), (2, "a", "error", None, "confirmed", day, None, None, None, None, 0, 1), (3, "a", "error", "unofficial", "announced", day, None, None, None, None, 0, 1),
-        (4, "a", "signup", "official", "confirmed", None, day, False, None, None, 0, 1), (5, "a", "signup", "official", "confirmed", day, None, None, None, None, 0, 1), (6, "a", "signup", "official", "confirmed", day, None, None, 5, None, 0, 1),
-        (7, "a", "signup", "official", "confirmed", day, None, None, None, 6, 0, 1),
+        (1, "a", "relocation", "official", "confirmed", day, None, None, None, None, 0, 1), (2, "a", "temporarily_closed", None, "confirmed", day, None, None, None, None, 0, 1), (3, "a", "temporarily_closed", "unofficial", "announced", day, None, None, None, None, 0, 1),
+        (4, "a", "relocation", "official", "confirmed", None, day, False, None, None, 0, 1), (5, "a", "relocation", "official", "confirmed", day, None, None, None, None, 0, 1), (6, "a", "relocation", "official", "confirmed", day, None, None, 5, None, 0, 1),
+        (7, "a", "relocation", "official", "confirmed", day, None, None, None, 6, 0, 1),
     ]
     e = spark.createDataFrame(rows, "event_id int, entity string, kind string, provenance string, status string, confirmed date, planned date, corroborated boolean, revises int, cancels int, before int, after int")
     got = {s: sorted(r.event_id for r in ledger.active_events(e, s).collect()) for s in ledger.SERIES}

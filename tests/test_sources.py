@@ -13,6 +13,9 @@ def test_jsonl_skips_blank_lines_and_rejects_other_values(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text('{"a":1}\n[1]\n')
     with pytest.raises(Exception, match="not an object"):
         files.jsonl(spark, str(tmp_path / "b.jsonl"), "a int").collect()
+    (tmp_path / "c.jsonl").write_text('{"a":"many"}\n')
+    with pytest.raises(Exception):
+        files.jsonl(spark, str(tmp_path / "c.jsonl"), "a int").collect()
 
 
 def test_event_bundles_report_what_they_exclude(spark, tmp_path):
