@@ -41,12 +41,26 @@ def partitions(spark: SparkSession) -> int:
 BROADCAST_ROWS = 500_000
 
 
-def bounded(side: DataFrame) -> DataFrame:
+def bounded(side: DataFrame, weight: Column | None = None) -> DataFrame:
     """``side`` with a broadcast hint if it is small by count; else the join shuffles both sides.
 
-    ``side`` should be materialised, as it is counted here.
+    ``side`` should be materialised, as it is counted here. ``weight`` is the size of a row in plain rows,
+    for rows of any length.
     """
-    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+    rows = side.count() if weight is None else side.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(side) if rows <= BROADCAST_ROWS else side
+
+
+def spare(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that is not taken."""
+    while name.lower() in (c.lower() for c in columns):
+        name += "_"
+    return name
+
+
+def named(name: str, side: str = "") -> Column:
+    """The column of any name, with dots or not, of a side of a join."""
+    return F.col(f"{side}." * bool(side) + "`" + name.replace("`", "``") + "`")
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

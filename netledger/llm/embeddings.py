@@ -30,24 +30,30 @@ from netledger.operators.graph import connected_components
 from netledger.session import checkpointed
 
 THRESHOLD = 0.93
-#: Pivots come from at most SAMPLE vectors, those of the smallest hash; every vector is indexed.
-PIVOTS, SAMPLE = 1024, 4096
+#: The number of pivots follows the number of different vectors, PER_ROOT times its square root, between
+#: these bounds, so that lists don't grow with the table up to a million vectors. Pivots come from at most
+#: SAMPLE times as many different vectors, those of the smallest hash; every vector is indexed.
+LEAST_PIVOTS, MOST_PIVOTS, PER_ROOT, SAMPLE = 1024, 4096, 4, 4
 NEAREST, SHARED = 7, 3
 
 _MARGIN = 1e-6  # of angles, against rounding
 
 
-def choose_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) -> np.ndarray:
-    """Unit vectors that lie apart from each other, from a bounded sample of (v: array<double>)."""
-    rows = vectors.select(F.xxhash64("v").alias("h"), "v").orderBy("h").limit(sample).collect()
+def choose_pivots(vectors: DataFrame, pivots: int | None = None) -> np.ndarray:
+    """Unit vectors that lie apart from each other, from a bounded sample of different (v: array<double>)."""
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, int(PER_ROOT * vectors.count() ** 0.5)))
+    rows = vectors.select(F.xxhash64("v").alias("h"), "v").orderBy("h").limit(SAMPLE * pivots).collect()
     width = max((len(r["v"]) for r in rows), default=1)
     rows = [r["v"] for r in rows if len(r["v"]) == width]
     found = np.array(rows, dtype=float).reshape(len(rows), width)
     found /= np.linalg.norm(found, axis=1, keepdims=True)
-    chosen = np.empty((0, width))
+    room, n = np.empty((pivots, width)), 0
     for v in found:
-        if len(chosen) < pivots and (not len(chosen) or (chosen @ v).max() < 0.9):
-            chosen = np.vstack([chosen, v])
+        if n < pivots and (not n or (room[:n] @ v).max() < 0.9):
+            room[n] = v
+            n += 1
+    chosen = room[:n]
     if len(chosen) < NEAREST:
         extra = np.random.default_rng(7).normal(size=(NEAREST, width))
         chosen = np.vstack([chosen, extra / np.linalg.norm(extra, axis=1, keepdims=True)])
@@ -87,7 +93,7 @@ def _triples(near: Column) -> Column:
     for three in combinations(range(NEAREST), SHARED):
         key = F.lit(0).cast("long")
         for i in three:
-            key = key * PIVOTS * 2 + F.get(sorted_near, F.lit(i))
+            key = key * (MOST_PIVOTS + NEAREST) + F.get(sorted_near, F.lit(i))
         keys.append(key)
     return F.array(*keys)
 
@@ -111,8 +117,8 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     # equal vectors: one node with a weight
     node = good.groupBy("label", "v", "h").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("w"))
-    node = node.select(F.struct("id", "h").alias("node"), "id", "w", F.struct("label", F.size("v").alias("n")).alias("part"), "v")
-    node = checkpointed(described(node, choose_pivots(good)))
+    node = checkpointed(node.select(F.struct("id", "h").alias("node"), "id", "w", F.struct("label", F.size("v").alias("n")).alias("part"), "v"))
+    node = checkpointed(described(node, choose_pivots(node.select("v").distinct())))
 
     # balls
     cell = [F.col("part"), *[F.get("near", F.lit(i)) for i in range(3)]]
@@ -176,3 +182,22 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "embeddings"))
+
+
+#: Brute force over all pairs of one label: what the index must find.
+SQL = """
+WITH RECURSIVE e AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+), m AS (
+  SELECT *, list_max(list_transform(v, lambda x: abs(x))) AS top,
+    len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND label IS NOT NULL AND len(v) > 0 AS ok FROM e
+), u AS (
+  SELECT r, vec_id, label, len(v) AS n, list_transform(v, lambda x: x / top) AS s FROM m WHERE ok AND top > 0
+), n AS (SELECT r, vec_id, label, n, list_transform(s, lambda x: x / sqrt(list_dot_product(s, s))) AS w FROM u),
+l AS (
+  SELECT a.r AS a, b.r AS b FROM n AS a JOIN n AS b ON a.label = b.label AND a.n = b.n AND a.r <> b.r AND list_dot_product(a.w, b.w) >= 0.93
+), walk(a, b) AS (SELECT a, a FROM l UNION SELECT walk.a, l.b FROM walk JOIN l ON walk.b = l.a),
+c AS (SELECT walk.a AS r, min(e.vec_id) AS component_id FROM walk JOIN e ON e.r = walk.b GROUP BY 1),
+k AS (SELECT a AS r, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, vec_id)::BIGINT AS component_id, coalesce(vec_id = coalesce(component_id, vec_id), false) AS kept
+FROM e LEFT JOIN c USING (r) LEFT JOIN k USING (r)"""

@@ -1,10 +1,11 @@
 """Mixing sources to target weights.
 
 Documents get hash-random keys, which split each source into ranges of equal width. Token counts
-are summed per (source, range); the running sums of those few rows give every range its offset, and
-a window inside each range gives every document its own. So the order of a source is a range sort
-whose bounds are known beforehand, and neither a hot source nor a large one meets in one task. Each
-source is then cut at its exact budget: whole epochs first, then a prefix of the shuffled order.
+are summed per (source, range), and per GROUP ranges; running sums over the groups of a source and
+within each group give every range its offset, and a window inside each range gives every document its
+own. So the order of a source is a range sort whose bounds are known beforehand, and neither a hot
+source nor a large one meets in one task. Each source is then cut at its exact budget: whole epochs
+first, then a prefix of the shuffled order.
 
 A null source is a source of its own. Texts without words have size zero and are never taken. Keys
 come from ids, or from texts where ids are null; rows with equal keys are ordered by id, size and
@@ -15,7 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from netledger.llm.common import SPACE, table, words
+from netledger.llm.common import SPACE, named, table, words
+from netledger.session import checkpointed, stored
 
 #: The weights that sources take in turn, and how often a source may be repeated.
 WEIGHTS = (1, 2, 3)
@@ -23,6 +25,8 @@ MOST_EPOCHS = 3
 
 #: Rows of the whole table per key range; a range holds at most that many of one source on average.
 RANGE_ROWS = 512
+#: Ranges whose offsets are summed together.
+GROUP = 4096
 
 
 def size_of(text: Column) -> Column:
@@ -56,27 +60,31 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     )
 
 
+def sized(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, source, ...) as the struct ``row``, with doc_id, source, size and digest."""
+    return docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("digest"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix") -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) as the struct ``row``, with size, source_size, target, taken.
+    """Rows of ``sized`` with source_size, target and taken.
 
     ``taken`` counts words with repeats. It is a multiple of the size except for the one document of
     each source at which the budget ends. Columns that aren't used later don't travel.
     """
-    digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.select(
-        F.struct(*docs.columns).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), digest.alias("digest"),
-        F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), digest))).alias("key"),
-    )
+    rows = docs.withColumn("key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), "digest"))))
     # a range is named by the leading bits of the key; their number follows the number of rows
     ranges = max(1, -(-docs.count() // RANGE_ROWS))
     leading = F.conv(F.substring("key", 1, 8), 16, 10).cast("double")
     cut = rows.withColumn("range", F.floor(leading * ranges / 2.0**32))
-    sums = cut.groupBy("source", "range").agg(F.sum("size").alias("sum"))
-    upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("source", "range", F.coalesce(F.sum("sum").over(upto), F.lit(0)).alias("offset"))
-    shares = targets(sums.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, most)
-    starts = offsets.alias("o").join(shares.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select(
-        F.col("o.source").alias("source"), "range", "offset", "source_size", "target"
+    sums = checkpointed(cut.groupBy("source", "range").agg(F.sum("size").alias("sum")).withColumn("group", F.floor(F.col("range") / GROUP)))
+    earlier = lambda *by: Window.partitionBy("source", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy("source", "group").agg(F.sum("sum").alias("total"))
+    skips = groups.select("source", "group", F.coalesce(F.sum("total").over(earlier("group")), F.lit(0)).alias("skip"))
+    offsets = sums.withColumn("inner", F.coalesce(F.sum("sum").over(earlier("group", "range")), F.lit(0)))
+    shares = targets(groups.groupBy("source").agg(F.sum("total").alias("source_size")), weights, most)
+    heads = skips.alias("o").join(shares.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select(F.col("o.source").alias("source"), "group", "skip", "source_size", "target")
+    starts = offsets.alias("o").join(heads.alias("h"), F.col("o.source").eqNullSafe(F.col("h.source")) & (F.col("o.group") == F.col("h.group"))).select(
+        F.col("o.source").alias("source"), "range", (F.col("skip") + F.col("inner")).alias("offset"), "source_size", "target"
     )
     inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
     placed = cut.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("c").join(
@@ -86,23 +94,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EP
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size") - F.col("offset") - F.col("before")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    return placed.select("c.row", "c.size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select(*[F.col(f"c.{c}") for c in docs.columns], "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("row.doc_id", "size", "source_size", "target", "taken")
+    # texts are read once: their sizes are stored, and the mix reads those twice
+    slim = stored(sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "digest"))
+    return mix(slim).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them. Where a source's budget ends within a
     document, the last copy holds the words that are left, with single spaces between them."""
-    out = mix(docs, weights, most).filter("taken > 0")
+    out = mix(sized(docs), weights, most).filter("taken > 0")
     whole, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
     copies = out.select("row", rest.alias("rest"), whole.alias("whole"), F.explode(F.sequence(F.lit(1), (whole + F.signum(rest)).cast("int"))).alias("n"))
     cut = F.array_join(F.slice(words(F.col("row.text")), 1, F.greatest(F.col("rest"), F.lit(1)).cast("int")), " ")
     text = F.when(F.col("n") <= F.col("whole"), F.col("row.text")).otherwise(cut)
-    named = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return copies.select(*[named.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    changed = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
+    return copies.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 SQL = rf"""

@@ -1,21 +1,25 @@
-"""Substring dedup by MinHash banding of paragraphs.
-
-A passage may be pasted anywhere, so paragraphs here don't rest on line breaks: they are blocks of
-BLOCK words that start at anchors, which the text itself decides. In each stretch of REACH words the
-one with the least hash of its next five words is an anchor (winnowing), so texts that share REACH +
-BLOCK - 1 words share a whole block wherever it stands in them; a text of less than BLOCK words is one
-block if it has MIN_WORDS. Blocks are compared by their 5-word shingles. Equal ones form one class
-first, so frequent passages cost one row of the index. The classes are banded: BANDS bands of one
-minimum each, which find a pair of similarity 0.8 with a chance of 0.992. Classes that collide are
-joined and verified by exact Jaccard similarity, and the components of verified pairs and equal texts
-decide what goes: in each component that reaches over two documents or more, all but the first.
-
-Lists of a band with more than CROWD classes are not paired. They are split by further bands, and each
-member is compared with a leader of its part, drawn anew for each part; members of a family of similar
-blocks meet many leaders of it, so the family stays connected while the work stays linear.
-
-Null and empty texts have no blocks; repeats within one document alone are left in place; rows
-without an id take part under the null id, which counts as no document.
+"""Substring dedup: repeated passages found as exact blocks, and paragraphs by MinHash banding.
+
+A passage may be pasted anywhere, so every text is cut twice. Blocks of BLOCK words start at anchors,
+which the text itself decides: in each stretch of REACH words the one with the least hash of its next
+five words (winnowing). Texts that share REACH + BLOCK - 1 = 30 words share a whole block, and as
+anchors lie no farther apart than a block is long, the blocks of a shared passage cover it but for
+REACH - 1 words at either end. A change breaks five shingles, so a passage of 60 words or more at a
+similarity of 0.8 always holds such a run. Equal blocks form classes by an aggregate.
+
+Paragraphs are the lines of at least LINE words, and whole texts of MIN_WORDS words that are shorter.
+They are compared by the sets of their 5-word shingles: BANDS bands of one minimum each find a pair of
+similarity 0.8 with a chance of 1 - 0.2 ** BANDS = 0.9997. Paragraphs that collide are joined and verified
+by exact Jaccard similarity. The members of lists of more than CROWD paragraphs are not paired within
+them: they are compared by prefixes of their shingle sets, which lose no pair at the similarity.
+
+The components of verified pairs, of equal paragraphs and of equal blocks decide what goes: where one
+reaches over two documents or more, all but its first place by document and start. What overlaps or
+touches in a text is reported as one span.
+
+Null and empty texts have no passages; repeats within one document alone are left in place; rows
+without an id take part under the null id, which counts as no document. Texts are told apart by id and
+content, so repeated rows give their spans once.
 """
 
 from __future__ import annotations
@@ -25,20 +29,21 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from netledger.llm.common import bounded, jaccard, shingle_set, spread, table
-from netledger.llm.simhash import mixed, shingles
+from netledger.llm.simhash import mixed, parities, shingles, similar_links
 from netledger.operators.graph import connected_components
 from netledger.session import checkpointed, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
-BLOCK, REACH, MIN_WORDS = 16, 35, 8
-BANDS = 3
+BLOCK, REACH = 16, 15
+LINE, MIN_WORDS = 20, 8
+BANDS = 5
 CROWD = 16
 
-FLUSH = 1 << 13
-MOST_APART = int(2 * (BLOCK - SHINGLE + 1) * (1 - SIMILARITY) / (1 + SIMILARITY))
+#: Texts and shingles that a task handles at a time.
+SLICE, FLUSH = 256, 1 << 18
 _BAND = [f"b{i}" for i in range(BANDS)]
 
 
@@ -59,129 +64,194 @@ def anchors(hashes: np.ndarray) -> np.ndarray:
     return np.array(kept)
 
 
-def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a UTF-8 text, in code points."""
+def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a UTF-8 text, in code points, and the numbers of their lines."""
     raw = np.frombuffer(text, np.uint8)
     blank = np.concatenate([[True], (raw == 32) | ((raw >= 9) & (raw <= 13)), [True]])
     edge = np.flatnonzero(blank[1:] != blank[:-1])
     points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    return points[edge[::2]], points[edge[1::2]]
+    line = np.concatenate([[0], np.cumsum(raw == 10)])
+    return points[edge[::2]], points[edge[1::2]], line[edge[::2]]
+
+
+def paragraphs_of(lines: np.ndarray) -> list[tuple[int, int]]:
+    """Places [a, b) of the words of each paragraph, from the line number of every word."""
+    n = len(lines)
+    if n < LINE:
+        return [(0, n)]
+    cuts = [0, *(np.flatnonzero(np.diff(lines)) + 1).tolist(), n]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if b - a >= LINE]
+
 
+def block_hash(h: np.ndarray, at: np.ndarray, lane: int) -> np.ndarray:
+    """A hash of the BLOCK words at each place, from the shingles that cover them."""
+    out = np.full(len(at), lane, np.uint64)
+    for step in [*range(0, BLOCK - SHINGLE, SHINGLE), BLOCK - SHINGLE]:
+        out = mixed(out ^ h[at + step], lane)
+    return out
 
-def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, d1, d2, mask, b0, b1, ...) of every block.
 
-    d1 and d2 are 128 bits of a hash of its words in lower case, b0, b1, ... the keys of its bands;
-    mask has one of 64 bits set for each of its shingles.
+def hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_hash); the hash tells apart texts of one id."""
+    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+
+
+def units(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, start, end, d1, d2, n, mask, b0, b1, ...) of every block and paragraph.
+
+    d1 and d2 are 128 bits of a hash of its words in lower case. For paragraphs n is the number of
+    different shingles, mask the parity of those that fall on each of 64 bits, and b0, b1, ... the keys
+    of the bands; blocks have null there.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest, xxh64_intdigest
 
-        def flush(rows: list, hashes: list) -> pa.RecordBatch:
-            h = np.concatenate(hashes)
-            n = np.array([len(x) for x in hashes])
-            at = np.cumsum(n) - n
-            mask = np.bitwise_or.reduceat(np.uint64(1) << (mixed(h, 77) >> np.uint64(58)), at).view(np.int64)
-            bands = [mixed(np.minimum.reduceat(mixed(h, 1 + i), at), 101 + i).view(np.int64) for i in range(BANDS)]
-            ids, starts, ends, digests = zip(*rows)
-            wide = np.array([((d >> 64) & (2**64 - 1), d & (2**64 - 1)) for d in digests], np.uint64).view(np.int64)
-            columns = [pa.array(ids, kind), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.array(mask)]
-            return pa.RecordBatch.from_arrays([*columns, *map(pa.array, bands)], names=["doc_id", "start", "end", "d1", "d2", "mask", *_BAND])
+        def flush(blocks: list, lines: list, sets: list) -> Iterator[pa.RecordBatch]:
+            if blocks:
+                ids, texts, *rest = zip(*blocks)
+                n = [len(x) for x in rest[0]]
+                which = np.repeat(np.arange(len(n)), n)
+                columns = [np.concatenate(c) for c in rest]
+                none = len(which)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids, kind).take(pa.array(which)), pa.array(np.array(texts, np.int64)[which]), *[pa.array(c.astype(np.int32)) for c in columns[:2]],
+                    *[pa.array(c.view(np.int64)) for c in columns[2:]], pa.nulls(none, pa.int32()), *[pa.nulls(none, pa.int64())] * (1 + BANDS),
+                ], names=names)
+            if lines:
+                ids, texts, starts, ends, digests = zip(*lines)
+                n = np.array([len(x) for x in sets])
+                at, h = np.cumsum(n) - n, np.concatenate(sets)
+                wide = np.array([((d >> 64) & (2**64 - 1), d & (2**64 - 1)) for d in digests], np.uint64).view(np.int64)
+                mask = np.bitwise_xor.reduceat(np.uint64(1) << (mixed(h, 77) >> np.uint64(58)), at)
+                bands = [mixed(np.minimum.reduceat(mixed(h, 1 + i), at), 101 + i) for i in range(BANDS)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids, kind), pa.array(texts, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(wide[:, 0]), pa.array(wide[:, 1]),
+                    pa.array(n.astype(np.int32)), *[pa.array(c.view(np.int64)) for c in (mask, *bands)],
+                ], names=names)
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            rows, hashes = [], []
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
+            blocks, lines, sets, held = [], [], [], 0
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                for doc_id, text, content in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist()):
                     found = (text or b"").lower().split()
                     if len(found) < MIN_WORDS:
                         continue
                     k = shingles(text, SHINGLE)
                     h = np.fromiter(map(xxh64_intdigest, k, repeat(42)), np.uint64, len(k))
-                    starts, ends = word_bounds(text)
-                    for i in anchors(h[: max(1, len(found) - BLOCK + 1)]).tolist():
-                        block = found[i : i + BLOCK]
-                        rows.append((doc_id, starts[i], ends[i + len(block) - 1], xxh3_128_intdigest(b" ".join(block))))
-                        hashes.append(h[i : i + len(block) - SHINGLE + 1])
-                    if len(rows) > FLUSH:
-                        yield flush(rows, hashes)
-                        rows, hashes = [], []
-            if rows:
-                yield flush(rows, hashes)
+                    starts, ends, line = words_of(text)
+                    if len(found) >= BLOCK:
+                        where = anchors(h[: len(found) - BLOCK + 1])
+                        blocks.append((doc_id, content, starts[where], ends[where + BLOCK - 1], block_hash(h, where, 1), block_hash(h, where, 2)))
+                    for a, b in paragraphs_of(line):
+                        lines.append((doc_id, content, starts[a], ends[b - 1], xxh3_128_intdigest(b" ".join(found[a:b]))))
+                        sets.append(np.unique(h[a : b - SHINGLE + 1]))
+                    held += len(k)
+                    if held > FLUSH:
+                        yield from flush(blocks, lines, sets)
+                        blocks, lines, sets, held = [], [], [], 0
+            yield from flush(blocks, lines, sets)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start int, end int, d1 long, d2 long, mask long, " + ", ".join(f"{b} long" for b in _BAND)
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    names = ["doc_id", "text_hash", "start", "end", "d1", "d2", "n", "mask", *_BAND]
+    schema = f"doc_id {kind}, text_hash long, start int, end int, d1 long, d2 long, n int, mask long, " + ", ".join(f"{b} long" for b in _BAND)
+    return hashed(docs).mapInArrow(run, schema)
 
 
-def candidates(blocks: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(a, b) with a < b: pairs of d1 that share a band, from blocks (d1, mask, b0, b1, ...).
+def fits(x: str, y: str, similarity: float = SIMILARITY):
+    """Whether sizes and parity bits of two sides allow the similarity: every shingle that only one of
+    them has changes one bit."""
+    size = F.least(f"{x}n", f"{y}n") >= similarity * F.greatest(f"{x}n", f"{y}n") - 1e-6
+    return size & (F.bit_count(F.col(f"{x}mask").bitwiseXOR(F.col(f"{y}mask"))) <= (1 - similarity) / (1 + similarity) * (F.col(f"{x}n") + F.col(f"{y}n")) + 1e-6)
 
-    Pairs go at once if their masks show that they can't be similar: shingles of one that the other
-    lacks leave differing bits, and of two sets of at most BLOCK - SHINGLE + 1 shingles with a
-    similarity of 0.8 only MOST_APART shingles are not common.
-    """
-    postings = blocks.select("d1", "mask", F.explode(F.array(*_BAND)).alias("key"))
+
+def band_lists(paragraphs: DataFrame) -> DataFrame:
+    """(d1, n, mask, key, length) of the lists of bands that hold several different paragraphs."""
+    postings = paragraphs.select("d1", "n", "mask", F.explode(F.array(*_BAND)).alias("key"))
     several = postings.groupBy("key").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo < hi").select("key")
     shared = checkpointed(postings.join(several, "key").distinct())
-    sized = shared.join(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
-    few, many = sized.filter(F.col("n") <= crowd), sized.filter(F.col("n") > crowd).select("d1", "mask", "key")
-    alike = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= MOST_APART
-    pairs = (
-        few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.d1") < F.col("y.d1")))
-        .filter(alike(F.col("x.mask"), F.col("y.mask"))).select(F.col("x.d1").alias("a"), F.col("y.d1").alias("b"))
+    return shared.join(shared.groupBy("key").agg(F.count(F.lit(1)).alias("length")), "key")
+
+
+def texts_of(docs: DataFrame, paragraphs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text): the text of one place of each wanted paragraph (id)."""
+    where = (
+        paragraphs.select("d1", "doc_id", "text_hash", "start", "end").join(bounded(checkpointed(wanted.select(F.col("id").alias("d1")))), "d1")
+        .groupBy("d1").agg(F.min(F.struct("doc_id", "text_hash", "start", "end")).alias("p")).select("d1", "p.*")
     )
-    # the further bands of a crowded list's members are those that they have in other lists
-    others = shared.select("d1", F.col("key").alias("other")).join(many, "d1")
-    parts = checkpointed(others.select("d1", "mask", F.when(F.col("other") == F.col("key"), F.col("key")).otherwise(F.xxhash64("key", "other")).alias("part")).distinct())
-    leader = parts.groupBy("part").agg(F.min(F.struct(F.xxhash64("part", "d1").alias("h"), "d1", "mask")).alias("l"))
-    led = parts.join(leader, "part").filter(alike(F.col("mask"), F.col("l.mask"))).select(F.least("d1", "l.d1").alias("a"), F.greatest("d1", "l.d1").alias("b"))
-    return pairs.union(led).filter("a <> b").distinct()
-
-
-def verified(docs: DataFrame, paragraphs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose paragraphs have the similarity, by the shingles of their texts."""
-    needed = pairs.select(F.col("a").alias("d1")).union(pairs.select("b")).distinct()
-    where = checkpointed(
-        paragraphs.select("d1", "doc_id", "start", "end").join(bounded(checkpointed(needed)), "d1")
-        .groupBy("d1").agg(F.min(F.struct("doc_id", "start", "end")).alias("p")).select("d1", "p.*")
+    cut = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    at = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash"))
+    rows = hashed(docs).alias("d").join(bounded(checkpointed(where)).alias("w"), at)
+    return rows.select(F.col("d1").alias("id"), cut.alias("text")).groupBy("id").agg(F.first("text").alias("text"))
+
+
+def links(docs: DataFrame, paragraphs: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+    """Verified links (a, b) between the d1 of different paragraphs that share a band."""
+    listed = checkpointed(band_lists(paragraphs))
+    few, many = listed.filter(F.col("length") <= crowd), listed.filter(F.col("length") > crowd).select(F.col("d1").alias("id")).distinct()
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.d1") < F.col("y.d1")) & fits("x.", "y.", similarity))
+    pairs = checkpointed(pairs.select(F.col("x.d1").alias("a"), F.col("y.d1").alias("b")).distinct())
+    texts = stored(texts_of(docs, paragraphs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(many).distinct()))
+    sets = checkpointed(texts.select("id", shingle_set(F.col("text"), SHINGLE).alias("s")))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    found = both.filter(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
+    many = checkpointed(many)
+    if many.isEmpty():
+        return found
+    crowded = texts.join(many, "id", "left_semi")
+    return found.union(similar_links(crowded, checkpointed(parities(crowded, SHINGLE)), lambda ids: crowded.join(ids, "id", "left_semi"), SHINGLE, similarity))
+
+
+def classes_of(found: DataFrame) -> DataFrame:
+    """(d1, d2, first, last): first place and greatest id of each class of equal units; null ids come last."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
+    return found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max("doc_id").alias("last"))
+
+
+def repeated_units(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, text_hash, start, end, keeper_doc_id, keeper_start, kept) of every unit that repeats across documents."""
+    cut = stored(units(docs))
+    blocks, paragraphs = cut.filter("n IS NULL"), cut.filter("n IS NOT NULL")
+    equal = classes_of(blocks).filter(F.col("first.doc_id") < F.col("last")).select("d1", "d2", F.col("first").alias("keeper"))
+
+    joined = connected_components(links(docs, paragraphs, crowd=crowd), "a", "b")
+    labelled = checkpointed(
+        classes_of(paragraphs).join(bounded(joined), F.col("d1") == F.col("vertex"), "left")
+        .filter(F.col("vertex").isNotNull() | (F.col("first.doc_id") < F.col("last")))
+        .select("d1", "d2", "first", "last", F.coalesce("component", "d1").alias("component"), F.when(F.col("vertex").isNull(), F.col("d2")).alias("alone"))
     )
-    texts = docs.select("doc_id", "text").join(bounded(where), "doc_id").select("d1", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("t"))
-    sets = checkpointed(texts.groupBy("d1").agg(F.first("t").alias("t")).select("d1", shingle_set(F.col("t"), SHINGLE).alias("s")))
-    both = pairs.join(sets.select(F.col("d1").alias("a"), F.col("s").alias("sa")), "a").join(
-        sets.select(F.col("d1").alias("b"), F.col("s").alias("sb")), "b"
+    whole = labelled.groupBy("component", "alone").agg(F.min("first").alias("keeper"), F.max("last").alias("most"), F.max("first.doc_id").alias("other"))
+    # a component reaches over documents if any of its ids is above the least one
+    whole = whole.filter(F.col("keeper.doc_id") < F.greatest("most", "other"))
+    near = labelled.alias("l").join(whole.alias("w"), (F.col("l.component") == F.col("w.component")) & F.col("l.alone").eqNullSafe(F.col("w.alone"))).select("d1", "d2", "w.keeper")
+    members = checkpointed(equal.withColumn("block", F.lit(True)).unionByName(near.withColumn("block", F.lit(False))))
+    placed = cut.select("doc_id", "text_hash", "start", "end", "d1", "d2", F.col("n").isNull().alias("block")).join(bounded(members), ["d1", "d2", "block"])
+    kept = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("start") == F.col("keeper.start"))
+    return placed.select(
+        "doc_id", "text_hash", "start", "end", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.start").alias("keeper_start"), F.coalesce(kept, F.lit(False)).alias("kept")
+    ).distinct()
+
+
+def merged_spans(found: DataFrame) -> DataFrame:
+    """Units that overlap or touch in a text, and are all kept or all not, as one span with the keeper
+    of the first of them. A window holds the units of one text."""
+    text = Window.partitionBy("doc_id", "text_hash", "kept").orderBy("start", "end", "keeper_doc_id", "keeper_start")
+    before = F.max("end").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce((F.col("start") > before + 1).cast("int"), F.lit(1))
+    run = found.withColumn("opens", opens).withColumn("run", F.sum("opens").over(text.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = run.groupBy("doc_id", "text_hash", "kept", "run").agg(
+        F.min(F.struct("start", "end", "keeper_doc_id", "keeper_start")).alias("f"), F.max("end").alias("end")
     )
-    return both.filter(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
+    return spans.select("doc_id", "text_hash", F.col("f.start").alias("start"), "end", F.col("f.keeper_doc_id").alias("keeper_doc_id"), F.col("f.keeper_start").alias("keeper_start"), "kept")
 
 
 def repeated(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """One row per block that repeats across documents: (doc_id, start, end, keeper_doc_id, keeper_start,
-    kept). The keeper is the first of its component by doc_id and start."""
-    paragraphs = stored(signed(docs))
-    pairs = checkpointed(candidates(paragraphs, crowd))
-    found = connected_components(verified(docs, paragraphs, pairs), "a", "b")
-    classes = paragraphs.groupBy("d1", "d2").agg(
-        F.min(F.struct("doc_id", "start")).alias("least"), F.max("doc_id").alias("most"), F.min("doc_id").alias("fewest")
-    )
-    labelled = classes.join(bounded(found), F.col("d1") == F.col("vertex"), "left").select(
-        "d1", "d2", "least", "most", "fewest", F.coalesce("component", "d1").alias("component"), F.col("component").isNotNull().alias("near")
-    )
-    # most classes stand alone; only those in a component or in several documents go on
-    labelled = checkpointed(labelled.filter(F.col("near") | (F.col("most") > F.col("fewest"))))
-    keepers = labelled.groupBy("component", F.when(~F.col("near"), F.col("d2")).alias("alone")).agg(
-        F.min("least").alias("keeper"), F.max("most").alias("most"), F.min("fewest").alias("fewest")
-    ).filter(F.col("most") > F.col("fewest"))
-    members = labelled.alias("l").join(
-        keepers.alias("k"),
-        (F.col("l.component") == F.col("k.component")) & F.when(~F.col("l.near"), F.col("l.d2")).eqNullSafe(F.col("k.alone")),
-    ).select("l.d1", "l.d2", "k.keeper")
-    out = paragraphs.select("doc_id", "start", "end", "d1", "d2").join(bounded(checkpointed(members)), ["d1", "d2"])
-    return out.select(
-        "doc_id", "start", "end", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.start").alias("keeper_start"),
-        (F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("start") == F.col("keeper.start"))).alias("kept"),
-    )
+    """One row per passage that repeats across documents: (doc_id, start, end, keeper_doc_id, keeper_start,
+    kept), places in code points. The keeper is the first of its component by doc_id and start; rows with
+    ``kept`` are such first places, all others are to be removed."""
+    return merged_spans(repeated_units(docs, crowd)).drop("text_hash")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

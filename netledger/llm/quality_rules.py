@@ -2,7 +2,9 @@
 
 Every measure is a built-in column expression over one row, so the filter is a map without a
 shuffle: a hot source or a group of copies costs what its rows cost. Null and blank texts have no
-words and fail the length rule; documents without lines or words have ratios of zero.
+words and fail the length rule; documents without lines or words have ratios of zero. The stop-word
+rule passes documents whose column ``lang`` names a language that the word list doesn't cover; without
+that column, or where it is null, all are held to the list.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from netledger.llm.common import SPACE, let, table, words
+from netledger.llm.common import SPACE, let, spare, table, words
 
 #: Frequent function words of the four corpus languages.
 STOP_WORDS = (
@@ -21,6 +23,12 @@ STOP_WORDS = (
     "el los del las una con no su para al lo como o pero sus ha si"
 ).split()
 
+#: The languages of those words.
+LANGUAGES = ("en", "de", "fr", "es")
+
+#: The column of all measures.
+MEASURES = "measures"
+
 WINDOW = 8
 
 
@@ -75,30 +83,33 @@ def _repeat_words(tokens: Column) -> Column:
     return F.when(F.size(tokens) > WINDOW, let(let(hashed, windows), covered)).otherwise(F.lit(0).cast("long"))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with the struct column ``_m`` of all measures; other columns stay as they are."""
+def measured(docs: DataFrame, stop_words: list[str] | tuple[str, ...] = STOP_WORDS, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+    """``docs`` with the struct column ``measures``; other columns stay as they are, but one of that name."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
-    first = docs.withColumn("_w", words(F.col("text"))).withColumn("_l", lines)
-    stops = sorted({form for w in STOP_WORDS for form in (w, w.capitalize())})
+    w, l = spare("words", docs.columns), spare("lines", docs.columns)
+    first = docs.withColumn(w, words(F.col("text"))).withColumn(l, lines)
+    stops = sorted({form for word in stop_words for form in (word, word.capitalize())})
+    foreign = F.coalesce(~F.col("lang").isin(*languages), F.lit(False)) if "lang" in docs.columns else F.lit(False)
     return first.withColumn(
-        "_m",
+        MEASURES,
         F.struct(
-            F.size("_w").cast("long").alias("n_words"),
+            F.size(w).cast("long").alias("n_words"),
             F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
             F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
             F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
-            F.size("_l").cast("long").alias("n_lines"),
-            (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-            F.size(F.filter("_l", lambda s: s.rlike(r"^[\x20\x09]*[-*•]"))).cast("long").alias("n_bullets"),
-            _repeat_words(F.col("_w")).alias("n_repeat_words"),
-            F.size(F.filter("_w", lambda w: w.isin(stops))).cast("long").alias("n_stop_words"),
+            F.size(l).cast("long").alias("n_lines"),
+            (F.size(l) - F.size(F.array_distinct(l))).cast("long").alias("n_dup_lines"),
+            F.size(F.filter(l, lambda s: s.rlike(r"^[\x20\x09]*[-*•]"))).cast("long").alias("n_bullets"),
+            _repeat_words(F.col(w)).alias("n_repeat_words"),
+            F.size(F.filter(w, lambda word: word.isin(stops))).cast("long").alias("n_stop_words"),
+            foreign.alias("foreign"),
         ),
-    ).drop("_w", "_l")
+    ).drop(w, l)
 
 
 def _ratio(top: str, bottom: str) -> Column:
-    return F.coalesce(F.try_divide(F.col(f"_m.{top}").cast("double"), F.col(f"_m.{bottom}")), F.lit(0.0))
+    return F.coalesce(F.try_divide(F.col(MEASURES)[top].cast("double"), F.col(MEASURES)[bottom]), F.lit(0.0))
 
 
 def measures() -> dict[str, Column]:
@@ -107,7 +118,7 @@ def measures() -> dict[str, Column]:
         "mean_word_chars": _ratio("word_chars", "n_words"),
         "symbols_per_word": _ratio("n_symbols", "n_words"),
         "upper_ratio": _ratio("n_upper", "word_chars"),
-        "stop_word_ratio": _ratio("n_stop_words", "n_words"),
+        "stop_word_ratio": F.when(F.col(MEASURES)["foreign"], 1.0).otherwise(_ratio("n_stop_words", "n_words")),
         "dup_line_ratio": _ratio("n_dup_lines", "n_lines"),
         "bullet_line_ratio": _ratio("n_bullets", "n_lines"),
     }
@@ -125,27 +136,28 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def base_failed() -> Column:
-    m = F.col("_m")
+    m = F.col(MEASURES)
     return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
 
 
-def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with the measures in ``_m`` and the booleans ``base_failed`` and ``kept``.
+def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stop_words: list[str] | tuple[str, ...] = STOP_WORDS, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
+    """``docs`` with the struct ``measures`` and the booleans ``base_failed`` and ``kept``; columns of these
+    names are replaced.
 
     A row fails alone: copies, repeated rows and rows without an id get the same verdict as any
     other row with their text.
     """
     return (
-        measured(docs)
+        measured(docs, stop_words, languages)
         .withColumn("base_failed", base_failed())
         .withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(compiled(rules)))
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return out.select("doc_id", *[F.col(f"_m.{n}").alias(n) for n in names], "base_failed", "kept")
+    return out.select("doc_id", *[F.col(MEASURES)[n].alias(n) for n in names], "base_failed", "kept")
 
 
 def _sql() -> str:
@@ -158,13 +170,15 @@ def _sql() -> str:
     tests = []
     for r in RULES:
         value = "coalesce({0}::DOUBLE / nullif({1}, 0), 0)".format(*ratio[r.measure])
+        if r.measure == "stop_word_ratio":
+            value = f"CASE WHEN lang NOT IN ({', '.join(repr(x) for x in LANGUAGES)}) THEN 1 ELSE {value} END"
         tests += [f"{value} >= {r.least}"] * (r.least is not None) + [f"{value} <= {r.most}"] * (r.most is not None)
     span = " || ' ' || ".join(["word", *[f"lead(word, {k}) OVER o" for k in range(1, WINDOW)]])
     return rf"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents
 ), w AS (
-  SELECT r, doc_id, t, list_filter(string_split_regex(t, '[ 	-
+  SELECT r, doc_id, lang, t, list_filter(string_split_regex(t, '[ 	-
 ]+'), lambda x: x <> '') AS w,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
 ]')) AS l FROM d
@@ -178,7 +192,7 @@ WITH d AS (
   SELECT r, sum(least({WINDOW}, coalesce(nxt - i, {WINDOW})))::BIGINT AS n_repeat_words FROM (
     SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM g WHERE c > 1) GROUP BY r
 ), m AS (
-  SELECT doc_id, len(w)::BIGINT AS n_words,
+  SELECT doc_id, lang, len(w)::BIGINT AS n_words,
     length(regexp_replace(t, '[ 	-
 ]+', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_embeddings": embeddings.SQL,
     "op5_warc": warc.SQL,
     "op7_mixing": mixing.SQL,
     "op8_secrets": secrets.SQL,

@@ -2,9 +2,10 @@
 
 One pass over the texts finds the strong spans and the weak parts of every document. Strong spans
 are always reported. A weak part (an identifier, an opaque key, an endpoint) is reported only when
-the parts that complete it lie within the same scope of the text, which an interval join decides:
-parts are dealt into blocks of SCOPE characters, joined on (document, block) with the neighbouring
-blocks, and compared exactly. Matches of a kind don't overlap, so a block holds a bounded number.
+the parts that complete it lie within the same scope of the text, at most SCOPE characters between
+the two, which an interval join decides: the ends of parts are dealt into blocks of SCOPE characters,
+joined on (document, side, block) with the two blocks that reach from a weak part to either side, and
+compared exactly. Matches of a kind don't overlap, so a block holds a bounded number.
 
 Null and empty texts have no spans. Rows are told apart by id and text, so repeated rows and rows
 without an id get their own results; rows equal in both get equal results.
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from netledger.llm.common import bounded, table
+from netledger.llm.common import bounded, let, named, spare, table
 from netledger.session import checkpointed
 
 #: Kinds in the order in which spans of equal start are listed; the first three are strong.
@@ -31,12 +32,33 @@ IDENT = r"""(?:[Uu]ser(?:name|_id)?|[Ll]ogin|[Cc]lient_?[Ii]d|[Aa]ccount_?[Ii]d|
 KEY = r"[A-Za-z0-9+/_=-]{20,}"
 ENDPOINT = r"""https?://[^\x00-\x20"'<>]+|[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"""
 
-#: Characters between the starts of two parts of one credential.
+#: Characters between two parts of one credential.
 SCOPE = 256
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+def running(values: Column, merge) -> Column:
+    """What ``merge`` makes of 0 and all integers before each one of an array, such as their sums.
+
+    An array grows by copies, so it is made in chunks of the square root of its size: the work is that
+    of the size to the power of 1.5, not its square.
+    """
+    def scan(chunk: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(chunk, start, lambda acc, n: F.struct(merge(acc["at"], n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+
+    def place(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda x, n: merge(x, n)))
+        return F.flatten(F.zip_with(chunks, scan(totals, F.lit(0)), scan))
+
+    def cut(entries: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(entries))).cast("int")
+        return let(F.transform(F.sequence(F.lit(0), ((F.size(entries) - 1) / size).cast("int")), lambda c: F.slice(entries, c * size + 1, size)), place)
+
+    return let(values, lambda v: F.when(F.size(v) > 0, cut(v)).otherwise(F.array().cast("array<int>")))
+
+
 def _spans(text: Column, pattern: str, kind: str, keep=None, group: int = 0) -> Column:
     """Spans of the leftmost non-overlapping matches; ``keep`` tests the text of ``group``.
 
@@ -47,20 +69,17 @@ def _spans(text: Column, pattern: str, kind: str, keep=None, group: int = 0) ->
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     tested = F.transform(found, lambda s: keep(s) if keep else F.lit(True))
     pieces = F.zip_with(
-        F.zip_with(F.split(text, pattern, -1), whole, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("n"))),
+        F.zip_with(F.split(text, pattern, -1), whole, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("n"))),
         tested,
-        lambda p, ok: F.struct(p["gap"].alias("gap"), p["n"].alias("n"), ok.alias("ok")),
+        lambda p, ok: F.struct(p["gap"].alias("gap"), p["n"].alias("n"), F.coalesce(ok, F.lit(False)).alias("ok")),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        a = acc["at"] + p["gap"]
-        b = a + F.coalesce(p["n"], F.lit(0))
-        span = F.struct(a.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), b.alias("end"))
-        out = F.when(F.coalesce(p["ok"], F.lit(False)), F.array_append(acc["out"], span)).otherwise(acc["out"])
-        return F.struct(b.alias("at"), out.alias("out"))
+    def placed(p: Column) -> Column:
+        before = running(F.transform(p, lambda x: x["gap"] + x["n"]), lambda x, y: x + y)
+        spans = F.zip_with(p, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (at + x["gap"] + x["n"]).alias("end"), x["ok"].alias("ok")))
+        return F.transform(F.filter(spans, lambda x: x["ok"]), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
-    return F.aggregate(pieces, start, step)["out"]
+    return let(pieces, placed)
 
 
 def _where(test: Column, spans: Column) -> Column:
@@ -89,19 +108,23 @@ def _linked(found: DataFrame) -> DataFrame:
     """Weak spans of each (doc_id, digest) whose complementary parts lie within the scope."""
     keys = ["doc_id", "digest"]
     one = found.filter(F.size("weak") > 0).groupBy(*keys).agg(F.first("strong").alias("strong"), F.first("weak").alias("weak"))
+    block = lambda at: F.floor(at / SCOPE).cast("int")
+    reach = lambda *ends: F.explode(F.array(*[F.struct(F.lit(side).alias("side"), block(at).alias("block")) for side, at in ends]))
     part = one.select(*keys, F.explode(F.concat("strong", "weak")).alias("p")).select(
-        *keys, (F.col("p.start") / SCOPE).cast("int").alias("block"), F.col("p.start").alias("at"), F.col("p.end").alias("until"),
+        *keys, F.col("p.start").alias("at"), F.col("p.end").alias("until"),
         F.when(F.col("p.kind").isin(KINDS.index("access"), KINDS.index("ident")), "id")
         .when(F.col("p.kind") == KINDS.index("endpoint"), "endpoint").otherwise("key").alias("role"),
     )
-    weak = one.select(*keys, F.explode("weak").alias("w")).withColumn("block", (F.col("w.start") / SCOPE).cast("int"))
-    probe = weak.select(*keys, "w", F.explode(F.array([F.col("block") + d for d in (-1, 0, 1)])).alias("block"))
+    part = part.select("*", reach(("before", F.col("until")), ("after", F.col("at"))).alias("r")).select(*keys, "at", "until", "role", "r.*")
+    weak = one.select(*keys, F.explode("weak").alias("w"))
+    start, end = F.col("w.start"), F.col("w.end")
+    probe = weak.select(*keys, "w", reach(("before", start - SCOPE), ("before", start), ("after", end), ("after", end + SCOPE)).alias("r")).select(*keys, "w", "r.*")
+    # a part inside the candidate or around it is the same piece of text, not its complement
+    between = F.when(F.col("x.side") == "before", F.col("x.w.start") - F.col("y.until")).otherwise(F.col("y.at") - F.col("x.w.end"))
     near = probe.alias("x").join(
         part.alias("y"),
-        F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.digest") == F.col("y.digest")) & (F.col("x.block") == F.col("y.block"))
-        & (F.abs(F.col("x.w.start") - F.col("y.at")) <= SCOPE)
-        # a part inside the candidate or around it is the same piece of text, not its complement
-        & ((F.col("y.until") <= F.col("x.w.start")) | (F.col("y.at") >= F.col("x.w.end"))),
+        F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.digest") == F.col("y.digest")) & (F.col("x.side") == F.col("y.side")) & (F.col("x.block") == F.col("y.block"))
+        & between.between(0, SCOPE),
     )
     has = lambda role: F.max(F.col("y.role") == role)
     roles = near.groupBy("x.doc_id", "x.digest", "w").agg(has("id").alias("id"), has("key").alias("key"), has("endpoint").alias("endpoint"))
@@ -137,24 +160,24 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` (doc_id, text, ...) with every reported span replaced by ``mark``; overlapping spans are
-    replaced as one. Rows without spans, null texts among them, stay as they are."""
+    replaced as one. Rows without spans, null texts among them, and other columns but n_chars stay as
+    they are."""
     found = checkpointed(scan(docs).filter(F.size("spans") > 0).select("doc_id", "digest", "spans").distinct())
-    marked = docs.withColumn("_digest", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    digest = spare("digest", docs.columns)
+    marked = docs.withColumn(digest, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     joined = marked.alias("m").join(
-        bounded(found).alias("s"), F.col("m.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("m._digest") == F.col("s.digest")), "left"
+        bounded(found, F.lit(1) + F.size("spans")).alias("s"), F.col("m.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col(f"m.{digest}") == F.col("s.digest")), "left"
     )
     text = F.col("m.text")
 
-    def step(acc: Column, s: Column) -> Column:
-        between = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        out = F.when(s["start"] >= acc["at"], between).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def cut(spans: Column) -> Column:
+        before = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+        pieces = F.zip_with(spans, before, lambda s, at: F.when(s["start"] >= at, F.concat(F.substring(text, at + 1, s["start"] - at), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    kept = F.aggregate("s.spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    clean = F.when(F.col("s.spans").isNull(), text).otherwise(kept)
-    named = {"text": clean} | ({"n_chars": F.when(F.col("s.spans").isNull(), F.col("m.n_chars")).otherwise(F.length(clean))} if "n_chars" in docs.columns else {})
-    return joined.select(*[named.get(c, F.col(f"m.{c}")).alias(c) for c in docs.columns])
+    clean = F.when(F.col("s.spans").isNull(), text).otherwise(let(F.col("s.spans"), cut))
+    changed = {"text": clean} | ({"n_chars": F.when(F.col("s.spans").isNull(), F.col("m.n_chars")).otherwise(F.length(clean))} if "n_chars" in docs.columns else {})
+    return joined.select(*[changed.get(c, named(c, "m")).alias(c) for c in docs.columns])
 
 
 def written(spans: Column) -> Column:
@@ -203,7 +226,7 @@ s AS ({" UNION ALL ".join(rows)}),
 n AS (
   SELECT w.r, w.kind, w.a, w.b, bool_or(p.role = 'id') AS id, bool_or(p.role = 'key') AS k
   FROM s AS w JOIN (SELECT *, {role} AS role FROM s) AS p
-    ON w.r = p.r AND abs(w.a - p.a) <= {SCOPE} AND (p.b <= w.a OR p.a >= w.b)
+    ON w.r = p.r AND (w.a - p.b BETWEEN 0 AND {SCOPE} OR p.a - w.b BETWEEN 0 AND {SCOPE})
   WHERE w.kind >= 3 GROUP BY ALL
 ), kept AS (
   SELECT r, kind, a, b FROM s WHERE kind < 3

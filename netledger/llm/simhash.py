@@ -16,7 +16,7 @@ meeting point is common to both, and at most 65 fingerprints meet at one point.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -323,6 +323,31 @@ def possible_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMIL
     return pairs.join(sides[0], "a").join(sides[1], "b").filter(sum(differ[1:], differ[0]) <= most).select("a", "b")
 
 
+def parities(texts: DataFrame, k: int = WORDS) -> DataFrame:
+    """(id, p0, ..., n) of (id, text): parity bits and numbers of the distinct shingles."""
+    return fingerprints(texts, "id", k, 0, True, PARITIES)
+
+
+def similar_links(each: DataFrame, parity: DataFrame, texts: Callable[[DataFrame], DataFrame], k: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between texts (id, text) with the components of all pairs at the similarity.
+
+    Texts that share a shingle of their prefixes are compared unless they are linked already, so no
+    pair at the similarity is lost. ``texts`` gives (id, text) of a table of some ids.
+    """
+    keys = prefixes(each, frequent_shingles(each, each.count(), k), k, similarity)
+    shared = checkpointed(shared_prefixes(keys).join(folded(parity), "id"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = checkpointed(possible_pairs(pairs, parity, similarity))
+        needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        sets = stored(texts(needed).groupBy("id").agg(F.first(shingle_set(F.col("text"), k)).alias("s")))
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        return checkpointed(both.filter(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b"))
+
+    first = linked(led_pairs(shared, similarity))
+    return first.union(linked(unlinked_pairs(shared, connected_components(first, "a", "b"), similarity)))
+
+
 def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) without all but one document of each group.
 
@@ -343,19 +368,8 @@ def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: float = SI
     nodes = checkpointed(classes.select("node.*", F.xxhash64("node").alias("id")))
     at = F.col("m.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("m._digest") == F.col("n.digest"))
     texts = lambda some: marked.select("doc_id", "text", "_digest").alias("m").join(bounded(some).alias("n"), at).select("n.id", "m.text")
-    each = texts(nodes)
     parity = classes.select(F.xxhash64("node").alias("id"), *bits)
-    shared = checkpointed(shared_prefixes(prefixes(each, frequent_shingles(each, nodes.count(), k), k, similarity)).join(folded(parity), "id"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = checkpointed(possible_pairs(pairs, parity, similarity))
-        needed = checkpointed(nodes.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id"))
-        sets = stored(texts(needed).groupBy("id").agg(F.first(shingle_set(F.col("text"), k)).alias("s")))
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        return checkpointed(both.filter(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b"))
-
-    first = linked(led_pairs(shared, similarity))
-    links = first.union(linked(unlinked_pairs(shared, connected_components(first, "a", "b"), similarity)))
+    links = similar_links(texts(nodes), parity, lambda ids: texts(checkpointed(nodes.join(ids, "id"))), k, similarity)
     groups = connected_components(links, "a", "b").join(nodes, F.col("vertex") == F.col("id")).select("id", "component", F.struct("doc_id", "digest").alias("node"))
     least = groups.groupBy("component").agg(F.min("node").alias("stays"))
     joined = checkpointed(groups.join(least, "component").select("node", "stays"))

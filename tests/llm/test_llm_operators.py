@@ -126,12 +126,23 @@ def test_embedding_links_against_brute_force(spark):
     data = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, labels))] + bad
     out = {r.vec_id: r for r in embeddings.link(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()}
     assert len(out) == len(data)
+    parts = components(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(near))])
+    assert all((out[i].component_id, out[i].kept) == (parts[i], parts[i] == i) for i in range(len(x)))
     got, want = sum(out[i].n_links for i in range(len(x))), int(near.sum())
     assert got >= 0.9 * want and all(out[i].n_links <= near[i].sum() for i in range(len(x)))
     assert all((out[i].n_links, out[i].component_id, out[i].kept) == (0, i, True) for i in range(900, 908))
     assert embeddings.link(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_a_common_vector_leaves_room_for_other_pivots(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [1.0] * 16, 0, "x") for i in range(300)] + [(1000 + i, rng.normal(size=16).tolist(), 0, "x") for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, h string")
+    assert len(embeddings.choose_pivots(table.select(F.col("embedding").alias("v")).distinct())) > 40
+    out = {r.vec_id: r for r in embeddings.link(table).collect()}
+    assert {(out[i].n_links, out[i].component_id) for i in range(300)} == {(299, 0)} and len(out) == 360
+
+
 # 3 paragraphs
 
 
@@ -142,22 +153,74 @@ def test_passages_within_running_text_are_found(spark, awkward, nothing):
     rows = [(i, " ".join(h[: 17 * i] + [passage] + h[17 * i :]), "en", "s", 1, "x") for i, h in enumerate(hosts[:6])]
     rows += [(50 + i, " ".join(h), "en", "s", 1, "x") for i, h in enumerate(hosts[6:])]
     got = paragraphs.repeated(spark.createDataFrame(rows, DOCS)).collect()
-    assert {r.doc_id for r in got} == set(range(6))
+    assert sorted(r.doc_id for r in got) == list(range(6))
     texts = {r[0]: r[1] for r in rows}
-    assert all(texts[r.doc_id][r.start : r.end] in passage for r in got)
-    assert {r.doc_id for r in got if not r.kept} == set(range(1, 6))
+    assert all(texts[r.doc_id][r.start : r.end] in passage and len(texts[r.doc_id][r.start : r.end].split()) >= 51 - 2 * (paragraphs.REACH - 1) for r in got)
+    assert {r.doc_id for r in got if not r.kept} == set(range(1, 6)) and {r.keeper_doc_id for r in got} == {0}
     again = paragraphs.repeated(awkward).collect()
     assert {r.doc_id for r in again} == {1, 200}
     assert paragraphs.repeated(nothing).count() == 0
 
 
-def test_crowded_bands_lose_no_family(spark):
-    rng = random.Random(6)
-    base = [f"w{i}" for i in range(16)]
-    rows = [(i, " ".join([f"x{i}"] + base[1:]), "en", "s", 1, "x") for i in range(60)]
-    got = paragraphs.repeated(spark.createDataFrame(rows, DOCS), crowd=4).collect()
-    assert len({(r.keeper_doc_id, r.keeper_start) for r in got}) == 1 and len(got) == 60
-    assert rng
+def test_runs_of_thirty_words_are_always_found(spark):
+    # in other surroundings each time, with a word changed next to them
+    rng = random.Random(15)
+    word = lambda: f"u{rng.getrandbits(40)}"
+    rows, want = [], set()
+    for p in range(40):
+        run = [word() for _ in range(paragraphs.BLOCK + paragraphs.REACH - 1)]
+        for copy in range(2):
+            rows.append((2 * p + copy, " ".join([word() for _ in range(rng.randint(0, 60))] + run + [word() for _ in range(rng.randint(0, 60))]), "en", "s", 1, "x"))
+            want.add(2 * p + copy)
+    assert {r.doc_id for r in paragraphs.repeated(spark.createDataFrame(rows, DOCS)).collect()} == want
+
+
+def lines_by_brute_force(texts):
+    """(doc, line) of each line of LINE words or more that goes, and those that stay for others."""
+    lines = [(d, i, line) for d, t in enumerate(texts) for i, line in enumerate(t.split("\n")) if len(line.split()) >= paragraphs.LINE]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, _, line in lines for w in [line.lower().split()]]
+    near = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    parts = components(range(len(lines)), near)
+    docs = collections.defaultdict(set)
+    for n, c in parts.items():
+        docs[c].add(lines[n][0])
+    return {(lines[n][0], lines[n][1], n == c) for n, c in parts.items() if len(docs[c]) > 1}
+
+
+@pytest.mark.parametrize("crowd", [1, 16])
+def test_near_paragraphs_equal_brute_force(spark, crowd):
+    # families of edited lines, stars, and unlike lines that share a frequent phrase
+    rng = random.Random(16)
+    word = lambda: f"v{rng.getrandbits(40)}"
+    phrase = [f"p{i}" for i in range(12)]
+    lines = []
+    for _ in range(12):
+        base = [word() for _ in range(rng.randint(49, 70))]
+        lines.append(base)
+        for _ in range(6):
+            line = list(rng.choice([base, lines[-1]]))
+            line[rng.randrange(len(line))] = word()
+            lines.append(line)
+    lines += [phrase + [word() for _ in range(25)] for _ in range(60)] + [[word()] + lines[0][1:] for _ in range(40)]
+    rng.shuffle(lines)
+    texts = ["\n".join(" ".join(x) for x in lines[i : i + 3]) for i in range(0, len(lines), 3)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in enumerate(texts)], DOCS)
+    cut = paragraphs.units(docs).filter("n IS NOT NULL").collect()
+    place = {(r.doc_id, r.start): r for r in cut}
+    got = set()
+    for r in paragraphs.repeated_units(docs, crowd).collect():
+        if (r.doc_id, r.start) in place and r.end == place[r.doc_id, r.start].end:
+            got.add((r.doc_id, texts[r.doc_id][: r.start].count("\n"), r.kept))
+    want = lines_by_brute_force(texts)
+    assert len(want) > 60 and got == want
+
+
+def test_no_id_counts_as_no_document(spark):
+    rng = random.Random(17)
+    text = " ".join(f"z{rng.getrandbits(40)}" for _ in range(60))
+    docs = lambda *ids: spark.createDataFrame([(i, text, "en", "s", 1, "x") for i in ids], DOCS)
+    assert paragraphs.repeated(docs(None, None, 5)).count() == 0
+    assert {(r.doc_id, r.kept) for r in paragraphs.repeated(docs(None, 5, 7, 7)).collect()} == {(None, False), (5, True), (7, False)}
 
 
 # 4 classifier
@@ -181,22 +244,89 @@ def test_classifier_separates_held_out_rows(spark, nothing):
     assert quality_classifier.classify(nothing, none).count() == 0
 
 
+def test_ranking_equals_a_slow_fit(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 3))
+    good = x @ np.array([1.0, -2.0, 0.5]) + rng.normal(size=120) > 0.4
+    found = quality_classifier.fit(x, good)
+    wins, losses, scale = x[good], x[~good], x.std(axis=0)
+    n, few = max(len(wins), len(losses)), min(len(wins), len(losses))
+    pairs = [(i, i + k * max(1, few // quality_classifier.OPPONENTS)) for i in range(n) for k in range(quality_classifier.OPPONENTS)]
+    d = np.array([(wins[(i if len(wins) == n else j) % len(wins)] - losses[(j if len(wins) == n else i) % len(losses)]) / scale for i, j in pairs])
+    w = np.zeros(3)
+    for _ in range(20_000):  # plain descent on the same loss
+        w -= 0.5 * (quality_classifier.RIDGE * w - (d / (1 + np.exp(d @ w))[:, None]).mean(axis=0))
+    assert np.array(found.weights) * scale == pytest.approx(w, rel=1e-4, abs=1e-5)
+    strengths = sorted(x @ np.array(found.weights))
+    at = (~good).mean() * (len(strengths) - 1)
+    low = int(at)
+    assert found.cut == pytest.approx(strengths[low] + (at - low) * (strengths[min(low + 1, len(strengths) - 1)] - strengths[low]))
+
+
+def test_features_leave_other_columns_alone(spark):
+    d = spark.createDataFrame([(1, "a b c", 5, 6, 7.5, "xx")], "doc_id long, text string, `measures` int, row int, `a.b` double, lang string")
+    out = quality_classifier.classify(d, quality_classifier.Ranking((), 0.0))
+    assert out.columns == [*d.columns, "score", "predicted"] and tuple(out.first())[:6] == (1, "a b c", 5, 6, 7.5, "xx")
+
+
 # 5 WARC
 
 
-def test_audit_finds_damage_and_files_round_trip(spark, tmp_path):
-    pages = spark.createDataFrame([(i, f"http://h{i % 3}/{i}", f"<p>é {i}</p>\r\n\r\n<b>") for i in range(300)] + [(400, None, None), (1, "http://h1/1", "<p>é 1</p>\r\n\r\n<b>")], "page_id long, url string, html string")
-    index = warc.index(warc.records(pages))
-    assert index.count() == 301
-    clean = warc.audit(index, index).collect()
-    assert {(r.level, r.status) for r in clean} == {("archive", "match")}
-    spoilt = index.withColumn("digest", F.when(F.col("page_id").isin(7, 250), "0").otherwise(F.col("digest"))).filter("page_id <> 90")
-    found = {(r.page_id, r.status) for r in warc.audit(index, spoilt).collect() if r.level == "record"}
-    assert found == {(7, "corrupt"), (250, "corrupt"), (90, "missing")}
-    warc.write(pages, str(tmp_path / "w"))
-    back = warc.read(spark, str(tmp_path / "w"))
-    assert back.count() == 302 and back.filter("url = 'http://h1/1'").first().html == "<p>é 1</p>\r\n\r\n<b>"
-    assert warc.audit(index.limit(0), index.limit(0)).count() == 0
+PAGES = "page_id long, url string, html string, record string, archive string"
+
+
+def test_audit_finds_damage_in_stored_files(spark, tmp_path):
+    import gzip
+
+    rows = [(i, f"http://h{i % 3}/{i}", f"<p>é {i}</p>\r\n\r\n<b>", "x", "y") for i in range(300)] + [(400, None, None, None, None), (1, "http://h1/1", "<p>é 1</p>\r\n\r\n<b>", "x", "y"), (500, "u\nv", "long " * 200_000, "x", "y"), (None, "no id", "", None, None)]
+    pages = spark.createDataFrame(rows, PAGES)
+    a, b = str(tmp_path / "a"), tmp_path / "b"
+    warc.write(warc.resources(pages), a)
+    index = warc.index(spark, a)
+    assert index.count() == 303
+    back = warc.read(spark, a)
+    assert back.filter("url = 'http://h1/1'").first().html == "<p>é 1</p>\r\n\r\n<b>" and back.filter("page_id = 500").first().html == "long " * 200_000 and back.filter("page_id IS NULL").count() == 1
+    assert {(r.level, r.status) for r in warc.audit(index, index).collect()} == {("archive", "match")}
+
+    # spoil the files themselves: lose, lengthen, shorten, change, add and swap records
+    source = next((tmp_path / "a").rglob("*.gz"))
+    data = gzip.decompress(source.read_bytes())
+    records = [data[at : at + n] for at, n, _, _ in warc.parsed(data)]
+    ids = [f["warc-record-id"].strip("<>") for _, _, f, _ in warc.parsed(data)]
+    assert b"".join(records) == data
+    longer = records[20][:-4] + b"<!-- -->" + records[20][-4:]
+    new = [r for i, r in enumerate(records) if i != 10]
+    new[new.index(records[20])] = longer
+    new[new.index(records[30])] = records[30][:-7] + records[30][-4:]
+    new[new.index(records[40])] = records[40][:-6] + b"?" + records[40][-5:]
+    new[new.index(records[60])] = b"garbage" + records[60]
+    new.insert(50, b"WARC/1.1\r\nWARC-Type: metadata\r\n folded\r\nWARC-Record-ID: <urn:uuid:00000000-0000-0000-0000-000000000000>\r\nContent-Length: 3\r\n\r\nnew\r\n\r\n")
+    target = b / "archive=0" / "plain.warc"
+    target.parent.mkdir(parents=True)
+    target.write_bytes(b"".join(new))
+    found = {(r.record_id, r.status) for r in warc.audit(index, warc.index(spark, str(b))).collect() if r.level == "record"}
+    assert found == {(ids[10], "missing"), (ids[20], "corrupt"), (ids[30], "corrupt"), (ids[40], "corrupt"), (ids[60], "corrupt"), ("urn:uuid:00000000-0000-0000-0000-000000000000", "extra")}
+
+    order = [*records[:70], records[71], records[70], *records[72:]]
+    target.write_bytes(b"".join(order))
+    moved = [r for r in warc.audit(index, warc.index(spark, str(b))).collect() if r.level != "archive"]
+    assert {(r.level, r.status) for r in moved} <= {("range", "reordered")}
+    target.write_bytes(gzip.compress(data[:5000]) + gzip.compress(data[5000:])[:-40])
+    assert 0 < warc.index(spark, str(b)).count() <= 303
+    assert warc.audit(index.limit(0), index.limit(0)).count() == 0 and warc.resources(pages.limit(0)).count() == 0
+
+
+def test_spoilt_replicas_are_found_exactly(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>", "x", "y") for i in range(3000)], PAGES)
+    good = warc.resources(pages)
+    bad = warc.spoilt(good)
+    warc.write(good, str(tmp_path / "a"))
+    warc.write(bad, str(tmp_path / "b"))
+    x, y = {r.key: (r.url, r.html) for r in good.collect()}, {r.key: (r.url, r.html) for r in bad.collect()}
+    plain = lambda key: f"urn:uuid:{key[:8]}-{key[8:12]}-{key[12:16]}-{key[16:20]}-{key[20:]}"
+    want = {(plain(k), "missing") for k in x.keys() - y.keys()} | {(plain(k), "extra") for k in y.keys() - x.keys()} | {(plain(k), "corrupt") for k in x.keys() & y.keys() if x[k] != y[k]}
+    got = {(r.record_id, r.status) for r in warc.audit(warc.index(spark, str(tmp_path / "a")), warc.index(spark, str(tmp_path / "b"))).collect() if r.level == "record"}
+    assert len(want) > 20 and got == want and len({s for _, s in want}) == 3
 
 
 # 6 SentencePiece
@@ -245,7 +375,7 @@ def test_unigram_recursion_equals_brute_force():
 
 
 def test_mix_meets_targets_exactly(awkward, nothing, spark):
-    out = mixing.mix(awkward).select("row.doc_id", "row.source", "size", "source_size", "target", "taken").collect()
+    out = mixing.mix(mixing.sized(awkward)).select("row.doc_id", "row.source", "size", "source_size", "target", "taken").collect()
     assert len(out) == awkward.count()
     by = collections.defaultdict(list)
     for r in out:
@@ -255,11 +385,11 @@ def test_mix_meets_targets_exactly(awkward, nothing, spark):
         assert sum(r.taken for r in rows) == round(rows[0].target)
     assert by[None][0].target == 0
     assert sum(rows[0].target for rows in by.values()) == pytest.approx(sum(r.size for r in out))
-    assert sorted(map(tuple, out), key=str) == sorted(map(tuple, mixing.mix(awkward).select("row.doc_id", "row.source", "size", "source_size", "target", "taken").collect()), key=str)
+    assert sorted(map(tuple, out), key=str) == sorted(map(tuple, mixing.mix(mixing.sized(awkward)).select("row.doc_id", "row.source", "size", "source_size", "target", "taken").collect()), key=str)
     copies = mixing.mixed(awkward)
     assert copies.columns == awkward.columns
     assert copies.select(F.sum(mixing.size_of(F.col("text")))).first()[0] == sum(r.taken for r in out)
-    assert mixing.mix(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
+    assert mixing.mix(mixing.sized(nothing)).count() == 0 and mixing.mixed(nothing).count() == 0
 
 
 def test_targets_stop_at_three_times_the_size(spark):
@@ -287,11 +417,34 @@ def test_secret_spans_and_links(spark, awkward, nothing):
     assert got[4] == {"ident:0:9,key:15:42"} and got[None] == {"ident:0:9,key:10:37"}
     assert got[5] == got[6] == got[7] == got[9] == got[10] == {""}
     assert got[8] == {"endpoint:4:23,ident:24:33,key:34:61"}
+    # the scope counts what lies between two parts, not from start to start
+    big = "aB3" * 100
+    pair = spark.createDataFrame([(1, f"{big} login=bob"), (2, f"login=bob {big}"), (3, f"{big}{' ' * 256}login=bob"), (4, f"{big}{' ' * 257}login=bob")], "doc_id long, text string")
+    assert {r.doc_id: len(r.spans) for r in secrets.scan(pair).collect()} == {1: 2, 2: 2, 3: 2, 4: 0}
+    many = spark.createDataFrame([(1, " ".join(["0123456789abcdef"] * 5000))], "doc_id long, text string")
+    assert len(secrets.scan(many).first().base) == 5000 and secrets.redact(many).first().text == " ".join(["[SECRET]"] * 5000)
+    odd = spark.createDataFrame([(1, f"login=bob {key}", 1, "d")], "doc_id long, text string, `a.b` int, digest string")
+    assert tuple(secrets.redact(odd).first()) == (1, "[SECRET] [SECRET]", 1, "d")
     red = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert red[2] == 'é [SECRET]"' and red[8] == "see [SECRET] [SECRET] [SECRET]" and red[10] is None and red[6] == rows[5][1]
     assert secrets.redact(awkward).columns == awkward.columns and secrets.scan(nothing).count() == 0
 
 
+def test_links_of_credentials_equal_their_sql(spark, tmp_path):
+    import duckdb
+    from compare import assert_same
+
+    rng = random.Random(18)
+    bits = [lambda: f"login=u{rng.randint(0, 99)}", lambda: "aB3" * rng.randint(7, 90), lambda: f"https://h{rng.randint(0, 9)}.example/x", lambda: "AKIA" + "A" * 15, lambda: "password: " + "x" * 14, lambda: "0a" * 20, lambda: "word " * rng.randint(1, 70)]
+    rows = [(i, " ".join(rng.choice(bits)() for _ in range(rng.randint(0, 12)))) for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    out = secrets.query(spark, str(tmp_path))
+    assert out.filter("spans LIKE '%ident%'").count() > 300 and out.filter("spans LIKE '%endpoint%'").count() > 50
+    assert_same(out, con.sql(secrets.SQL))
+
+
 # 9 chat
 
 
@@ -310,9 +463,38 @@ def test_chat_messages(spark):
     assert by[1, 2].message == '{"content":{"a":[2,"é"],"b":1},"role":"tool","tool_call_id":"c1"}' and by[1, 2].status == "ok"
     assert (by[2, 0].order_turn, by[2, 0].order_step) > (by[2, 1].order_turn, by[2, 1].order_step) and by[2, 1].status == "invalid_call"
     assert by[3, 0].status == "invalid_call" and by[3, 1].status == "orphan_result" and by[4, 0].status == "unanswered_call"
+    # values of the wrong kind, numbers out of bounds, nested values, and whole numbers written with a fraction
+    cases = [
+        ('{"name":"search","arguments":{"query":"x","limit":1.0}}', 0), ('{"name":"search","arguments":{"query":"x","limit":1.5}}', 1), ('{"name":"search","arguments":{"query":"x","limit":101}}', 1),
+        ('{"name":"search","arguments":{"query":"x","order":"date"}}', 0), ('{"name":"search","arguments":{"query":"x","order":"size"}}', 1), ('{"name":"search","arguments":{"query":"x","more":1}}', 1), ('{"name":"search","arguments":{"limit":1}}', 1),
+        ('{"name":"calculate","arguments":{"values":[1,2.5]}}', 0), ('{"name":"calculate","arguments":{"values":[]}}', 1), ('{"name":"calculate","arguments":{"values":[1,"x"]}}', 1), ('{"name":"calculate","arguments":{"values":{"a":1}}}', 1),
+        ('{"name":"fetch","arguments":{"url":"u","headers":{"accept":"t","b":1}}}', 0), ('{"name":"fetch","arguments":{"url":"u","headers":{}}}', 1), ('{"name":"fetch","arguments":[]}', 1), ('{"name":"search"}', 1), ('{"name":"none","arguments":{}}', 1),
+    ]
+    calls = spark.createDataFrame([(i, 0, "assistant", "<tool_call>" + c[:-1] + ',"id":"k"}</tool_call>') for i, (c, _) in enumerate(cases)], "conv_id long, turn long, role string, text string")
+    assert {r.conv_id: r.n_invalid for r in chat.format_chats(calls).collect()} == {i: n for i, (_, n) in enumerate(cases)}
     assert by[None, None].message == '{"content":""}' and chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chains_of_calls_are_ordered(spark):
+    call = lambda i, *after: '<tool_call>{"id":"%s","name":"fetch","arguments":{"url":"u"},"after":[%s]}</tool_call>' % (i, ",".join(f'"{a}"' for a in after))
+    result = lambda i: '{"tool_call_id":"%s","content":"%s"}' % (i, "long " * 5000)
+    rows = []
+    for conv in (1, None):  # logged in the wrong order; e and f wait for each other, g for nothing that is there
+        rows += [(conv, 0, "assistant", call("d", "c", "a")), (conv, 1, "assistant", call("c", "b")), (conv, 2, "assistant", call("b", "a")), (conv, 3, "tool", result("d")), (conv, 4, "assistant", call("a")), (conv, 5, "tool", result("a")), (conv, 6, "tool", result("b"))]
+        rows += [(conv, 7, "assistant", call("e", "f")), (conv, 8, "assistant", call("f", "e")), (conv, 9, "assistant", call("g", "zz", "g"))]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for conv in (1, None):
+        order = [r.turn for r in sorted((r for r in out if r.conv_id == conv), key=lambda r: (r.order_turn, r.order_step, r.turn))]
+        assert [t for t in order if t < 7] == [4, 5, 2, 6, 1, 0, 3] and [t for t in order if t > 6] == [7, 8, 9]
+
+
+def test_one_conversation_with_most_turns(spark):
+    rows = [(1, i, "user", "hi") for i in range(3000)] + [(1, 5000 + i, "assistant", f'<tool_call>{{"id":"k{i % 700}","name":"fetch","arguments":{{"url":"u"}}}}</tool_call>') for i in range(900)] + [(1, 9000 + i, "tool", f'{{"tool_call_id":"k{i}","content":1.0}}') for i in range(800)]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    counts = {r.status: r["count"] for r in out.groupBy("status").count().collect()}
+    assert counts == {"ok": 3000 + 900 + 700, "orphan_result": 100} and out.filter("turn = 9000").first().message == '{"content":1,"role":"tool","tool_call_id":"k0"}'
+
+
 # 10 rules
 
 
@@ -320,12 +502,20 @@ def test_quality_rules_on_awkward_rows(awkward, nothing):
     out = quality_rules.quality_rules(awkward)
     assert out.count() == awkward.count() and set(awkward.columns) <= set(out.columns)
     by = {r.doc_id: r for r in out.collect() if r.doc_id is not None}
-    assert all(by[i].base_failed and not by[i].kept and by[i]["_m"]["n_words"] == 0 for i in (100, 101, 102))
-    assert by[103]["_m"]["n_words"] == 20_000 and quality_rules.quality_rules(nothing).count() == 0
+    assert all(by[i].base_failed and not by[i].kept and by[i]["measures"]["n_words"] == 0 for i in (100, 101, 102))
+    assert by[103]["measures"]["n_words"] == 20_000 and quality_rules.quality_rules(nothing).count() == 0
 
 
 def test_repeated_words_cover_windows_once(spark):
     a = [f"a{i}" for i in range(10)]
     text = " ".join(a + ["x"] + a + ["y", "z"])
-    got = quality_rules.quality_rules(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["_m"]
+    got = quality_rules.quality_rules(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["measures"]
     assert got["n_repeat_words"] == 20 and got["n_words"] == 23
+
+
+def test_other_languages_pass_the_stop_word_rule(spark):
+    text = " ".join(f"slovo{i}" for i in range(40))
+    d = spark.createDataFrame([(1, text, "pl", 1, 2), (2, text, "en", 1, 2), (3, text, None, 1, 2)], "doc_id long, text string, lang string, words int, `lines` int")
+    out = {r.doc_id: r for r in quality_rules.quality_rules(d).collect()}
+    assert (out[1].kept, out[2].kept, out[3].kept) == (True, False, False) and (out[1].words, out[1].lines) == (1, 2)
+    assert quality_rules.quality_rules(d, stop_words=["slovo1"]).filter("kept").count() == 3
