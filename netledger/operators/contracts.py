@@ -102,21 +102,26 @@ def usable_at(date: Column, crs: Column, wanted: int, valid_from: Column, valid_
     return F.coalesce((epsg(crs) == wanted) & after & before, F.lit(False))
 
 
-#: Fields that a descriptor of a dataset must have.
-DESCRIPTOR_FIELDS = ("dataset_id", "family", "title", "publisher", "format", "license", "terms")
+#: Text fields that a descriptor of a dataset must have, and families of datasets.
+DESCRIPTOR_FIELDS = ("dataset_id", "family", "title", "publisher", "format", "mime", "coverage_date", "granularity", "geometry", "license", "terms")
+DESCRIPTOR_FAMILIES = ("population_mesh", "admin_boundary", "depop_designation", "road", "rail", "bus", "p30")
 
 
-def descriptor_tests(families: list[str]) -> dict[str, Column]:
-    """Tests of dataset descriptors, for ``problems``: required fields, dates, families, and a licence for
-    whatever may be released. Rows with a geometry need a coordinate system."""
+def descriptor_tests(families: tuple[str, ...] | list[str] = DESCRIPTOR_FAMILIES) -> dict[str, Column]:
+    """Tests of dataset descriptors, for ``problems``: required fields, dates, families, the coordinate
+    system, the fields of the data with their types (field_schema: array<struct<name, type>>), units of
+    populations, and a review of whatever may be released."""
     from netledger.functions.text import iso_date
 
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
     tests = {f"{f}_missing": blank(F.col(f)) for f in DESCRIPTOR_FIELDS}
     tests["family_unknown"] = ~F.coalesce(F.col("family").isin(*families), F.lit(False))
-    tests["coverage_date_bad"] = iso_date(F.col("coverage_date")).isNull()
-    tests["crs_missing"] = ~blank(F.col("geometry")) & (F.col("geometry") != "none") & F.col("crs_epsg").isNull()
-    tests["release_without_licence"] = F.coalesce(F.col("public_release_allowed"), F.lit(False)) & blank(F.col("license"))
+    tests["coverage_date_bad"] = ~blank(F.col("coverage_date")) & iso_date(F.col("coverage_date")).isNull()
+    tests["crs_bad"] = ~F.coalesce(F.col("crs_epsg") > 0, F.lit(False))
+    tests["field_schema_bad"] = F.col("field_schema").isNull() | F.exists("field_schema", lambda f: blank(f["name"]) | blank(f["type"]))
+    tests["units_missing"] = (F.col("family") == "population_mesh") & blank(F.col("units"))
+    tests["release_flag_missing"] = F.col("public_release_allowed").isNull()
+    tests["release_without_review"] = F.coalesce(F.col("public_release_allowed"), F.lit(False)) & blank(F.col("release_review_id"))
     return tests
 
 

@@ -64,15 +64,18 @@ def _finite(*columns: str) -> Column:
     return out
 
 
-def nearest(left: DataFrame, right: DataFrame, cell: float = 0.5) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, cell: float | None = None) -> DataFrame:
     """(lid, rid, distance): the nearest right point (rid, lat, lon) of each left one by great circle.
 
-    Cells of about ``cell`` degrees are searched with their neighbours, across the antimeridian, too; a
+    Cells of about ``cell`` degrees, half a degree or less by the number of right points, are searched with
+    their neighbours, across the antimeridian, too; a
     point is settled once its best is no farther than these surely cover. Cells double each round, and
     only open points go on. Ties go to the least rid. Points that no round settles within the globe
     keep their best. Left points without coordinates have a null rid; such right points don't count.
     """
     held = right.filter(_finite("lat", "lon")).select("rid", F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
+    if cell is None:  # towns hold most points, so cells start small where there are many
+        cell = min(0.5, max(0.005, 0.5 / max(1.0, held.count() / 10_000) ** 0.5))
     todo = left.filter(_finite("lat", "lon")).select("lid", "lat", "lon")
     lost = left.filter(~_finite("lat", "lon")).select("lid", F.lit(None).cast(right.schema["rid"].dataType).alias("rid"), F.lit(None).cast("double").alias("distance"))
     done = [lost]
@@ -105,8 +108,9 @@ def nearest(left: DataFrame, right: DataFrame, cell: float = 0.5) -> DataFrame:
 def point_in_polygon(points: DataFrame, polygons: DataFrame, size: float = 1.0) -> DataFrame:
     """(pid, polygon): the first polygon by ``ord`` that holds the point, by the even-odd rule.
 
-    ``polygons`` (polygon, ord, rings: array<array<struct<x,y>>>). Edges of all rings are dealt into
-    the cells of the polygon's bounding box; crossings are counted per point and polygon.
+    ``polygons`` (polygon, ord, rings: array<array<struct<x,y>>>). Points meet the polygons whose bounding
+    box covers their cell, and of these only the edges that reach into their row of cells, as no other
+    edge can cross the line through them; crossings are counted per point and polygon.
     """
     ring = polygons.select("polygon", "ord", F.posexplode("rings").alias("part", "ring"))
     edges = ring.select("polygon", "ord", F.explode(F.zip_with("ring", F.concat(F.slice("ring", 2, F.greatest(F.size("ring") - 1, F.lit(0))), F.slice("ring", 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("e"))
@@ -115,7 +119,8 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, size: float = 1.0)
     cells = box.select("*", F.explode(span("x0", "x1")).alias("cx")).select("*", F.explode(span("y0", "y1")).alias("cy"))
     inside_box = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))
     placed = points.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)}).join(cells, ["cx", "cy"]).filter(inside_box)
-    met = placed.select("pid", "x", "y", "polygon", "ord").join(edges, ["polygon", "ord"])
+    in_rows = edges.select("*", F.explode(F.sequence(F.floor(F.least("e.a.y", "e.b.y") / size), F.floor(F.greatest("e.a.y", "e.b.y") / size))).alias("cy"))
+    met = placed.select("pid", "x", "y", "polygon", "ord", "cy").join(in_rows, ["polygon", "ord", "cy"])
     a, b = F.col("e.a"), F.col("e.b")
     straddles = (a["y"] > F.col("y")) != (b["y"] > F.col("y"))
     left_of = F.col("x") < F.try_divide((b["x"] - a["x"]) * (F.col("y") - a["y"]), b["y"] - a["y"]) + a["x"]

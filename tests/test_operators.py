@@ -273,9 +273,19 @@ def test_guards_and_descriptors(spark):
     assert (r.a, r.b, r.c, r.d, r.e) == (True, False, False, False, True)
     guard = lambda rows: spark.createDataFrame(rows, "d double, p long, q long").agg(contracts.access_guard(F.col("d"), F.col("p"), F.col("q")).alias("g")).first().g
     assert guard([(500.0, 100, 20)]) is None and guard([(None, 100, 20)]) == "not_evaluable" and guard([(1.0, 100, 200)]) == "bad_population" and guard([]) == "zero_population"
-    rows = [("a", "f", "t", "p", "csv", "l", "x", "2024-01-01", "point", 6668, True), ("b", "g", "t", "p", "csv", "", "x", "2024-02-30", "point", None, True)]
-    d = spark.createDataFrame(rows, "dataset_id string, family string, title string, publisher string, format string, license string, terms string, coverage_date string, geometry string, crs_epsg int, public_release_allowed boolean")
-    assert {x.code for x in contracts.problems(d, contracts.descriptor_tests(["f"]), "dataset_id").collect()} == {"license_missing", "family_unknown", "coverage_date_bad", "crs_missing", "release_without_licence"}
+    fields = [("x", "int")]
+    rows = [
+        ("a", "road", "t", "p", "csv", "text/csv", "2024-01-01", "node", "point", "l", "x", 6668, fields, None, False, None), ("b", "g", "t", "p", "csv", "", "2024-02-30", "node", "point", "", "x", None, [("", "int")], None, True, None),
+        ("c", "population_mesh", "t", "p", "csv", "m", "2024-01-01", "mesh", "polygon", "l", "x", 0, None, " ", None, "r"), ("d", "population_mesh", "t", "p", "csv", "m", "2024-01-01", "mesh", "polygon", "l", "x", 6668, fields, "persons", True, "r"),
+    ]
+    d = spark.createDataFrame(
+        rows, "dataset_id string, family string, title string, publisher string, format string, mime string, coverage_date string, granularity string, geometry string, license string, terms string, crs_epsg int, "
+        "field_schema array<struct<name:string,type:string>>, units string, public_release_allowed boolean, release_review_id string",
+    )
+    got = {(x.code, x.sample) for x in contracts.problems(d, contracts.descriptor_tests(), "dataset_id").collect()}
+    assert got == {
+        ("mime_missing", "b"), ("license_missing", "b"), ("family_unknown", "b"), ("coverage_date_bad", "b"), ("crs_bad", "b,c"), ("field_schema_bad", "b,c"), ("units_missing", "c"), ("release_flag_missing", "c"), ("release_without_review", "b"),
+    }
     assert contracts.config_problems([2, 5], ["2024-01", "2024-02"], [0, 0, 1, 1], (2, 5)) == []
     assert contracts.config_problems([2], ["2024-13"], [1, 0, 1, 1], (2, 5)) == ["radii_not_fixed", "months_not_sorted_unique", "extent_not_ordered"]
 
