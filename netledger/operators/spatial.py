@@ -14,6 +14,8 @@ from netledger.session import checkpointed
 
 #: Metres of a degree of latitude on the mean sphere.
 DEGREE = MEAN_RADIUS * 3.141592653589793 / 180
+#: Differences of Moran's I below this are rounding.
+ROUNDING = 1e-9
 
 
 def _near_cells(x: Column, y: Column, size: float, reach: int) -> Column:
@@ -67,15 +69,15 @@ def _finite(*columns: str) -> Column:
 def nearest(left: DataFrame, right: DataFrame, cell: float | None = None) -> DataFrame:
     """(lid, rid, distance): the nearest right point (rid, lat, lon) of each left one by great circle.
 
-    Cells of about ``cell`` degrees, half a degree or less by the number of right points, are searched with
+    Cells of about ``cell`` degrees, by default the smaller the more right points there are, are searched with
     their neighbours, across the antimeridian, too; a
     point is settled once its best is no farther than these surely cover. Cells double each round, and
     only open points go on. Ties go to the least rid. Points that no round settles within the globe
     keep their best. Left points without coordinates have a null rid; such right points don't count.
     """
     held = right.filter(_finite("lat", "lon")).select("rid", F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
-    if cell is None:  # towns hold most points, so cells start small where there are many
-        cell = min(0.5, max(0.005, 0.5 / max(1.0, held.count() / 10_000) ** 0.5))
+    if cell is None:  # half the width that would hold one point each if they were spread evenly
+        cell = min(8.0, max(0.005, 0.5 * (360 * 180 / max(1, held.count())) ** 0.5))
     todo = left.filter(_finite("lat", "lon")).select("lid", "lat", "lon")
     lost = left.filter(~_finite("lat", "lon")).select("lid", F.lit(None).cast(right.schema["rid"].dataType).alias("rid"), F.lit(None).cast("double").alias("distance"))
     done = [lost]
@@ -208,9 +210,10 @@ def moran_permutations(values: DataFrame, edges: DataFrame, part: list[str], per
     sizes = values.groupBy(*part).agg(F.count(F.lit(1)).alias("n"))
     observed = each.filter("run = 0").join(sizes, part).select(*part, F.col("moran").alias("observed"), F.try_divide(F.lit(-1.0), F.col("n") - 1).alias("expected"))
     met = each.filter("run > 0").join(observed, part)
-    far = F.abs(F.col("moran") - F.col("expected")) >= F.abs(F.col("observed") - F.col("expected"))
+    # sums are rounded differently in each order: what differs by less is equal
+    far = F.abs(F.col("moran") - F.col("expected")) >= F.abs(F.col("observed") - F.col("expected")) - ROUNDING
     sums = met.groupBy(*part).agg(F.first("observed").alias("o"), F.first("expected").alias("e"), F.avg("moran").alias("m"), F.stddev_samp("moran").alias("s"), F.count_if(far).alias("far"), F.count("moran").alias("runs"))
-    return sums.select(*part, F.col("o").alias("moran"), F.col("e").alias("expected"), F.try_divide(F.col("o") - F.col("m"), F.col("s")).alias("z_perm"), ((F.col("far") + 1) / (F.col("runs") + 1)).alias("p"))
+    return sums.select(*part, F.col("o").alias("moran"), F.col("e").alias("expected"), F.when(F.col("s") > ROUNDING, (F.col("o") - F.col("m")) / F.col("s")).alias("z_perm"), ((F.col("far") + 1) / (F.col("runs") + 1)).alias("p"))
 
 
 def global_moran_runs(values: DataFrame, edges: DataFrame, part: list[str]) -> DataFrame:

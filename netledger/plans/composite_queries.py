@@ -122,7 +122,7 @@ an2 AS (SELECT comp, d, arg_max(s, r) AS s FROM (SELECT DISTINCT comp, DATE '202
 c AS (SELECT m.*, s, lead(bef) OVER w AS nxt, lead(event_id) OVER w IS NULL AS is_last FROM m JOIN an2 USING (comp) WHERE kept AND at_day <= d WINDOW w AS (PARTITION BY comp ORDER BY at_day, event_id)),
 v AS (SELECT comp, count(*) FILTER (NOT is_last AND aft IS DISTINCT FROM nxt) AS breaks, bool_or(aft = s) FILTER (is_last) AS ends FROM c GROUP BY 1),
 o AS (SELECT m.event_id, coalesce(kept AND at_day <= d AND breaks = 0 AND ends, false) AS ok, CASE WHEN NOT kept THEN 'duplicate' WHEN d IS NULL THEN 'anchor_missing' WHEN at_day > d THEN 'future'
-  WHEN breaks > 0 THEN 'chain_inconsistent' WHEN NOT ends THEN 'anchor_mismatch' END AS r FROM m LEFT JOIN an2 USING (comp) LEFT JOIN v USING (comp))
+  WHEN breaks > 0 THEN 'chain_inconsistent' WHEN NOT ends THEN 'anchor_mismatch' END AS r FROM m LEFT JOIN an2 USING (comp) LEFT JOIN v USING (comp)),
 b AS (SELECT event_id % 3 = 0 AS seen, event_id % 3 = 0 AND event_id % 15 <> 0 AND event_id % 6 <> 0 AS good, ok, r FROM o)
 SELECT CASE WHEN ok THEN 'confirmed' ELSE 'announced' END AS status, ok AS state_corroborated, ok AND good AS effective_date_confirmed, CASE WHEN ok AND good THEN 'observed' WHEN ok AND NOT seen THEN 'planned' ELSE 'unknown' END AS date_basis,
   CASE WHEN NOT ok THEN r END AS reason, CASE WHEN ok AND seen AND NOT good THEN 'date_observation_conflict' WHEN NOT ok AND seen THEN 'date_observation_for_uncorroborated_event' END AS issue, count(*) AS n, count(*) FILTER (ok AND good) AS dated FROM b GROUP BY ALL""",

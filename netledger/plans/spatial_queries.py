@@ -212,8 +212,8 @@ d AS (SELECT x.c_nationkey, run, x.lid, o.v FROM x JOIN o ON x.c_nationkey = o.c
 i AS (SELECT knn.c_nationkey, a.run, sum((a.v - m) * (b.v - m)) / nullif(count(*) * any_value(var), 0) AS i, -1 / nullif(any_value(n) - 1, 0)::DOUBLE AS e
   FROM knn JOIN d AS a ON a.lid = src JOIN d AS b ON b.lid = dst AND a.run = b.run JOIN m ON m.c_nationkey = knn.c_nationkey GROUP BY ALL),
 z AS (SELECT c_nationkey, i AS o FROM i WHERE run = 0)
-SELECT c_nationkey, round(any_value(o), 6) AS moran, round(any_value(e), 6) AS expected, round((any_value(o) - avg(i)) / nullif(stddev_samp(i), 0), 6) AS z_perm,
-  (count(*) FILTER (abs(i - e) >= abs(o - e)) + 1) / (count(i) + 1) AS p FROM i JOIN z USING (c_nationkey) WHERE run > 0 GROUP BY 1""",
+SELECT c_nationkey, round(any_value(o), 6) AS moran, round(any_value(e), 6) AS expected, CASE WHEN stddev_samp(i) > 1e-9 THEN round((any_value(o) - avg(i)) / stddev_samp(i), 6) END AS z_perm,
+  (count(*) FILTER (abs(i - e) >= abs(o - e) - 1e-9) + 1) / (count(i) + 1) AS p FROM i JOIN z USING (c_nationkey) WHERE run > 0 GROUP BY 1""",
     "polygon_centroid": f"""
 WITH edge AS (SELECT * FROM (VALUES {_RINGS}) AS t(polygon, part, x1, y1, x2, y2)), k AS (SELECT *, x1 * y2 - x2 * y1 AS c FROM edge),
 p AS (SELECT polygon, part, abs(sum(c) / 2) AS area, sum((x1 + x2) * c) / (3 * sum(c)) AS cx, sum((y1 + y2) * c) / (3 * sum(c)) AS cy FROM k GROUP BY ALL)

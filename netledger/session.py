@@ -49,5 +49,5 @@ def stored(df: DataFrame) -> DataFrame:
     """Like ``checkpointed``, but as a Parquet table in the same folder: smaller on disk, and read
     by columns. For wide or large intermediate tables that several later steps read in part."""
     path = fresh_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
