@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from netledger.functions.geo import MEAN_RADIUS, haversine
+from netledger.functions.geo import MEAN_RADIUS, geodesic, haversine
 from netledger.operators.running import ranked
 from netledger.session import checkpointed
 
@@ -66,38 +66,44 @@ def _finite(*columns: str) -> Column:
     return out
 
 
-def nearest(left: DataFrame, right: DataFrame, cell: float | None = None) -> DataFrame:
-    """(lid, rid, distance): the nearest right point (rid, lat, lon) of each left one by great circle.
+def nearest_few(left: DataFrame, right: DataFrame, k: int, cell: float | None = None) -> DataFrame:
+    """(lid, near: array<struct<d, rid>>): the k nearest right points (rid, lat, lon) of each left one by great
+    circle, nearest first, fewer where there are fewer.
 
     Cells of about ``cell`` degrees, by default the smaller the more right points there are, are searched with
-    their neighbours, across the antimeridian, too; a
-    point is settled once its best is no farther than these surely cover. Cells double each round, and
-    only open points go on. Ties go to the least rid. Points that no round settles within the globe
-    keep their best. Left points without coordinates have a null rid; such right points don't count.
+    their neighbours, across the antimeridian, too; a point is settled once its k-th best is no farther than
+    these surely cover. Cells double each round, and only open points go on. Ties go to the least rid. Points
+    that no round settles within the globe keep their best. Left points without coordinates have a null
+    array; such right points don't count.
     """
     held = right.filter(_finite("lat", "lon")).select("rid", F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
     if cell is None:  # half the width that would hold one point each if they were spread evenly
         cell = min(8.0, max(0.005, 0.5 * (360 * 180 / max(1, held.count())) ** 0.5))
     todo = left.filter(_finite("lat", "lon")).select("lid", "lat", "lon")
-    lost = left.filter(~_finite("lat", "lon")).select("lid", F.lit(None).cast(right.schema["rid"].dataType).alias("rid"), F.lit(None).cast("double").alias("distance"))
-    done = [lost]
+    kind = f"array<struct<d:double,rid:{right.schema['rid'].dataType.simpleString()}>>"
+    done = [left.filter(~_finite("lat", "lon")).select("lid", F.lit(None).cast(kind).alias("near"))]
     reach, columns = 1, max(1, round(360 / cell))
+    place = Window.partitionBy("lid").orderBy("d", "rid")
     while True:
         size = 360 / columns
         probe = todo.select("*", F.explode(_on_globe(F.col("lat"), F.col("lon"), size, reach)).alias("c"))
         placed = held.withColumn("c", F.get(_on_globe(F.col("rlat"), F.col("rlon"), size, 0), F.lit(0)))
         found = probe.join(placed, "c").withColumn("d", haversine(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")))
-        best = found.groupBy("lid").agg(F.min(F.struct("d", "rid")).alias("b"))
-        met = checkpointed(todo.join(best, "lid", "left"))
+        pair = F.struct("d", "rid")
+        if k == 1:
+            best = found.groupBy("lid").agg(F.array(F.min(pair)).alias("near"))
+        else:
+            top = found.select("lid", "d", "rid").withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
+            best = top.groupBy("lid").agg(F.sort_array(F.collect_list(pair)).alias("near"))
+        met = checkpointed(todo.join(best, "lid", "left").withColumn("near", F.col("near").cast(kind)))
         # meridians draw together: a cell is narrowest at the edge of the square that is nearer a pole
         narrow = F.cos(F.radians(F.least(F.abs(F.col("lat")) + (reach + 1) * size, F.lit(90.0))))
-        sure = reach * size * DEGREE * narrow
-        settled = F.col("b.d") <= sure
-        done.append(met.filter(settled).select("lid", F.col("b.rid").alias("rid"), F.col("b.d").alias("distance")))
-        todo = met.filter(~F.coalesce(settled, F.lit(False))).select("lid", "lat", "lon")
+        settled = F.coalesce((F.size("near") == k) & (F.element_at("near", -1)["d"] <= reach * size * DEGREE * narrow), F.lit(False))
         if columns == 1:
-            done.append(met.filter(~F.coalesce(settled, F.lit(False))).select("lid", F.col("b.rid").alias("rid"), F.col("b.d").alias("distance")))
+            done.append(met.select("lid", "near"))
             break
+        done.append(met.filter(settled).select("lid", "near"))
+        todo = met.filter(~settled).select("lid", "lat", "lon")
         if todo.isEmpty():
             break
         columns //= 2
@@ -107,6 +113,24 @@ def nearest(left: DataFrame, right: DataFrame, cell: float | None = None) -> Dat
     return out
 
 
+def nearest(left: DataFrame, right: DataFrame, cell: float | None = None) -> DataFrame:
+    """(lid, rid, distance): the nearest right point of each left one by great circle, as in ``nearest_few``;
+    null where there is none."""
+    first = F.get("near", F.lit(0))
+    return nearest_few(left, right, 1, cell).select("lid", first["rid"].alias("rid"), first["d"].alias("distance"))
+
+
+def nearest_geodesic(left: DataFrame, right: DataFrame, k: int = 8, cell: float | None = None) -> DataFrame:
+    """(lid, rid, distance): of the k nearest right points by great circle the one that is nearest on the
+    ellipsoid, with that distance. Ties go to the least rid."""
+    near = nearest_few(left, right, k, cell)
+    pairs = near.select("lid", F.explode("near").alias("n")).select("lid", F.col("n.rid").alias("rid"))
+    ends = pairs.join(left.select("lid", F.col("lat").alias("a"), F.col("lon").alias("b")), "lid").join(right.select("rid", F.col("lat").alias("c"), F.col("lon").alias("d")), "rid")
+    exact = ends.select("lid", "rid", geodesic(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("g"))
+    best = exact.groupBy("lid").agg(F.min(F.struct("g", "rid")).alias("m"))
+    return near.select("lid").join(best, "lid", "left").select("lid", F.col("m.rid").alias("rid"), F.col("m.g").alias("distance"))
+
+
 def point_in_polygon(points: DataFrame, polygons: DataFrame, size: float = 1.0) -> DataFrame:
     """(pid, polygon): the first polygon by ``ord`` that holds the point, by the even-odd rule.
 

@@ -185,6 +185,22 @@ def test_nearest_over_the_antimeridian_and_without_places(spark):
     assert got == {1: 7, 2: None, 3: 7, 4: 10}
 
 
+def test_nearest_on_the_ellipsoid(spark):
+    rng = random.Random(6)
+    left = spark.createDataFrame([(i, rng.uniform(-70, 70), rng.uniform(-180, 180)) for i in range(40)] + [(99, None, 0.0)], "lid int, lat double, lon double")
+    right = spark.createDataFrame([(i, rng.uniform(-70, 70), rng.uniform(-180, 180)) for i in range(60)], "rid int, lat double, lon double")
+    every = left.filter("lat IS NOT NULL").selectExpr("lid", "lat AS a", "lon AS b").crossJoin(right.selectExpr("rid", "lat AS c", "lon AS d"))
+    by_lid = {}
+    for r in every.select("lid", "rid", geo.geodesic(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("g")).collect():
+        by_lid.setdefault(r.lid, []).append((r.g, r.rid))
+    got = {r.lid: (r.distance, r.rid) for r in spatial.nearest_geodesic(left, right, 8).collect()}
+    assert got.pop(99) == (None, None)
+    best = {i: min(v) for i, v in by_lid.items()}
+    assert {i: r for i, (_, r) in got.items()} == {i: r for i, (_, r) in best.items()} and all(got[i][0] == pytest.approx(best[i][0], abs=1e-3) for i in best)
+    few = {r.lid: len(r.near or ()) for r in spatial.nearest_few(left, right.limit(3), 8).collect()}
+    assert few.pop(99) == 0 and set(few.values()) == {3}
+
+
 def test_neighbours_leave_out_points_without_places(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0, 0), (2, 1.0, 0.0, 0), (3, None, 1.0, 0), (4, float("nan"), 1.0, 0), (5, 9.0, 9.0, 1)], "id int, x double, y double, p int")
     assert {(r.src, r.dst) for r in spatial.knn_edges(points, 2, 1.0, ["p"]).collect()} == {(1, 2), (2, 1)}
