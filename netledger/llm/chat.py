@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from netledger.llm.common import table
-from netledger.session import checkpointed, stored
+from netledger.session import stored
 
 CALL = r"(?s)<tool_call>\s*(.*?)\s*</tool_call>"
 RESULT = r"(?s)^\s*(?:<tool_response>)?\s*(\{.*\})\s*(?:</tool_response>)?\s*$"
@@ -184,25 +184,33 @@ def format_chats(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
         "conv_id", "turn", F.col("turn").alias("order_turn"), F.lit(0).alias("order_step"), F.lit("ok").alias("status"),
         nothing.alias("n_calls"), nothing.alias("n_invalid"), F.to_json(F.struct(F.col("text").alias("content"), "role")).alias("message"),
     )
-    # the few turns with calls or results, read once
-    part = checkpointed(rows.filter(F.col("has_call") | F.col("is_result")))
-    calling = part.filter("has_call").withColumn("calls", _calls(F.col("text"), schemas)).withColumn("digest", F.xxhash64("text"))
-    answers = part.filter("is_result").withColumn("v", F.try_parse_json(F.regexp_extract("text", RESULT, 1)))
-    answers = answers.withColumn("id", F.try_variant_get("v", "$.tool_call_id", "string"))
+    # the few turns with calls or results are parsed once; what is stored of them are messages and links
+    calling = rows.filter("has_call").withColumn("calls", _calls(F.col("text"), schemas)).withColumn("digest", F.xxhash64("text"))
+    calling = stored(calling.select(
+        "conv_id", "turn", "digest", F.size("calls").cast("long").alias("n_calls"), F.size(F.filter("calls", lambda c: ~c["valid"])).cast("long").alias("n_invalid"),
+        F.transform("calls", lambda c: F.struct(c["id"].alias("id"), c["after"].alias("after"))).alias("made"),
+        F.to_json(
+            F.struct(
+                F.trim(F.regexp_replace("text", CALL, "")).alias("content"), "role",
+                F.transform("calls", lambda c: F.struct(c["after"].alias("after"), c["arguments"].alias("arguments"), c["id"].alias("id"), c["name"].alias("name"), c["raw"].alias("raw"))).alias("tool_calls"),
+            )
+        ).alias("message"),
+    ))
+    content = F.coalesce(F.try_variant_get("v", "$.content", "variant"), F.try_parse_json(F.to_json(F.struct("text"))))
+    answers = rows.filter("is_result").withColumn("v", F.try_parse_json(F.regexp_extract("text", RESULT, 1))).withColumn("id", F.try_variant_get("v", "$.tool_call_id", "string"))
+    answers = stored(answers.select("conv_id", "turn", "id", F.to_json(F.struct(content.alias("content"), "role", F.col("id").alias("tool_call_id"))).alias("message")))
 
     # hash join of results to the first call of their identifier
-    made = calling.select("conv_id", "turn", "digest", F.explode("calls").alias("c")).select("conv_id", "turn", "digest", "c.id", F.col("c.after").alias("after")).filter("id IS NOT NULL")
+    made = calling.select("conv_id", "turn", "digest", F.explode("made").alias("c")).select("conv_id", "turn", "digest", "c.id", "c.after").filter("id IS NOT NULL")
     first = made.groupBy("conv_id", "id").agg(F.min("turn").alias("call_turn"))
     waits = made.select("conv_id", "id", F.explode("after").alias("needs")).filter("needs IS NOT NULL AND needs <> id")
     placed = stored(placed_calls(first, waits, answers.select("conv_id", "id", "turn")))
     linked = answers.alias("r").join(placed.hint("shuffle_hash").alias("c"), F.col("r.conv_id").eqNullSafe(F.col("c.conv_id")) & (F.col("r.id") == F.col("c.id")), "left")
     orphan = F.col("c.id").isNull()
-    content = F.coalesce(F.try_variant_get("v", "$.content", "variant"), F.try_parse_json(F.to_json(F.struct("text"))))
     place = F.when(orphan, _own(F.col("r.turn"))).otherwise(F.greatest(_own(F.col("r.turn")), _later(F.col("c.place"))))
     results = linked.select(
         "r.conv_id", "r.turn", place["turn"].alias("order_turn"), place["step"].alias("order_step"), F.when(orphan, "orphan_result").otherwise("ok").alias("status"),
-        nothing.alias("n_calls"), nothing.alias("n_invalid"),
-        F.to_json(F.struct(content.alias("content"), F.col("r.role").alias("role"), F.col("r.id").alias("tool_call_id"))).alias("message"),
+        nothing.alias("n_calls"), nothing.alias("n_invalid"), "r.message",
     )
 
     # and of calls to whether they were answered, and to where they stand
@@ -214,18 +222,10 @@ def format_chats(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     asked = calling.alias("x").join(
         open_calls.alias("o"), F.col("x.conv_id").eqNullSafe(F.col("o.conv_id")) & F.col("x.turn").eqNullSafe(F.col("o.turn")) & (F.col("x.digest") == F.col("o.digest")), "left"
     )
-    invalid = F.size(F.filter("calls", lambda c: ~c["valid"])).cast("long")
     stands = F.greatest(_own(F.col("x.turn")), F.col("o.place"))
     asked = asked.select(
         "x.conv_id", "x.turn", stands["turn"].alias("order_turn"), stands["step"].alias("order_step"),
-        F.when(invalid > 0, "invalid_call").when(F.coalesce("o.open", F.lit(True)), "unanswered_call").otherwise("ok").alias("status"),
-        F.size("calls").cast("long").alias("n_calls"), invalid.alias("n_invalid"),
-        F.to_json(
-            F.struct(
-                F.trim(F.regexp_replace("x.text", CALL, "")).alias("content"), F.col("x.role").alias("role"),
-                F.transform("calls", lambda c: F.struct(c["after"].alias("after"), c["arguments"].alias("arguments"), c["id"].alias("id"), c["name"].alias("name"), c["raw"].alias("raw"))).alias("tool_calls"),
-            )
-        ).alias("message"),
+        F.when(F.col("n_invalid") > 0, "invalid_call").when(F.coalesce("o.open", F.lit(True)), "unanswered_call").otherwise("ok").alias("status"), "n_calls", "n_invalid", "message",
     )
     return messages.unionByName(results).unionByName(asked)
 
