@@ -36,6 +36,9 @@ THRESHOLD = 0.93
 LEAST_PIVOTS, MOST_PIVOTS, PER_ROOT, SAMPLE = 1024, 4096, 4, 4
 NEAREST, SHARED = 7, 3
 
+#: Vectors of one cell from which on their centre is sent to them.
+LARGE_CELL = 256
+
 _MARGIN = 1e-6  # of angles, against rounding
 
 
@@ -123,8 +126,13 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # balls
     cell = [F.col("part"), *[F.get("near", F.lit(i)) for i in range(3)]]
     celled = node.withColumn("cell", F.xxhash64(*cell))
-    centre = celled.groupBy("part", "cell").agg(F.min_by(F.struct("node", "v"), "node").alias("c"))
-    placed = celled.join(centre, ["part", "cell"]).withColumn("far", _angle(F.col("v"), F.col("c.v")))
+    centre = checkpointed(celled.groupBy("part", "cell").agg(F.min_by(F.struct("node", "v"), "node").alias("c"), F.count(F.lit(1)).alias("n")))
+    # cells with a thousandth of all vectors or more are a thousand at most; their members stay where they are
+    large = max(LARGE_CELL, node.count() // 1000)
+    hot, usual = centre.filter(F.col("n") >= large).drop("n"), centre.filter(F.col("n") < large).drop("n")
+    near_hot = celled.join(F.broadcast(hot), ["part", "cell"])
+    near_usual = celled.join(F.broadcast(hot.select("part", "cell")), ["part", "cell"], "left_anti").join(usual, ["part", "cell"])
+    placed = near_hot.unionByName(near_usual).withColumn("far", _angle(F.col("v"), F.col("c.v")))
     inside = F.col("far") <= limit / 2 - _MARGIN
     placed = checkpointed(
         placed.select(
