@@ -9,7 +9,7 @@ similarity of 0.8 always holds such a run. Equal blocks form classes by an aggre
 
 Paragraphs are the lines of at least LINE words, and whole texts of MIN_WORDS words that are shorter.
 They are compared by the sets of their 5-word shingles: BANDS bands of one minimum each find a pair of
-similarity 0.8 with a chance of 1 - 0.2 ** BANDS = 0.9997. Paragraphs that collide are joined and verified
+similarity 0.8 with a chance of 1 - 0.2 ** BANDS = 0.998. Paragraphs that collide are joined and verified
 by exact Jaccard similarity. The members of lists of more than CROWD paragraphs are not paired within
 them: they are compared by prefixes of their shingle sets, which lose no pair at the similarity.
 
@@ -32,15 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from netledger.llm.common import bounded, jaccard, shingle_set, spread, table
-from netledger.llm.simhash import mixed, parities, shingles, similar_links
+from netledger.llm.simhash import PARITIES, mixed, parities, shingles, similar_links
 from netledger.operators.graph import connected_components
 from netledger.session import checkpointed, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 BLOCK, REACH = 16, 15
 LINE, MIN_WORDS = 20, 8
-BANDS = 5
+BANDS = 4
 CROWD = 16
+#: Keys before a key by which pairs of crowded lists are made once.
+HEADS = 8
 
 #: Texts and shingles that a task handles at a time.
 SLICE, FLUSH = 256, 1 << 18
@@ -93,13 +95,13 @@ def block_hash(h: np.ndarray, at: np.ndarray, lane: int) -> np.ndarray:
 
 def hashed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, text_hash); the hash tells apart texts of one id."""
-    return docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    return docs.select("doc_id", "text", F.hash(F.coalesce("text", F.lit(""))).alias("text_hash"))
 
 
 def units(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, start, end, d1, d2, n, mask, b0, b1, ...) of every block and paragraph.
 
-    d1 and d2 are 128 bits of a hash of its words in lower case. For paragraphs n is the number of
+    d1 and d2 are 96 bits of a hash of its words in lower case. For paragraphs n is the number of
     different shingles, mask the parity of those that fall on each of 64 bits, and b0, b1, ... the keys
     of the bands; blocks have null there.
     """
@@ -115,18 +117,18 @@ def units(docs: DataFrame) -> DataFrame:
                 columns = [np.concatenate(c) for c in rest]
                 none = len(which)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, kind).take(pa.array(which)), pa.array(np.array(texts, np.int64)[which]), *[pa.array(c.astype(np.int32)) for c in columns[:2]],
-                    *[pa.array(c.view(np.int64)) for c in columns[2:]], pa.nulls(none, pa.int32()), *[pa.nulls(none, pa.int64())] * (1 + BANDS),
+                    pa.array(ids, kind).take(pa.array(which)), pa.array(np.array(texts, np.int32)[which]), *[pa.array(c.astype(np.int32)) for c in columns[:2]],
+                    pa.array(columns[2].view(np.int64)), pa.array((columns[3] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.nulls(none, pa.int32()), *[pa.nulls(none, pa.int64())] * (1 + BANDS),
                 ], names=names)
             if lines:
                 ids, texts, starts, ends, digests = zip(*lines)
                 n = np.array([len(x) for x in sets])
                 at, h = np.cumsum(n) - n, np.concatenate(sets)
-                wide = np.array([((d >> 64) & (2**64 - 1), d & (2**64 - 1)) for d in digests], np.uint64).view(np.int64)
+                d1, d2 = np.array([d >> 64 for d in digests], np.uint64).view(np.int64), np.array([d & (2**32 - 1) for d in digests], np.uint32).view(np.int32)
                 mask = np.bitwise_xor.reduceat(np.uint64(1) << (mixed(h, 77) >> np.uint64(58)), at)
                 bands = [mixed(np.minimum.reduceat(mixed(h, 1 + i), at), 101 + i) for i in range(BANDS)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, kind), pa.array(texts, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(wide[:, 0]), pa.array(wide[:, 1]),
+                    pa.array(ids, kind), pa.array(texts, pa.int32()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(d1), pa.array(d2),
                     pa.array(n.astype(np.int32)), *[pa.array(c.view(np.int64)) for c in (mask, *bands)],
                 ], names=names)
 
@@ -156,7 +158,7 @@ def units(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "text_hash", "start", "end", "d1", "d2", "n", "mask", *_BAND]
-    schema = f"doc_id {kind}, text_hash long, start int, end int, d1 long, d2 long, n int, mask long, " + ", ".join(f"{b} long" for b in _BAND)
+    schema = f"doc_id {kind}, text_hash int, start int, end int, d1 long, d2 int, n int, mask long, " + ", ".join(f"{b} long" for b in _BAND)
     return hashed(docs).mapInArrow(run, schema)
 
 
@@ -171,7 +173,7 @@ def band_lists(paragraphs: DataFrame) -> DataFrame:
     """(d1, n, mask, key, length) of the lists of bands that hold several different paragraphs."""
     postings = paragraphs.select("d1", "n", "mask", F.explode(F.array(*_BAND)).alias("key"))
     several = postings.groupBy("key").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo < hi").select("key")
-    shared = checkpointed(postings.join(several, "key").distinct())
+    shared = stored(postings.join(several, "key").distinct())
     return shared.join(shared.groupBy("key").agg(F.count(F.lit(1)).alias("length")), "key")
 
 
@@ -189,19 +191,19 @@ def texts_of(docs: DataFrame, paragraphs: DataFrame, wanted: DataFrame) -> DataF
 
 def links(docs: DataFrame, paragraphs: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """Verified links (a, b) between the d1 of different paragraphs that share a band."""
-    listed = checkpointed(band_lists(paragraphs))
+    listed = stored(band_lists(paragraphs))
     few, many = listed.filter(F.col("length") <= crowd), listed.filter(F.col("length") > crowd).select(F.col("d1").alias("id")).distinct()
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.d1") < F.col("y.d1")) & fits("x.", "y.", similarity))
     pairs = checkpointed(pairs.select(F.col("x.d1").alias("a"), F.col("y.d1").alias("b")).distinct())
     texts = stored(texts_of(docs, paragraphs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(many).distinct()))
-    sets = checkpointed(texts.select("id", shingle_set(F.col("text"), SHINGLE).alias("s")))
+    sets = stored(texts.select("id", shingle_set(F.col("text"), SHINGLE).alias("s")))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     found = both.filter(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b")
     many = checkpointed(many)
     if many.isEmpty():
         return found
     crowded = texts.join(many, "id", "left_semi")
-    return found.union(similar_links(crowded, checkpointed(parities(crowded, SHINGLE)), lambda ids: crowded.join(ids, "id", "left_semi"), SHINGLE, similarity))
+    return found.union(similar_links(crowded, stored(parities(crowded, SHINGLE)), lambda ids: sets.join(ids, "id", "left_semi"), SHINGLE, similarity, PARITIES, HEADS))
 
 
 def classes_of(found: DataFrame) -> DataFrame:
@@ -213,8 +215,12 @@ def classes_of(found: DataFrame) -> DataFrame:
 def repeated_units(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(doc_id, text_hash, start, end, keeper_doc_id, keeper_start, kept) of every unit that repeats across documents."""
     cut = stored(units(docs))
-    blocks, paragraphs = cut.filter("n IS NULL"), cut.filter("n IS NOT NULL")
-    equal = classes_of(blocks).filter(F.col("first.doc_id") < F.col("last")).select("d1", "d2", F.col("first").alias("keeper"))
+    blocks, paragraphs = cut.filter("n IS NULL").select("doc_id", "text_hash", "start", "end", "d1", "d2"), cut.filter("n IS NOT NULL")
+    # most blocks stand alone: those that don't are told by 64 bits first, so little else is shuffled with them
+    several = blocks.groupBy("d1").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("d1")
+    common = stored(blocks.join(several.hint("merge"), "d1"))
+    equal = classes_of(common).filter(F.col("first.doc_id") < F.col("last")).select("d1", "d2", F.col("first").alias("keeper"))
+    found = common.join(equal, ["d1", "d2"])
 
     joined = connected_components(links(docs, paragraphs, crowd=crowd), "a", "b")
     labelled = checkpointed(
@@ -226,8 +232,7 @@ def repeated_units(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     # a component reaches over documents if any of its ids is above the least one
     whole = whole.filter(F.col("keeper.doc_id") < F.greatest("most", "other"))
     near = labelled.alias("l").join(whole.alias("w"), (F.col("l.component") == F.col("w.component")) & F.col("l.alone").eqNullSafe(F.col("w.alone"))).select("d1", "d2", "w.keeper")
-    members = checkpointed(equal.withColumn("block", F.lit(True)).unionByName(near.withColumn("block", F.lit(False))))
-    placed = cut.select("doc_id", "text_hash", "start", "end", "d1", "d2", F.col("n").isNull().alias("block")).join(bounded(members), ["d1", "d2", "block"])
+    placed = found.unionByName(paragraphs.select("doc_id", "text_hash", "start", "end", "d1", "d2").join(bounded(checkpointed(near)), ["d1", "d2"]))
     kept = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("start") == F.col("keeper.start"))
     return placed.select(
         "doc_id", "text_hash", "start", "end", F.col("keeper.doc_id").alias("keeper_doc_id"), F.col("keeper.start").alias("keeper_start"), F.coalesce(kept, F.lit(False)).alias("kept")

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from netledger.llm.common import bounded, jaccard, shingle_set, spread, table
+from netledger.llm.common import bounded, jaccard, named, shingle_set, spare, spread, table
 from netledger.operators.graph import connected_components
 from netledger.session import checkpointed, stored
 
@@ -186,7 +186,7 @@ WORDS, SIMILARITY, LANES = 5, 0.8, 8
 #: Lanes of parity bits, which rule out unlike pairs before their texts are read.
 PARITIES = 16
 #: Lanes of them folded to fewer, which go with the lists.
-FOLDED = [f"q{i}" for i in range(4)]
+FOLDS = 4
 #: Lists of more members are first linked to a leader, so that linked pairs needn't be made.
 PAIRED = 4
 #: Frequent shingles: rows of the sample that tells them, rows that hold one, and how many go last.
@@ -215,11 +215,12 @@ def frequent_shingles(docs: DataFrame, total: int, k: int = WORDS, sample: int =
     return np.array([r.h for r in reversed(rows)], np.int64).view(np.uint64)
 
 
-def prefixes(docs: DataFrame, frequent: np.ndarray, k: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, n, key) of (id, text): the first of a text's n distinct shingles, in an order for all texts.
+def prefixes(docs: DataFrame, frequent: np.ndarray, k: int = WORDS, similarity: float = SIMILARITY, heads: int = 0) -> DataFrame:
+    """(id, n, key), with ``heads`` also head, of (id, text): the first of a text's n distinct shingles, in an order for all texts.
 
     Of n shingles, the first n - ceil(similarity * n) + 1 are taken; texts of the similarity share one
-    of them in any order. Here ``frequent`` ones come last, others by their hash.
+    of them in any order. Here ``frequent`` ones come last, others by their hash. ``head`` holds the
+    first ``heads`` of the keys before a key.
     """
     by_hash = np.argsort(frequent)
     known = frequent[by_hash]
@@ -230,7 +231,13 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, k: int = WORDS, similarity:
         def flush(ids: list, sizes: list, keys: list) -> pa.RecordBatch:
             taken = [len(x) for x in keys]
             columns = [np.repeat(np.array(ids, np.int64), taken), np.repeat(np.array(sizes, np.int32), taken), np.concatenate(keys).view(np.int64)]
-            return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["id", "n", "key"])
+            arrays = list(map(pa.array, columns))
+            if heads:
+                before = [np.minimum(np.arange(n), heads) for n in taken]
+                ends = np.concatenate([[0], np.cumsum(np.concatenate(before))])
+                values = np.concatenate([x[:m] for x, few in zip(keys, before) for m in few])
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64))))
+            return pa.RecordBatch.from_arrays(arrays, names=["id", "n", "key", "head"][: len(arrays)])
 
         for batch in batches:
             ids, sizes, keys, held = [], [], [], 0
@@ -257,31 +264,36 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, k: int = WORDS, similarity:
             if held:
                 yield flush(ids, sizes, keys)
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n int, key long")
+    return docs.select("id", "text").mapInArrow(run, "id long, n int, key long" + ", head array<long>" * bool(heads))
 
 
 def shared_prefixes(postings: DataFrame) -> DataFrame:
     """The postings (id, n, key) whose key several ids have, each once, with the length of its list."""
     w = Window.partitionBy("key")
     told = postings.select("*", F.min("id").over(w).alias("lo"), F.max("id").over(w).alias("hi"), F.count(F.lit(1)).over(w).alias("length"))
-    return told.filter("lo < hi").select("id", "n", "key", "length").distinct()
+    return told.filter("lo < hi").select(*postings.columns, "length").distinct()
 
 
-def folded(parity: DataFrame) -> DataFrame:
+def folded(parity: DataFrame, lanes: int = FOLDS) -> DataFrame:
     """(id, q0, ...) of (id, p0, ...): parity bits of fewer and larger sets of hashes."""
-    lanes = []
-    for i, q in enumerate(FOLDED):
+    out = []
+    for i in range(lanes):
         lane = F.col(f"p{i}")
-        for j in range(i + len(FOLDED), PARITIES, len(FOLDED)):
+        for j in range(i + lanes, PARITIES, lanes):
             lane = lane.bitwiseXOR(F.col(f"p{j}"))
-        lanes.append(lane.alias(q))
-    return parity.select("id", *lanes)
+        out.append(lane.alias(f"q{i}"))
+    return parity.select("id", *out)
 
 
-def fits(x: str, y: str, similarity: float) -> Column:
+def folds_of(shared: DataFrame) -> list[str]:
+    """The columns of parity bits that go with lists."""
+    return [c for c in shared.columns if c[:1] == "q" and c[1:].isdigit()]
+
+
+def fits(x: str, y: str, similarity: float, folds: list[str]) -> Column:
     """Whether sizes and folded parity bits of two sides allow the similarity."""
     size = F.least(f"{x}n", f"{y}n") >= similarity * F.greatest(f"{x}n", f"{y}n") - 1e-6
-    differ = [F.bit_count(F.col(x + q).bitwiseXOR(F.col(y + q))) for q in FOLDED]
+    differ = [F.bit_count(F.col(x + q).bitwiseXOR(F.col(y + q))) for q in folds]
     return size & (sum(differ[1:], differ[0]) <= (1 - similarity) / (1 + similarity) * (F.col(f"{x}n") + F.col(f"{y}n")) + 1e-6)
 
 
@@ -292,8 +304,8 @@ def led_pairs(shared: DataFrame, similarity: float = SIMILARITY, paired: int = P
     """
     long = shared.filter(F.col("length") > paired)
     score = long.groupBy("id").agg(F.sum("length").alias("score"))
-    leader = long.join(score, "id").groupBy("key").agg(F.max(F.struct("score", "id", "n", *FOLDED)).alias("l"))
-    led = long.join(leader, "key").filter(fits("", "l.", similarity))
+    leader = long.join(score, "id").groupBy("key").agg(F.max(F.struct("score", "id", "n", *folds_of(shared))).alias("l"))
+    led = long.join(leader, "key").filter(fits("", "l.", similarity, folds_of(shared)))
     return led.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).filter("a <> b").distinct()
 
 
@@ -304,11 +316,14 @@ def unlinked_pairs(shared: DataFrame, groups: DataFrame, similarity: float = SIM
     Of two members in different groups one is outside the commonest group of the list, so only those
     are paired with all.
     """
-    labelled = shared.join(groups, F.col("id") == F.col("vertex"), "left").select("id", "n", "key", *FOLDED, F.coalesce("component", "id").alias("label"))
+    labelled = shared.join(groups, F.col("id") == F.col("vertex"), "left").select(*shared.columns, F.coalesce("component", "id").alias("label"))
     counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     main = counts.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("m", "label"))["label"].alias("main")).filter("labels > 1").select("key", "main")
-    several = checkpointed(labelled.join(main, "key"))
-    met = several.filter("label <> main").alias("x").join(several.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & fits("x.", "y.", similarity))
+    several = stored(labelled.join(main, "key"))
+    alike = fits("x.", "y.", similarity, folds_of(shared))
+    if "head" in shared.columns:
+        alike = alike & ~F.arrays_overlap("x.head", "y.head")
+    met = several.filter("label <> main").alias("x").join(several.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & alike)
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
@@ -328,20 +343,22 @@ def parities(texts: DataFrame, k: int = WORDS) -> DataFrame:
     return fingerprints(texts, "id", k, 0, True, PARITIES)
 
 
-def similar_links(each: DataFrame, parity: DataFrame, texts: Callable[[DataFrame], DataFrame], k: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def similar_links(each: DataFrame, parity: DataFrame, sets: Callable[[DataFrame], DataFrame], k: int = WORDS, similarity: float = SIMILARITY, lanes: int = FOLDS, heads: int = 0) -> DataFrame:
     """Links (a, b) between texts (id, text) with the components of all pairs at the similarity.
 
     Texts that share a shingle of their prefixes are compared unless they are linked already, so no
-    pair at the similarity is lost. ``texts`` gives (id, text) of a table of some ids.
+    pair at the similarity is lost. ``sets`` gives (id, s), their shingle sets, of a table of some ids. For
+    families of many texts that are nearly similar, more ``lanes`` of parity bits go with the lists, and
+    ``heads`` keys before each, by which a pair is made in the first list that both are in only.
     """
-    keys = prefixes(each, frequent_shingles(each, each.count(), k), k, similarity)
-    shared = checkpointed(shared_prefixes(keys).join(folded(parity), "id"))
+    keys = prefixes(each, frequent_shingles(each, each.count(), k), k, similarity, heads)
+    shared = stored(shared_prefixes(keys).join(folded(parity, lanes), "id"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = checkpointed(possible_pairs(pairs, parity, similarity))
         needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        sets = stored(texts(needed).groupBy("id").agg(F.first(shingle_set(F.col("text"), k)).alias("s")))
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        mine = sets(needed)
+        both = pairs.join(mine.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(mine.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         return checkpointed(both.filter(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b"))
 
     first = linked(led_pairs(shared, similarity))
@@ -360,16 +377,18 @@ def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: float = SI
     """
     columns = docs.columns
     digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    marked = docs.withColumn("_digest", digest)
+    mark = spare("digest", columns)
+    marked = docs.withColumn(mark, digest)
     prints = [f"f{i}" for i in range(LANES)]
-    found = checkpointed(fingerprints(marked.select(F.struct("doc_id", F.col("_digest").alias("digest")).alias("node"), "text"), "node", k, LANES, True, PARITIES))
+    found = stored(fingerprints(marked.select(F.struct("doc_id", F.col(mark).alias("digest")).alias("node"), "text"), "node", k, LANES, True, PARITIES))
     bits = ["n", *(f"p{i}" for i in range(PARITIES))]
-    classes = checkpointed(found.groupBy(*prints).agg(F.min(F.struct("node", *bits)).alias("c")).select(*prints, "c.*"))
+    classes = stored(found.groupBy(*prints).agg(F.min(F.struct("node", *bits)).alias("c")).select(*prints, "c.*"))
     nodes = checkpointed(classes.select("node.*", F.xxhash64("node").alias("id")))
-    at = F.col("m.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("m._digest") == F.col("n.digest"))
-    texts = lambda some: marked.select("doc_id", "text", "_digest").alias("m").join(bounded(some).alias("n"), at).select("n.id", "m.text")
+    at = F.col("m.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col(f"m.{mark}") == F.col("n.digest"))
+    texts = lambda some: marked.select("doc_id", "text", mark).alias("m").join(bounded(some).alias("n"), at).select("n.id", "m.text")
     parity = classes.select(F.xxhash64("node").alias("id"), *bits)
-    links = similar_links(texts(nodes), parity, lambda ids: texts(checkpointed(nodes.join(ids, "id"))), k, similarity)
+    sets = lambda ids: stored(texts(checkpointed(nodes.join(ids, "id"))).groupBy("id").agg(F.first(shingle_set(F.col("text"), k)).alias("s")))
+    links = similar_links(texts(nodes), parity, sets, k, similarity)
     groups = connected_components(links, "a", "b").join(nodes, F.col("vertex") == F.col("id")).select("id", "component", F.struct("doc_id", "digest").alias("node"))
     least = groups.groupBy("component").agg(F.min("node").alias("stays"))
     joined = checkpointed(groups.join(least, "component").select("node", "stays"))
@@ -381,9 +400,9 @@ def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: float = SI
     without = lambda m, n: m.alias("m").join(bounded(n).alias("n"), at, "left_anti")
     left = without(marked, gone)
     if many.count():
-        again = left.alias("m").join(bounded(many).alias("n"), at, "left_semi").dropDuplicates(["doc_id", "_digest"])
+        again = left.alias("m").join(bounded(many).alias("n"), at, "left_semi").dropDuplicates(["doc_id", mark])
         left = without(left, many).unionByName(again)
-    return left.select(*columns)
+    return left.select(*map(named, columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
