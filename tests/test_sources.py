@@ -2,7 +2,6 @@ import struct
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from netledger.sources import bundle, files, html
 
