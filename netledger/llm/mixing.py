@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from netledger.llm.common import SPACE, named, table, words
-from netledger.session import checkpointed, stored
+from netledger.session import stored
 
 #: The weights that sources take in turn, and how often a source may be repeated.
 WEIGHTS = (1, 2, 3)
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EP
     ranges = max(1, -(-docs.count() // RANGE_ROWS))
     leading = F.conv(F.substring("key", 1, 8), 16, 10).cast("double")
     cut = rows.withColumn("range", F.floor(leading * ranges / 2.0**32))
-    sums = checkpointed(cut.groupBy("source", "range").agg(F.sum("size").alias("sum")).withColumn("group", F.floor(F.col("range") / GROUP)))
+    sums = cut.groupBy("source", "range").agg(F.sum("size").alias("sum")).withColumn("group", F.floor(F.col("range") / GROUP))
     earlier = lambda *by: Window.partitionBy("source", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     groups = sums.groupBy("source", "group").agg(F.sum("sum").alias("total"))
     skips = groups.select("source", "group", F.coalesce(F.sum("total").over(earlier("group")), F.lit(0)).alias("skip"))

@@ -203,7 +203,7 @@ def links(docs: DataFrame, paragraphs: DataFrame, similarity: float = SIMILARITY
     if many.isEmpty():
         return found
     crowded = texts.join(many, "id", "left_semi")
-    return found.union(similar_links(crowded, stored(parities(crowded, SHINGLE)), lambda ids: sets.join(ids, "id", "left_semi"), SHINGLE, similarity, PARITIES, HEADS))
+    return found.union(similar_links(crowded, stored(parities(crowded, SHINGLE)), lambda ids: sets.join(ids, "id", "left_semi"), SHINGLE, similarity, PARITIES, HEADS, stored))
 
 
 def classes_of(found: DataFrame) -> DataFrame:

@@ -309,7 +309,7 @@ def led_pairs(shared: DataFrame, similarity: float = SIMILARITY, paired: int = P
     return led.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b")).filter("a <> b").distinct()
 
 
-def unlinked_pairs(shared: DataFrame, groups: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def unlinked_pairs(shared: DataFrame, groups: DataFrame, similarity: float = SIMILARITY, keep: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
     """All pairs (a, b) of ids that share a list, may have the similarity by ``fits``, and are not in
     one of ``groups`` (vertex, component) together.
 
@@ -319,7 +319,7 @@ def unlinked_pairs(shared: DataFrame, groups: DataFrame, similarity: float = SIM
     labelled = shared.join(groups, F.col("id") == F.col("vertex"), "left").select(*shared.columns, F.coalesce("component", "id").alias("label"))
     counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     main = counts.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max(F.struct("m", "label"))["label"].alias("main")).filter("labels > 1").select("key", "main")
-    several = stored(labelled.join(main, "key"))
+    several = keep(labelled.join(main, "key"))
     alike = fits("x.", "y.", similarity, folds_of(shared))
     if "head" in shared.columns:
         alike = alike & ~F.arrays_overlap("x.head", "y.head")
@@ -343,16 +343,17 @@ def parities(texts: DataFrame, k: int = WORDS) -> DataFrame:
     return fingerprints(texts, "id", k, 0, True, PARITIES)
 
 
-def similar_links(each: DataFrame, parity: DataFrame, sets: Callable[[DataFrame], DataFrame], k: int = WORDS, similarity: float = SIMILARITY, lanes: int = FOLDS, heads: int = 0) -> DataFrame:
+def similar_links(each: DataFrame, parity: DataFrame, sets: Callable[[DataFrame], DataFrame], k: int = WORDS, similarity: float = SIMILARITY, lanes: int = FOLDS, heads: int = 0, keep: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
     """Links (a, b) between texts (id, text) with the components of all pairs at the similarity.
 
     Texts that share a shingle of their prefixes are compared unless they are linked already, so no
     pair at the similarity is lost. ``sets`` gives (id, s), their shingle sets, of a table of some ids. For
     families of many texts that are nearly similar, more ``lanes`` of parity bits go with the lists, and
-    ``heads`` keys before each, by which a pair is made in the first list that both are in only.
+    ``heads`` keys before each, by which a pair is made in the first list that both are in only. ``keep``
+    materialises the lists.
     """
     keys = prefixes(each, frequent_shingles(each, each.count(), k), k, similarity, heads)
-    shared = stored(shared_prefixes(keys).join(folded(parity, lanes), "id"))
+    shared = keep(shared_prefixes(keys).join(folded(parity, lanes), "id"))
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = checkpointed(possible_pairs(pairs, parity, similarity))
@@ -362,7 +363,7 @@ def similar_links(each: DataFrame, parity: DataFrame, sets: Callable[[DataFrame]
         return checkpointed(both.filter(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b"))
 
     first = linked(led_pairs(shared, similarity))
-    return first.union(linked(unlinked_pairs(shared, connected_components(first, "a", "b"), similarity)))
+    return first.union(linked(unlinked_pairs(shared, connected_components(first, "a", "b"), similarity, keep)))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -380,9 +381,9 @@ def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: float = SI
     mark = spare("digest", columns)
     marked = docs.withColumn(mark, digest)
     prints = [f"f{i}" for i in range(LANES)]
-    found = stored(fingerprints(marked.select(F.struct("doc_id", F.col(mark).alias("digest")).alias("node"), "text"), "node", k, LANES, True, PARITIES))
+    found = checkpointed(fingerprints(marked.select(F.struct("doc_id", F.col(mark).alias("digest")).alias("node"), "text"), "node", k, LANES, True, PARITIES))
     bits = ["n", *(f"p{i}" for i in range(PARITIES))]
-    classes = stored(found.groupBy(*prints).agg(F.min(F.struct("node", *bits)).alias("c")).select(*prints, "c.*"))
+    classes = checkpointed(found.groupBy(*prints).agg(F.min(F.struct("node", *bits)).alias("c")).select(*prints, "c.*"))
     nodes = checkpointed(classes.select("node.*", F.xxhash64("node").alias("id")))
     at = F.col("m.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col(f"m.{mark}") == F.col("n.digest"))
     texts = lambda some: marked.select("doc_id", "text", mark).alias("m").join(bounded(some).alias("n"), at).select("n.id", "m.text")
