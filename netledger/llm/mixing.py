@@ -88,7 +88,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EP
     )
     inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
     placed = cut.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("c").join(
-        starts.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")) & (F.col("c.range") == F.col("s.range"))
+        starts.hint("merge").alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")) & (F.col("c.range") == F.col("s.range"))
     )
     budget = F.round(F.col("target")).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
