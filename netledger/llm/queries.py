@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netledger.llm import chat, embeddings, mixing, paragraphs, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash, warc
+from netledger.llm import chat, embeddings, mixing, paragraphs, periodic_runs, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secrets": secrets.query,
     "op9_chat": chat.query,
     "op10_quality_rules": quality_rules.query,
+    "op11_periodic_runs": periodic_runs.query,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op8_secrets": secrets.SQL,
     "op9_chat": chat.SQL,
     "op10_quality_rules": quality_rules.SQL,
+    "op11_periodic_runs": periodic_runs.SQL,
 }
