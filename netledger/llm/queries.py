@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netledger.llm import chat, embeddings, mixing, paragraphs, periodic_runs, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash, warc
+from netledger.llm import chat, embeddings, mixing, paragraphs, periodic_runs, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash, vector_codes, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat": chat.query,
     "op10_quality_rules": quality_rules.query,
     "op11_periodic_runs": periodic_runs.query,
+    "op12_vector_codes": vector_codes.query,
 }
 
 ORACLE_SQL = {
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op9_chat": chat.SQL,
     "op10_quality_rules": quality_rules.SQL,
     "op11_periodic_runs": periodic_runs.SQL,
+    "op12_vector_codes": vector_codes.SQL,
 }
