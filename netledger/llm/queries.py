@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netledger.llm import chat, embeddings, mixing, paragraphs, periodic_runs, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash, vector_codes, warc
+from netledger.llm import chat, embeddings, metric_search, mixing, paragraphs, periodic_runs, quality_classifier, quality_rules, secrets, sentencepiece_codec, simhash, vector_codes, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_quality_rules": quality_rules.query,
     "op11_periodic_runs": periodic_runs.query,
     "op12_vector_codes": vector_codes.query,
+    "op13_metric_search": metric_search.query,
 }
 
 ORACLE_SQL = {
@@ -28,4 +29,5 @@ ORACLE_SQL = {
     "op10_quality_rules": quality_rules.SQL,
     "op11_periodic_runs": periodic_runs.SQL,
     "op12_vector_codes": vector_codes.SQL,
+    "op13_metric_search": metric_search.SQL,
 }
