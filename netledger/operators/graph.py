@@ -68,7 +68,7 @@ def chain_problems(nodes: DataFrame, parent: str = "parent") -> DataFrame:
     selves = refs.filter("id = to").select("id", F.lit("self").alias("problem"))
     pointer = checkpointed(refs.filter("id <> to").join(known, "to", "left_semi").select("id", "to"))
     walk, stride, total = pointer, 1, pointer.count()
-    while stride < total and not walk.isEmpty():
+    while stride <= total and not walk.isEmpty():
         walk = checkpointed(walk.alias("a").join(walk.alias("b"), F.col("a.to") == F.col("b.id")).select("a.id", F.col("b.to").alias("to")))
         stride *= 2
     on_cycle = walk.select(F.col("to").alias("id")).distinct()  # where endless walks stand is on a cycle

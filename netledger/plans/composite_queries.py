@@ -28,20 +28,6 @@ def _history(series):
     return query
 
 
-def confirm_events(spark, sf_dir):
-    """Events of pairs of users as one facility: whose states continue, and end in the anchor's."""
-    e = table(spark, sf_dir, "events").filter("event_type IN ('signup', 'purchase')").select(
-        "event_id", F.col("user_id").alias("ident"), F.to_date("ts").alias("at"), (F.col("event_id") * 7 % 3).alias("before"), ((F.col("event_id") * 5 + 1) % 3).alias("after"))
-    users = e.select("ident").distinct()
-    anchors = users.filter("ident % 4 <> 3").select("ident", F.lit("2024-01-03").cast("date").alias("anchor_at"), (F.col("ident") % 3).alias("state"))
-    edges = users.filter("ident % 2 = 1").select((F.col("ident") - 1).alias("src"), F.col("ident").alias("dst"))
-    k = F.col("event_id")
-    days = F.array(F.date_add("at", F.when(k % 6 == 0, 1).otherwise(0)), F.when(k % 15 == 0, F.date_add("at", 2)))
-    seen = e.filter(k % 3 == 0).select(k, F.explode(days).alias("observed_at")).filter("observed_at IS NOT NULL")
-    out = ledger.confirm_events(e, anchors, edges, seen)
-    return out.groupBy("status", "state_corroborated", "effective_date_confirmed", "date_basis", "reason", "issue").agg(F.count(F.lit(1)).alias("n"), F.count("confirmed_date").alias("dated"))
-
-
 def capture_versions(spark, sf_dir):
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("url"), F.date_format("ts", "yyyyMMddHH").alias("captured_at"), (F.col("event_id") % 60).alias("digest"), F.col("event_id").alias("ord"))
     return ledger.captures(e)
@@ -93,7 +79,7 @@ def stream_counts(spark, sf_dir):
 
 
 QUERIES = {f"history_{s}": _history(s) for s in ledger.SERIES} | {
-    f.__name__: f for f in (confirm_events, capture_versions, promotion_outcomes, analyze_monthly, frame_colours, quality_report, stream_counts)
+    f.__name__: f for f in (capture_versions, promotion_outcomes, analyze_monthly, frame_colours, quality_report, stream_counts)
 }
 
 _LEDGER = """e AS (SELECT event_id, user_id AS entity, event_type AS kind, CASE WHEN event_id % 5 = 0 THEN 'unofficial' ELSE 'official' END AS prov, event_id % 9 <> 0 AS sure,
@@ -115,17 +101,6 @@ SELECT entity, event_id, {stamp("at_time")} AS valid_from, {stamp("lead(at_time)
 
 
 ORACLE_SQL = {f"history_{s}": _history_sql(s) for s in ledger.SERIES} | {
-    "confirm_events": """
-WITH e AS (SELECT event_id, user_id AS ident, user_id - user_id % 2 AS comp, ts::DATE AS at_day, event_id * 7 % 3 AS bef, (event_id * 5 + 1) % 3 AS aft FROM events WHERE event_type IN ('signup', 'purchase')),
-m AS (SELECT *, event_id = min(event_id) OVER (PARTITION BY ident, at_day, bef, aft) AS kept FROM e),
-an2 AS (SELECT comp, d, arg_max(s, r) AS s FROM (SELECT DISTINCT comp, DATE '2024-01-03' AS d, ident % 3 AS s, ident AS r FROM e WHERE ident % 4 <> 3) GROUP BY ALL),
-c AS (SELECT m.*, s, lead(bef) OVER w AS nxt, lead(event_id) OVER w IS NULL AS is_last FROM m JOIN an2 USING (comp) WHERE kept AND at_day <= d WINDOW w AS (PARTITION BY comp ORDER BY at_day, event_id)),
-v AS (SELECT comp, count(*) FILTER (NOT is_last AND aft IS DISTINCT FROM nxt) AS breaks, bool_or(aft = s) FILTER (is_last) AS ends FROM c GROUP BY 1),
-o AS (SELECT m.event_id, coalesce(kept AND at_day <= d AND breaks = 0 AND ends, false) AS ok, CASE WHEN NOT kept THEN 'duplicate' WHEN d IS NULL THEN 'anchor_missing' WHEN at_day > d THEN 'future'
-  WHEN breaks > 0 THEN 'chain_inconsistent' WHEN NOT ends THEN 'anchor_mismatch' END AS r FROM m LEFT JOIN an2 USING (comp) LEFT JOIN v USING (comp)),
-b AS (SELECT event_id % 3 = 0 AS seen, event_id % 3 = 0 AND event_id % 15 <> 0 AND event_id % 6 <> 0 AS good, ok, r FROM o)
-SELECT CASE WHEN ok THEN 'confirmed' ELSE 'announced' END AS status, ok AS state_corroborated, ok AND good AS effective_date_confirmed, CASE WHEN ok AND good THEN 'observed' WHEN ok AND NOT seen THEN 'planned' ELSE 'unknown' END AS date_basis,
-  CASE WHEN NOT ok THEN r END AS reason, CASE WHEN ok AND seen AND NOT good THEN 'date_observation_conflict' WHEN NOT ok AND seen THEN 'date_observation_for_uncorroborated_event' END AS issue, count(*) AS n, count(*) FILTER (ok AND good) AS dated FROM b GROUP BY ALL""",
     "capture_versions": """
 WITH e AS (SELECT user_id % 40 AS url, strftime(ts, '%Y%m%d%H') AS t, event_id % 60 AS digest, event_id FROM events), f AS (SELECT url, digest, arg_min(t, event_id) AS captured_at FROM e GROUP BY ALL),
 l AS (SELECT *, lag(captured_at) OVER (PARTITION BY url ORDER BY captured_at, digest) AS supersedes, count(*) OVER (PARTITION BY url, captured_at) AS n FROM f)

@@ -1,10 +1,10 @@
-"""Composite operators of the event ledger: corroboration, eligibility, history, captures, reviews."""
+"""Composite operators of the event ledger: eligibility, history, captures, reviews."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from netledger.operators import graph, temporal as tm
+from netledger.operators import temporal as tm
 
 SERIES = ("formal", "effective_official", "effective_with_unofficial")
 CLOSURES = (tm.CLOSED, tm.REOPENED)
@@ -44,55 +44,6 @@ def build_history(events: DataFrame, series: str, structural: tuple[str, ...] =
     return tm.intervals(opened.unionByName(start), "entity", "at", "event_id", F.col("after"))
 
 
-def confirm_events(events: DataFrame, anchors: DataFrame, edges: DataFrame, observations: DataFrame | None = None) -> DataFrame:
-    """(event_id, component, status, state_corroborated, effective_date_confirmed, confirmed_date, date_basis,
-    reason, issue) of planned events.
-
-    ``events`` (event_id, ident, at, key, before, after), ``anchors`` (ident, anchor_at, state), ``edges``
-    (src, dst) join identifiers of one facility. Repeated events (same day and states) stay out but
-    are reported. A component is corroborated if each past event continues in the next and the last past
-    one ends in the state of the anchor; its future events stay announced.
-
-    A later observation (event_id, observed_at) confirms the planned date of a corroborated event if all
-    of them name that day; other days, or several, leave the basis unknown, as they may be a delay or an
-    error. ``issue`` names such a conflict, and observations of events that aren't corroborated.
-    """
-    marked = tm.keep_first(events, ["ident", "at", "before", "after"], ["event_id"])
-    members = graph.connected_components(edges, "src", "dst")
-    comp = F.coalesce("component", "ident")
-    e = marked.join(members.select(F.col("vertex").alias("ident"), "component"), "ident", "left").withColumn("component", comp)
-    a = anchors.join(members.select(F.col("vertex").alias("ident"), "component"), "ident", "left").select(comp.alias("component"), "ident", "anchor_at", "state")
-    a = a.groupBy("component").agg(F.max("anchor_at").alias("anchor_at"), F.max_by("state", F.struct("anchor_at", "ident")).alias("state"), F.count(F.lit(1)).alias("n_anchors"))
-    met = e.join(a, "component", "left")
-    past = F.col("kept") & (F.col("at") <= F.col("anchor_at"))
-    w = Window.partitionBy("component").orderBy("at", "event_id")
-    chain = met.filter(past).withColumn("next", F.lead("before").over(w)).withColumn("is_last", F.lead("event_id").over(w).isNull())
-    verdict = chain.groupBy("component").agg(
-        F.count_if(~F.col("is_last") & ~F.col("after").eqNullSafe(F.col("next"))).alias("breaks"), F.max(F.when(F.col("is_last"), F.col("after").eqNullSafe(F.col("state")))).alias("ends_in_anchor")
-    )
-    out = met.join(verdict, "component", "left")
-    good = past & (F.col("breaks") == 0) & F.col("ends_in_anchor")
-    reason = (
-        F.when(~F.col("kept"), "duplicate").when(F.col("anchor_at").isNull(), "anchor_missing").when(F.col("at") > F.col("anchor_at"), "future")
-        .when(F.col("breaks") > 0, "chain_inconsistent").when(~F.col("ends_in_anchor"), "anchor_mismatch")
-    )
-    ok = F.coalesce(good, F.lit(False))
-    if observations is None:
-        seen = out.sparkSession.createDataFrame([], f"event_id {events.schema['event_id'].dataType.simpleString()}, observed_at {events.schema['at'].dataType.simpleString()}")
-    else:
-        seen = observations
-    index = tm.observation_index(seen.filter("event_id IS NOT NULL AND observed_at IS NOT NULL"), "event_id", "observed_at")
-    out = out.withColumn("_ok", ok).join(index, "event_id", "left")
-    held = F.col("_ok") & F.col("conflict").isNotNull()
-    dated = F.coalesce(held & ~F.col("conflict") & (F.col("observed_at") == F.col("at")), F.lit(False))
-    basis = F.when(dated, "observed").when(F.col("_ok") & F.col("conflict").isNull(), "planned").otherwise("unknown")
-    issue = F.when(held & ~dated, "date_observation_conflict").when(~F.col("_ok") & F.col("conflict").isNotNull(), "date_observation_for_uncorroborated_event")
-    return out.select(
-        "event_id", "component", F.when(F.col("_ok"), "confirmed").otherwise("announced").alias("status"), F.col("_ok").alias("state_corroborated"), dated.alias("effective_date_confirmed"),
-        F.when(dated, F.col("observed_at")).alias("confirmed_date"), basis.alias("date_basis"), F.when(~F.col("_ok"), reason).alias("reason"), issue.alias("issue"),
-    )
-
-
 def captures(rows: DataFrame) -> DataFrame:
     """(url, captured_at, digest, supersedes) from captures (url, captured_at, digest, ord).
 
