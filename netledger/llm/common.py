@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from netledger.session import checkpointed
+
 #: Java regular expression of the white space that separates words.
 SPACE = r"[\x20\x09-\x0D]+"
 #: One word.
@@ -51,6 +53,35 @@ def bounded(side: DataFrame, weight: Column | None = None) -> DataFrame:
     return F.broadcast(side) if rows <= BROADCAST_ROWS else side
 
 
+#: Words of 64 bits in a sieve: 2 MB, whatever it is made of.
+SIEVE = 1 << 18
+
+
+def _place(hashed: Column) -> tuple[Column, Column]:
+    """Word and bit of a hash in a sieve."""
+    return hashed.bitwiseAND(F.lit(SIEVE - 1)).cast("int"), F.shiftrightunsigned(hashed, 40).bitwiseAND(F.lit(63)).cast("int")
+
+
+def sieve(keys: DataFrame, *columns: Column) -> DataFrame:
+    """A bitmap of fixed size, as one row with an array of words, in which the bits of all keys are set.
+
+    With ``may_hold`` it parts the rows of a large table without a shuffle: most rows whose key isn't there are
+    known by it, and only the others need meet the keys themselves. It is the same plan at every size; with very
+    many keys it tells less, and more rows go on to the exact join.
+    """
+    word, bit = _place(F.xxhash64(*columns))
+    found = keys.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    every = keys.sparkSession.range(SIEVE).select(F.col("id").cast("int").alias("word")).join(found, "word", "left")
+    listed = F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return checkpointed(every.agg(F.transform(listed, lambda w: w["bits"]).alias("bits")))
+
+
+def may_hold(rows: DataFrame, bits: DataFrame, *columns: Column, there: bool = True) -> DataFrame:
+    """The rows whose key may be one of the sieve's, or those whose key surely isn't."""
+    word, bit = _place(F.xxhash64(*columns))
+    return rows.join(F.broadcast(bits), F.bit_get(F.get("bits", word), bit) == 1, "left_semi" if there else "left_anti")  # one row of 2 MB
+
+
 def spare(name: str, columns: list[str]) -> str:
     """A column name like ``name`` that is not taken."""
     while name.lower() in (c.lower() for c in columns):

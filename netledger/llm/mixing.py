@@ -65,13 +65,17 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("digest"))
 
 
+def _key(seed: str = "mix") -> Column:
+    return F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), "digest")))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix") -> DataFrame:
     """Rows of ``sized`` with source_size, target and taken.
 
     ``taken`` counts words with repeats. It is a multiple of the size except for the one document of
     each source at which the budget ends. Columns that aren't used later don't travel.
     """
-    rows = docs.withColumn("key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), "digest"))))
+    rows = docs.withColumn("key", _key(seed))
     # a range is named by the leading bits of the key; their number follows the number of rows
     ranges = max(1, -(-docs.count() // RANGE_ROWS))
     leading = F.conv(F.substring("key", 1, 8), 16, 10).cast("double")
@@ -103,11 +107,50 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(slim).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _order() -> Column:
+    """What the rows of a source are ordered by."""
+    return F.struct(_key().alias("key"), F.col("doc_id"), F.col("size"), F.col("digest"))
+
+
+def cuts(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+    """(source, epochs, edge, n_edge, full, rest), one row per source: how its budget falls in its order.
+
+    All rows are taken ``epochs`` times. Those before the row ``edge`` are taken once more, and those after it
+    aren't; of the ``n_edge`` rows that are equal to it (repeated ones) ``full`` are, and one gives ``rest`` words.
+    """
+    rows = mix(slim, weights, most).withColumn("order", _order())
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.round("target").cast("long") / F.col("source_size"))).otherwise(F.lit(0))
+    rows = rows.withColumn("epochs", epochs).withColumn("extra", F.col("taken") - F.col("epochs") * F.col("size"))
+    more = F.col("extra") > 0
+    whole = F.col("extra") == F.col("size")
+    last = rows.groupBy("source").agg(F.first("epochs").alias("epochs"), F.coalesce(F.max(F.when(more & ~whole, F.col("order"))), F.max(F.when(more, F.col("order")))).alias("edge"))
+    last = stored(last)
+    at = F.col("r.source").eqNullSafe(F.col("l.source")) & (F.col("r.order") == F.col("l.edge"))
+    equal = rows.alias("r").join(last.alias("l"), at).groupBy(F.col("l.source").alias("source")).agg(
+        F.count(F.lit(1)).alias("n_edge"), F.count_if(more & whole).alias("full"), F.max(F.when(more & ~whole, F.col("extra"))).alias("rest"))
+    return last.alias("l").join(equal.alias("e"), F.col("l.source").eqNullSafe(F.col("e.source")), "left").select("l.*", *[F.coalesce(f"e.{c}", F.lit(0)).alias(c) for c in ("n_edge", "full", "rest")])
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them. Where a source's budget ends within a
-    document, the last copy holds the words that are left, with single spaces between them."""
-    out = mix(sized(docs), weights, most).filter("taken > 0")
-    whole, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
+    document, the last copy holds the words that are left, with single spaces between them.
+
+    Texts are not shuffled: their sizes are stored, the budget of each source is cut on these, and every
+    row is told by where it stands against the cut of its source. Only rows that are equal to that at a cut, and
+    are there several times, meet to be numbered.
+    """
+    slim = stored(sized(docs).select("doc_id", "source", "size", "digest"))
+    edges = stored(cuts(slim, weights, most))  # a row per source; Spark broadcasts it by its size
+    met = sized(docs).withColumn("order", _order()).alias("m").join(edges.alias("t"), F.col("m.source").eqNullSafe(F.col("t.source")))
+    met = met.select("m.row", "m.size", "m.source", F.col("m.order").alias("order"), "t.epochs", "t.edge", "t.n_edge", "t.full", "t.rest")
+    equal = F.coalesce(F.col("order") == F.col("edge"), F.lit(False))
+    alone = ~equal | (F.col("n_edge") == 1)
+    place = Window.partitionBy("source").orderBy("order")
+    placed = met.filter(alone).withColumn("place", F.lit(1)).unionByName(met.filter(~alone).withColumn("place", F.row_number().over(place)))
+    extra = F.when(F.col("edge").isNull(), 0).when(equal, F.when(F.col("place") <= F.col("full"), F.col("size")).when(F.col("place") == F.col("full") + 1, F.col("rest")).otherwise(0)).when(F.col("order") < F.col("edge"), F.col("size")).otherwise(0)
+    out = placed.withColumn("extra", extra).filter("size > 0 AND (epochs > 0 OR extra > 0)")
+    whole = F.col("epochs") + F.when(F.col("extra") == F.col("size"), 1).otherwise(0)
+    rest = F.when(F.col("extra") < F.col("size"), F.col("extra")).otherwise(0)
     copies = out.select("row", rest.alias("rest"), whole.alias("whole"), F.explode(F.sequence(F.lit(1), (whole + F.signum(rest)).cast("int"))).alias("n"))
     cut = F.array_join(F.slice(words(F.col("row.text")), 1, F.greatest(F.col("rest"), F.lit(1)).cast("int")), " ")
     text = F.when(F.col("n") <= F.col("whole"), F.col("row.text")).otherwise(cut)

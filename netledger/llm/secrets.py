@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from netledger.llm.common import bounded, let, named, spare, table
+from netledger.llm.common import let, may_hold, named, sieve, spare, table
 from netledger.session import checkpointed
 
 #: Kinds in the order in which spans of equal start are listed; the first three are strong.
@@ -165,9 +165,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     found = checkpointed(scan(docs).filter(F.size("spans") > 0).select("doc_id", "digest", "spans").distinct())
     digest = spare("digest", docs.columns)
     marked = docs.withColumn(digest, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    joined = marked.alias("m").join(
-        bounded(found, F.lit(1) + F.size("spans")).alias("s"), F.col("m.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col(f"m.{digest}") == F.col("s.digest")), "left"
-    )
+    key = (F.col("doc_id"), F.col(digest))
+    bits = sieve(found, F.col("doc_id"), F.col("digest"))
+    plain = may_hold(marked, bits, *key, there=False).select(*map(named, docs.columns))
+    joined = may_hold(marked, bits, *key).alias("m").join(found.alias("s"), F.col("m.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col(f"m.{digest}") == F.col("s.digest")), "left")
     text = F.col("m.text")
 
     def cut(spans: Column) -> Column:
@@ -177,7 +178,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     clean = F.when(F.col("s.spans").isNull(), text).otherwise(let(F.col("s.spans"), cut))
     changed = {"text": clean} | ({"n_chars": F.when(F.col("s.spans").isNull(), F.col("m.n_chars")).otherwise(F.length(clean))} if "n_chars" in docs.columns else {})
-    return joined.select(*[changed.get(c, named(c, "m")).alias(c) for c in docs.columns])
+    return plain.unionByName(joined.select(*[changed.get(c, named(c, "m")).alias(c) for c in docs.columns]))
 
 
 def written(spans: Column) -> Column:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from netledger.llm.common import bounded, jaccard, named, shingle_set, spare, spread, table
+from netledger.llm.common import jaccard, may_hold, named, sieve, shingle_set, spare, spread, table
 from netledger.operators.graph import connected_components
 from netledger.session import checkpointed, stored
 
@@ -343,16 +343,16 @@ def parities(texts: DataFrame, k: int = WORDS) -> DataFrame:
     return fingerprints(texts, "id", k, 0, True, PARITIES)
 
 
-def similar_links(each: DataFrame, parity: DataFrame, sets: Callable[[DataFrame], DataFrame], k: int = WORDS, similarity: float = SIMILARITY, lanes: int = FOLDS, heads: int = 0, keep: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
+def similar_links(each: DataFrame, parity: DataFrame, sets: Callable[[DataFrame], DataFrame], k: int = WORDS, similarity: float = SIMILARITY, lanes: int = FOLDS, heads: int = 0, keep: Callable[[DataFrame], DataFrame] = checkpointed, total: int | None = None) -> DataFrame:
     """Links (a, b) between texts (id, text) with the components of all pairs at the similarity.
 
     Texts that share a shingle of their prefixes are compared unless they are linked already, so no
     pair at the similarity is lost. ``sets`` gives (id, s), their shingle sets, of a table of some ids. For
     families of many texts that are nearly similar, more ``lanes`` of parity bits go with the lists, and
     ``heads`` keys before each, by which a pair is made in the first list that both are in only. ``keep``
-    materialises the lists.
+    materialises the lists, and ``total`` is the number of texts, if known.
     """
-    keys = prefixes(each, frequent_shingles(each, each.count(), k), k, similarity, heads)
+    keys = prefixes(each, frequent_shingles(each, each.count() if total is None else total, k), k, similarity, heads)
     shared = keep(shared_prefixes(keys).join(folded(parity, lanes), "id"))
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -377,33 +377,41 @@ def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: float = SI
     columns are untouched.
     """
     columns = docs.columns
-    digest = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    text = F.coalesce(F.col("text"), F.lit(""))
     mark = spare("digest", columns)
-    marked = docs.withColumn(mark, digest)
+    node = F.struct("doc_id", F.col(mark).alias("digest"))
+    marked = docs.withColumn(mark, F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")))
     prints = [f"f{i}" for i in range(LANES)]
-    found = checkpointed(fingerprints(marked.select(F.struct("doc_id", F.col(mark).alias("digest")).alias("node"), "text"), "node", k, LANES, True, PARITIES))
+    found = checkpointed(fingerprints(marked.select(node.alias("node"), "text"), "node", k, LANES, True, PARITIES))
     bits = ["n", *(f"p{i}" for i in range(PARITIES))]
     classes = checkpointed(found.groupBy(*prints).agg(F.min(F.struct("node", *bits)).alias("c")).select(*prints, "c.*"))
-    nodes = checkpointed(classes.select("node.*", F.xxhash64("node").alias("id")))
-    at = F.col("m.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col(f"m.{mark}") == F.col("n.digest"))
-    texts = lambda some: marked.select("doc_id", "text", mark).alias("m").join(bounded(some).alias("n"), at).select("n.id", "m.text")
     parity = classes.select(F.xxhash64("node").alias("id"), *bits)
-    sets = lambda ids: stored(texts(checkpointed(nodes.join(ids, "id"))).groupBy("id").agg(F.first(shingle_set(F.col("text"), k)).alias("s")))
-    links = similar_links(texts(nodes), parity, sets, k, similarity)
-    groups = connected_components(links, "a", "b").join(nodes, F.col("vertex") == F.col("id")).select("id", "component", F.struct("doc_id", "digest").alias("node"))
+    nodes = classes.select(F.xxhash64("node").alias("id"), "node")
+    here = F.struct(F.col("m.doc_id").alias("doc_id"), F.col(f"m.{mark}").alias("digest"))
+
+    # texts of one document of each class: those of the others, which are fewer, meet what tells them
+    copies = checkpointed(found.select("node").distinct().join(classes.select("node"), "node", "left_anti"))
+    sifting = sieve(copies, F.col("node"))
+    some = may_hold(marked.select("doc_id", "text", mark), sifting, node).alias("m").join(copies.alias("n"), here == F.col("n.node"), "left_anti")
+    each = may_hold(marked.select("doc_id", "text", mark), sifting, node, there=False).unionByName(some).select(F.xxhash64(node).alias("id"), "text")
+
+    def sets(ids: DataFrame) -> DataFrame:
+        """(id, s): the shingle sets of some texts; sets, not texts, are shuffled."""
+        ids = checkpointed(ids)
+        able = may_hold(marked.select(F.xxhash64(node).alias("id"), "text"), sieve(ids, F.col("id")), F.col("id"))
+        return stored(able.select("id", shingle_set(F.col("text"), k).alias("s")).join(ids, "id").groupBy("id").agg(F.first("s").alias("s")))
+
+    links = similar_links(each, parity, sets, k, similarity, total=nodes.count())
+    groups = connected_components(links, "a", "b").join(nodes, F.col("vertex") == F.col("id")).select("id", "component", "node")
     least = groups.groupBy("component").agg(F.min("node").alias("stays"))
     joined = checkpointed(groups.join(least, "component").select("node", "stays"))
     labelled = checkpointed(classes.join(joined, "node", "left").select(*prints, F.coalesce("stays", "node").alias("stays")))
-    # rows that go, and rows that are there several times over
-    gone = found.join(labelled, prints).filter("node <> stays").select("node.*").distinct()
-    many = found.groupBy("node").count().filter("count > 1").select("node.*")
-    gone, many = checkpointed(gone), checkpointed(many)
-    without = lambda m, n: m.alias("m").join(bounded(n).alias("n"), at, "left_anti")
-    left = without(marked, gone)
-    if many.count():
-        again = left.alias("m").join(bounded(many).alias("n"), at, "left_semi").dropDuplicates(["doc_id", mark])
-        left = without(left, many).unionByName(again)
-    return left.select(*map(named, columns))
+    # rows that go, and rows that are there several times over; all others stay where they are
+    gone = checkpointed(found.join(labelled, prints).filter("node <> stays").select("node").distinct())
+    many = found.groupBy("node").count().filter("count > 1").select("node")
+    sifting = sieve(gone.union(many), F.col("node"))
+    some = may_hold(marked, sifting, node).alias("m").join(gone.alias("n"), here == F.col("n.node"), "left_anti").dropDuplicates(["doc_id", mark])
+    return may_hold(marked, sifting, node, there=False).unionByName(some).select(*map(named, columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

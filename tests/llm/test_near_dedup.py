@@ -76,3 +76,33 @@ def test_mixed_lists_equal_brute_force(spark):
     rng.shuffle(texts)
     want = kept(texts)
     assert 20 < len(want) < 250 and left(spark, texts) == want
+
+
+def test_a_sieve_parts_rows_and_loses_none(spark):
+    from pyspark.sql import functions as F
+
+    from netledger.llm.common import may_hold, sieve
+
+    keys = spark.range(0, 50_000, 2).select(F.when(F.col("id") > 0, F.col("id")).alias("k"))
+    rows = spark.range(100_000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"))
+    bits = sieve(keys, F.col("k"))
+    there, gone = may_hold(rows, bits, F.col("k")), may_hold(rows, bits, F.col("k"), there=False)
+    assert there.count() + gone.count() == 100_000 and there.join(keys, there["k"].eqNullSafe(keys["k"]), "left_semi").count() == 25_000
+    assert there.count() < 26_000 and may_hold(rows, sieve(keys.limit(0), F.col("k")), F.col("k")).count() == 0
+
+
+def test_mixed_rows_hold_the_words_that_the_mix_takes(spark):
+    from pyspark.sql import functions as F
+
+    from netledger.llm import mixing
+
+    rows = [(1, "one two three", "a")] * 40 + [(i, "w " * (i % 5), None if i % 3 else "b") for i in range(200)] + [(None, "x y", "c")] * 7 + [(500, None, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights in ((1, 2, 3), (7, 1), (1, 100)):
+        slim = mixing.sized(docs).select("doc_id", "source", "size", "digest")
+        taken = {r.source: r.n for r in mixing.mix(slim, weights).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+        out = {r.source: r.n for r in mixing.mixed(docs, weights).groupBy("source").agg(F.sum(mixing.size_of(F.col("text"))).alias("n")).collect()}
+        assert {k: out.get(k, 0) for k in taken} == taken
+        by_doc = {r.doc_id: r.n for r in mixing.mix(slim, weights).groupBy("doc_id").agg(F.sum("taken").alias("n")).collect()}
+        assert {r.doc_id: r.n for r in mixing.mixed(docs, weights).groupBy("doc_id").agg(F.sum(mixing.size_of(F.col("text"))).alias("n")).collect()} == {k: v for k, v in by_doc.items() if v}
+    assert mixing.mixed(docs.limit(0)).count() == 0
