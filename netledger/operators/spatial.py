@@ -179,9 +179,10 @@ def knn_edges(points: DataFrame, k: int, cell: float, part: list[str]) -> DataFr
     """(src, dst, distance): the k nearest other points (id, x, y) within each ``part``.
 
     Only cells within reach are met, and the reach doubles for points that lack k neighbours surely
-    nearer than it. Ties go to the least id. Points without an id or a coordinate have no edges.
+    nearer than it. Ties go to the least id. Points without an id or a coordinate have no edges; of rows of one
+    id and part the one with the least place counts.
     """
-    points = points.filter(F.col("id").isNotNull() & _finite("x", "y"))
+    points = points.filter(F.col("id").isNotNull() & _finite("x", "y")).groupBy("id", *part).agg(F.min(F.struct("x", "y")).alias("p")).select("id", "p.x", "p.y", *part)
     todo, done, reach = points.select("id", *part), [], cell
     sizes = points.groupBy(*part).agg((F.count(F.lit(1)) - 1).alias("_others"))
     left = points.select("id", "x", "y", *part).join(sizes, part)

@@ -83,6 +83,26 @@ def html_safety(spark, sf_dir):
     return p.select("page_id", F.array_join(html.safety_findings(F.col("html")), ",").alias("findings"))
 
 
+def _planted(spark, sf_dir):
+    """Pages with tables inside tables, and with references and escapes that hide what they are."""
+    hidden = F.array(*[F.lit(x) for x in _HIDDEN])
+    number = F.col("page_id").cast("string")
+    inner = F.concat(F.lit("<table><tr><th>k</th><th>v</th></tr><tr><td>"), number, F.lit("</td><td>in &amp; <b>out</b></td></tr></table>"))
+    outer = F.concat(F.lit("<table><tr><th>a<th>b</tr><tr><td>&#49;<td>"), F.when(F.col("page_id") % 3 == 0, inner).otherwise("<a href='x'>plain</a>"), F.lit("</tr><script>'<tr><td>'</script><tr><td></td><td>z</td></tr></table>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.get(hidden, (F.col("page_id") % len(_HIDDEN)).cast("int")), F.when(F.col("page_id") % 4 != 0, outer).otherwise("")).alias("html"))
+
+
+def html_hidden_findings(spark, sf_dir):
+    return _planted(spark, sf_dir).select("page_id", F.array_join(html.safety_findings(F.col("html")), ",").alias("findings"))
+
+
+def html_table_rows(spark, sf_dir):
+    """Rows of the outer and of the inner tables, each found by its header."""
+    p = _planted(spark, sf_dir)
+    both = [html.table_rows(p, "page_id", "html", header).withColumn("header", F.lit(",".join(header))) for header in (["a", "b"], ["k", "v"])]
+    return both[0].unionByName(both[1]).withColumn("cells", F.array_join("cells", "|"))
+
+
 def allowed_urls(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     hosts = ["www.example.com", "m.ththth.example.net", "ththre.example.com"]
@@ -140,10 +160,17 @@ QUERIES = {
     f.__name__: f
     for f in (
         identifier_contract, coordinate_contract, mark_summary, id_hashes, ascii_normalize, nfkc_normalize, regex_extracts, strict_dates, era_dates,
-        link_discovery, html_safety, allowed_urls, robots_paths, reason_types, outlier_verdict, snapshot_contract, geodesic_distance, layout_widths,
+        link_discovery, html_safety, html_hidden_findings, html_table_rows, allowed_urls, robots_paths, reason_types, outlier_verdict, snapshot_contract, geodesic_distance, layout_widths,
     )
 }
 
+#: What pages are given by their number, and the findings in it.
+_HIDDEN = {
+    "<p>javascript: url( onclick=1</p>": "", r"<p style='background:u\72l(x)'>": "css_remote", "<a href='java&#115;cript&colon;x'>": "script_url", "<a href='java\nscript:x'>": "script_url",
+    "<style>@\\69mport 'x'</style>": "css_remote", "<style>a{width:ex/* */pression(1)}</style>": "css_remote", "<p title='a>b' oncut=x>": "event_attribute", "<!-- <iframe onload=x> -->": "",
+    "<script>'<embed>'</script>": "element_script", "<META http-equiv=Refresh>": "element_meta,meta_refresh", "<p title='onclick=1 href=data:x'>": "",
+}
+
 _COORDINATES = """SELECT c_custkey AS id, CASE WHEN c_custkey % 13 <> 0 THEN 20 + (c_custkey * 37 % 2600) / 100 + CASE WHEN c_custkey % 17 = 0 THEN 30 ELSE 0 END END AS lat,
   CASE WHEN c_custkey % 13 <> 0 OR c_custkey % 2 = 0 THEN 122 + (c_custkey * 91 % 3200) / 100 END AS lon,
   CASE WHEN c_custkey % 19 = 0 THEN NULL WHEN c_custkey % 23 = 0 THEN 4326 ELSE 6668 END AS code,
@@ -176,6 +203,15 @@ UNION ALL SELECT 'remote', count(*) FILTER (remote), count(*) FILTER (NOT remote
     "html_safety": f"""
 WITH t AS (SELECT page_id, regexp_replace(html, '<!--.*?-->', '', 'gs') AS h FROM pages), f AS (SELECT page_id, unnest([{_FINDINGS}]) AS finding FROM t)
 SELECT page_id, coalesce(string_agg(finding, ',' ORDER BY finding), '') AS findings FROM f GROUP BY 1""",
+    "html_hidden_findings": f"""
+WITH t AS (SELECT page_id, page_id % 4 <> 0 AS outer_table, regexp_replace(html, '<!--.*?-->', '', 'gs') AS h FROM pages),
+f AS (SELECT page_id, unnest([{_FINDINGS}] || CASE WHEN outer_table THEN ['element_script'] ELSE [] END || string_split(([{", ".join(f"'{x}'" for x in _HIDDEN.values())}])[page_id % {len(_HIDDEN)} + 1], ',')) AS finding FROM t)
+SELECT page_id, coalesce(string_agg(DISTINCT finding, ',' ORDER BY finding) FILTER (finding <> ''), '') AS findings FROM f GROUP BY 1""",
+    "html_table_rows": """
+WITH p AS (SELECT page_id, page_id % 4 <> 0 AS has_outer, page_id % 4 <> 0 AND page_id % 3 = 0 AS has_inner FROM pages)
+SELECT page_id, 0 AS row, '1|' || CASE WHEN has_inner THEN '' ELSE 'plain' END AS cells, NULL AS problem, 'a,b' AS header FROM p WHERE has_outer
+UNION ALL SELECT page_id, 1, '|z', 'required_cell_empty', 'a,b' FROM p WHERE has_outer UNION ALL SELECT page_id, NULL, NULL, 'no_table', 'a,b' FROM p WHERE NOT has_outer
+UNION ALL SELECT page_id, 0, page_id || '|in & out', NULL, 'k,v' FROM p WHERE has_inner UNION ALL SELECT page_id, NULL, NULL, 'no_table', 'k,v' FROM p WHERE NOT has_inner""",
     "ascii_normalize": rf"SELECT doc_id, md5(trim(regexp_replace(translate(lower(text), '{tx.DASHES}', '{'-' * len(tx.DASHES)}'), '[\x20\x09-\x0D]+', ' ', 'g'))) AS digest FROM documents",
     "regex_extracts": """
 WITH s AS (SELECT s_suppkey, (['東京都', '大阪府', '北海道', '神奈川県', 'none'])[s_suppkey % 5 + 1] AS p, s_suppkey % 3 AS m FROM supplier)
