@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netledger.functions.geo import MEAN_RADIUS, geodesic, haversine
-from netledger.operators.running import ranked
+from netledger.operators.running import ranked, spare
 from netledger.session import checkpointed
 
 #: Metres of a degree of latitude on the mean sphere.
@@ -182,7 +182,8 @@ def knn_edges(points: DataFrame, k: int, cell: float, part: list[str]) -> DataFr
     nearer than it. Ties go to the least id. Points without an id or a coordinate have no edges; of rows of one
     id and part the one with the least place counts.
     """
-    points = points.filter(F.col("id").isNotNull() & _finite("x", "y")).groupBy("id", *part).agg(F.min(F.struct("x", "y")).alias("p")).select("id", "p.x", "p.y", *part)
+    spot = spare("spot", part)
+    points = points.filter(F.col("id").isNotNull() & _finite("x", "y")).groupBy("id", *part).agg(F.min(F.struct("x", "y")).alias(spot)).select("id", f"{spot}.x", f"{spot}.y", *part)
     todo, done, reach = points.select("id", *part), [], cell
     sizes = points.groupBy(*part).agg((F.count(F.lit(1)) - 1).alias("_others"))
     left = points.select("id", "x", "y", *part).join(sizes, part)
