@@ -20,7 +20,9 @@ def _steps(spark, sf_dir):
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     out = e.select("event_id", F.col("user_id").alias("u"), F.to_date("ts").alias("day"), "event_type", "ts", n.alias("n"))
     past = F.max(F.when(F.col("day") <= F.lit(_ANCHOR).cast("date"), F.col("n"))).over(Window.partitionBy("u"))
-    return out.withColumn("last", past).withColumn("k", F.col("event_id") * 7919 % 1000003)
+    day = Window.partitionBy("u", "day")
+    out = out.withColumns({"last": past, "lone": F.count(F.lit(1)).over(day) == 1, "opens": F.col("n") == F.min("n").over(day)})
+    return out.withColumn("k", F.col("event_id") * 7919 % 1000003)
 
 
 def _ident(u, n):
@@ -41,8 +43,9 @@ def _state(u, n, last, spelt, broken):
 def _chain_inputs(spark, sf_dir):
     s = _steps(spark, sf_dir)
     u, n, k, last = F.col("u"), F.col("n"), F.col("k"), F.col("last")
-    broken = (u % 5 == 1) & (n % 17 == 0)
-    planned = F.when((u % 25 == 1) & (k % 29 == 0), "").when((u % 25 == 6) & (k % 31 == 0), "2024-13-01").otherwise(F.col("day").cast("string"))
+    broken = (u % 5 == 1) & (n % 17 == 0) & F.col("opens")
+    lost = F.col("lone") & (n % 12 != 0)
+    planned = F.when((u % 25 == 1) & (k % 29 == 0) & lost, "").when((u % 25 == 6) & (k % 31 == 0) & lost, "2024-13-01").otherwise(F.col("day").cast("string"))
     e = s.select(k.alias("event_id"), planned.alias("planned"), F.lit(0).alias("notice"), _state(u, n - 1, last, u % 5 == 2, broken).alias("before"), _state(u, n, last, F.lit(False), F.lit(False)).alias("after"))
     again = e.filter("event_id % 50 = 0").withColumn("event_id", F.col("event_id") + 2_000_000).withColumn("notice", F.lit(1))
     anchors = s.filter("n = last").filter((u % 10 != 8)).select(
@@ -128,7 +131,7 @@ QUERIES = {f.__name__: f for f in (confirm_chains, confirm_events, chain_reports
 
 _STEPS = f"""s AS (
   SELECT event_id, user_id AS u, ts::DATE AS day, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_id * 7919 % 1000003 AS k FROM events
-), l AS (SELECT *, max(n) FILTER (day <= DATE '{_ANCHOR}') OVER (PARTITION BY u) AS last FROM s)"""
+), l AS (SELECT *, max(n) FILTER (day <= DATE '{_ANCHOR}') OVER (PARTITION BY u) AS last, count(*) OVER (PARTITION BY u, day) = 1 AS lone, n = min(n) OVER (PARTITION BY u, day) AS opens FROM s)"""
 
 
 def _gone(n: str) -> str:
@@ -137,12 +140,12 @@ def _gone(n: str) -> str:
 
 #: Whether each event's before state follows from the event before it is known from the steps' numbers.
 _CHAINS = f"""{_STEPS}, t AS (
-  SELECT *, CASE WHEN u % 25 = 1 AND k % 29 = 0 THEN 'missing_planned_date' WHEN u % 25 = 6 AND k % 31 = 0 THEN 'invalid_planned_date' WHEN u % 5 = 3 AND n > last THEN 'unresolvable_identifier' ELSE 'chained' END AS state,
+  SELECT *, CASE WHEN u % 25 = 1 AND k % 29 = 0 AND lone AND n % 12 <> 0 THEN 'missing_planned_date' WHEN u % 25 = 6 AND k % 31 = 0 AND lone AND n % 12 <> 0 THEN 'invalid_planned_date' WHEN u % 5 = 3 AND n > last THEN 'unresolvable_identifier' ELSE 'chained' END AS state,
     CASE WHEN u % 5 = 3 AND n - 1 >= last THEN NULL ELSE (n - 1) // 12 END AS i, CASE WHEN {_gone("n")} THEN NULL ELSE n // 12 END AS j FROM l
 ), p AS (SELECT *, lag(n) OVER (PARTITION BY u ORDER BY n) AS earlier FROM t WHERE state = 'chained'),
 c AS (
   SELECT u, lpad((u * 10 + least(min(i), min(j)))::VARCHAR, 8, '0') AS facility, count(*) AS n_events, count(*) FILTER (day <= DATE '{_ANCHOR}') AS n_past, count(*) FILTER (day > DATE '{_ANCHOR}') AS n_future,
-    count(*) FILTER (earlier IS NOT NULL AND (earlier <> n - 1 OR u % 5 = 1 AND n % 17 = 0)) = 0 AS chain_consistent, max(n) FILTER (day <= DATE '{_ANCHOR}') AS final, max(last) AS last, min(least(i, j)) AS low FROM p GROUP BY u
+    count(*) FILTER (earlier IS NOT NULL AND (earlier <> n - 1 OR u % 5 = 1 AND n % 17 = 0 AND opens)) = 0 AS chain_consistent, max(n) FILTER (day <= DATE '{_ANCHOR}') AS final, max(last) AS last, min(least(i, j)) AS low FROM p GROUP BY u
 ), v AS (
   SELECT *, CASE WHEN n_past = 0 THEN 'none' WHEN u % 5 = 3 AND final >= last THEN CASE WHEN u % 10 = 8 OR low > 0 THEN 'absent_from_anchor' END
     WHEN u % 5 <> 3 AND u % 5 <> 4 AND final = last THEN 'present_in_anchor' END AS kind FROM c
@@ -210,7 +213,7 @@ UNION ALL SELECT k + 2000000, NULL, 'announced', false, false, NULL, 'unknown',
 WITH {_CHAINS} SELECT facility, n_events, n_past, n_future, chain_consistent, anchor_match, chain_consistent AND anchor_match AS corroborated, CASE WHEN anchor_match THEN kind END AS terminal_kind FROM w""",
     "facility_entities": f"""
 WITH RECURSIVE {_FACILITIES}
-SELECT facility, ident, 'office' AS section, CASE WHEN rec IS NOT NULL THEN rec[1] ELSE {_NAME.format("own")} END AS name, CASE WHEN rec IS NOT NULL THEN rec[2] ELSE {_STREET.format("own")} END AS address, there AS exists,
+SELECT facility, ident, CASE WHEN rec IS NOT NULL OR own IS NOT NULL THEN 'office' END AS section, CASE WHEN rec IS NOT NULL THEN rec[1] ELSE {_NAME.format("own")} END AS name, CASE WHEN rec IS NOT NULL THEN rec[2] ELSE {_STREET.format("own")} END AS address, there AS exists,
   coalesce(rec[3], '') <> 'temporarily_closed' AS available, CASE WHEN latest IS NOT NULL THEN 'high' WHEN rec IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN rec IS NOT NULL THEN '{_ANCHOR} 23:59:59.000000' END AS valid_from FROM z""",
     "facility_states": f"""
 WITH RECURSIVE {_FACILITIES}, b AS (
