@@ -140,7 +140,7 @@ def _gone(n: str) -> str:
 
 #: Whether each event's before state follows from the event before it is known from the steps' numbers.
 _CHAINS = f"""{_STEPS}, t AS (
-  SELECT *, CASE WHEN u % 25 = 1 AND k % 29 = 0 AND lone AND n % 12 <> 0 THEN 'missing_planned_date' WHEN u % 25 = 6 AND k % 31 = 0 AND lone AND n % 12 <> 0 THEN 'invalid_planned_date' WHEN u % 5 = 3 AND n > last THEN 'unresolvable_identifier' ELSE 'chained' END AS state,
+  SELECT *, CASE WHEN u % 5 = 3 AND n > last AND k <> min(k) OVER (PARTITION BY u % 5 = 3 AND n > last, day, u % 7, n) THEN 'duplicate_announcement' WHEN u % 25 = 1 AND k % 29 = 0 AND lone AND n % 12 <> 0 THEN 'missing_planned_date' WHEN u % 25 = 6 AND k % 31 = 0 AND lone AND n % 12 <> 0 THEN 'invalid_planned_date' WHEN u % 5 = 3 AND n > last THEN 'unresolvable_identifier' ELSE 'chained' END AS state,
     CASE WHEN u % 5 = 3 AND n - 1 >= last THEN NULL ELSE (n - 1) // 12 END AS i, CASE WHEN {_gone("n")} THEN NULL ELSE n // 12 END AS j FROM l
 ), p AS (SELECT *, lag(n) OVER (PARTITION BY u ORDER BY n) AS earlier FROM t WHERE state = 'chained'),
 c AS (
