@@ -102,3 +102,19 @@ def predecessors_successors(events: DataFrame, entity: str, before: str, after:
     return sets.select(
         entity, F.array_sort(F.array_except(F.array_except("b", "a"), own)).alias("predecessors"), F.array_sort(F.array_except(F.array_except("a", "b"), own)).alias("successors")
     )
+
+
+def chain_ends(pointers: DataFrame) -> DataFrame:
+    """(id, end) for every pointer (id, to), one per id: where the chain that begins at it stops; null if it runs
+    into a circle.
+
+    A walk doubles its stride each round. As long as a chain goes on, some walk of its nodes ends in every
+    round; when a round ends none, all that is left stands on circles or leads into them.
+    """
+    walk = checkpointed(pointers.select("id", "to", F.lit(True).alias("open")))
+    left, before = walk.count(), -1
+    while left and left != before:
+        ahead = walk.select(F.col("id").alias("at"), F.col("to").alias("next"))
+        walk = checkpointed(walk.join(ahead, F.col("to") == F.col("at"), "left").select("id", F.coalesce("next", "to").alias("to"), F.col("at").isNotNull().alias("open")))
+        left, before = walk.filter("open").count(), left
+    return walk.select("id", F.when(~F.col("open"), F.col("to")).alias("end"))

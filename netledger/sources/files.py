@@ -259,21 +259,6 @@ def polygons(spark: SparkSession, path: str, schema: str = "polygon string, ord
     return jsonl(spark, path, schema)
 
 
-def capture_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(url, captured_at, digest, ord) of capture indexes: JSON lines of objects, or one list of lists
-    whose first row is the header. Rows without a url or a 14-digit time are left out."""
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    as_list = F.from_json("value", "array<array<string>>")
-    lists = texts.filter(F.ltrim("value").startswith("[[")).select("file", as_list.alias("l"))
-    at = lambda name: F.element_at("row", F.array_position(F.get("l", F.lit(0)), name).cast("int"))
-    rows = lists.select("file", "l", F.posexplode(F.slice("l", F.lit(2), F.greatest(F.size("l") - 1, F.lit(0)))).alias("pos", "row")).select("file", "pos", at("original").alias("url"), at("timestamp").alias("captured_at"), at("digest").alias("digest"))
-    lines = texts.filter(~F.ltrim("value").startswith("[[")).select("file", F.posexplode(F.split("value", "\n")).alias("pos", "line")).filter(F.trim("line") != "")
-    get = lambda name: F.get_json_object("line", f"$.{name}")
-    objects = lines.select("file", "pos", get("original").alias("url"), get("timestamp").alias("captured_at"), get("digest").alias("digest"))
-    both = rows.unionByName(objects).filter(F.col("captured_at").rlike("^[0-9]{14}$") & F.col("url").isNotNull())
-    return both.select("url", "captured_at", "digest", F.struct("file", "pos").alias("ord"))
-
-
 def notice_changes(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, day, reason, before, after, problem) of change notices.
 

@@ -46,12 +46,6 @@ def test_shape_points(spark, tmp_path):
     assert [(r.ord, r.x) for r in files.shape_points(spark, str(tmp_path / "p.shp")).orderBy("ord").collect()] == [(0, 139.0), (1, 140.0), (2, 141.0)]
 
 
-def test_capture_rows_of_lists_and_lines(spark, tmp_path):
-    (tmp_path / "a.json").write_text('[["original","timestamp","digest"],["u","20240101000000","d1"],["u","bad","d2"]]')
-    (tmp_path / "b.json").write_text('{"original":"v","timestamp":"20240102000000","digest":"d3"}\n')
-    assert {(r.url, r.digest) for r in files.capture_rows(spark, str(tmp_path)).collect()} == {("u", "d1"), ("v", "d3")}
-
-
 def test_notice_changes_pair_lines(spark, tmp_path):
     (tmp_path / "n.txt").write_text("変更前 000001 甲\nH24.10.19 移転\n変更後 000001 乙\n変更前 000002 丙\nno date\n")
     out = files.notice_changes(spark, str(tmp_path / "n.txt")).orderBy("line").collect()
