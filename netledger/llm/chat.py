@@ -9,9 +9,9 @@ pass by.
 
 A message's place in its conversation is the triple (order_turn, order_step, turn). Turns keep their
 order, but a result comes after its call, and a call after the results of the calls that its member
-``after`` names, even if they were logged the other way round. Calls that wait for others are placed in
-rounds, as many as the longest chain of them has links. Calls that wait for each other in a circle, or
-for a call that isn't there, keep their turn. Triples are used because a running number would need each
+``after`` names, even if they were logged the other way round. Calls that wait for others are placed by
+doubled strides along their chains. Calls that wait for each other in a circle, and those that wait for
+these, keep their turn; a call that isn't there is not waited for. Triples are used because a running number would need each
 conversation in one task.
 
 Null texts are empty contents, null roles are left out, repeated turns each give a message. A call
@@ -130,6 +130,11 @@ def _same(a: str, b: str, *columns: str) -> Column:
     return out
 
 
+def _after(place: Column, steps: Column | int) -> Column:
+    """So many steps after a place (turn, step); null after none."""
+    return F.when(place.isNotNull(), F.struct(place["turn"].alias("turn"), (place["step"] + steps).alias("step")))
+
+
 def _later(place: Column) -> Column:
     """The next step after a place (turn, step)."""
     return F.struct(place["turn"].alias("turn"), (place["step"] + 1).alias("step"))
@@ -139,36 +144,67 @@ def _own(turn: Column | str) -> Column:
     return F.struct(F.col(turn).alias("turn") if isinstance(turn, str) else turn.alias("turn"), F.lit(0).alias("step"))
 
 
+def _strides(pointers: DataFrame) -> DataFrame:
+    """Pointers (conv_id, id, needs, least, steps) followed as far as they lead.
+
+    A place is at least ``least`` and ``steps`` after the place of ``needs``; two such bounds make one, so each round
+    joins the pointers to themselves and doubles their strides. Pointers in or into circles, which
+    remain when a round brings no other to its end, are left out.
+    """
+    walk, left, before = stored(pointers.withColumn("open", F.lit(True))), -1, -2
+    while left and left != before:
+        ahead = walk.select("conv_id", F.col("id").alias("needs"), F.col("needs").alias("next"), F.col("least").alias("bound"), F.col("steps").alias("more"))
+        there = F.col("b.next").isNotNull()
+        walk = stored(walk.alias("a").join(ahead.alias("b"), _same("a", "b", "conv_id", "needs"), "left").select(
+            "a.conv_id", "a.id", F.coalesce("b.next", "a.needs").alias("needs"), F.when(there, F.greatest("a.least", _after(F.col("b.bound"), F.col("a.steps")))).otherwise(F.col("a.least")).alias("least"),
+            (F.col("a.steps") + F.coalesce("b.more", F.lit(0))).alias("steps"), there.alias("open"),
+        ))
+        left, before = walk.filter("open").count(), left
+    return walk.filter("NOT open").drop("open")
+
+
 def placed_calls(first: DataFrame, waits: DataFrame, answers: DataFrame) -> DataFrame:
     """(conv_id, id, place) of the first calls (conv_id, id, call_turn) of identifiers: their turn, or the
     step after all results (conv_id, id, turn) of the calls that they wait for (conv_id, id, needs).
 
-    Only calls that wait or are waited for take part in the rounds.
+    Only calls that wait or are waited for take part in the rounds. A round folds calls that are placed into those that
+    wait for them, and then follows the calls that still wait for one call alone, by doubled strides. A chain of n calls takes
+    some log(n) rounds; where calls wait for several open ones, a further round goes to each level of these.
     """
     own = first.select("conv_id", "id", _own("call_turn").alias("place"))
     known = first.select("conv_id", F.col("id").alias("needs"))
-    edges = stored(waits.alias("w").join(known.hint("shuffle_hash").alias("k"), _same("w", "k", "conv_id", "needs")).select("w.conv_id", "w.id", "w.needs").distinct())
+    result_turn = answers.filter("id IS NOT NULL").groupBy("conv_id", F.col("id").alias("needs")).agg(F.max("turn").alias("turn"))
+    met = waits.alias("w").join(known.hint("shuffle_hash").alias("k"), _same("w", "k", "conv_id", "needs")).select("w.conv_id", "w.id", "w.needs").distinct()
+    # after a call without a result its own place counts, else also the step after the result
+    answered = F.col("r.turn").isNotNull()
+    edges = stored(met.alias("e").join(result_turn.alias("r"), _same("e", "r", "conv_id", "needs"), "left").select(
+        "e.conv_id", "e.id", "e.needs", F.when(answered, _later(_own(F.col("r.turn")))).alias("least"), F.when(answered, 2).otherwise(1).alias("steps")))
     if edges.isEmpty():
         return own
-    waiting = edges.select("conv_id", "id").distinct().withColumn("open", F.lit(True))
-    part = edges.select("conv_id", "id").union(edges.select("conv_id", "needs")).distinct()
-    result_turn = answers.filter("id IS NOT NULL").groupBy("conv_id", "id").agg(F.max("turn").alias("turn"))
-    state = own.alias("o").join(part.alias("p"), _same("o", "p", "conv_id", "id"), "left_semi").alias("o").join(waiting.alias("w"), _same("o", "w", "conv_id", "id"), "left")
-    state = state.select("o.*", "open").alias("o").join(result_turn.alias("r"), _same("o", "r", "conv_id", "id"), "left")
-    state = stored(state.select("o.conv_id", "o.id", "o.place", F.coalesce("open", F.lit(False)).alias("open"), F.when(F.col("r.id").isNotNull(), _own(F.col("r.turn"))).alias("result")))
-    left, before = state.filter("open").count(), -1
-    while left and left != before:
-        ready = state.filter("NOT open").select("conv_id", F.col("id").alias("needs"), F.when(F.col("result").isNotNull(), F.greatest(_later(F.col("place")), F.col("result"))).otherwise(F.col("place")).alias("ready"))
-        met = edges.alias("e").join(ready.alias("b"), _same("e", "b", "conv_id", "needs"), "left").groupBy("e.conv_id", "e.id").agg(
-            F.max(_later(F.col("b.ready"))).alias("ready"), F.count_if(F.col("b.ready").isNull()).alias("n_open")
-        ).filter("n_open = 0")
-        moved = F.col("s.open") & F.col("ready").isNotNull()
-        state = stored(state.alias("s").join(met.alias("m"), _same("s", "m", "conv_id", "id"), "left").select(
-            "s.conv_id", "s.id", F.when(moved, F.greatest("s.place", "ready")).otherwise(F.col("s.place")).alias("place"), (F.col("s.open") & ~moved).alias("open"), "s.result"
-        ))
-        left, before = state.filter("open").count(), left
-    others = own.alias("o").join(part.alias("p"), _same("o", "p", "conv_id", "id"), "left_anti")
-    return others.unionByName(state.select("conv_id", "id", "place"))
+    part = edges.select("conv_id", "id").withColumn("open", F.lit(True)).unionByName(edges.select("conv_id", F.col("needs").alias("id")).withColumn("open", F.lit(False)))
+    part = part.groupBy("conv_id", "id").agg(F.max("open").alias("open"))
+    state = stored(own.alias("o").join(part.alias("p"), _same("o", "p", "conv_id", "id")).select("o.conv_id", "o.id", "o.place", "p.open"))
+    before = None
+    while True:
+        done = state.filter("NOT open").select("conv_id", F.col("id").alias("needs"), "place")
+        reached = F.when(F.col("d.place").isNotNull(), F.greatest("e.least", _after(F.col("d.place"), F.col("e.steps"))))
+        told = stored(edges.alias("e").join(done.alias("d"), _same("e", "d", "conv_id", "needs"), "left").select("e.*", reached.alias("reached")))
+        bound = told.groupBy("conv_id", "id").agg(F.max("reached").alias("reached"), F.count_if(F.col("reached").isNull()).alias("waiting"))
+        state = stored(state.alias("s").join(bound.alias("b"), _same("s", "b", "conv_id", "id"), "left").select(
+            "s.conv_id", "s.id", F.greatest("s.place", "b.reached").alias("place"), (F.col("s.open") & (F.coalesce("b.waiting", F.lit(1)) > 0)).alias("open")))
+        edges = stored(told.filter("reached IS NULL").groupBy("conv_id", "id", "needs").agg(F.max("least").alias("least"), F.max("steps").alias("steps")))
+        now = (state.filter("open").count(), edges.count())
+        if not now[0] or now == before:
+            break
+        before = now
+        alone = edges.groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("n"), F.max("needs").alias("needs"), F.max("least").alias("least"), F.max("steps").alias("steps")).filter("n = 1")
+        alone = alone.alias("a").join(state.filter("open").alias("s"), _same("a", "s", "conv_id", "id")).select("a.conv_id", "a.id", "a.needs", F.greatest("a.least", "s.place").alias("least"), "a.steps")
+        far = _strides(alone).withColumnsRenamed({"id": "at", "needs": "next", "least": "bound", "steps": "more"})
+        edges = stored(edges.alias("e").join(far.withColumn("needs", F.col("at")).alias("f"), _same("e", "f", "conv_id", "needs"), "left").select(
+            "e.conv_id", "e.id", F.coalesce("f.next", "e.needs").alias("needs"),
+            F.when(F.col("f.next").isNotNull(), F.greatest("e.least", _after(F.col("f.bound"), F.col("e.steps")))).otherwise(F.col("e.least")).alias("least"), (F.col("e.steps") + F.coalesce("f.more", F.lit(0))).alias("steps")))
+    placed = state.filter("NOT open").select("conv_id", "id", "place")
+    return own.alias("o").join(placed.alias("p"), _same("o", "p", "conv_id", "id"), "left").select("o.conv_id", "o.id", F.coalesce("p.place", "o.place").alias("place"))
 
 
 def format_chats(turns: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
@@ -267,6 +303,10 @@ CASES: list[list[tuple[int, str, tuple[str, str]]]] = [
         (1, "assistant", _call('{"query":"q"}', '{"query":"q"}', extra="@b")), (2, "tool", _DONE), (3, "assistant", _call('{"url":"u"}', '{"url":"u"}', "fetch", "@c", "@b")),
         (4, "assistant", _call('{"url":"v"}', '{"url":"v"}', "fetch", mark="@c")), (5, "tool", _result("@c")), (6, "tool", _result("@b")),
     ],
+    [
+        (1, "assistant", _call('{"query":"q"}', '{"query":"q"}', extra="@b")), (2, "assistant", _call('{"url":"u"}', '{"url":"u"}', "fetch", "@c", "@b")), (3, "assistant", _call('{"url":"v"}', '{"url":"v"}', "fetch", "@d", "@c")),
+        (4, "assistant", _call('{"url":"w"}', '{"url":"w"}', "fetch", mark="@d")), (5, "tool", _DONE), (6, "tool", _result("@d")), (7, "tool", _result("@b")),
+    ],
 ]
 
 #: New turns stand far behind the turns that are there, SPAN apart.
@@ -293,7 +333,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """Links, order and validity by joins on the JSON of the texts; messages as the cases give them."""
+    """Links, order by recursion, and validity by joins on the JSON of the texts; messages as the cases give them."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     values = ",\n  ".join(f"({i}, {at}, {quoted(role)}, {quoted(text)}, {quoted(message)})" for i, lines in enumerate(CASES) for at, role, (text, message) in lines)
     number = lambda path: f"json_extract(a, '{path}')::DOUBLE"
@@ -301,7 +341,7 @@ def _sql() -> str:
     kind = lambda path: f"json_type(a, '{path}')"
     numbers = "('BIGINT', 'UBIGINT', 'DOUBLE')"
     return rf"""
-WITH cases(kase, step, role, text, message) AS (VALUES {values}),
+WITH RECURSIVE cases(kase, step, role, text, message) AS (VALUES {values}),
 d AS (
   SELECT conv_id, {BASE} + {SPAN} * turn + step AS turn, cases.role, replace(cases.text, '@', 'c' || turn) AS text, replace(message, '@', 'c' || turn) AS message
   FROM conversations AS v JOIN cases ON kase = ('0x' || md5(concat_ws('|', conv_id, turn))[1:6])::BIGINT % {len(CASES)} WHERE v.role = 'assistant'
@@ -321,12 +361,13 @@ checked AS (
     ELSE false END, false) AND id IS NOT NULL AS valid FROM c
 ), f AS (SELECT conv_id, id, min(turn) AS turn, any_value(needs) AS needs FROM c WHERE id IS NOT NULL GROUP BY ALL),
 res AS (SELECT conv_id, id, max(turn) AS turn FROM r GROUP BY ALL),
-f0 AS (SELECT f.*, f.turn AS t, 0 AS s FROM f LEFT JOIN f AS g ON f.conv_id = g.conv_id AND f.needs = g.id WHERE g.id IS NULL),
-b0 AS (SELECT f0.conv_id, f0.id, CASE WHEN res.turn > t THEN res.turn ELSE t END AS t, CASE WHEN res.turn > t THEN 0 ELSE s + 1 END AS s FROM f0 JOIN res USING (conv_id, id)),
-f1 AS (SELECT f.*, CASE WHEN f.turn > b0.t THEN f.turn ELSE b0.t END AS t, CASE WHEN f.turn > b0.t THEN 0 ELSE b0.s + 1 END AS s FROM f JOIN b0 ON f.conv_id = b0.conv_id AND f.needs = b0.id),
-b1 AS (SELECT f1.conv_id, f1.id, CASE WHEN res.turn > t THEN res.turn ELSE t END AS t, CASE WHEN res.turn > t THEN 0 ELSE s + 1 END AS s FROM f1 JOIN res USING (conv_id, id)),
-f2 AS (SELECT f.*, CASE WHEN f.turn > b1.t THEN f.turn ELSE b1.t END AS t, CASE WHEN f.turn > b1.t THEN 0 ELSE b1.s + 1 END AS s FROM f JOIN b1 ON f.conv_id = b1.conv_id AND f.needs = b1.id),
-pl AS (SELECT conv_id, id, t, s FROM f0 UNION ALL SELECT conv_id, id, t, s FROM f1 UNION ALL SELECT conv_id, id, t, s FROM f2)
+pl(conv_id, id, t, s) AS (
+  SELECT f.conv_id, f.id, f.turn, 0 FROM f LEFT JOIN f AS g ON f.conv_id = g.conv_id AND f.needs = g.id WHERE g.id IS NULL
+  UNION ALL
+  SELECT conv_id, id, CASE WHEN turn > rt THEN turn ELSE rt END, CASE WHEN turn > rt THEN 0 ELSE rs + 1 END FROM (
+    SELECT f.conv_id, f.id, f.turn, CASE WHEN res.turn > t THEN res.turn ELSE t END AS rt, CASE WHEN res.turn > t THEN 0 WHEN res.turn IS NULL THEN s ELSE s + 1 END AS rs
+    FROM f JOIN pl ON f.conv_id = pl.conv_id AND f.needs = pl.id LEFT JOIN res ON res.conv_id = pl.conv_id AND res.id = pl.id)
+)
 SELECT conv_id, turn, turn AS order_turn, 0 AS order_step, 'ok' AS status, 0::BIGINT AS n_calls, 0::BIGINT AS n_invalid,
   CASE WHEN role IS NULL THEN to_json({{'content': coalesce(text, '')}})
   ELSE to_json({{'content': coalesce(text, ''), 'role': role}}) END::VARCHAR AS message
