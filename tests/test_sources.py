@@ -77,6 +77,31 @@ def test_bundle_verifies_and_finds_changes(spark, tmp_path):
     assert {r.problem for r in bundle.verify(spark, path).collect()} == {"extra"}
 
 
+def test_bundle_names_the_code_that_made_it(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "b")
+    bundle.seal(spark.range(3), path, "numbers")
+    assert bundle.open_sealed(spark, path, "numbers", strict_code=True).count() == 3
+    assert spark.read.parquet(f"{path}/_manifest").first()["code"] == bundle.code_hash()
+    monkeypatch.setattr(bundle, "code_hash", lambda: "other")
+    assert bundle.open_sealed(spark, path, "numbers").count() == 3
+    with pytest.raises(ValueError, match="other code"):
+        bundle.open_sealed(spark, path, "numbers", strict_code=True)
+
+
+def test_sealing_raises_when_files_change_meanwhile(spark, tmp_path, monkeypatch):
+    hashes, n = bundle._hashes, []
+
+    def meddled(s, path):
+        n.append(1)
+        if len(n) == 2:
+            s.range(2).write.mode("append").parquet(f"{path}/data")
+        return hashes(s, path)
+
+    monkeypatch.setattr(bundle, "_hashes", meddled)
+    with pytest.raises(ValueError, match="extra"):
+        bundle.seal(spark.range(3), str(tmp_path / "b"), "numbers")
+
+
 def test_qa_summary_counts_malformed_lines_as_errors(spark, tmp_path):
     (tmp_path / "qa.jsonl").write_text('{"kind":"error"}\n{"kind":"info"}\nnot json\n')
     assert tuple(bundle.qa_summary(spark, str(tmp_path / "qa.jsonl")).first()) == (2, 1)
