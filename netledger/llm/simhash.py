@@ -189,6 +189,8 @@ PARITIES = 16
 FOLDS = 4
 #: Lists of more members are first linked to a leader, so that linked pairs needn't be made.
 PAIRED = 4
+#: Lists of a text that go with its later ones, so that pairs of several lists are made in the first.
+FIRSTS = 8
 #: Frequent shingles: rows of the sample that tells them, rows that hold one, and how many go last.
 SAMPLE, HOLD, FREQUENT = 20_000, 3, 200_000
 
@@ -274,6 +276,24 @@ def shared_prefixes(postings: DataFrame) -> DataFrame:
     return told.filter("lo < hi").select(*postings.columns, "length").distinct()
 
 
+def merged_lists(shared: DataFrame) -> DataFrame:
+    """(id, n, key, length): one list of those that hold the same ids. A set of ids is known by its size and
+    the exclusive or of 128 bits of each."""
+    w = Window.partitionBy("key")
+    bits = [F.bit_xor(F.xxhash64(F.lit(i), "id")).over(w).alias(f"s{i}") for i in range(2)]
+    told = shared.select("id", "n", "key", F.count(F.lit(1)).over(w).alias("length"), *bits)
+    return told.groupBy("s0", "s1", "length", "id").agg(F.min("key").alias("key"), F.first("n").alias("n")).select("id", "n", "key", "length")
+
+
+def with_firsts(shared: DataFrame, firsts: int = FIRSTS) -> DataFrame:
+    """``shared`` with ``head``: the first of the id's lists, ``firsts`` at most, that stand before this one in an
+    order for all lists, long ones first. Two ids have no list in both heads where they first meet."""
+    w = Window.partitionBy("id").orderBy(F.desc("length"), "key")
+    numbered = shared.withColumn("rank", F.row_number().over(w))
+    every = F.collect_list(F.when(F.col("rank") <= firsts, F.col("key"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return numbered.withColumn("head", F.slice(every, F.lit(1), F.least(F.col("rank") - 1, F.lit(firsts)))).drop("rank")
+
+
 def folded(parity: DataFrame, lanes: int = FOLDS) -> DataFrame:
     """(id, q0, ...) of (id, p0, ...): parity bits of fewer and larger sets of hashes."""
     out = []
@@ -343,17 +363,20 @@ def parities(texts: DataFrame, k: int = WORDS) -> DataFrame:
     return fingerprints(texts, "id", k, 0, True, PARITIES)
 
 
-def similar_links(each: DataFrame, parity: DataFrame, sets: Callable[[DataFrame], DataFrame], k: int = WORDS, similarity: float = SIMILARITY, lanes: int = FOLDS, heads: int = 0, keep: Callable[[DataFrame], DataFrame] = checkpointed, total: int | None = None) -> DataFrame:
+def similar_links(each: DataFrame, parity: DataFrame, sets: Callable[[DataFrame], DataFrame], k: int = WORDS, similarity: float = SIMILARITY, lanes: int = FOLDS, heads: int = 0, keep: Callable[[DataFrame], DataFrame] = checkpointed, total: int | None = None, firsts: int = 0) -> DataFrame:
     """Links (a, b) between texts (id, text) with the components of all pairs at the similarity.
 
     Texts that share a shingle of their prefixes are compared unless they are linked already, so no
     pair at the similarity is lost. ``sets`` gives (id, s), their shingle sets, of a table of some ids. For
     families of many texts that are nearly similar, more ``lanes`` of parity bits go with the lists, and
     ``heads`` keys before each, by which a pair is made in the first list that both are in only. ``keep``
-    materialises the lists, and ``total`` is the number of texts, if known.
+    materialises the lists, and ``total`` is the number of texts, if known. With ``firsts`` lists of the same texts are merged, and
+    each row holds so many lists before it, to the same end as ``heads``.
     """
     keys = prefixes(each, frequent_shingles(each, each.count() if total is None else total, k), k, similarity, heads)
-    shared = keep(shared_prefixes(keys).join(folded(parity, lanes), "id"))
+    shared = merged_lists(shared_prefixes(keys)) if firsts else shared_prefixes(keys)
+    shared = shared.join(folded(parity, lanes), "id")
+    shared = keep(with_firsts(shared, firsts) if firsts else shared)
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = checkpointed(possible_pairs(pairs, parity, similarity))
@@ -401,7 +424,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: float = SI
         able = may_hold(marked.select(F.xxhash64(node).alias("id"), "text"), sieve(ids, F.col("id")), F.col("id"))
         return stored(able.select("id", shingle_set(F.col("text"), k).alias("s")).join(ids, "id").groupBy("id").agg(F.first("s").alias("s")))
 
-    links = similar_links(each, parity, sets, k, similarity, total=nodes.count())
+    links = similar_links(each, parity, sets, k, similarity, total=nodes.count(), firsts=FIRSTS)
     groups = connected_components(links, "a", "b").join(nodes, F.col("vertex") == F.col("id")).select("id", "component", "node")
     least = groups.groupBy("component").agg(F.min("node").alias("stays"))
     joined = checkpointed(groups.join(least, "component").select("node", "stays"))

@@ -3,6 +3,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from netledger.llm import simhash
 
 
@@ -78,6 +80,26 @@ def test_mixed_lists_equal_brute_force(spark):
     assert 20 < len(want) < 250 and left(spark, texts) == want
 
 
+def test_pairs_of_many_lists_are_made_in_few(spark, monkeypatch):
+    # 60 unlike texts share a passage, and 40 pairs one of their own: many lists of the same texts
+    rng = random.Random(8)
+    new = lambda n: [f"w{rng.getrandbits(60)}" for _ in range(n)]
+    passage, texts = new(60), []
+    texts += [" ".join(passage + new(40)) for _ in range(60)]
+    for _ in range(40):
+        own = new(80)
+        texts += [" ".join(own + new(20)), " ".join(own + new(30))]
+    lists = []
+    real = simhash.unlinked_pairs
+    monkeypatch.setattr(simhash, "unlinked_pairs", lambda shared, *a: lists.append(shared) or real(shared, *a))
+    assert left(spark, texts) == kept(texts)
+    (shared,) = lists
+    x, y = shared.alias("x"), shared.alias("y")
+    rows = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & ~F.arrays_overlap("x.head", "y.head")).select("x.id", F.col("y.id").alias("other"))
+    every = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select("x.id", F.col("y.id").alias("other"))
+    assert rows.distinct().count() == every.distinct().count() >= 40 and rows.count() < 1.1 * every.distinct().count()
+
+
 def test_a_sieve_parts_rows_and_loses_none(spark):
     from pyspark.sql import functions as F
 
