@@ -121,10 +121,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", k: int = SHINGLE, lanes:
     return docs.select(key, "text").mapInArrow(run, schema)
 
 
-def _conjunctions(fp: Column) -> Column:
+def _conjunctions(fp: Column, first: int = 0) -> Column:
     pair = [F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
     keys = [
-        F.lit(n << 32) + pair[a] * F.lit(65536) + pair[b] for n, (a, b) in enumerate(combinations(range(4), 2))
+        F.lit((first + n) << 32) + pair[a] * F.lit(65536) + pair[b] for n, (a, b) in enumerate(combinations(range(4), 2))
     ]
     return F.array(*keys)
 
@@ -187,6 +187,9 @@ WORDS, SIMILARITY, LANES = 5, 0.8, 8
 PARITIES = 16
 #: Lanes of them folded to fewer, which go with the lists.
 FOLDS = 4
+#: Equal positional bytes of the wide fingerprints, and bits that differ, at which a pair of the index is
+#: compared on its texts. At the similarity some 17 of 64 bytes are equal and 78 of 512 bits differ.
+LEAST_BYTES, MOST_BITS = 8, 128
 #: Lists of more members are first linked to a leader, so that linked pairs needn't be made.
 PAIRED = 4
 #: Lists of a text that go with its later ones, so that pairs of several lists are made in the first.
@@ -358,19 +361,39 @@ def possible_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMIL
     return pairs.join(sides[0], "a").join(sides[1], "b").filter(sum(differ[1:], differ[0]) <= most).select("a", "b")
 
 
+def indexed_pairs(prints: DataFrame, least: int = LEAST_BYTES, most: int = MOST_BITS) -> DataFrame:
+    """Pairs (a, b) of (id, f0, f1, ...) by the inverted index of positional bytes of all lanes.
+
+    Lists are kept per lane and conjunction of four bytes. Each member of a list meets its least id, so a
+    family of copies costs a row per list and member. Pairs are tallied over all positional bytes, kept at
+    ``least`` equal ones, and verified by their differing bits, ``most`` at most.
+    """
+    lanes = [c for c in prints.columns if c[:1] == "f" and c[1:].isdigit()]
+    keys = [_conjunctions(F.col(c), 6 * i) for i, c in enumerate(lanes)]
+    w = Window.partitionBy("key")
+    postings = prints.select("id", F.explode(F.flatten(F.array(*keys))).alias("key"))
+    met = postings.select(F.min("id").over(w).alias("a"), F.col("id").alias("b")).filter("a < b").distinct()
+    sides = [prints.select(F.col("id").alias(x), *[F.col(c).alias(x + c) for c in lanes]) for x in ("a", "b")]
+    differ = [F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}")) for c in lanes]
+    tally, bits = [shared_bytes(d) for d in differ], [F.bit_count(d) for d in differ]
+    tallied = met.join(sides[0], "a").join(sides[1], "b").filter(sum(tally[1:], tally[0]) >= least)
+    return tallied.filter(sum(bits[1:], bits[0]) <= most).select("a", "b")
+
+
 def parities(texts: DataFrame, k: int = WORDS) -> DataFrame:
     """(id, p0, ..., n) of (id, text): parity bits and numbers of the distinct shingles."""
     return fingerprints(texts, "id", k, 0, True, PARITIES)
 
 
-def similar_links(each: DataFrame, parity: DataFrame, sets: Callable[[DataFrame], DataFrame], k: int = WORDS, similarity: float = SIMILARITY, lanes: int = FOLDS, heads: int = 0, keep: Callable[[DataFrame], DataFrame] = checkpointed, total: int | None = None, firsts: int = 0) -> DataFrame:
+def similar_links(each: DataFrame, parity: DataFrame, sets: Callable[[DataFrame], DataFrame], k: int = WORDS, similarity: float = SIMILARITY, lanes: int = FOLDS, heads: int = 0, keep: Callable[[DataFrame], DataFrame] = checkpointed, total: int | None = None, prints: DataFrame | None = None, firsts: int = 0) -> DataFrame:
     """Links (a, b) between texts (id, text) with the components of all pairs at the similarity.
 
     Texts that share a shingle of their prefixes are compared unless they are linked already, so no
     pair at the similarity is lost. ``sets`` gives (id, s), their shingle sets, of a table of some ids. For
     families of many texts that are nearly similar, more ``lanes`` of parity bits go with the lists, and
     ``heads`` keys before each, by which a pair is made in the first list that both are in only. ``keep``
-    materialises the lists, and ``total`` is the number of texts, if known. With ``firsts`` lists of the same texts are merged, and
+    materialises the lists, and ``total`` is the number of texts, if known. With ``prints`` (id, f0, ...), wide
+    fingerprints, what their index finds is linked first. With ``firsts`` lists of the same texts are merged, and
     each row holds so many lists before it, to the same end as ``heads``.
     """
     keys = prefixes(each, frequent_shingles(each, each.count() if total is None else total, k), k, similarity, heads)
@@ -385,7 +408,8 @@ def similar_links(each: DataFrame, parity: DataFrame, sets: Callable[[DataFrame]
         both = pairs.join(mine.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(mine.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         return checkpointed(both.filter(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b"))
 
-    first = linked(led_pairs(shared, similarity))
+    led = led_pairs(shared, similarity)
+    first = linked(led if prints is None else indexed_pairs(prints).union(led).distinct())
     return first.union(linked(unlinked_pairs(shared, connected_components(first, "a", "b"), similarity, keep)))
 
 
@@ -393,9 +417,10 @@ def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: float = SI
     """The rows of ``docs`` (doc_id, text, ...) without all but one document of each group.
 
     Documents are linked at a Jaccard similarity of ``similarity`` or more of their k-word shingles
-    in lower case. Equal documents form classes by wide SimHash fingerprints; classes that share a
-    shingle of their prefixes are compared on their texts unless they are linked already, so no pair
-    at the similarity is lost. Of a group the row of the least doc_id stays, a null id before others;
+    in lower case. Equal documents form classes by wide SimHash fingerprints. Classes that meet in the
+    inverted index of the positional bytes of these, and pass its tally and the count of differing bits, are
+    compared on their texts; so are classes that share a shingle of their prefixes unless they are linked
+    already, so no pair at the similarity is lost. Of a group the row of the least doc_id stays, a null id before others;
     of repeated rows one stays. Texts without words, null ones among them, form one group. Other
     columns are untouched.
     """
@@ -409,6 +434,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: float = SI
     bits = ["n", *(f"p{i}" for i in range(PARITIES))]
     classes = checkpointed(found.groupBy(*prints).agg(F.min(F.struct("node", *bits)).alias("c")).select(*prints, "c.*"))
     parity = classes.select(F.xxhash64("node").alias("id"), *bits)
+    wide = classes.select(F.xxhash64("node").alias("id"), *prints).filter("n > 0")
     nodes = classes.select(F.xxhash64("node").alias("id"), "node")
     here = F.struct(F.col("m.doc_id").alias("doc_id"), F.col(f"m.{mark}").alias("digest"))
 
@@ -424,7 +450,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = WORDS, similarity: float = SI
         able = may_hold(marked.select(F.xxhash64(node).alias("id"), "text"), sieve(ids, F.col("id")), F.col("id"))
         return stored(able.select("id", shingle_set(F.col("text"), k).alias("s")).join(ids, "id").groupBy("id").agg(F.first("s").alias("s")))
 
-    links = similar_links(each, parity, sets, k, similarity, total=nodes.count(), firsts=FIRSTS)
+    links = similar_links(each, parity, sets, k, similarity, total=nodes.count(), prints=wide, firsts=FIRSTS)
     groups = connected_components(links, "a", "b").join(nodes, F.col("vertex") == F.col("id")).select("id", "component", "node")
     least = groups.groupBy("component").agg(F.min("node").alias("stays"))
     joined = checkpointed(groups.join(least, "component").select("node", "stays"))

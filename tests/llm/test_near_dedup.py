@@ -80,6 +80,20 @@ def test_mixed_lists_equal_brute_force(spark):
     assert 20 < len(want) < 250 and left(spark, texts) == want
 
 
+def test_the_index_of_fingerprints_links_near_copies(spark, monkeypatch):
+    # without prefix lists, what is found is the work of the positional bytes
+    rng = random.Random(6)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.getrandbits(60)}" for _ in range(400)]
+        texts += [" ".join(words), " ".join(edited(rng, words, 1)), " ".join(edited(rng, words, 1))]
+    texts += [" ".join(f"w{rng.getrandbits(60)}" for _ in range(100)) for _ in range(30)]
+    none = lambda shared, *_: shared.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    monkeypatch.setattr(simhash, "led_pairs", none)
+    monkeypatch.setattr(simhash, "unlinked_pairs", none)
+    assert left(spark, texts) == kept(texts) and len(kept(texts)) == 70
+
+
 def test_pairs_of_many_lists_are_made_in_few(spark, monkeypatch):
     # 60 unlike texts share a passage, and 40 pairs one of their own: many lists of the same texts
     rng = random.Random(8)
