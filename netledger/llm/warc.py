@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -46,8 +46,10 @@ def resources(pages: DataFrame) -> DataFrame:
     url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
     key = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("page_id").cast("string"), F.lit("")), url, html))
     archives = max(1, -(-pages.count() // ARCHIVE_RECORDS))
-    rows = pages.select("page_id", F.regexp_replace(url, r"[\r\n]+", " ").alias("url"), html.alias("html"), key.alias("key")).dropDuplicates(["key"])
-    return rows.select((F.conv(F.substring("key", 25, 8), 16, 10).cast("long") % archives).cast("string").alias("archive"), "key", "page_id", "url", "html")
+    rows = pages.select("page_id", F.regexp_replace(url, r"[\r\n]+", " ").alias("url"), html.alias("html"), key.alias("key"))
+    archive = (F.conv(F.substring("key", 25, 8), 16, 10).cast("long") % archives).cast("string").alias("archive")
+    # equal pages are of one archive, so one shuffle serves to find them and to write the archives
+    return rows.select(archive, "key", "page_id", "url", "html").repartition("archive").dropDuplicates(["archive", "key"])
 
 
 def record() -> Column:
@@ -60,10 +62,15 @@ def record() -> Column:
     )
 
 
-def write(rows: DataFrame, path: str, compression: str = "gzip") -> None:
+def laid(rows: DataFrame, whole: bool = False) -> DataFrame:
+    """(archive, value): the records of rows of ``resources``, an archive in one partition and in order of identity.
+    ``whole`` says that no archive lies in several partitions, so that nothing is shuffled."""
+    return (rows if whole else rows.repartition("archive")).sortWithinPartitions("archive", "key").select("archive", record().alias("value"))
+
+
+def write(rows: DataFrame, path: str, compression: str = "gzip", whole: bool = False) -> None:
     """Write rows of ``resources`` as one file per archive, in folders archive=.., in order of identity."""
-    laid = rows.repartition("archive").sortWithinPartitions("archive", "key").select("archive", record().alias("value"))
-    laid.write.partitionBy("archive").option("lineSep", END).option("compression", compression).text(path)
+    laid(rows, whole).write.partitionBy("archive").option("lineSep", END).option("compression", compression).text(path)
 
 
 def inflated(data: bytes, step: int = 1 << 20) -> bytes:
@@ -104,18 +111,27 @@ def parsed(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
         at = upto + len(end)
 
 
-def _scanned(spark: SparkSession, path: str, schema: str, row) -> DataFrame:
-    """Rows that ``row`` makes of the records of the files of a folder."""
+def _scanned(spark: SparkSession, path: str, schema: str, row, swapped: Callable[[dict[str, str]], bool] | None = None) -> DataFrame:
+    """Rows that ``row`` makes of the records of the files of a folder. Records whose fields ``swapped`` holds for
+    exchange their last columns two by two, in order of the file; an odd one keeps its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
-                archive, data, rows = name.as_py(), inflated(content.as_py()), []
+                archive, data, rows, waiting = name.as_py(), inflated(content.as_py()), [], None
                 for offset, length, fields, body in parsed(data):
-                    rows.append((archive, offset, length, *row(fields, body, data[offset : offset + length])))
+                    made = (archive, offset, length, *row(fields, body, data[offset : offset + length]))
+                    if swapped and swapped(fields):
+                        if waiting is None:
+                            waiting = made
+                            continue
+                        rows.append((*waiting[:-1], made[-1]))
+                        made, waiting = (*made[:-1], waiting[-1]), None
+                    rows.append(made)
                     if len(rows) == ROWS:
                         yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], shape)
                         rows = []
+                rows += [waiting] if waiting else []
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], shape)
 
@@ -138,10 +154,11 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     return _scanned(spark, path, schema, lambda fields, body, whole: (*_identity(fields), hashlib.sha256(whole).hexdigest()))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, offset, length, record_id, page_id, url, type, html) of all records; the body as text."""
+def read(spark: SparkSession, path: str, swapped: Callable[[dict[str, str]], bool] | None = None) -> DataFrame:
+    """(archive, offset, length, record_id, page_id, url, type, html) of all records; the body as text. Records
+    that ``swapped`` holds for by their fields exchange their bodies two by two."""
     schema = "archive string, offset long, length long, record_id string, page_id long, url string, type string, html string"
-    return _scanned(spark, path, schema, lambda fields, body, whole: (*_identity(fields), fields.get("warc-type"), body.decode("utf-8", "replace")))
+    return _scanned(spark, path, schema, lambda fields, body, whole: (*_identity(fields), fields.get("warc-type"), body.decode("utf-8", "replace")), swapped)
 
 
 def _hash(entries: Column) -> Column:
@@ -198,20 +215,40 @@ def audit(a: DataFrame, b: DataFrame) -> DataFrame:
     return by_archive.unionByName(node(ordered, "range", F.lit("reordered"))).unionByName(records.drop("parent"))
 
 
-def spoilt(rows: DataFrame) -> DataFrame:
-    """Rows of ``resources`` with twelve in a thousand records, chosen by hash, lost, longer, shorter,
-    changed, doubled under a new identity, or with their contents swapped, two in a thousand each."""
-    h = F.conv(F.substring(F.md5(F.concat(F.lit("damage"), "key")), 1, 6), 16, 10).cast("long") % 1000
-    marked = rows.withColumn("h", h)
+def _marked(rows: DataFrame) -> DataFrame:
+    """``rows`` with h, 0 to 999 by a hash of the key, which tells the damage."""
+    return rows.withColumn("h", F.conv(F.substring(F.md5(F.concat(F.lit("damage"), "key")), 1, 6), 16, 10).cast("long") % 1000)
+
+
+def _changed(marked: DataFrame) -> DataFrame:
+    """Rows with h: some lost, longer, shorter, changed or doubled. Each is made of one row."""
     short = F.expr("substring(html, 1, length(html) - 1)")
     own = F.when(F.col("h").isin(2, 3), F.concat("html", F.lit("<!-- more -->"))).when(F.col("h").isin(4, 5), short).when(F.col("h").isin(6, 7), F.concat(short, F.lit("~"))).otherwise(F.col("html"))
     one, two = F.struct("key", own.alias("html")), F.struct(F.md5(F.concat(F.lit("added"), "key")).alias("key"), F.col("html"))
     copies = F.when(F.col("h").isin(8, 9), F.array(one, two)).otherwise(F.array(one))
-    rest = marked.filter("h NOT IN (0, 1, 10, 11)").select("archive", "page_id", "url", F.explode(copies).alias("c")).select("archive", "c.key", "page_id", "url", "c.html")
+    return marked.filter("h NOT IN (0, 1)").select("archive", "page_id", "url", F.explode(copies).alias("c")).select("archive", "c.key", "page_id", "url", "c.html")
+
+
+def spoilt(rows: DataFrame) -> DataFrame:
+    """Rows of ``resources`` with twelve in a thousand records, chosen by hash, lost, longer, shorter,
+    changed, doubled under a new identity, or with their contents swapped, two in a thousand each."""
+    marked = _marked(rows)
     order = Window.partitionBy("archive").orderBy("key")
     other = F.when(F.row_number().over(order) % 2 == 1, F.lead("html").over(order)).otherwise(F.lag("html").over(order))
     swapped = marked.filter("h IN (10, 11)").select("archive", "key", "page_id", "url", F.coalesce(other, "html").alias("html"))
-    return rest.unionByName(swapped)
+    return _changed(marked.filter("h NOT IN (10, 11)")).unionByName(swapped)
+
+
+def spoilt_files(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``spoilt`` from the files that ``write`` made of them. A file holds an archive in order, so
+    contents are swapped where it is read, and no row leaves its partition."""
+
+    def swapped(fields: dict[str, str]) -> bool:
+        key = fields["warc-record-id"].strip("<>").removeprefix("urn:uuid:").replace("-", "")
+        return int(hashlib.md5(f"damage{key}".encode()).hexdigest()[:6], 16) % 1000 in (10, 11)
+
+    key = F.regexp_replace(F.regexp_extract("record_id", "([0-9a-f-]+)$", 1), "-", "")
+    return _changed(_marked(read(spark, path, swapped).select("archive", key.alias("key"), "page_id", "url", "html")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,8 +256,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     all kinds as others. The audit of both from their files must find all of it and nothing else."""
     original, replica = fresh_path(spark), fresh_path(spark)
     write(resources(table(spark, sf_dir, "pages").select("page_id", "url", "html")), original)
-    key = F.regexp_replace(F.regexp_extract("record_id", "([0-9a-f-]+)$", 1), "-", "")
-    write(spoilt(read(spark, original).select("archive", key.alias("key"), "page_id", "url", "html")), replica)
+    write(spoilt_files(spark, original), replica, whole=True)
     return audit(stored(index(spark, original)), stored(index(spark, replica)))
 
 

@@ -316,6 +316,20 @@ def test_audit_finds_damage_in_stored_files(spark, tmp_path):
     assert warc.audit(index.limit(0), index.limit(0)).count() == 0 and warc.resources(pages.limit(0)).count() == 0
 
 
+def test_archives_are_laid_by_one_shuffle_and_spoilt_by_none(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", f"<p>é {i}</p>", "x", "y") for i in range(20_000)]
+    good = warc.resources(spark.createDataFrame(rows + rows[:50], PAGES))
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert good.count() == 20_000 and good.select("archive").distinct().count() == 3
+    assert plan(warc.laid(good)).count("Exchange ") == 1
+    warc.write(good, str(tmp_path / "a"))
+    bad = warc.spoilt_files(spark, str(tmp_path / "a"))
+    assert plan(warc.laid(bad, True)).count("Exchange ") == 0
+    assert sorted(map(tuple, bad.collect())) == sorted(map(tuple, warc.spoilt(good).collect()))
+    warc.write(bad, str(tmp_path / "b"), whole=True)
+    assert len(list((tmp_path / "b").rglob("*.gz"))) == 3
+
+
 def test_spoilt_replicas_are_found_exactly(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>", "x", "y") for i in range(3000)], PAGES)
     good = warc.resources(pages)
