@@ -263,6 +263,22 @@ def test_ranking_equals_a_slow_fit(spark):
     assert found.cut == pytest.approx(strengths[low] + (at - low) * (strengths[min(low + 1, len(strengths) - 1)] - strengths[low]))
 
 
+def test_every_labelled_row_is_learned_from(spark):
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice(["the", "of", "Ab", "word", "##", "long-word"]) for _ in range(rng.randint(1, 30)))) for i in range(26_000)]
+    labels = [(i, int(len(text) + rng.gauss(0, 40) > 60)) for i, text in docs] + [(5, 1), (30_000, 1), (7, None), (None, 1)]
+    d = spark.createDataFrame([*docs, docs[6], (None, "no id")], "doc_id long, text string").repartition(5)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    found = quality_classifier.learn(d, lab)
+    rows = quality_classifier.features(d).join(lab, "doc_id").filter(~quality_classifier.held_out(F.col("doc_id")) & F.col("quality").isNotNull())
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "features").select("quality", "features").collect()
+    plain = quality_classifier.fit(np.array([r.features for r in rows]), np.array([r.quality == 1 for r in rows]))
+    assert len(rows) > 20_500 and found.weights == pytest.approx(plain.weights, rel=1e-5, abs=1e-7) and found.cut == pytest.approx(plain.cut, rel=1e-6)
+    values = [3.0, -1.0, 3.0, 7.5, 1e300, 3.0, -1e-300, 0.0]
+    v = spark.createDataFrame([(x,) for x in values], "v double")
+    assert [quality_classifier.order_statistic(v, i) for i in range(8)] == sorted(values)
+
+
 def test_features_leave_other_columns_alone(spark):
     d = spark.createDataFrame([(1, "a b c", 5, 6, 7.5, "xx")], "doc_id long, text string, `measures` int, row int, `a.b` double, lang string")
     out = quality_classifier.classify(d, quality_classifier.Ranking((), 0.0))
