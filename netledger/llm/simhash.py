@@ -192,6 +192,8 @@ FOLDS = 4
 LEAST_BYTES, MOST_BITS = 8, 128
 #: Lists of more members are first linked to a leader, so that linked pairs needn't be made.
 PAIRED = 4
+#: Buckets of hashes that are counted, a power of two.
+BUCKETS = 1024
 #: Lists of a text that go with its later ones, so that pairs of several lists are made in the first.
 FIRSTS = 8
 #: Frequent shingles: rows of the sample that tells them, rows that hold one, and how many go last.
@@ -385,6 +387,27 @@ def parities(texts: DataFrame, k: int = WORDS) -> DataFrame:
     return fingerprints(texts, "id", k, 0, True, PARITIES)
 
 
+def counted_pairs(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The ``pairs`` (a, b) whose numbers of hashes by bucket, of the sets (id, s), don't show that they lack the similarity.
+
+    The numbers differ by as many as hashes that aren't common at most, so no similar pair goes. For long texts
+    this tells more than parity bits, and spares shuffling their sets beside each pair.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.bincount(x.values.to_numpy() & (BUCKETS - 1), minlength=BUCKETS).astype(np.int32) for x in batch.column(1)]
+            values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32))
+            ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * BUCKETS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, values)], names=["id", "c"])
+
+    counts = stored(sets.select("id", "s").mapInArrow(run, "id long, c array<int>").select("id", "c", F.aggregate("c", F.lit(0), lambda x, y: x + y).alias("m")))
+    sides = [counts.select(F.col("id").alias(x), F.col("c").alias(f"{x}c"), F.col("m").alias(f"{x}m")) for x in ("a", "b")]
+    differ = F.aggregate(F.zip_with("ac", "bc", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
+    most = (1 - similarity) / (1 + similarity) * (F.col("am") + F.col("bm")) + 1e-6
+    return pairs.join(sides[0], "a").join(sides[1], "b").filter(differ <= most).select("a", "b")
+
+
 def similar_links(each: DataFrame, parity: DataFrame, sets: Callable[[DataFrame], DataFrame], k: int = WORDS, similarity: float = SIMILARITY, lanes: int = FOLDS, heads: int = 0, keep: Callable[[DataFrame], DataFrame] = checkpointed, total: int | None = None, prints: DataFrame | None = None, firsts: int = 0) -> DataFrame:
     """Links (a, b) between texts (id, text) with the components of all pairs at the similarity.
 
@@ -405,6 +428,8 @@ def similar_links(each: DataFrame, parity: DataFrame, sets: Callable[[DataFrame]
         pairs = checkpointed(possible_pairs(pairs, parity, similarity))
         needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         mine = sets(needed)
+        if firsts:
+            pairs = checkpointed(counted_pairs(pairs, mine, similarity))
         both = pairs.join(mine.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(mine.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         return checkpointed(both.filter(jaccard(F.col("sa"), F.col("sb")) >= similarity).select("a", "b"))
 

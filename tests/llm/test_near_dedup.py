@@ -114,6 +114,18 @@ def test_pairs_of_many_lists_are_made_in_few(spark, monkeypatch):
     assert rows.distinct().count() == every.distinct().count() >= 40 and rows.count() < 1.1 * every.distinct().count()
 
 
+def test_counts_by_bucket_part_long_texts_and_lose_no_similar_ones(spark):
+    rng = random.Random(10)
+    draw = lambda n: rng.sample(range(-(2**31), 2**31), n)
+    one = draw(9000)
+    found = {0: one, 1: one[:8000] + draw(1000), 2: draw(9000), 3: [], 4: one[:4500] + draw(4500), 5: [-1], 6: [-1], 7: [-(2**31)]}
+    sets = spark.createDataFrame(list(found.items()), "id long, s array<int>")
+    pairs = spark.createDataFrame(list(itertools.combinations(found, 2)), "a long, b long")
+    want = {(a, b) for a, b in itertools.combinations(found, 2) if len(set(found[a]) & set(found[b])) >= 0.8 * len(set(found[a]) | set(found[b]))}
+    got = {(r.a, r.b) for r in simhash.counted_pairs(pairs, sets).collect()}
+    assert want == {(0, 1), (5, 6)} and got >= want and not got & {(0, 2), (1, 2), (0, 3), (5, 7)}
+
+
 def test_a_sieve_parts_rows_and_loses_none(spark):
     from pyspark.sql import functions as F
 
