@@ -69,7 +69,7 @@ class Confirmed(NamedTuple):
     issues: DataFrame
 
 
-def confirm_chains(events: DataFrame, anchors: DataFrame, anchor_at: Column, observations: DataFrame | None = None, order: tuple[str, ...] = ()) -> Confirmed:
+def confirm_chains(events: DataFrame, anchors: DataFrame, anchor_at: Column, observations: DataFrame | None = None, order: tuple[str, ...] = (), key: str = "event_id") -> Confirmed:
     """Which announced events the register of a day (``anchors``: ident, section, name, address) corroborates.
 
     ``events`` (event_id, planned, before, after): planned is a text. Of events of one day and equal states
@@ -83,8 +83,11 @@ def confirm_chains(events: DataFrame, anchors: DataFrame, anchor_at: Column, obs
     none of the identifiers of the facility. Later events stay announced. Observations (event_id,
     observed_at, kind) of a corroborated event confirm its date if all name the planned day. Anchors
     of one identifier must be one; of several the least by section, name and address counts.
+
+    Where several events have one id, ``key`` names a column of events and observations that tells them apart: each is an
+    event of its own, all of the first id count among equal states, and an observation belongs to the event of its key.
     """
-    e = events.select("event_id", "planned", *order, compared(F.col("before")).alias("b"), compared(F.col("after")).alias("a"), live(F.col("before.ident"), DELETED).alias("from"), live(F.col("after.ident"), DELETED).alias("to"))
+    e = events.select("event_id", F.col(key).alias("row"), "planned", *order, compared(F.col("before")).alias("b"), compared(F.col("after")).alias("a"), live(F.col("before.ident"), DELETED).alias("from"), live(F.col("after.ident"), DELETED).alias("to"))
     e = checkpointed(tm.keep_first(e, ["planned", "b", "a"], [*order, "event_id"]).withColumn("at", F.col("planned").try_cast("date")))
     blank = F.trim(text(F.col("planned"))) == ""
     unnamed = F.col("from").isNull() & F.col("to").isNull()
@@ -99,10 +102,10 @@ def confirm_chains(events: DataFrame, anchors: DataFrame, anchor_at: Column, obs
 
     # places within a day come from the states; most days hold one event and need none
     days = dated.groupBy("facility", "at").agg(F.count(F.lit(1)).alias("n"))
-    crowded = checkpointed(dated.join(days.filter("n > 1"), ["facility", "at"], "left_semi").select("facility", "at", "event_id", "b", "a"))
-    place = tm.threaded(crowded, ["facility", "at"], "event_id", "b", "a").select("event_id", "place", F.lit(True).alias("crowded"))
-    chain = dated.join(place, "event_id", "left").withColumn("loose", F.col("crowded").isNotNull() & F.col("place").isNull())
-    chain = followed(chain.withColumn("place", F.coalesce("place", F.lit(0))), ["facility"], ["at", "place", *order, "event_id"], ["event_id", "b"])
+    crowded = checkpointed(dated.join(days.filter("n > 1"), ["facility", "at"], "left_semi").select("facility", "at", "row", "b", "a"))
+    place = tm.threaded(crowded, ["facility", "at"], "row", "b", "a").select("row", "place", F.lit(True).alias("crowded"))
+    chain = dated.join(place, "row", "left").withColumn("loose", F.col("crowded").isNotNull() & F.col("place").isNull())
+    chain = followed(chain.withColumn("place", F.coalesce("place", F.lit(0))), ["facility"], ["at", "place", *order, "event_id", "row"], ["event_id", "b"])
     chain = checkpointed(chain.withColumn("fields", F.when(F.col("next.event_id").isNotNull(), differing(F.col("a"), F.col("next.b"), CHAIN_FIELDS))))
     past = F.col("at") <= anchor_at
     broken = F.coalesce(F.size("fields") > 0, F.lit(False))
@@ -127,10 +130,10 @@ def confirm_chains(events: DataFrame, anchors: DataFrame, anchor_at: Column, obs
 
     if observations is None:
         observations = events.sparkSession.createDataFrame([], "event_id string, observed_at date, kind string").withColumn("event_id", F.col("event_id").cast(events.schema["event_id"].dataType))
-    fit = observations.filter(F.col("kind").isin(*OBSERVATION_KINDS) & F.col("event_id").isNotNull() & F.col("observed_at").isNotNull())
-    index = tm.observation_index(fit, "event_id", "observed_at")
-    placed = chain.select("event_id", "facility", past.alias("past")).join(verdict, "facility")
-    out = e.select("event_id", "state", "at").join(placed, "event_id", "left").join(index, "event_id", "left")
+    fit = observations.withColumn("row", F.col(key)).filter(F.col("kind").isin(*OBSERVATION_KINDS) & F.col("row").isNotNull() & F.col("observed_at").isNotNull())
+    index = tm.observation_index(fit, "row", "observed_at")
+    placed = chain.select("row", "facility", past.alias("past")).join(verdict, "facility")
+    out = e.select("event_id", "row", "state", "at").join(placed, "row", "left").join(index, "row", "left")
     codes = F.array_compact(F.array(F.when(F.col("detail").isNotNull(), F.when(F.col("n_past") == 0, "no_past_events").otherwise("anchor_mismatch")), F.when(~F.col("chain_consistent"), "chain_inconsistent")))
     reasons = F.when(F.col("state") != "chained", F.array("state")).when(~F.col("past"), F.array(F.lit("future_event"))).otherwise(codes)
     out = out.withColumn("ok", F.coalesce(F.col("past") & F.col("corroborated"), F.lit(False))).withColumn("seen", F.col("conflict").isNotNull())
@@ -154,7 +157,7 @@ def confirm_chains(events: DataFrame, anchors: DataFrame, anchor_at: Column, obs
         row(out.filter("state = 'chained' AND NOT past"), F.lit("future_event"), facility=c("facility"), event=c("event_id")),
         row(out.filter("seen AND ok AND NOT fixed"), F.lit("date_observation_conflict"), F.when(c("conflict"), "observations_disagree"), c("facility"), c("event_id")),
         row(out.filter("seen AND NOT ok"), F.lit("date_observation_for_uncorroborated_event"), facility=c("facility"), event=c("event_id")),
-        row(index.join(e.select("event_id"), "event_id", "left_anti"), F.lit("date_observation_unknown_event"), event=c("event_id")),
+        row(fit.join(e.select("row"), "row", "left_anti").select("event_id").distinct(), F.lit("date_observation_unknown_event"), event=c("event_id")),
         row(observations.filter(~F.coalesce(F.col("kind").isin(*OBSERVATION_KINDS), F.lit(False))), F.lit("date_observation_kind_rejected"), c("kind"), event=c("event_id")),
     ]
     joined = issues[0]
