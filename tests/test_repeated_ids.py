@@ -16,7 +16,7 @@ def folder(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["chain_reports", "confirm_chains"])
+@pytest.mark.parametrize("name", ["chain_reports", "confirm_chains", "confirm_events"])
 def test_repeated_ids(spark, folder, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
