@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def exact_mean(c: str, scale: int = 10) -> Column:
+    """The mean of a column of doubles from their sum as decimals, so that it depends on no order of rows. Values
+    of more digits behind the point are rounded to ``scale``; groups with values that no decimal holds have the plain mean."""
+    whole = F.col(c).try_cast(f"decimal(28,{scale})")
+    return F.when(F.count(whole) == F.count(c), F.try_divide(F.sum(whole).cast("double"), F.count(c))).otherwise(F.avg(c))
+
+
 def counts_by(df: DataFrame, by: list[str], predicates: dict[str, Column]) -> DataFrame:
     """One count per predicate and group, in a single map-side combined aggregate."""
     return df.groupBy(*by).agg(*[F.count_if(p).alias(name) for name, p in predicates.items()])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netledger.operators import temporal as tm
+from netledger.operators.statistics import exact_mean
 from netledger.plans.common import CLOSED, REOPENED, STRUCTURAL, table
 
 _STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -106,7 +107,7 @@ def terminal_event(spark, sf_dir):
 
 def position_moved(spark, sf_dir):
     """Per day, users whose rounded mean value differs from that of their previous day with events."""
-    e = _events(spark, sf_dir).groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.round(F.avg("value"), 0).alias("spot"))
+    e = _events(spark, sf_dir).groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.round(exact_mean("value"), 0).alias("spot"))
     moved = tm.continuity_breaks(e, ["user_id"], ["day"], {"spot": "spot"})
     return moved.groupBy("day").agg(F.count(F.lit(1)).alias("moved"))
 
