@@ -46,17 +46,6 @@ def radius_counts(left: DataFrame, right: DataFrame, radii: tuple[float, ...]) -
     return joined.select("lid", F.explode(entry).alias("e")).select("lid", "e.*")
 
 
-def _on_globe(lat: Column, lon: Column, size: float, reach: int) -> Column:
-    """Distinct cells around a place; columns go on across the meridian of 180 degrees. ``size`` must
-    divide 360 degrees."""
-    columns = round(360 / size)
-    steps = [
-        F.struct((F.floor(lat / size) + i).alias("cx"), F.pmod(F.floor((lon + 180) / size) + j, F.lit(columns)).alias("cy"))
-        for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)
-    ]
-    return F.array_distinct(F.array(*steps))
-
-
 def _finite(*columns: str) -> Column:
     """Whether all columns hold numbers: not null, not NaN, not infinite."""
     tests = [F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) for c in columns]
@@ -66,51 +55,84 @@ def _finite(*columns: str) -> Column:
     return out
 
 
+def _width(spots: DataFrame, x: str, y: str, least: float, most: float) -> float:
+    """The width of a cell that holds about one of the spots where there are any, within bounds."""
+    box = spots.agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
+    if not box.n:
+        return most
+    wide, high = box.x1 - box.x0, box.y1 - box.y0
+    fine = max(wide, high) / 64
+    if not fine:
+        return least
+    area = fine * fine * spots.select(F.floor((F.col(x) - box.x0) / fine).alias("i"), F.floor((F.col(y) - box.y0) / fine).alias("j")).distinct().count()
+    return min(most, max(least, min(area, max(wide * high, 0)) ** 0.5 / box.n ** 0.5, max(wide, high) / box.n))
+
+
+def _dealt(x: str, y: str, size: float) -> Column:
+    return F.struct(F.floor(F.col(x) / size).alias("cx"), F.floor(F.col(y) / size).alias("cy"))
+
+
+def _circles(points: DataFrame, lat: str, lon: str, size: float, weight: Column, side: str) -> DataFrame:
+    """Cells of points, each with its parent of double size, its middle, the farthest of its points from there, and their weight."""
+    north = F.least(F.greatest((F.col("c.cx") + 0.5) * size, F.lit(-90.0)), F.lit(90.0))
+    east = (F.col("c.cy") + 0.5) * size
+    dealt = points.withColumn("c", _dealt(lat, lon, size)).withColumns({"at": north, "on": east})
+    sums = dealt.groupBy("c", "at", "on").agg(F.max(haversine(F.col("at"), F.col("on"), F.col(lat), F.col(lon))).alias("r"), F.sum(weight).alias("m"))
+    parent = F.struct(F.floor(F.col("c.cx") / 2).alias("cx"), F.floor(F.col("c.cy") / 2).alias("cy"))
+    return sums.select(parent.alias(f"{side}p"), *[F.col(n).alias(f"{side}{n}") for n in ("c", "at", "on", "r", "m")])
+
+
 def nearest_few(left: DataFrame, right: DataFrame, k: int, cell: float | None = None) -> DataFrame:
     """(lid, near: array<struct<d, rid>>): the k nearest right points (rid, lat, lon) of each left one by great
     circle, nearest first, fewer where there are fewer.
 
-    Cells of about ``cell`` degrees, by default the smaller the more right points there are, are searched with
-    their neighbours, across the antimeridian, too; a point is settled once its k-th best is no farther than
-    these surely cover. Cells double each round, and only open points go on. Ties go to the least rid. Points
-    that no round settles within the globe keep their best. Left points without coordinates have a null
-    array; such right points don't count.
+    Different places are compared, not points: many at one place are one, with the k least rids there. Pairs of a left and a
+    right cell are halved from a sixteenth of all down to cells that hold about one right place where there are any, and are of
+    ``cell`` degrees at most. Of a left cell's pairs those stay whose circles may come nearer to each other than others that surely
+    hold k points. Ties go to the least rid. Left points without coordinates have a null array; such right points don't count.
     """
-    held = right.filter(_finite("lat", "lon")).select("rid", F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
-    if cell is None:  # half the width that would hold one point each if they were spread evenly
-        cell = min(8.0, max(0.005, 0.5 * (360 * 180 / max(1, held.count())) ** 0.5))
-    todo = left.filter(_finite("lat", "lon")).select("lid", "lat", "lon")
+    there = right.filter(_finite("lat", "lon")).select("rid", F.col("lat").alias("rlat"), F.col("lon").alias("rlon"))
+    if k == 1:
+        spots = there.groupBy("rlat", "rlon").agg(F.array(F.min("rid")).alias("rids"))
+    else:
+        few = there.withColumn("place", F.row_number().over(Window.partitionBy("rlat", "rlon").orderBy("rid"))).filter(F.col("place") <= k)
+        spots = few.groupBy("rlat", "rlon").agg(F.sort_array(F.collect_list("rid")).alias("rids"))
+    spots = checkpointed(spots)
+    asked = left.filter(_finite("lat", "lon")).select("lid", "lat", "lon")
+    places = checkpointed(asked.select("lat", "lon").distinct())
     kind = f"array<struct<d:double,rid:{right.schema['rid'].dataType.simpleString()}>>"
-    done = [left.filter(~_finite("lat", "lon")).select("lid", F.lit(None).cast(kind).alias("near"))]
-    reach, columns = 1, max(1, round(360 / cell))
-    place = Window.partitionBy("lid").orderBy("d", "rid")
-    while True:
-        size = 360 / columns
-        probe = todo.select("*", F.explode(_on_globe(F.col("lat"), F.col("lon"), size, reach)).alias("c"))
-        placed = held.withColumn("c", F.get(_on_globe(F.col("rlat"), F.col("rlon"), size, 0), F.lit(0)))
-        found = probe.join(placed, "c").withColumn("d", haversine(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")))
-        pair = F.struct("d", "rid")
+    size = leaf = _width(spots, "rlat", "rlon", 0.005, min(8.0, cell or 8.0))
+    box = places.union(spots.select("rlat", "rlon")).agg((F.max("lat") - F.min("lat")).alias("high"), (F.max("lon") - F.min("lon")).alias("wide")).first()
+    while size < max(box.high or 0, box.wide or 0) / 16:  # some hundred cells on either side
+        size *= 2
+    pairs = None
+    while size >= leaf:
+        a, b = _circles(places, "lat", "lon", size, F.lit(1), "l"), _circles(spots, "rlat", "rlon", size, F.size("rids"), "r")
+        met = a.crossJoin(b) if pairs is None else pairs.join(a, "lp").join(b, "rp")
+        apart, radii = haversine(F.col("lat"), F.col("lon"), F.col("rat"), F.col("ron")), F.col("lr") + F.col("rr")
+        met = met.withColumn("apart", apart).withColumn("most", F.col("apart") + radii)
+        cells = Window.partitionBy("lc")
         if k == 1:
-            best = found.groupBy("lid").agg(F.array(F.min(pair)).alias("near"))
+            sure = F.min("most").over(cells)
         else:
-            top = found.select("lid", "d", "rid").withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
-            best = top.groupBy("lid").agg(F.sort_array(F.collect_list(pair)).alias("near"))
-        met = checkpointed(todo.join(best, "lid", "left").withColumn("near", F.col("near").cast(kind)))
-        # meridians draw together: a cell is narrowest at the edge of the square that is nearer a pole
-        narrow = F.cos(F.radians(F.least(F.abs(F.col("lat")) + (reach + 1) * size, F.lit(90.0))))
-        settled = F.coalesce((F.size("near") == k) & (F.element_at("near", -1)["d"] <= reach * size * DEGREE * narrow), F.lit(False))
-        if columns == 1:
-            done.append(met.select("lid", "near"))
-            break
-        done.append(met.filter(settled).select("lid", "near"))
-        todo = met.filter(~settled).select("lid", "lat", "lon")
-        if todo.isEmpty():
-            break
-        columns //= 2
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+            met = met.withColumn("upto", F.sum("rm").over(cells.orderBy("most").rangeBetween(Window.unboundedPreceding, 0)))
+            sure = F.min(F.when(F.col("upto") >= k, F.col("most"))).over(cells)
+        # a metre for rounding
+        kept = met.withColumn("sure", sure).filter(F.col("sure").isNull() | (F.col("apart") - radii <= F.col("sure") + 1))
+        pairs = checkpointed(kept.select(F.col("lc").alias("lp"), F.col("rc").alias("rp")))
+        size /= 2
+    size *= 2
+    asks, holds = places.withColumn("lp", _dealt("lat", "lon", size)), spots.withColumn("rp", _dealt("rlat", "rlon", size))
+    found = asks.join(pairs, "lp").join(holds, "rp").withColumn("d", haversine(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon")))
+    if k == 1:
+        best = found.groupBy("lat", "lon").agg(F.array(F.min(F.struct("d", F.get("rids", F.lit(0)).alias("rid")))).alias("near"))
+    else:  # the k nearest points stand at the first k places by distance and least rid
+        place = Window.partitionBy("lat", "lon").orderBy("d", F.get("rids", F.lit(0)))
+        top = found.select("lat", "lon", "d", "rids").withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
+        each = top.select("lat", "lon", "d", F.explode("rids").alias("rid"))
+        best = each.groupBy("lat", "lon").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "rid"))), 1, k).alias("near"))
+    out = asked.join(best, ["lat", "lon"], "left").select("lid", F.col("near").cast(kind).alias("near"))
+    return out.unionByName(left.filter(~_finite("lat", "lon")).select("lid", F.lit(None).cast(kind).alias("near")))
 
 
 def nearest(left: DataFrame, right: DataFrame, cell: float | None = None) -> DataFrame:
@@ -156,7 +178,7 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, size: float = 1.0)
 
 def nearest_assigned(points: DataFrame, assigned: DataFrame) -> DataFrame:
     """(pid, polygon, source): points without a polygon take that of the nearest point that has one."""
-    joined = points.join(assigned, "pid", "left")
+    joined = checkpointed(points.join(assigned, "pid", "left"))
     have = joined.filter("polygon IS NOT NULL")
     lack = joined.filter("polygon IS NULL").select(F.col("pid").alias("lid"), F.col("y").alias("lat"), F.col("x").alias("lon"))
     near = nearest(lack, have.select(F.col("pid").alias("rid"), F.col("y").alias("lat"), F.col("x").alias("lon")))
