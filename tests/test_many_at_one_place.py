@@ -5,11 +5,11 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from netledger.operators import spatial
+from netledger.operators import linkage, spatial
 
 
-def joined(spark, run):
-    """What ``run`` gives, and the most rows that a join made in it."""
+def joined(spark, run, kinds=("Join", "CartesianProduct"), counted="number of output rows"):
+    """What ``run`` gives, and the most rows that a join made in it; or that another kind of node counted."""
     store = spark._jsparkSession.sharedState().statusStore()
     before = store.executionsList().size()
     out = run()
@@ -20,11 +20,11 @@ def joined(spark, run):
         nodes = store.planGraph(execution.executionId()).allNodes()
         for j in range(nodes.size()):
             node = nodes.apply(j)
-            if "Join" not in node.name() and "CartesianProduct" not in node.name():
+            if not any(kind in node.name() for kind in kinds):
                 continue
             for m in range(node.metrics().size()):
                 metric = node.metrics().apply(m)
-                if metric.name() == "number of output rows" and metrics.contains(metric.accumulatorId()):
+                if metric.name() == counted and metrics.contains(metric.accumulatorId()):
                     most = max(most, int(metrics.apply(metric.accumulatorId()).replace(",", "")))
     return out, most
 
@@ -46,3 +46,13 @@ def test_nearest_among_many_at_few_places(spark, k):
         wanted = min((far(asked[r.lid % 11], s), i) for i, s in enumerate(spots))
         assert [n.rid for n in r.near] == [wanted[1] + 15 * i for i in range(k)]
         assert r.near[0].d == pytest.approx(wanted[0], abs=1e-3)
+
+
+def test_a_cascade_shuffles_no_pairs(spark):
+    left = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, "a").alias("k1"), F.lit("b").alias("k2")).unionByName(spark.createDataFrame([(0, None, "b")], "id long, k1 string, k2 string"))
+    right = spark.range(400).select(F.col("id").alias("rid"), F.when(F.col("id") < 200, "a").alias("r1"), F.lit("b").alias("r2"))
+    run = lambda: linkage.decide(linkage.cascade(left, right, [("one", "k1", "r1"), ("two", "k2", "r2")], "id", "rid"), "id", "rid", ("one",)).collect()
+    out, most = joined(spark, run, ("Exchange",), "shuffle records written")
+    assert most < 2000 and len(out) == 100 * 200 + 200 * 400
+    assert {(r.method, r.n) for r in out if r.id == 3} == {("one", 200)} and {(r.method, r.n) for r in out if r.id == 4} == {("two", 400)}
+    assert sorted(r["rank"] for r in out if r.id == 0) == list(range(1, 201)) and all(r["rank"] == r.rid + 1 for r in out)
