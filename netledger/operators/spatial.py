@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netledger.functions.geo import MEAN_RADIUS, geodesic, haversine
 from netledger.operators.running import ranked, spare
-from netledger.session import checkpointed
+from netledger.session import checkpointed, stored
 
 #: Metres of a degree of latitude on the mean sphere.
 DEGREE = MEAN_RADIUS * 3.141592653589793 / 180
@@ -200,31 +200,50 @@ def polygon_centroid(polygons: DataFrame) -> DataFrame:
 def knn_edges(points: DataFrame, k: int, cell: float, part: list[str]) -> DataFrame:
     """(src, dst, distance): the k nearest other points (id, x, y) within each ``part``.
 
-    Only cells within reach are met, and the reach doubles for points that lack k neighbours surely
+    Different places are compared, not points: all points of a place choose from one list of the k + 1 points nearest to it, which
+    stand at the k + 1 first places by distance and least id. Only cells within reach are met, as wide as some points
+    of a part need and ``cell`` at most, and the reach doubles for places that lack k + 1 points surely
     nearer than it. Ties go to the least id. Points without an id or a coordinate have no edges; of rows of one
     id and part the one with the least place counts.
     """
-    spot = spare("spot", part)
-    points = points.filter(F.col("id").isNotNull() & _finite("x", "y")).groupBy("id", *part).agg(F.min(F.struct("x", "y")).alias(spot)).select("id", f"{spot}.x", f"{spot}.y", *part)
-    todo, done, reach = points.select("id", *part), [], cell
-    sizes = points.groupBy(*part).agg((F.count(F.lit(1)) - 1).alias("_others"))
-    left = points.select("id", "x", "y", *part).join(sizes, part)
+    spot, x, y = spare("spot", part), spare("x", part), spare("y", part)
+    points = points.filter(F.col("id").isNotNull() & _finite("x", "y")).groupBy("id", *part).agg(F.min(F.struct("x", "y")).alias(spot)).select("id", F.col(f"{spot}.x").alias(x), F.col(f"{spot}.y").alias(y), *part)
+    points = points.filter(_all_there(part))
+    few = points.withColumn("_place", F.row_number().over(Window.partitionBy(x, y, *part).orderBy("id"))).filter(F.col("_place") <= k + 1)
+    spots = stored(few.groupBy(x, y, *part).agg(F.sort_array(F.collect_list("id")).alias("_ids")))
+    sizes = checkpointed(spots.groupBy(*part).agg(F.sum(F.size("_ids")).alias("_there"), F.count(F.lit(1)).alias("_spots")))
+    widest = sizes.agg(F.max("_spots").alias("n")).first()
+    reach = cell
+    if widest.n:  # a circle of the reach holds some 1.5 k places of the fullest part, if parts lie alike
+        anywhere = checkpointed(spots.select(x, y).distinct())
+        reach = min(cell, _width(anywhere, x, y, cell / 1024, cell) * ((k + 1) / 2 * anywhere.count() / widest.n) ** 0.5)
+    todo, done = spots.select(x, y, *part), None
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        probe = left.join(todo, ["id", *part]).select(F.col("id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"), "_others", *part, F.explode(_near_cells(F.col("x"), F.col("y"), reach, 1)).alias("c"))
-        held = points.select(F.col("id").alias("dst"), F.col("x").alias("dx"), F.col("y").alias("dy"), *part, F.struct(F.floor(F.col("x") / reach).alias("cx"), F.floor(F.col("y") / reach).alias("cy")).alias("c"))
-        met = probe.join(held, ["c", *part]).filter("src <> dst").withColumn("distance", F.sqrt(F.pow(F.col("sx") - F.col("dx"), 2) + F.pow(F.col("sy") - F.col("dy"), 2)))
-        met = met.filter((F.col("distance") <= reach) | (F.lit(reach) > 1e6))
-        place = Window.partitionBy("src").orderBy("distance", "dst")
-        top = checkpointed(met.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k).select("src", "dst", "distance", "_others", *part))
-        full = top.groupBy("src", "_others", *part).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") == k) | (F.col("n") == F.col("_others")))
-        done.append(top.join(full.select("src"), "src").select("src", "dst", "distance"))
-        todo = checkpointed(todo.join(full.select(F.col("src").alias("id")), "id", "left_anti").join(sizes.filter("_others > 0").select(*part), part, "left_semi"))
+        probe = todo.join(sizes, part).select(F.col(x).alias("_sx"), F.col(y).alias("_sy"), "_there", *part, F.explode(_near_cells(F.col(x), F.col(y), reach, 1)).alias("_c")).repartition(tasks, "_c", *part)
+        held = spots.select(F.col(x).alias("_dx"), F.col(y).alias("_dy"), "_ids", *part, _dealt(x, y, reach).alias("_c"))
+        met = probe.join(held, ["_c", *part]).withColumn("distance", F.sqrt(F.pow(F.col("_sx") - F.col("_dx"), 2) + F.pow(F.col("_sy") - F.col("_dy"), 2)))
+        met = met.filter(F.col("distance") <= reach)
+        place = Window.partitionBy("_sx", "_sy", *part).orderBy("distance", F.get("_ids", F.lit(0)))
+        top = met.select("_sx", "_sy", "_there", *part, "distance", "_ids").withColumn("_at", F.row_number().over(place)).filter(F.col("_at") <= k + 1)
+        each = F.transform("_ids", lambda i: F.struct(F.col("distance").alias("distance"), i.alias("dst")))
+        near = F.slice(F.sort_array(F.flatten(F.collect_list(each))), 1, k + 1).alias("_near")
+        listed = stored(top.groupBy("_sx", "_sy", "_there", *part).agg(near))
+        full = (F.size("_near") == k + 1) | (F.size("_near") == F.col("_there"))
+        settled = listed.filter(full).select(F.col("_sx").alias(x), F.col("_sy").alias(y), "_near", *part)
+        done = settled if done is None else done.unionByName(settled)
+        todo = stored(listed.filter(~full).select(F.col("_sx").alias(x), F.col("_sy").alias(y), *part))
         if todo.isEmpty():
             break
         reach *= 2
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
+    own = points.join(done, [x, y, *part]).select(F.col("id").alias("src"), F.slice(F.filter("_near", lambda n: n["dst"] != F.col("id")), 1, k).alias("_near"))
+    return own.select("src", F.explode("_near").alias("_n")).select("src", "_n.dst", "_n.distance")
+
+
+def _all_there(columns: list[str]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).isNotNull()
     return out
 
 

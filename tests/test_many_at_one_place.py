@@ -56,3 +56,11 @@ def test_a_cascade_shuffles_no_pairs(spark):
     assert most < 2000 and len(out) == 100 * 200 + 200 * 400
     assert {(r.method, r.n) for r in out if r.id == 3} == {("one", 200)} and {(r.method, r.n) for r in out if r.id == 4} == {("two", 400)}
     assert sorted(r["rank"] for r in out if r.id == 0) == list(range(1, 201)) and all(r["rank"] == r.rid + 1 for r in out)
+
+
+def test_neighbours_of_many_at_few_places(spark):
+    points = spark.range(4000).select("id", (F.col("id") % 7 * 3).cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("y"), (F.col("id") % 2).alias("p"))
+    out, most = joined(spark, lambda: spatial.knn_edges(points, 3, 400.0, ["p"]).collect())
+    assert len(out) == 12_000 and most <= 12_000
+    assert all(r.distance == 0.0 and r.dst % 14 == r.src % 14 for r in out)
+    assert sorted(r.dst for r in out if r.src == 15) == [1, 29, 43] and sorted(r.dst for r in out if r.src == 1415) == [1, 15, 29]
