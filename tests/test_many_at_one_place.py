@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netledger.operators import linkage, spatial
+from netledger.plans import registers
 
 
 def joined(spark, run, kinds=("Join", "CartesianProduct"), counted="number of output rows"):
@@ -64,3 +65,15 @@ def test_neighbours_of_many_at_few_places(spark):
     assert len(out) == 12_000 and most <= 12_000
     assert all(r.distance == 0.0 and r.dst % 14 == r.src % 14 for r in out)
     assert sorted(r.dst for r in out if r.src == 15) == [1, 29, 43] and sorted(r.dst for r in out if r.src == 1415) == [1, 15, 29]
+
+
+def test_reviews_make_no_pairs(spark):
+    anchors = spark.range(500).select(F.format_string("%06d", "id").alias("official_identifier"), F.lit("one").alias("name"), F.lit("there").alias("address"), F.col("id").alias("line"))
+    rows = spark.range(400).select(F.col("id").alias("row_id"), F.when(F.col("id") % 4 == 0, "000007").alias("official_identifier"), F.lit("ONE").alias("name"), F.when(F.col("id") % 4 != 1, "there").alias("address"))
+    (candidates, reviews, _), _ = joined(spark, lambda: registers.match_register(anchors, rows, "doc"))
+    out, most = joined(spark, reviews.collect)
+    assert most <= 2000 and {(r.reason, r.candidate_count) for r in out} == {("exact_name_address", 500), ("exact_name_only", 500)}
+    plan = candidates._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    ranks = {(r.row_id, r.line, r["rank"]) for r in candidates.filter("row_id IN (0, 1)").collect()}
+    assert ranks == {(0, 7, 1)} | {(1, i, i + 1) for i in range(500)}
